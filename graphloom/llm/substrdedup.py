@@ -1,8 +1,9 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
-A chunk ends where the low bits of the gear hash of the last 32 bytes are zero, so an insertion moves only the
-boundaries near it. Chunks are deduplicated by digest: the first occurrence (smallest doc_id, then place) stays.
-Short phrases recur by chance, so a run of repeated chunks goes only from a length of ``MIN_RUN`` bytes on.
+A chunk ends where the gear hash of the last 32 bytes is the least within ``REACH`` places on either side, so a boundary
+depends on the bytes around it alone: an insertion moves only the boundaries near it, and a passage that stands in two
+texts is cut alike in both but for its ends. Chunks are deduplicated by digest: those of the document with the smallest
+doc_id stay. Short phrases recur by chance, so a run of repeated chunks goes only from ``MIN_RUN`` bytes on.
 """
 
 from __future__ import annotations
@@ -13,12 +14,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import write_table
 from .common import id_text, map_batches, pieces
 
-#: A boundary on average every 2^BITS bytes, and chunks of at least MIN_CHUNK bytes.
-BITS = 5
-MIN_CHUNK = 24
+#: Chunks have more than REACH bytes, and 2 * REACH + 1 on average.
+REACH = 16
 MIN_RUN = 120
 
 
@@ -39,24 +38,36 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def boundaries(raw: bytes, bits: int = BITS, min_chunk: int = MIN_CHUNK) -> list[int]:
-    """Ends of the chunks. Cuts fall between characters; the top bits of the hash, which all 32 bytes reach, decide."""
+def sliding_least(h: np.ndarray, size: int) -> np.ndarray:
+    """Least of each ``size`` values in a row, by doubling the span compared."""
+    out, span = h, 1
+    while span < size:
+        step = min(span, size - span)
+        out = np.minimum(out[: len(out) - step], out[step:])
+        span += step
+    return out
+
+
+def boundaries(raw: bytes, reach: int = REACH) -> list[int]:
+    """Ends of the chunks; cuts fall between characters. The top bits of the hash, which all 32 bytes reach, decide."""
     data = np.frombuffer(raw, np.uint8)
-    if not len(data):
+    n = len(data)
+    if not n:
         return []
-    cut = (gear_hash(data) >> np.uint32(32 - bits)) == 0
-    cut[:-1] &= (data[1:] & 0xC0) != 0x80
+    h = gear_hash(data)
+    # the first bytes of characters alone may begin a chunk
+    h[:-1] |= np.where((data[1:] & 0xC0) == 0x80, np.uint32(0xFFFFFFFF), np.uint32(0))
+    wide = np.full(n + 2 * reach, 0xFFFFFFFF, np.uint32)
+    wide[reach : reach + n] = h
+    least = sliding_least(wide, reach)  # least[k]: of wide[k .. k + reach - 1]
+    cut = (h < least[:n]) & (h <= least[reach + 1 : reach + 1 + n]) & (h != 0xFFFFFFFF)
+    cut[: min(reach, n)] = False  # too near to the start to be told from the middle of a text
     cut[-1] = True
-    ends, last = [], 0
-    for e in (np.flatnonzero(cut) + 1).tolist():
-        if e - last >= min_chunk or e == len(data):
-            ends.append(e)
-            last = e
-    return ends
+    return (np.flatnonzero(cut) + 1).tolist()
 
 
 def _chunk_rows(batch: pa.RecordBatch):
-    digest = xxhash.xxh3_128_digest
+    digest = xxhash.xxh3_64_digest
     for part in pieces(batch, 256):
         ids, starts, sizes, prints = [], [], [], []
         for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
@@ -69,16 +80,19 @@ def _chunk_rows(batch: pa.RecordBatch):
             starts += begin
             sizes += [z - a for a, z in zip(begin, ends, strict=True)]
             prints += [digest(raw[a:z]) for a, z in zip(begin, ends, strict=True)]
-        both = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
-        yield {"h1": pa.array(np.ascontiguousarray(both[:, 0])), "h2": pa.array(np.ascontiguousarray(both[:, 1])), "doc_id": ids, "start": starts, "size": sizes}
+        h, d = np.frombuffer(b"".join(prints), np.int64), np.array(ids, np.int64)
+        again = np.ones(len(h), bool)  # stands earlier in the same document
+        again[np.unique(np.rec.fromarrays([d, h]), return_index=True)[1]] = False
+        yield {"h": pa.array(h), "doc_id": pa.array(d), "start": pa.array(starts, pa.int32()), "size": pa.array(sizes, pa.int32()), "again": pa.array(again)}
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """doc_id, spans [(start, size)] in bytes: runs of chunks that stand in an earlier place as well."""
-    chunks = write_table(map_batches(id_text(docs, id_col, text_col), _chunk_rows, "h1 long, h2 long, doc_id long, start int, size int"), "chunks")
-    place = F.struct("doc_id", "start")
-    firsts = chunks.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.max(place).alias("last")).where("at <> last").select("h1", "h2", "at")
-    later = chunks.join(firsts, ["h1", "h2"]).where(place > F.col("at")).select("doc_id", "start", "size").distinct()
+    chunks = map_batches(id_text(docs, id_col, text_col), _chunk_rows, "h long, doc_id long, start int, size int, again boolean")
+    once = chunks.where("not again").drop("again")
+    firsts = once.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("h", "least")
+    elsewhere = once.join(firsts, "h").where("doc_id > least").select("doc_id", "start", "size")
+    later = elsewhere.union(chunks.where("again").select("doc_id", "start", "size"))
     spans = later.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("chunks"))
 
     def run(batch: pa.RecordBatch):
@@ -86,7 +100,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out = []
             for d, chunks in zip(part.column("doc_id").to_pylist(), part.column("chunks").to_pylist(), strict=True):
                 runs: list[list[int]] = []
-                for a, n in sorted((c["start"], c["size"]) for c in chunks):
+                for a, n in sorted({(c["start"], c["size"]) for c in chunks}):
                     if runs and runs[-1][1] == a:
                         runs[-1][1] = a + n
                     else:
