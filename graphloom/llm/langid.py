@@ -127,16 +127,17 @@ class CrossParser:
             first = self.table[root * ALPHABET : (root + 1) * ALPHABET].copy()
             first[first == 0] = root  # a symbol the sample lacks is a phrase of its own
             state = np.full(len(size), root, np.int32)
-            count = np.ones(len(size), np.int32)
+            count = np.zeros(len(size), np.int32)
             for j in range(b):
                 n = live[j]
                 c = grid[j, :n]
                 s = state[:n]
                 t = self.table[s * ALPHABET + c]
-                stuck = np.flatnonzero(t == 0)
+                ends = t == 0
+                count[:n] += ends | (s == root)
                 # the phrase ends before this symbol, which begins the next one
+                stuck = np.flatnonzero(ends)
                 t[stuck] = first[c[stuck]]
-                count[stuck] += s[stuck] != root
                 state[:n] = t
             out[:, k] = np.bincount(owner, count, len(texts)).astype(np.int64)
         return out
