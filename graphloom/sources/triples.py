@@ -1,29 +1,43 @@
-"""Turtle and TSV triples read as lines (S3-S7, S13, S17, S18, L20). A line table has (file, line, text)."""
+"""Turtle and TSV triples read as lines (S3-S7, S13, S17, S18, L20). A line table has (file, block, seq, text)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text) of text files; the ordinal is explicit, as no later step may rely on the order of rows."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
-    return raw.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    """(file, block, seq, text) of text files. Large files are read in blocks by many tasks: ``block`` is where a block starts,
+    ``seq`` grows with the lines inside it, so (block, seq) is the order of a file's lines."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("text"))
+
+
+def carried(lines: DataFrame, value: Column, name: str) -> DataFrame:
+    """``lines`` with the last value that is not null on a line or before it in its file. Windows run within blocks; what a
+    block begins with comes from the last values of the blocks before it, a row each."""
+    rows = lines.withColumn("__v", value)
+    inside = Window.partitionBy("file", "block").orderBy("seq")
+    ends = rows.where("__v is not null").groupBy("file", "block").agg(F.max_by("__v", "seq").alias("__last"))
+    blocks = rows.select("file", "block").distinct().join(ends, ["file", "block"], "left")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = blocks.select("file", "block", F.last("__last", ignorenulls=True).over(before).alias("__before"))
+    out = rows.withColumn("__in", F.last("__v", ignorenulls=True).over(inside)).join(begins, ["file", "block"])
+    return out.withColumn(name, F.coalesce("__in", "__before")).drop("__v", "__in", "__before")
 
 
 def linked_objects(lines: DataFrame, predicates=("partOf", "belongsTo")) -> DataFrame:
     """S3: (relation, subject, object): the current subject is carried forward to the objects of the predicates."""
-    order = Window.partitionBy("file").orderBy("line")
-    subject = F.regexp_extract("text", r"^<([^>]+)>", 1)
-    carried = lines.withColumn("subject", F.last(F.when(subject != "", subject), ignorenulls=True).over(order))
-    found = [carried.where(F.contains("text", F.lit(p))).select(F.lit(p).alias("relation"), "subject", F.explode(F.regexp_extract_all(F.regexp_extract("text", rf"{p}>?\s+(.*)$", 1), F.lit("<([^>]+)>"), 1)).alias("object")) for p in predicates]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.where("subject is not null")
+    start = F.regexp_extract("text", r"^<([^>]+)>", 1)
+    tagged = carried(lines, F.when(start != "", start), "subject")
+
+    def found(p: str) -> Column:
+        objects = F.regexp_extract_all(F.regexp_extract("text", rf"{p}>?\s+(.*)$", 1), F.lit("<([^>]+)>"), 1)
+        return F.transform(objects, lambda o: F.struct(F.lit(p).alias("relation"), o.alias("object")))
+
+    pairs = F.explode(F.flatten(F.array(*[found(p) for p in predicates])))
+    return tagged.where("subject is not null").select("subject", pairs.alias("x")).select("x.relation", "subject", "x.object")
 
 
 def typed_labels(lines: DataFrame) -> DataFrame:
@@ -49,9 +63,8 @@ def repaired_tsv(lines: DataFrame) -> DataFrame:
     after it up to the next start, their tabs and line ends being part of the object."""
     f = F.split("text", "\t")
     start = (F.size(f) >= 3) & F.startswith(F.get(f, 1), F.lit("http"))
-    order = Window.partitionBy("file").orderBy("line")
-    tagged = lines.withColumn("rec", F.sum(start.cast("long")).over(order)).where("rec > 0")
-    whole = tagged.groupBy("file", "rec").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("t"))
+    tagged = carried(lines, F.when(start, F.struct("block", "seq")), "rec").where("rec is not null")
+    whole = tagged.groupBy("file", "rec").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "seq", "text"))), lambda x: x["text"]), "\n").alias("t"))
     cut = F.split("t", "\t", 3)
     return whole.select(F.get(cut, 0).alias("s"), F.get(cut, 1).alias("p"), F.get(cut, 2).alias("o"))
 

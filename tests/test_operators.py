@@ -1,0 +1,235 @@
+"""Sources, sinks, graph loops, votes and streams on small frames: exact values, conservation, idempotence, brute force."""
+
+import itertools
+import json
+import random
+from difflib import SequenceMatcher
+
+import pytest
+from pyspark.sql import functions as F
+
+from graphloom.functions import rules
+from graphloom.operators import edges as E
+from graphloom.operators import graph as G
+from graphloom.operators import learner as L
+from graphloom.operators import match as M
+from graphloom.operators import vote as V
+from graphloom.sources import catalogue, sinks, triples
+
+
+def rows(df, *cols):
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
+
+
+@pytest.fixture
+def book(tmp_path):
+    b = {"subject": "math", "stage": "primary", "grade": "一年级", "semester": "上册", "publisher": "人教版", "chapters": [{"chapter_order": 1, "chapter_name": "准备课", "sections": [{"section_order": 1, "section_name": "数数", "knowledge_points": ["数一数", "", "比多少"]}, {"section_order": 2, "section_name": "空", "knowledge_points": []}]}, {"chapter_order": 2, "chapter_name": "位置", "sections": []}]}
+    (tmp_path / "a.json").write_text(json.dumps(b, ensure_ascii=False))
+    return str(tmp_path / "*.json")
+
+
+def test_catalogue(spark, book):
+    t = catalogue.flatten(catalogue.read_catalogues(spark, book))
+    assert rows(t["textbooks"], "textbook_id") == [("renjiao-g1s",)]
+    assert rows(t["chapters"], "chapter_id", "label") == [("renjiao-g1s-1", "准备课"), ("renjiao-g1s-2", "位置")]
+    assert rows(t["sections"], "section_id") == [("renjiao-g1s-1-1",), ("renjiao-g1s-1-2",)]
+    assert rows(t["points"], "label", "section_id") == [("数一数", "renjiao-g1s-1-1"), ("比多少", "renjiao-g1s-1-1")]
+    assert t["contains"].count() == 4
+
+
+def test_exam_texts(spark):
+    q = [{"type": "choice", "passage": "P", "question": "Q", "choices": ["a", "b"], "answers": ["x"]}, {"type": "open", "passage": None, "question": "R", "choices": None, "answers": ["y", "z"]}]
+    from graphloom.schemas import EXAM
+
+    df = spark.read.schema(EXAM).json(spark.createDataFrame([(json.dumps({"id": "1", "Questions": q}),)], "value string").rdd.map(lambda r: r.value))
+    assert rows(catalogue.exam_texts(df), "text") == [("P\nQ\na\nb\nR\ny",)]
+
+
+@pytest.fixture
+def lines(spark, tmp_path):
+    (tmp_path / "x.ttl").write_text('@prefix a: <b> .\n<http://k/instance/math#1> rdf:type <http://k/class/C> ;\n  a:partOf <http://k/2>, <http://k/3> ;\n  a:belongsTo <http://k/4> .\n<http://k/instance/math#2> rdfs:label "圆" ; rdfs:label "circle"@en .\n')
+    return triples.read_lines(spark, str(tmp_path / "x.ttl"))
+
+
+def test_turtle(lines):
+    one = "http://k/instance/math#1"
+    assert rows(triples.linked_objects(lines), "relation", "subject", "object") == [("belongsTo", one, "http://k/4"), ("partOf", one, "http://k/2"), ("partOf", one, "http://k/3")]
+    assert rows(triples.typed_labels(lines), "kind", "value", "language") == [("label", "circle", "en"), ("label", "圆", "zh"), ("type", "http://k/class/C", None)]
+    s = triples.turtle_statistics(lines).first()
+    assert (s.prefixes, s.labels, s.types, s.subjects) == (1, 2, 1, 2)
+
+
+def test_tsv_repair(spark, tmp_path):
+    (tmp_path / "x.tsv").write_text("http://a\thttp://p\tone\nstill one\twith tab\nhttp://b\thttp://p\ttwo")
+    t = triples.repaired_tsv(triples.read_lines(spark, str(tmp_path / "x.tsv")))
+    assert rows(t, "s", "o") == [("http://a", "one\nstill one\twith tab"), ("http://b", "two")]
+    assert triples.valid_triples(t).first().ok is True
+    assert triples.valid_triples(t.where("s = 'x'")).first().ok is True
+
+
+def test_split_conserves_rows(spark, tmp_path):
+    t = spark.createDataFrame([(f"http://k/instance/{s}#{k}", "http://p", "o") for k, s in enumerate(["math", "geo", "math"])] + [("http://k/none", "http://p", "o")], "s string, p string, o string")
+    assert rows(triples.split_by_subject(t, str(tmp_path / "a")), "subject", "rows") == [("geo", 1), ("math", 2), ("unknown", 1)]
+    assert rows(triples.split_by_subject(t, str(tmp_path / "b"), skip_unknown=True), "subject", "rows") == [("geo", 1), ("math", 2)]
+
+
+def test_upserts_are_idempotent(spark):
+    old = spark.createDataFrame([("a", "A", 1), ("b", "B", 2)], "uri string, label string, n int")
+    new = spark.createDataFrame([("b", None, 5), ("c", "C", None)], "uri string, label string, n int")
+    once = sinks.upsert_nodes(old, new, ["uri"])
+    want = [("a", "A", 1), ("b", "B", 5), ("c", "C", None)]
+    assert rows(once, "uri", "label", "n") == want
+    assert rows(sinks.upsert_nodes(once, new, ["uri"]), "uri", "label", "n") == want
+    assert ("b", None, 5) in rows(sinks.upsert_nodes(old, new, ["uri"], clear=["label"]), "uri", "label", "n")
+    nodes, es = once, spark.createDataFrame([("a", "r", "b")], "src string, rel_type string, dst string")
+    add = spark.createDataFrame([("a", "r", "c"), ("a", "r", "zz")], es.schema)
+    assert rows(sinks.upsert_edges(es, add, nodes), "src", "dst") == [("a", "b"), ("a", "c")]
+    left, kept = sinks.delete_nodes(nodes, es, spark.createDataFrame([("b",)], "uri string"))
+    assert left.count() == 2 and kept.count() == 0
+
+
+def test_written_tables_and_turtle(spark, tmp_path):
+    df = spark.createDataFrame([("1", 'a "b"', "t", "s")], "uri string, label string, textbook_id string, section_id string")
+    assert sinks.write_tables({"x": df, "y": df.limit(0)}, str(tmp_path)) == {"x": 1, "y": 0}
+    assert sinks.turtle_points(df, "urn:k").first().value.startswith('<urn:k#1> rdfs:label "a \\"b\\"" ; kg:source "{')
+    e = spark.createDataFrame([("a", "b", "r"), ("a", "b", "q")], "src string, dst string, rel_type string")
+    sinks.overwrite_type(e, str(tmp_path / "e"))
+    sinks.overwrite_type(e.where("rel_type = 'r'").withColumn("dst", F.lit("z")), str(tmp_path / "e"))
+    assert rows(spark.read.parquet(str(tmp_path / "e")), "dst", "rel_type") == [("b", "q"), ("z", "r")]
+
+
+def test_synonyms_and_similarity(spark):
+    items = spark.createDataFrame([(1, "相加"), (2, "矩形 "), (3, "无"), (4, None)], "id int, label string")
+    concepts = spark.createDataFrame([("c1", "加法", 2), ("c0", "加法", 1), ("c2", "长方形", 3)], "concept string, label string, ord int")
+    assert rows(M.by_synonyms(items, concepts, rules.SYNONYMS), "id", "concept") == [(1, "c0"), (2, "c2"), (3, None), (4, None)]
+    a = spark.createDataFrame([(1, "abcd"), (2, "x")], "id int, label string")
+    c = spark.createDataFrame([("k", "bcde"), ("m", "abc"), ("n", "x")], "concept string, label string")
+    got = {(r.id, r.concept): r.score for r in M.char_similarity(a, c).collect()}
+    assert got[1, "k"] == round(SequenceMatcher(None, "abcd", "bcde").ratio(), 6)
+    assert got[1, "m"] == 1.0 and got[2, "n"] == 1.0
+
+
+def test_containment_against_all_pairs(spark):
+    r = random.Random(4)
+    a = ["".join(r.choice("abc") for _ in range(r.randint(1, 6))) for _ in range(40)]
+    b = ["".join(r.choice("abc") for _ in range(r.randint(1, 6))) for _ in range(25)]
+    items = spark.createDataFrame(list(enumerate(a)), "id long, label string")
+    concepts = spark.createDataFrame([(k, x, k) for k, x in enumerate(b)], "concept long, label string, ord long")
+    want = sorted((i, min(k for k, y in enumerate(b) if x in y or y in x)) for i, x in enumerate(a) if any(x in y or y in x for y in b))
+    assert sorted(rows(M.containment(items, concepts), "id", "concept")) == want
+
+
+def test_definition_mentions(spark):
+    d = spark.createDataFrame([(1, "一元二次方程是含有常数的方程")], "id int, definition string")
+    n = spark.createDataFrame([("方程",), ("一元二次方程",), ("常数",), ("二次函数",)], "name string")
+    assert rows(M.mentions(d, n, 2), "name") == sorted([("方程",), ("一元二次方程",), ("常数",)], key=repr)
+    assert rows(M.mentions(d, n), "name") == [("一元二次方程",)]
+
+
+def graph(spark, pairs):
+    return spark.createDataFrame(pairs, "src string, dst string")
+
+
+def test_cycles(spark):
+    assert G.cycle_members(graph(spark, [("A", "B"), ("B", "C"), ("A", "C")])).count() == 0
+    assert rows(G.cycle_members(graph(spark, [("A", "B"), ("B", "C"), ("C", "A"), ("C", "D"), ("D", "E"), ("E", "F"), ("F", "E")])), "node") == [(x,) for x in "ABCEF"]
+    assert G.cycle_members(graph(spark, [])).count() == 0
+    assert rows(G.cycle_members(graph(spark, [("A", "A")])), "node") == [("A",)]
+
+
+def test_walks_against_brute_force(spark):
+    r = random.Random(6)
+    n = 14
+    es = sorted({(f"n{a:02}", f"n{b:02}") for a, b in ((r.randrange(n), r.randrange(n)) for _ in range(30)) if a < b})
+    e = graph(spark, es)
+    nodes = sorted({x for p in es for x in p})
+    longest = {x: 0 for x in nodes}
+    for a, b in sorted(es):
+        longest[b] = max(longest[b], longest[a] + 1)
+    assert rows(G.depth(e), "node", "depth") == sorted(longest.items())
+    dist = {(x, x): 0 for x in nodes}
+    for k, i, j in itertools.product(nodes, nodes, nodes):
+        pass
+    for _ in nodes:
+        for (s, x), d in list(dist.items()):
+            for a, b in es:
+                if a == x and dist.get((s, b), 99) > d + 1:
+                    dist[s, b] = d + 1
+    got = G.reach(e, spark.createDataFrame([(x,) for x in nodes], "seed string"))
+    assert rows(got, "seed", "node", "dist") == sorted((s, x, d) for (s, x), d in dist.items())
+    steps = {r.node: r.step for r in G.teaching_sequence(e, spark.createDataFrame([(x,) for x in nodes], "node string")).collect()}
+    assert all(steps[a] < steps[b] for a, b in es)
+
+
+def test_common_ancestors_and_codes(spark):
+    e = graph(spark, [("r", "a"), ("r", "b"), ("a", "x"), ("a", "y"), ("b", "z")])
+    p = spark.createDataFrame([("x", "y"), ("x", "z"), ("x", "a")], "a string, b string")
+    assert rows(G.lowest_common(e, p), "a", "b", "ancestor", "da", "db") == [("x", "a", "a", 1, 0), ("x", "y", "a", 1, 1), ("x", "z", "r", 2, 2)]
+    parents = e.select(F.col("dst").alias("node"), F.col("src").alias("parent"))
+    assert rows(G.weighted_common(parents, p), "a", "b", "ancestor", "score") == [("x", "a", "a", 0.0), ("x", "y", "a", 1.0), ("x", "z", "r", 2.0)]
+    forest = parents.union(spark.createDataFrame([("r", None)], "node string, parent string"))
+    assert rows(G.hierarchy_codes(forest), "node", "code") == [("a", "1-1"), ("b", "1-2"), ("r", "1"), ("x", "1-1-1"), ("y", "1-1-2"), ("z", "1-2-1")]
+    path = G.learning_path(e, spark.createDataFrame([("x",)], "target string"), spark.createDataFrame([("r",)], "node string"))
+    assert rows(path, "node", "step") == [("a", 1), ("x", 2)]
+
+
+def test_common_scores_leave_out_zero_distances(spark):
+    e = graph(spark, [("r", "a"), ("a", "b"), ("b", "x"), ("b", "y")])
+    p = spark.createDataFrame([("x", "y"), ("x", "b")], "a string, b string")
+    import math
+
+    assert rows(G.common_scores(e, p), "ancestor", "score") == [("b", round(169 * math.log(2) / 2, 6))]
+
+
+def pair(spark, *r):
+    return spark.createDataFrame(list(r), "d1 boolean, c1 double, d2 boolean, c2 double")
+
+
+def test_votes(spark):
+    v = rows(V.consensus(pair(spark, (True, 0.9, True, 0.8), (True, 0.9, False, 0.8), (False, 0.9, True, 0.8), (None, None, True, 0.8))), "d1", "consensus", "result", "confidence")
+    assert v == sorted([(True, True, True, 0.85), (True, False, None, 0.0), (False, True, True, 0.56), (None, False, None, 0.0)], key=repr)
+    strict = V.consensus(pair(spark, (False, 0.9, True, 0.8)), weighted=False).first()
+    assert strict.consensus is False
+    kinds = rows(V.prerequisite_vote(pair(spark, (True, 0.9, True, 0.8), (True, 0.7, True, 0.6), (True, 0.5, True, 0.4), (True, 0.9, False, 0.9))), "mean", "relation")
+    assert kinds == sorted([(0.85, "PREREQUISITE"), (0.65, "PREREQUISITE_CANDIDATE"), (0.45, None), (0.9, None)], key=repr)
+    assert V.match_vote(pair(spark, (True, 0.5, True, 0.7)), min_conf=0.7).first().matched is False
+
+
+def test_fusion(spark):
+    def s(*r):
+        return spark.createDataFrame(list(r), "src string, dst string, conf double, ord int")
+
+    v = s(("a", "c", 0.7, 1), ("b", "c", 0.6, 1), ("x", "y", 0.65, 2), ("x", "y", 0.95, 1)).withColumn("rel_type", F.lit("PREREQUISITE_CANDIDATE"))
+    got = rows(V.fuse(s(("a", "b", 1.0, 1), ("a", "c", 1.0, 1)), s(("a", "b", 0.85, 1), ("b", "c", 0.85, 1)), v), "src", "dst", "rel_type", "confidence")
+    assert got == [("a", "b", "PREREQUISITE", 0.9), ("a", "c", "PREREQUISITE", 1.0), ("b", "c", "PREREQUISITE", 0.95), ("x", "y", "PREREQUISITE_CANDIDATE", 0.95)]
+
+
+def test_teaches_before(spark):
+    p = spark.createDataFrame([("ch", 1, "kp-1"), ("ch", 2, "kp-2"), ("other", 1, "kp-3")], "chapter string, pos int, point string")
+    assert rows(E.teaches_before(p), "src", "dst") == [("kp-1", "kp-2")]
+
+
+def test_running_numbers_do_not_depend_on_the_order_of_rows(spark):
+    df = spark.range(500).withColumn("k", F.col("id") % 17)
+    a = rows(E.running_number(df, ["k", "id"]), "n", "id")
+    assert a == rows(E.running_number(df.repartition(7).orderBy(F.rand(1)), ["k", "id"]), "n", "id")
+    assert sorted(n for n, _ in a) == list(range(1, 501))
+
+
+def test_packed_paragraphs(spark):
+    df = spark.createDataFrame([("a\nbb\nccc\n" + "d" * 9,), ("",), (None,)], "t string")
+    assert [r.y for r in df.select(E.pack_paragraphs(F.col("t"), 5).alias("y")).collect()] == [["a\nbb", "ccc", "d" * 9], [""], None]
+
+
+def test_latest_progress_breaks_ties_by_event(spark):
+    p = spark.createDataFrame([("u", "e", "mastered", 9, 1, 2), ("u", "e", "in_progress", 4, 1, 1)], "user string, entity string, status string, score int, ts int, event_id int")
+    assert rows(L.latest(p), "status", "score") == [("mastered", 9)]
+
+
+def test_stream_equals_batch(spark, sf):
+    from graphloom.plans import twins
+    from graphloom.plans.registry import Tables
+    from graphloom.streaming import progress as ST
+
+    got = rows(ST.upsert_stream(spark, f"{sf}/events.parquet"), "user", "entity", "status", "score")
+    assert got == rows(L.latest(twins.progress(Tables(spark, sf))), "user", "entity", "status", "score")
