@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .match import small
+
 
 def latest(progress: DataFrame) -> DataFrame:
     """The last row of each (user, entity); ties in time go to the larger event_id."""
@@ -39,8 +41,8 @@ def next_recommended(progress: DataFrame, needs: DataFrame, users: DataFrame) ->
 
 
 def full_progress(users: DataFrame, entities: DataFrame, progress: DataFrame) -> DataFrame:
-    """Every user with every entity of a stated list (bounded by its caller), ``not_started`` where nothing is recorded."""
-    return users.crossJoin(F.broadcast(entities)).join(latest(progress).select("user", "entity", "status"), ["user", "entity"], "left").withColumn("status", F.coalesce("status", F.lit("not_started")))
+    """Every user with every entity of a stated list, ``not_started`` where nothing is recorded."""
+    return users.crossJoin(small(entities, 10_000)).join(latest(progress).select("user", "entity", "status"), ["user", "entity"], "left").withColumn("status", F.coalesce("status", F.lit("not_started")))
 
 
 def by_subject(progress: DataFrame) -> DataFrame:

@@ -39,8 +39,8 @@ def by_synonyms(items: DataFrame, concepts: DataFrame, synonyms: Mapping[str, li
 
 
 def grams(label: Column, n: int) -> Column:
-    """All runs of ``n`` characters of a label; the label itself if it is shorter."""
-    return F.when(F.char_length(label) < n, F.array(label)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(label) - n + 1, F.lit(1))), lambda i: F.substr(label, i, F.lit(n)))))
+    """All distinct runs of ``n`` characters of a label, in one pass over it; the label itself if it is shorter."""
+    return F.when(F.char_length(label) < n, F.array(label)).otherwise(F.array_distinct(F.regexp_extract_all(label, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)))
 
 
 def containment(items: DataFrame, concepts: DataFrame, n: int = 3) -> DataFrame:
@@ -149,10 +149,11 @@ def mentions(definitions: DataFrame, names: DataFrame, min_length: int = 3) -> D
 
     A name's first gram meets the grams of the definitions in an equi-join; ``contains`` verifies.
     """
-    n = names.select(F.col("name")).where((F.char_length("name") >= min_length)).distinct().withColumn("g", F.lower(F.substring("name", 1, min_length)))
+    n = names.select("name").where(F.char_length("name") >= min_length).distinct().withColumn("g", F.lower(F.substring("name", 1, min_length)))
     d = definitions.select("id", F.lower("definition").alias("t")).where("t is not null")
-    g = d.select("id", "t", F.explode(grams(F.col("t"), min_length)).alias("g"))
-    return g.join(n, "g").where(F.contains("t", F.lower("name"))).select("id", "name").distinct()
+    # the texts stay behind while their grams are looked up, and meet the few names that may be in them once
+    likely = d.select("id", F.explode(grams(F.col("t"), min_length)).alias("g")).join(small(n), "g").groupBy("id").agg(F.collect_set("name").alias("names"))
+    return d.join(likely, "id").select("id", F.explode(F.filter("names", lambda x: F.contains(F.col("t"), F.lower(x)))).alias("name")).distinct()
 
 
 def token_mentions(texts: DataFrame, terms: DataFrame) -> DataFrame:

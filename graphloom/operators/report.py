@@ -51,7 +51,8 @@ def distributions(rows: DataFrame, cols: list[str]) -> DataFrame:
     """(attribute, value, n, percent) of several columns."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("attribute"), F.col(c).cast("string").alias("value")) for c in cols])).alias("x"))
     g = long.groupBy("x.attribute", "x.value").agg(F.count("*").alias("n"))
-    return g.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("attribute")), 2))
+    total = g.groupBy("attribute").agg(F.sum("n").alias("all"))
+    return g.join(total, "attribute").select("attribute", "value", "n", F.round(100.0 * F.col("n") / F.col("all"), 2).alias("percent"))
 
 
 def completeness(rows: DataFrame, cols: list[str]) -> DataFrame:
@@ -101,8 +102,13 @@ def ledger(calls: DataFrame, keys: list[str], limit: int) -> DataFrame:
 
 def stratified_folds(rows: DataFrame, cls: str, key: str, k: int) -> DataFrame:
     """Rows with ``fold``: dealt in turn within each class, in the order of a digest of the key."""
-    w = Window.partitionBy(cls).orderBy(F.md5(F.col(key).cast("string")), key)
-    return rows.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)).cast("long"))
+    from .edges import running_number
+
+    # numbers over all rows in the order of class and digest, less where the class begins: no class has to fit into a task
+    n = running_number(rows.withColumn("__digest", F.md5(F.col(key).cast("string"))), [cls, "__digest", key])
+    begins = n.groupBy(F.col(cls).alias("__cls")).agg(F.min("n").alias("__begin"))
+    j = n.join(begins, n[cls].eqNullSafe(begins["__cls"]))
+    return j.withColumn("fold", F.pmod(F.col("n") - F.col("__begin"), F.lit(k)).cast("long")).select(*rows.columns, "fold")
 
 
 def freshness(stored: DataFrame, current: DataFrame) -> DataFrame:
