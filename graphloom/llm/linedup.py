@@ -22,7 +22,8 @@ MIN_LINES = 2
 
 
 def chunk_starts(lines: list[bytes], window: int = WINDOW, one_in: int = ONE_IN, min_lines: int = MIN_LINES) -> list[int]:
-    """First lines of the chunks: a chunk ends where the rolling hash of the last ``window`` line hashes says so."""
+    """First lines of the chunks: a chunk ends where the rolling hash of the last ``window`` line hashes says so. Every chunk has
+    ``min_lines`` lines at least (but for shorter texts), the last one too, so that chunks cover a text of several lines."""
     h = np.array([xxhash.xxh64_intdigest(x) for x in lines], np.uint64)
     roll = np.zeros(len(h), np.uint64)
     for k in range(window):
@@ -30,7 +31,7 @@ def chunk_starts(lines: list[bytes], window: int = WINDOW, one_in: int = ONE_IN,
     ends = np.flatnonzero(mixed(roll) % np.uint64(one_in) == 0)
     starts = [0]
     for e in ends.tolist():
-        if e + 1 - starts[-1] >= min_lines and e + 1 < len(lines):
+        if e + 1 - starts[-1] >= min_lines and len(lines) - (e + 1) >= min_lines:
             starts.append(e + 1)
     return starts
 
@@ -113,7 +114,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def replace_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """``docs`` with all their columns; the text lacks its repeated chunks and ``chars_col``, where there is one, is counted anew."""
+    """``docs`` with all their columns; the text lacks its repeated chunks and ``chars_col``, where there is one, is counted anew.
+    A document of which nothing is left, as all of it stands in earlier ones, goes; one that was empty before stays."""
     gone = repeated_chunks(docs, id_col, text_col).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("line", "n_lines")).alias("__gone"))
     joined = docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left").select(*[docs[c] for c in docs.columns], "__gone")
     text_at, schema = docs.columns.index(text_col), docs.schema
@@ -129,6 +131,7 @@ def replace_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     cols[text_at] = pa.array(texts, cols[text_at].type)
                     if chars_at is not None:
                         cols[chars_at] = pa.array([len(t) if g and t is not None else n for t, g, n in zip(texts, gone, cols[chars_at].to_pylist(), strict=True)], cols[chars_at].type)
-                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+                out = pa.RecordBatch.from_arrays(cols, names=schema.names)
+                yield out.filter(pa.array([not g or t != "" for t, g in zip(cols[text_at].to_pylist(), gone, strict=True)])) if any(gone) else out
 
     return joined.mapInArrow(run, schema)

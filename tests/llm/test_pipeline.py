@@ -23,6 +23,7 @@ def test_run_against_brute_force(spark, sf):
     kept = {k: t for k, t in rows.items() if t and langid.has_letter(t)}
     gone = slow_lines(kept)
     kept = {k: linedup.without_lines(t, [{"line": a, "n_lines": n} for a, n in gone[k]]) for k, t in kept.items()}
+    kept = {k: t for k, t in kept.items() if t or not gone[k]}
     comp = slow_components({k: simhash.fingerprint(t) for k, t in kept.items()}, 4)
     kept = {k: t for k, t in kept.items() if comp[k] == k}
 
