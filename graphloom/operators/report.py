@@ -48,11 +48,11 @@ def prefix_counts(paths: DataFrame, sep: str = "/") -> DataFrame:
 
 
 def distributions(rows: DataFrame, cols: list[str]) -> DataFrame:
-    """(attribute, value, n, percent) of several columns."""
+    """(attribute, value, n, percent) of several columns; percents are rounded half up to two digits, in whole numbers."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("attribute"), F.col(c).cast("string").alias("value")) for c in cols])).alias("x"))
     g = long.groupBy("x.attribute", "x.value").agg(F.count("*").alias("n"))
     total = g.groupBy("attribute").agg(F.sum("n").alias("all"))
-    return g.join(total, "attribute").select("attribute", "value", "n", F.round(100.0 * F.col("n") / F.col("all"), 2).alias("percent"))
+    return g.join(total, "attribute").select("attribute", "value", "n", (F.expr("(20000 * n + all) div (2 * all)") / 100.0).alias("percent"))
 
 
 def completeness(rows: DataFrame, cols: list[str]) -> DataFrame:

@@ -256,7 +256,7 @@ def a9(t):
     return twins.triples(t).groupBy("p").agg(F.count("*").alias("n"), F.count_if(T.is_entity(F.col("o"), ["http"])).alias("entities"), F.min("o").alias("example"))
 
 
-@query("a10_a13_distributions", "with l as (select 'p_type' as attribute, p_type as value from part union all select 'p_brand', p_brand from part), g as (select attribute, value, count(*) as n from l group by 1, 2) select *, round(100.0::double * n / sum(n) over (partition by attribute), 2) as percent from g")
+@query("a10_a13_distributions", "with l as (select 'p_type' as attribute, p_type as value from part union all select 'p_brand', p_brand from part), g as (select attribute, value, count(*) as n from l group by 1, 2) select *, ((20000 * n + sum(n) over (partition by attribute)) // (2 * sum(n) over (partition by attribute)))::double / 100 as percent from g")
 def a10(t):
     return R.distributions(t.part, ["p_type", "p_brand"])
 
