@@ -162,7 +162,7 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 64, chars_per_doc: int = 1024) -> CrossParser:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 48, chars_per_doc: int = 512) -> CrossParser:
     """Learns from a bounded sample of labelled rows: per language the ``docs_per_lang`` training rows with the
     smallest hash of their id, ``chars_per_doc`` characters each (both documented bounds of the fit alone)."""
     train = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
@@ -210,7 +210,7 @@ def keep_identified(docs: DataFrame, model: CrossParser | None = None, text_col:
     return docs.mapInArrow(run, docs.schema)
 
 
-def _by_size(batch: pa.RecordBatch, column: int | str = "text", chars: int = 4_000_000):
+def _by_size(batch: pa.RecordBatch, column: int | str = "text", chars: int = 2_000_000):
     """Slices of about ``chars`` bytes of text, one row at least."""
     import pyarrow.compute as pc
 
