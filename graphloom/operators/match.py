@@ -15,8 +15,8 @@ SMALL = 200_000
 
 
 def small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """Broadcast ``df`` only after its rows have been counted up to the bound."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """Broadcast ``df`` only after its rows have been counted."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def exact(items: DataFrame, dictionary: DataFrame, key: str = "label") -> DataFrame:
