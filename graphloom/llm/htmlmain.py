@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..scratch import write_table
 from .common import map_batches, pieces
 
-TAG = re.compile(r"""<(?:!--(.*?)(?:-->|\Z)|([!?])[^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>)""", re.S)
+TAG = re.compile(r"""<(?:!--(.*?)(?:-->|\Z)|([!?])[^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z))""", re.S)
 ATTRS = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 #: Element names by kind, and words that mark what is not the article.
@@ -27,6 +27,7 @@ JUNK_TAGS = frozenset("nav aside footer form menu dialog".split())
 CONTAINERS = frozenset("article main section div td body blockquote ul ol table tbody tr dl figure details center header footer nav aside form menu dialog fieldset html".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address figcaption hr th thead tfoot caption summary hgroup legend".split())
 JUNK_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar comment comments disqus respond cookie cookies notice notices consent gdpr popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs footer header masthead share sharing social related recommended recommendations newsletter subscribe subscription login signup search toolbar pagination pager widget widgets hidden skip alert toc".split())
+JUNK_PARTS = re.compile("comment|sidebar|advert|cookie|breadcrumb|newsletter|sponsor|popup|disqus")
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 WEIGHT = {"article": 3.0, "main": 2.5, "body": 0.1, "html": 0.05}
 
@@ -43,7 +44,10 @@ def _is_junk(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     if tag in ("html", "body", "article", "main"):
         return False
     for token in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
-        if not token.startswith(("has-", "with-", "no-", "without-")) and JUNK_WORDS.intersection(_words.findall(token)):
+        if token.startswith(("has-", "with-", "no-", "without-")):
+            continue
+        found = JUNK_WORDS.intersection(_words.findall(token))
+        if JUNK_PARTS.search(token) or found - {"header"} or found and not in_article:  # an article may have a header of its own
             return True
     return False
 

@@ -246,6 +246,13 @@ def test_html_main_text(spark):
     assert htmlmain.extract(df.where("page_id < 0")).count() == 0
 
 
+def test_html_junk_by_class():
+    page = "<body><div class='pageheader header'>top</div><article><div class='entry-header'><h1>Title</h1></div><p>Body text</p><ol class='commentlist'><li>bad</li></ol><div class='ad-box'>buy</div><div id='cookiebar'>ok?</div></article></body>"
+    assert htmlmain.main_text(page, None) == "Title\nBody text"
+    assert htmlmain.main_text("<p>cut off in a tag <a href='x", None) == "cut off in a tag"
+    assert htmlmain.main_text("plain &am text &amp &lt;b&gt;", None) == "plain &am text & <b>"
+
+
 def test_host_path_outvotes_a_page():
     odd = "<body><div class='post'><p>short main</p></div><div class='other'><p>" + "long but not main " * 20 + "</p></div></body>"
     assert htmlmain.main_text(odd, ">div.post") == "short main"
