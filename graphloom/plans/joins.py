@@ -22,17 +22,19 @@ RELATED_SQL = "select distinct l_suppkey as src, l_partkey as dst from lineitem"
 
 
 def items(t):
-    return t.part.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"))
+    """id, label: all parts; the larger ones' labels also name their type."""
+    return t.part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 25, F.concat_ws(" ", "p_name", "p_type")).otherwise(F.col("p_name")).alias("label"))
 
 
 def dictionary(t):
-    """concept, label, ord: two thirds of the labels, the second word alone for some."""
-    p = t.part.where("p_partkey % 3 = 0")
-    return p.select(F.col("p_partkey").alias("concept"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.element_at(F.split("p_name", " "), 2)).alias("label"), F.col("p_partkey").alias("ord")).where("concept < 200")
+    """concept, label, ord: the labels of all parts but the PROMO ones, and those of the STANDARD ones cut to their second word."""
+    label = F.when(F.col("p_type") == "STANDARD", F.element_at(F.split("p_name", " "), 2)).otherwise(F.col("p_name"))
+    d = t.part.where("p_type <> 'PROMO' and p_name not like 'red%'").groupBy(label.alias("label")).agg(F.min("p_partkey").alias("concept"))
+    return d.select("concept", "label", F.col("concept").alias("ord"))
 
 
-ITEMS_SQL = """items as (select p_partkey as id, p_name as label from part where p_partkey % 3 <> 0),
-dict as (select p_partkey as concept, case when p_partkey % 2 = 0 then p_name else split_part(p_name, ' ', 2) end as label, p_partkey as ord from part where p_partkey % 3 = 0 and p_partkey < 200)"""
+ITEMS_SQL = """items as (select p_partkey as id, case when p_size > 25 then p_name || ' ' || p_type else p_name end as label from part),
+dict as (select min(p_partkey) as concept, label, min(p_partkey) as ord from (select p_partkey, case when p_type = 'STANDARD' then split_part(p_name, ' ', 2) else p_name end as label from part where p_type <> 'PROMO' and p_name not like 'red%') group by label)"""
 
 
 @query("s8_first_wins", "select p_name, min(p_partkey) as p_partkey from part where length(p_name) > 7 group by 1")
@@ -57,9 +59,9 @@ def s2(t):
     return up.unionByName(down)
 
 
-@query("s7_valid_triples", "select false as ok")
+@query("s7_valid_triples", TRIPLES_SQL + ", more as (select s, p, o from triples union all select r_name, 'p', 'o' from region) select bool_and(starts_with(s, 'http') and starts_with(p, 'http') and o is not null) as ok from more")
 def s7(t):
-    return TR.valid_triples(twins.triples(t).union(t.region.select(F.lit("x"), F.lit("y"), F.lit("z"))))
+    return TR.valid_triples(twins.triples(t).union(t.region.select("r_name", F.lit("p"), F.lit("o"))))
 
 
 @query("s11_two_shapes", "select event_id, (props::json->>'k')::bigint as k from events")
@@ -75,10 +77,10 @@ def s13(t):
     return TR.predicate_slice(twins.triples(t), "http://kg.example/p/source")
 
 
-@query("s19_s22_upsert", "select p_partkey as uri, case when p_partkey % 2 = 0 then 'new ' || p_name else p_name end as label, case when p_partkey % 2 = 0 then null else p_type end as cls from part union all select -1 - s_suppkey, s_name, null from supplier")
+@query("s19_s22_upsert", "select p_partkey as uri, case when p_size > 25 then 'new ' || p_name else p_name end as label, case when p_size > 25 then null else p_type end as cls from part union all select -1 - s_suppkey, s_name, null from supplier")
 def s19(t):
     c = twins.concepts(t)
-    new = c.where("uri % 2 = 0").select("uri", F.concat(F.lit("new "), "label").alias("label"), F.lit(None).cast("string").alias("cls")).union(t.supplier.select(-1 - F.col("s_suppkey"), "s_name", F.lit(None).cast("string")))
+    new = t.part.where("p_size > 25").select(F.col("p_partkey").alias("uri"), F.concat(F.lit("new "), "p_name").alias("label"), F.lit(None).cast("string").alias("cls")).union(t.supplier.select(-1 - F.col("s_suppkey"), "s_name", F.lit(None).cast("string")))
     return S.upsert_nodes(c, new, ["uri"], clear=["cls"])
 
 
@@ -205,11 +207,11 @@ def j29(t):
     return M.fuzzy(d.select(F.col("label").alias("id"), F.regexp_replace("label", "e", "").alias("label")), d)
 
 
-@query("j30_disambiguation", "with e as (select vec_id, label, embedding::double[] as v from embeddings), s as (select q.vec_id as id, c.vec_id as candidate, round(list_cosine_similarity(q.v, c.v), 6) as score from e q join e c on q.label = c.label and c.vec_id % 10 = 1 where q.vec_id % 10 = 0) select id, candidate from (select *, row_number() over (partition by id order by score desc, candidate) as n from s) where n = 1")
+@query("j30_disambiguation", "with e as (select vec_id, label, embedding::double[] as v from embeddings), s as (select q.vec_id as id, c.vec_id as candidate, round(list_cosine_similarity(q.v, c.v), 6) as score from e q join e c on q.label = c.label and c.vec_id <> q.vec_id where q.vec_id % 20 = 0) select id, candidate from (select *, row_number() over (partition by id order by score desc, candidate) as n from s) where n = 1")
 def j30(t):
-    q = t.embeddings.where("vec_id % 10 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
-    c = t.embeddings.where("vec_id % 10 = 1").select(F.col("vec_id").alias("candidate"), F.col("embedding").alias("v"), "label")
-    return M.disambiguate(q.select("id", "v"), q.select("id", "label").join(c, "label").select("id", "candidate", "v"))
+    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")  # the stated queries of a search
+    c = t.embeddings.select(F.col("vec_id").alias("candidate"), F.col("embedding").alias("v"), "label")
+    return M.disambiguate(q.select("id", "v"), q.select("id", "label").join(c, "label").where("candidate <> id").select("id", "candidate", "v"))
 
 
 @query("j11_teaches_before", "select distinct a.l_partkey as src, b.l_partkey as dst from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber < b.l_linenumber and a.l_partkey <> b.l_partkey")
@@ -302,10 +304,10 @@ def j26(t):
     return M.generic_duplicates(c, ["(通用)"])
 
 
-@query("j31_neighbours", "select distinct 1::bigint as seed, l_returnflag as rel_type, l_partkey as node from lineitem where l_suppkey = 1")
+@query("j31_neighbours", "select distinct l_suppkey as seed, l_returnflag as rel_type, l_partkey as node from lineitem where l_suppkey in (select s_suppkey from supplier where s_nationkey = 1)")
 def j31(t):
     e = t.lineitem.select(F.col("l_suppkey").alias("src"), F.col("l_returnflag").alias("rel_type"), F.col("l_partkey").alias("dst"))
-    return E.neighbours(e, t.supplier.where("s_suppkey = 1").select(F.col("s_suppkey").alias("seed")), "out")
+    return E.neighbours(e, t.supplier.where("s_nationkey = 1").select(F.col("s_suppkey").alias("seed")), "out")
 
 
 @query("j32_entity_card", "select s_suppkey as uri, count(distinct l_returnflag || l_partkey::varchar)::int as links from supplier left join lineitem on s_suppkey = l_suppkey group by 1")
@@ -490,10 +492,10 @@ def u4(t):
     return t.documents.select("doc_id").join(t.labels.select("doc_id"), "doc_id", "left_anti")
 
 
-@query("u5_uncached", "select doc_id from documents where substr(sha256(text), 1, 16) not in (select substr(sha256(text), 1, 16) from documents where doc_id % 3 = 0)")
+@query("u5_uncached", "select doc_id from documents where substr(sha256(text), 1, 16) not in (select substr(sha256(text), 1, 16) from documents where source = 'src0')")
 def u5(t):
-    d = t.documents.select("doc_id", T.short_hash(F.col("text")).alias("key"))
-    return d.join(d.where("doc_id % 3 = 0").select("key"), "key", "left_anti").select("doc_id")
+    d = t.documents.select("doc_id", "source", T.short_hash(F.col("text")).alias("key"))
+    return d.join(d.where("source = 'src0'").select("key"), "key", "left_anti").select("doc_id")
 
 
 @query("l1_points_of_chapter", "select o_custkey as chapter, count(distinct l_partkey) as points from orders join lineitem on o_orderkey = l_orderkey group by 1")
@@ -518,17 +520,17 @@ def l7(t):
     return L.weak_roll_up(twins.progress(t), 10)
 
 
-@query("l8_next_recommended", PROGRESS_SQL + """, done as (select "user", entity from latest where status = 'mastered'), need as (select (p_partkey - 1) // 2 as src, p_partkey as dst from part where p_partkey between 1 and 99)
+@query("l8_next_recommended", PROGRESS_SQL + """, done as (select "user", entity from latest where status = 'mastered'), need as (select (p_partkey - 1) // 2 as src, p_partkey as dst from part where p_partkey > 0)
 select d."user", n.dst as entity from need n join done d on d.entity = n.src where not exists (select 1 from done x where x."user" = d."user" and x.entity = n.dst)""")
 def l8(t):
     p = twins.progress(t)
-    return L.next_recommended(p, twins.heap(t).where("dst < 100"), p.select("user").distinct())
+    return L.next_recommended(p, twins.heap(t), p.select("user").distinct())
 
 
-@query("l9_l10_full_progress", PROGRESS_SQL + ', u as (select distinct "user" from progress), e as (select p_partkey as entity from part where p_partkey < 100) select u."user", e.entity, coalesce(l.status, \'not_started\') as status from u cross join e left join latest l on l."user" = u."user" and l.entity = e.entity')
+@query("l9_l10_full_progress", PROGRESS_SQL + ', u as (select distinct "user" from progress), e as (select distinct entity from progress) select u."user", e.entity, coalesce(l.status, \'not_started\') as status from u cross join e left join latest l on l."user" = u."user" and l.entity = e.entity')
 def l9(t):
     p = twins.progress(t)
-    return L.full_progress(p.select("user").distinct(), t.part.where("p_partkey < 100").select(F.col("p_partkey").alias("entity")), p)
+    return L.full_progress(p.select("user").distinct(), p.select("entity").distinct(), p)
 
 
 @query("l14_progress_by_subject", PROGRESS_SQL + ' select "user", subject, count(*) filter (where status = \'mastered\') as mastered, count(*) as total from progress group by "user", subject union all select "user", null, count(*) filter (where status = \'mastered\'), count(*) from progress group by "user"')
