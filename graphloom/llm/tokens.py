@@ -84,7 +84,7 @@ def frequent_lengths(docs: DataFrame, path: str, rows: int = 2000, chars: int =
     """The broadcast tier: the pre-tokens met most often in a bounded sample (``rows`` rows, ``chars`` characters each,
     ``most`` entries). It only saves time: whatever it lacks is encoded by the workers."""
     lengths, seen = Lengths(path), Counter()
-    for row in docs.select(F.substring("text", 1, chars).alias("text")).where("text is not null").limit(rows).toLocalIterator():
+    for row in docs.select(F.substring("text", 1, chars).alias("text")).where("text is not null").take(rows):
         for run in lengths.runs(row.text):
             if max(run) <= "\xff":
                 seen.update(lengths.pre_tokens(run))
