@@ -91,8 +91,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = map_batches(id_text(docs, id_col, text_col), _chunk_rows, "h long, doc_id long, start int, size int, again boolean")
     once = chunks.where("not again").drop("again")
     firsts = once.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("h", "least")
-    elsewhere = once.join(firsts, "h").where("doc_id > least").select("doc_id", "start", "size")
-    later = elsewhere.union(chunks.where("again").select("doc_id", "start", "size"))
+    later = chunks.join(firsts, "h", "left").where("again or doc_id > least").select("doc_id", "start", "size")
     spans = later.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("chunks"))
 
     def run(batch: pa.RecordBatch):
