@@ -4,6 +4,9 @@ Fingerprints within ``radius`` bits agree on at least ``blocks - radius`` of the
 cut into, so two of them always meet in a shard (a choice of blocks and their bits). Each shard has a BK-tree,
 whose children are keyed by the integer Hamming distance to their parent; a lookup follows only the edges within
 the radius of its own distance. A shard emits a spanning forest of its links, never all pairs.
+
+``keep_one`` drops near copies by another rule, the similarity of their sets of shingles: MinHash bands give the
+candidates, and the sets themselves decide.
 """
 
 from __future__ import annotations
@@ -17,13 +20,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import drop_table, write_table
-from .common import id_text, map_batches, pieces
+from .common import P, WordHashes, id_text, map_batches, mixed, pieces, shingle_hashes
 
 RADIUS = 4
 BLOCKS = 6
 #: A tree has at most about so many nodes; a shard with more is split, and its members look into each part.
 TREE = 30_000
 
+#: Near copies that keep_one drops: Jaccard similarity over runs of so many words. The radius above is op2's alone.
+COPY_WORDS = 5
+COPY_SIMILARITY = 0.8
+#: Two sets at similarity 0.8 share none of the bands with a chance of (1 - 0.8^4)^20, under 3 in 100,000.
+BANDS = 20
+BAND_ROWS = 4
+#: Bands with many members: so many are compared with all others first, at most so many times.
+HUBS = 4
+HUB_TURNS = 1
+SEEDS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
+SEEDS[1] |= np.uint64(1)
+
+_hashes = WordHashes()
+
 
 def fingerprint(text: str | None, n: int = 4, seed: int = 42) -> int:
     """The 64-bit SimHash of the word shingles of ``text``: a bit is 1 if set in over half of the hashes."""
@@ -222,7 +239,114 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def _signatures(batch: pa.RecordBatch):
+    """A row's set of word shingles: its digest, its size, and the keys of its bands (none for a text without words)."""
+    for part in pieces(batch):
+        nodes, sizes, bands = [], [], []
+        for t in part.column("text").to_pylist():
+            h = shingle_set(t)
+            nodes.append(xxhash.xxh3_64_intdigest(h.tobytes()))
+            sizes.append(len(h))
+            bands.append(band_keys(h))
+        yield {"doc_id": part.column("doc_id"), "tk": part.column("tk"), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "n": sizes, "bands": bands}
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the runs of ``COPY_WORDS`` words; fewer words are one run, no words none."""
+    return np.unique(shingle_hashes(_hashes.of((text or "").encode("utf-8", "surrogatepass").lower().split()), COPY_WORDS))
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """MinHash: one key a band, equal for two sets where all ``BAND_ROWS`` least values of the band are."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(h), 1024):
+        least = np.minimum(least, ((h[None, at : at + 1024] ^ SEEDS[0, :, None]) * SEEDS[1, :, None]).min(axis=1))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BAND_ROWS, BANDS):
+        key = mixed(key * P + row)
+    return key.view(np.int64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of ``COPY_SIMILARITY`` or more."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
+
+    def run(batch: pa.RecordBatch):
+        for part in pieces(batch):
+            near = [jaccard(x.values.to_numpy(), y.values.to_numpy()) >= COPY_SIMILARITY - 1e-12 for x, y in zip(part.column("ha"), part.column("hb"), strict=True)]
+            yield {c: part.column(c).filter(pa.array(near, pa.bool_())) for c in ("a", "b")}
+
+    return map_batches(both.select("a", "b", "ha", "hb"), run, "a long, b long")
+
+
+def similar_groups(rows: DataFrame) -> DataFrame:
+    """doc_id, tk, component_id for every row of ``rows`` (doc_id, text, tk): tk tells rows of one id apart.
+
+    Texts whose shingle sets have a Jaccard similarity of ``COPY_SIMILARITY`` or more are linked; equal sets are one
+    node. Sets that share a band are candidates, and each link is verified on the whole sets. While a band has many pairs, its members are first
+    compared with a few hubs each; at the end all pairs of a band that are not yet connected are, and none is left out.
+    """
+    signed = write_table(map_batches(rows, _signatures, "doc_id long, tk long, node long, n int, bands array<long>"), "signatures")
+    distinct = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tk")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    keyed = distinct.select("node", "least", "row", "n", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").count().where("count > 1").select("key")
+    bands = write_table(keyed.join(shared, "key"), "bands")
+    wanted = bands.select("node", F.col("row.doc_id").alias("id"), F.col("row.tk").alias("tk")).distinct()
+    found = rows.join(wanted, (rows.tk == wanted.tk) & rows.doc_id.eqNullSafe(wanted.id)).select(rows.text, "node").dropDuplicates(["node"])
+
+    def hashes(batch: pa.RecordBatch):
+        for part in pieces(batch):
+            yield {"node": part.column("node"), "h": [shingle_set(t).view(np.int64) for t in part.column("text").to_pylist()]}
+
+    sets = write_table(map_batches(found, hashes, "node long, h array<long>"), "sets")
+    linked, tried, links = None, None, None
+    for turn in range(HUB_TURNS + 1):
+        of = bands.select("key", "node", "n")
+        of = of.withColumn("c", F.col("node")) if linked is None else of.join(linked, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
+        sizes = of.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("open")).where("open > 0")
+        open_ = write_table(of.join(sizes, "key"), "open-bands")
+        rows_left, all_pairs = open_.agg(F.count("*"), F.sum(F.col("open").cast("double") / 2)).first()
+        if not rows_left:
+            break
+        last = turn == HUB_TURNS or all_pairs / BANDS <= HUBS * rows_left
+        side = lambda df, x: df.select("key", F.col("node").alias(x), F.col("n").alias("n" + x), F.col("c").alias("c" + x))
+        if last:
+            other = side(open_, "b")
+        else:
+            chosen = [F.min_by(F.struct("node", "n", "c"), F.xxhash64("node", F.lit(turn * HUBS + k))) for k in range(HUBS)]
+            other = side(open_.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("hubs")).select("key", F.explode("hubs").alias("hub")).select("key", "hub.*"), "b")
+        # sets whose sizes differ by more cannot be so similar
+        pairs = side(open_, "a").join(other, "key").where(f"ca <> cb and least(na, nb) >= {COPY_SIMILARITY} * greatest(na, nb) - 1e-6" + (" and a < b" if last else ""))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = write_table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        near = write_table(_similar(pairs, sets), "links")
+        links = near if links is None else links.union(near)
+        linked = components(links)
+        linked = linked.union(linked.select("component", "component")).distinct()
+        tried = pairs if tried is None else tried.union(pairs)
+        if last:
+            break
+    if linked is None:
+        linked = bands.select(F.col("node"), F.col("node").alias("component")).where("false")
+    named = distinct.select("node", "least").join(linked, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c"))
+    ids = named.groupBy("c").agg(F.min("least").alias("component_id"))
+    return signed.select("doc_id", "tk", "node").join(named.join(ids, "c").select("node", "component_id"), "node").select("doc_id", "tk", "component_id")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns as they are: of each component only the document with the smallest id stays."""
-    gone = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    """``docs``, all columns as they are: of each group of near copies only the document with the smallest id stays.
+
+    Near copies share ``COPY_SIMILARITY`` of their runs of ``COPY_WORDS`` words (Jaccard). Null and empty texts, and
+    those without a word, are copies of one another. A row with a null id goes where its group has an id.
+    """
+    text = F.xxhash64(F.col(text_col).cast("string"))
+    groups = similar_groups(id_text(docs, id_col, text_col).withColumn("tk", F.xxhash64("text")))
+    gone = groups.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (text == F.col("__tk")), "left_anti")

@@ -154,6 +154,28 @@ def test_near_duplicates(docs, texts, none):
     assert 12 not in {r.doc_id for r in simhash.keep_one(docs).collect()}
 
 
+def test_keep_one_against_all_pairs_of_shingle_sets(spark):
+    rng, texts = random.Random(8), {}
+    for k in range(40):
+        base = words(80, 500 + k).split()
+        texts[5 * k] = base
+        for n in (1, 2, 3, 4):  # so many words changed, five shingles each
+            texts[5 * k + n] = [w if i not in range(6, 6 + 12 * n, 12) else "changed" + str(rng.random()) for i, w in enumerate(base)]
+    shingles = {k: {tuple(v[i : i + 5]) for i in range(len(v) - 4)} for k, v in texts.items()}
+    root = {k: k for k in texts}
+    for a in texts:
+        for b in range(a + 1, a - a % 5 + 5):
+            if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
+                root = {k: min(root[a], root[b]) if r in (root[a], root[b]) else r for k, r in root.items()}
+    rows = [(k, " ".join(v)) for k, v in texts.items()] + [(None, " ".join(texts[0])), (None, words(30, 77))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {k for k in texts if root[k] == k}
+    assert len(want) == 160
+    got = simhash.keep_one(df).collect()
+    assert {r.doc_id for r in got if r.doc_id is not None} == want
+    assert [r.text for r in got if r.doc_id is None] == [words(30, 77)]
+
+
 def test_links_of_a_dense_group_connect_what_all_pairs_do(spark):
     r = np.random.default_rng(3)
     centre = r.integers(0, 1 << 62, 40)
