@@ -69,20 +69,21 @@ def boundaries(raw: bytes, reach: int = REACH) -> list[int]:
 def _chunk_rows(batch: pa.RecordBatch):
     digest = xxhash.xxh3_64_digest
     for part in pieces(batch, 256):
-        ids, starts, sizes, prints = [], [], [], []
-        for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+        ids, rows, starts, sizes, prints = [], [], [], [], []
+        for r, (d, t) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)):
             if d is None or not t:
                 continue
             raw = t.encode("utf-8", "surrogatepass")
             ends = boundaries(raw)
             begin = [0, *ends[:-1]]
             ids += [d] * len(ends)
+            rows += [r] * len(ends)
             starts += begin
             sizes += [z - a for a, z in zip(begin, ends, strict=True)]
             prints += [digest(raw[a:z]) for a, z in zip(begin, ends, strict=True)]
         h, d = np.frombuffer(b"".join(prints), np.int64), np.array(ids, np.int64)
-        again = np.ones(len(h), bool)  # stands earlier in the same document
-        again[np.unique(np.rec.fromarrays([d, h]), return_index=True)[1]] = False
+        again = np.ones(len(h), bool)  # stands earlier in the same row: rows that repeat a doc_id are one document, not two
+        again[np.unique(np.rec.fromarrays([np.array(rows, np.int64), h]), return_index=True)[1]] = False
         yield {"h": pa.array(h), "doc_id": pa.array(d), "start": pa.array(starts, pa.int32()), "size": pa.array(sizes, pa.int32()), "again": pa.array(again)}
 
 

@@ -410,6 +410,14 @@ def test_substring_dedup(docs, texts, none):
     assert substrdedup.dedup_substrings(none).count() == 0
 
 
+def test_substring_dedup_of_repeated_rows_in_one_partition(spark):
+    text = words(60, 1)
+    df = spark.createDataFrame([(3, text), (3, text), (4, words(60, 2) + " " + text)], "doc_id long, text string").coalesce(1)
+    got = substrdedup.dedup_substrings(df).collect()
+    assert [(r.text, r.n_removed) for r in got if r.doc_id == 3] == [(text, 0)] * 2
+    assert [r.n_removed > 100 for r in got if r.doc_id == 4] == [True]
+
+
 def test_gear_hash_rolls():
     raw = bytes(random.Random(1).randrange(256) for _ in range(200))
     h = 0
