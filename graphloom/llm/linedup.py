@@ -1,8 +1,9 @@
-"""Line deduplication over content-defined chunks of lines.
+"""Line deduplication over chunks of two lines, one at every line.
 
-Rolling hashes over line hashes choose the boundaries, so an insertion shifts only the chunk it
-falls into. A chunk of several lines that occurs elsewhere is removed, after a comparison of the
-bytes, everywhere but at its first occurrence (smallest doc_id, then smallest line).
+Chunks overlap, so whether one is found depends on its own two lines alone, and every passage of two or more lines that
+stands in an earlier place is covered whole. A chunk that occurs elsewhere is removed, after a comparison of the bytes,
+everywhere but at its first occurrence (smallest doc_id, then smallest line). Each line that goes stands in an earlier
+place, so one copy of it always stays.
 """
 
 from __future__ import annotations
@@ -14,33 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import write_table
-from .common import P, id_text, map_batches, mixed, pieces
+from .common import id_text, map_batches, pieces
 
-WINDOW = 2
-ONE_IN = 2
 MIN_LINES = 2
 
 
-def chunk_starts(lines: list[bytes], window: int = WINDOW, one_in: int = ONE_IN, min_lines: int = MIN_LINES) -> list[int]:
-    """First lines of the chunks: a chunk ends where the rolling hash of the last ``window`` line hashes says so. Every chunk has
-    ``min_lines`` lines at least (but for shorter texts), the last one too, so that chunks cover a text of several lines."""
-    h = np.array([xxhash.xxh64_intdigest(x) for x in lines], np.uint64)
-    roll = np.zeros(len(h), np.uint64)
-    for k in range(window):
-        roll[k:] = roll[k:] * P + h[: len(h) - k]
-    ends = np.flatnonzero(mixed(roll) % np.uint64(one_in) == 0)
-    starts = [0]
-    for e in ends.tolist():
-        if e + 1 - starts[-1] >= min_lines and len(lines) - (e + 1) >= min_lines:
-            starts.append(e + 1)
-    return starts
-
-
 def chunks_of(text: str, min_lines: int = MIN_LINES) -> list[tuple[int, int, bytes]]:
-    """(first line, lines, bytes) of each chunk of several lines."""
+    """(first line, lines, bytes) of each chunk: all runs of ``min_lines`` lines, at every line."""
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    starts = chunk_starts(lines, min_lines=min_lines)
-    return [(a, z - a, b"\n".join(lines[a:z])) for a, z in zip(starts, [*starts[1:], len(lines)], strict=True) if z - a >= min_lines]
+    return [(a, min_lines, b"\n".join(lines[a : a + min_lines])) for a in range(len(lines) - min_lines + 1)]
 
 
 def _chunk_rows(batch: pa.RecordBatch):
@@ -85,15 +68,19 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return bodies.where("not first").join(kept, ["h1", "h2"]).where("body = kept").select("doc_id", "line", "n_lines").distinct()
 
 
+def lines_of(gone: list) -> set[int]:
+    return {k for g in gone for k in range(g["line"], g["line"] + g["n_lines"])}
+
+
 def without_lines(text: str, gone: list) -> str:
-    drop = {k for g in gone for k in range(g["line"], g["line"] + g["n_lines"])}
+    drop = lines_of(gone)
     return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text without repeated chunks, n_removed (lines), removed [(line, n_lines)] for every row.
+    """doc_id, text without repeated chunks, n_removed (lines), removed [(line, n_lines)], which overlap, for every row.
 
-    Null text stays null; a text of one line has no chunk of several lines and stays whole; a document all of whose
+    Null text stays null; a text of one line has no chunk and stays whole; a document all of whose
     chunks stand elsewhere becomes empty. A row with a null id stays as it is and takes no part. Rows that repeat a
     doc_id are one document. Lines are split at \\n only and compared as bytes. Other columns are not read.
     """
@@ -106,7 +93,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield {
                 "doc_id": part.column("doc_id"),
                 "text": [without_lines(t, g) if g and t is not None else t for t, g in zip(texts, gone, strict=True)],
-                "n_removed": [sum(x["n_lines"] for x in g or ()) for g in gone],
+                "n_removed": [len(lines_of(g or ())) for g in gone],
                 "removed": [sorted(g or (), key=lambda x: x["line"]) for g in gone],
             }
 

@@ -381,6 +381,23 @@ def test_line_dedup(docs, texts, none):
     assert again[19].text == got[19].text and again[19].h == 7
 
 
+def test_line_dedup_of_passages_inside_other_texts(spark):
+    rng, rows = random.Random(4), {}
+    line = lambda: words(rng.randint(3, 9), rng.random())
+    shared = {n: [[line() for _ in range(n)] for _ in range(6)] for n in range(2, 9)}
+    for passages in shared.values():
+        for p in passages:
+            for _ in range(2):
+                rows[len(rows)] = [*(line() for _ in range(rng.randint(0, 4))), *p, *(line() for _ in range(rng.randint(1, 4)))]
+    df = spark.createDataFrame([(k, "\n".join(v)) for k, v in rows.items()], "doc_id long, text string").repartition(3)
+    seen = set()
+    got = {r.doc_id: r for r in linedup.dedup_lines(df).collect()}
+    for k, v in sorted(rows.items()):
+        kept = [x for x in v if x not in seen]
+        assert (got[k].text, got[k].n_removed) == ("\n".join(kept), len(v) - len(kept))
+        seen.update(v)
+
+
 def slow_spans(texts):
     seen, out = {}, {}
     for k in sorted(texts):
