@@ -196,7 +196,8 @@ def language_id(docs: DataFrame, model: CrossParser | None = None, id_col: str =
 
 
 def keep_identified(docs: DataFrame, model: CrossParser | None = None, text_col: str = "text") -> DataFrame:
-    """``docs``, all columns as they are, without the rows whose language is ``und``."""
+    """``docs``, all columns as they are, without the rows whose language is ``und``. A model without languages
+    (no labelled row to learn from) names none, so then only rows without a letter go."""
     model = model or fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
@@ -204,7 +205,11 @@ def keep_identified(docs: DataFrame, model: CrossParser | None = None, text_col:
     def run(batches):
         for batch in batches:
             for part in _by_size(batch, at):
-                langs, _ = shared.value.predict(part.column(at).to_pylist())
+                texts = part.column(at).to_pylist()
+                if not shared.value.langs:
+                    yield part.filter(pa.array([bool(t) and has_letter(t) for t in texts], pa.bool_()))
+                    continue
+                langs, _ = shared.value.predict(texts)
                 yield part.filter(pa.array([x != "und" for x in langs]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -314,6 +314,11 @@ def test_language_id(spark, docs, texts, none):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k in texts if k not in (14, 15)} | {None}
 
 
+def test_keep_identified_without_a_labelled_row(spark):
+    df = spark.createDataFrame([(1, "some words", None), (2, "", None), (3, None, None), (4, "12 !", None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in langid.keep_identified(df).collect()] == [1]
+
+
 def test_language_id_is_right_on_held_out_rows(spark, sf):
     rows = QUERIES["op6_langid"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) >= 0.97
