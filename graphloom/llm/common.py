@@ -10,6 +10,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import write_table
+
+#: A key with more than one in so many of the rows counted is hot; there are fewer of them than this.
+HOT_ONE_IN = 10_000
+HOT_LEAST = 500
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,6 +26,34 @@ def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def several_texts(rows: DataFrame) -> DataFrame:
+    """__several: the doc_ids of ``rows`` (doc_id, text) that stand at different texts; usually none, so that Spark broadcasts it."""
+    token = F.xxhash64("text")
+    found = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(token).alias("lo"), F.max(token).alias("hi")).where("lo <> hi")
+    return write_table(found.select(F.col("doc_id").alias("__several")), "several-texts")
+
+
+def with_version(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text) with ``v``: 0, or where a doc_id stands at different texts the hash of the text. The key of a
+    document is (doc_id, v): rows that repeat both id and text are one document given twice."""
+    several = several_texts(rows)
+    v = F.when(F.col("__several").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0))
+    return rows.join(several, F.col("doc_id") == F.col("__several"), "left").select("doc_id", "text", v.cast("long").alias("v"))
+
+
+def join_by_count(rows: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined to ``counted``, a written table with one row a key and ``n``, the rows of that key.
+
+    Keys with more than one in HOT_ONE_IN of all rows, fewer than HOT_ONE_IN keys, are broadcast and their rows stay where
+    they are; the others meet by a shuffle, in which no key is hot.
+    """
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    most = max(HOT_LEAST, total // HOT_ONE_IN)
+    hot = F.broadcast(counted.where(F.col("n") > most))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(counted.where(F.col("n") <= most), keys)
+    return rows.join(hot, keys).select(*cold.columns).unionByName(cold)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict] | dict | None], schema: str) -> DataFrame:
     """``fn`` turns a batch of rows into columns by name (or several such batches)."""
     from pyspark.sql.pandas.types import to_arrow_schema

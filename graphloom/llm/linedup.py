@@ -4,18 +4,19 @@ Chunks overlap, so whether one is found depends on its own two lines alone, and
 stands in an earlier place is covered whole. A chunk that occurs elsewhere is removed, after a comparison of the bytes,
 everywhere but at its first occurrence (smallest doc_id, then smallest line). Each line that goes stands in an earlier
 place, so one copy of it always stays.
+
+A document is an id with its text: rows with one id and different texts are different documents.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import write_table
-from .common import id_text, map_batches, pieces
+from .common import id_text, join_by_count, map_batches, pieces, several_texts, with_version
 
 MIN_LINES = 2
 
@@ -26,53 +27,65 @@ def chunks_of(text: str, min_lines: int = MIN_LINES) -> list[tuple[int, int, byt
     return [(a, min_lines, b"\n".join(lines[a : a + min_lines])) for a in range(len(lines) - min_lines + 1)]
 
 
-def _chunk_rows(batch: pa.RecordBatch):
+def _chunk_rows(batch: pa.RecordBatch, digest_of):
     for part in pieces(batch):
-        out: dict[str, list] = {k: [] for k in ("h1", "h2", "doc_id", "line", "n_lines")}
-        for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+        out: dict[str, list] = {k: [] for k in ("h1", "h2", "doc_id", "v", "line")}
+        for d, t, v in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "v")), strict=True):
             if d is None or not t or "\n" not in t:
                 continue
-            for at, n, body in chunks_of(t):
-                digest = xxhash.xxh3_128_digest(body)
+            for at, _, body in chunks_of(t):
+                digest = digest_of(body)
                 out["h1"].append(int.from_bytes(digest[:8], "little", signed=True))
                 out["h2"].append(int.from_bytes(digest[8:], "little", signed=True))
                 out["doc_id"].append(d)
+                out["v"].append(v)
                 out["line"].append(at)
-                out["n_lines"].append(n)
         yield out
 
 
-def _wanted_text(batch: pa.RecordBatch):
+def _bodies(batch: pa.RecordBatch):
     for part in pieces(batch):
-        out: dict[str, list] = {k: [] for k in ("h1", "h2", "doc_id", "line", "n_lines", "first", "body")}
-        for d, t, wanted in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "wanted")), strict=True):
+        out: dict[str, list] = {k: [] for k in ("h1", "h2", "doc_id", "v", "line", "body")}
+        for d, t, v, wanted in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "v", "wanted")), strict=True):
             lines = t.encode("utf-8", "surrogatepass").split(b"\n")
             for w in wanted:
-                for k in ("h1", "h2", "line", "n_lines", "first"):
+                for k in ("h1", "h2", "line"):
                     out[k].append(w[k])
                 out["doc_id"].append(d)
-                out["body"].append(b"\n".join(lines[w["line"] : w["line"] + w["n_lines"]]))
+                out["v"].append(v)
+                out["body"].append(b"\n".join(lines[w["line"] : w["line"] + MIN_LINES]))
         yield out
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line, n_lines of every chunk that goes: its bytes stand in an earlier place as well."""
-    rows = id_text(docs, id_col, text_col)
-    chunks = write_table(map_batches(rows, _chunk_rows, "h1 long, h2 long, doc_id long, line int, n_lines int"), "line-chunks").dropDuplicates(["doc_id", "line", "h1", "h2"])
-    place = F.struct("doc_id", "line")
-    firsts = chunks.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "at")
-    occurrences = chunks.join(firsts, ["h1", "h2"]).select("h1", "h2", "doc_id", "line", "n_lines", (place == F.col("at")).alias("first"))
-    wanted = occurrences.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2", "line", "n_lines", "first")).alias("wanted"))
-    bodies = write_table(map_batches(rows.where("text is not null").join(wanted, "doc_id"), _wanted_text, "h1 long, h2 long, doc_id long, line int, n_lines int, first boolean, body binary"), "line-bodies")
-    kept = bodies.where("first").select("h1", "h2", F.col("body").alias("kept")).dropDuplicates(["h1", "h2"])
-    return bodies.where("not first").join(kept, ["h1", "h2"]).where("body = kept").select("doc_id", "line", "n_lines").distinct()
+def repeated_chunks(rows: DataFrame, digest=xxhash.xxh3_128_digest) -> DataFrame:
+    """doc_id, v, line of every chunk of ``rows`` (doc_id, text, v) that goes: its bytes stand in an earlier place as well.
+    ``digest`` (16 bytes) only brings equal chunks together; the bytes decide."""
+    chunks = write_table(map_batches(rows, lambda batch: _chunk_rows(batch, digest), "h1 long, h2 long, doc_id long, v long, line int"), "line-chunks")
+    place = F.struct("doc_id", "v", "line")
+    repeats = write_table(chunks.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count("*").alias("n")).where("n > 1"), "line-repeats")
+    found = write_table(join_by_count(chunks, repeats, ["h1", "h2"]).select("h1", "h2", "doc_id", "v", "line", (place == F.col("at")).alias("first")), "line-occurrences")
+
+    def bodies(occurrences: DataFrame) -> DataFrame:
+        wanted = occurrences.groupBy("doc_id", "v").agg(F.collect_set(F.struct("h1", "h2", "line")).alias("wanted"))
+        return map_batches(rows.join(wanted, ["doc_id", "v"]), _bodies, "h1 long, h2 long, doc_id long, v long, line int, body binary")
 
+    # one row a digest leaves each task, however many places hold it
+    spread = bodies(found).groupBy("h1", "h2").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo <> hi")
+    unequal = write_table(spread.select("h1", "h2"), "line-unequal")
+    gone = found.where("not first").select("h1", "h2", "doc_id", "v", "line")
+    if not unequal.isEmpty():  # one digest, different bytes: there the bytes themselves are the key
+        held = write_table(bodies(found.join(unequal, ["h1", "h2"], "left_semi")), "line-bodies")
+        first = held.groupBy("h1", "h2", "body").agg(F.min(place).alias("at"))
+        again = held.join(first, ["h1", "h2", "body"]).where(place != F.col("at")).select("h1", "h2", "doc_id", "v", "line")
+        gone = gone.join(unequal, ["h1", "h2"], "left_anti").unionByName(again)
+    return gone.select("doc_id", "v", "line").distinct()
 
-def lines_of(gone: list) -> set[int]:
-    return {k for g in gone for k in range(g["line"], g["line"] + g["n_lines"])}
 
+def lines_of(gone: list[int]) -> set[int]:
+    return {k for at in gone for k in range(at, at + MIN_LINES)}
 
-def without_lines(text: str, gone: list) -> str:
+
+def without_lines(text: str, gone: list[int]) -> str:
     drop = lines_of(gone)
     return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop)
 
@@ -81,11 +94,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, text without repeated chunks, n_removed (lines), removed [(line, n_lines)], which overlap, for every row.
 
     Null text stays null; a text of one line has no chunk and stays whole; a document all of whose
-    chunks stand elsewhere becomes empty. A row with a null id stays as it is and takes no part. Rows that repeat a
-    doc_id are one document. Lines are split at \\n only and compared as bytes. Other columns are not read.
+    chunks stand elsewhere becomes empty. A row with a null id stays as it is and takes no part. Rows with one id and
+    different texts are different documents, in the order of the hash of their texts, and a chunk that only one of them
+    holds stays; rows that repeat both id and text are one document and give the same result. Lines are split at \\n
+    only and compared as bytes. Other columns are not read.
     """
-    gone = repeated_chunks(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("line", "n_lines")).alias("gone"))
-    joined = id_text(docs, id_col, text_col).join(gone, "doc_id", "left")
+    rows = with_version(id_text(docs, id_col, text_col))
+    gone = repeated_chunks(rows).groupBy("doc_id", "v").agg(F.sort_array(F.collect_list("line")).alias("gone"))
+    joined = rows.join(gone, ["doc_id", "v"], "left").select("doc_id", "text", "gone")
 
     def run(batch: pa.RecordBatch):
         for part in pieces(batch):
@@ -94,7 +110,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 "doc_id": part.column("doc_id"),
                 "text": [without_lines(t, g) if g and t is not None else t for t, g in zip(texts, gone, strict=True)],
                 "n_removed": [len(lines_of(g or ())) for g in gone],
-                "removed": [sorted(g or (), key=lambda x: x["line"]) for g in gone],
+                "removed": [[{"line": at, "n_lines": MIN_LINES} for at in g or ()] for g in gone],
             }
 
     return map_batches(joined, run, "doc_id long, text string, n_removed int, removed array<struct<line:int,n_lines:int>>")
@@ -102,9 +118,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def replace_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """``docs`` with all their columns; the text lacks its repeated chunks and ``chars_col``, where there is one, is counted anew.
-    A document of which nothing is left, as all of it stands in earlier ones, goes; one that was empty before stays."""
-    gone = repeated_chunks(docs, id_col, text_col).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("line", "n_lines")).alias("__gone"))
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left").select(*[docs[c] for c in docs.columns], "__gone")
+    A document of which nothing is left, as all of it stands in earlier ones, goes; one that was empty before stays.
+    Documents are told apart as in ``dedup_lines``."""
+    rows = id_text(docs, id_col, text_col)
+    several = several_texts(rows)
+    v = F.when(F.col("__several").isNotNull(), F.xxhash64(F.col(text_col).cast("string"))).otherwise(F.lit(0)).cast("long")
+    marked = docs.join(several, F.col(id_col).cast("long") == F.col("__several"), "left").select(*[docs[c] for c in docs.columns], v.alias("__version"))
+    keyed = marked.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col("__version").alias("v"))
+    gone = repeated_chunks(keyed).groupBy(F.col("doc_id").alias("__id"), F.col("v").alias("__v")).agg(F.collect_list("line").alias("__gone"))
+    joined = marked.join(gone, (marked[id_col].cast("long") == F.col("__id")) & (F.col("__version") == F.col("__v")), "left").select(*[marked[c] for c in docs.columns], "__gone")
     text_at, schema = docs.columns.index(text_col), docs.schema
     chars_at = docs.columns.index(chars_col) if chars_col in docs.columns else None
 

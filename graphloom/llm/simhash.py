@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import drop_table, write_table
-from .common import P, WordHashes, id_text, map_batches, mixed, pieces, shingle_hashes
+from .common import P, WordHashes, id_text, join_by_count, map_batches, mixed, pieces, shingle_hashes
 
 RADIUS = 4
 BLOCKS = 6
@@ -228,15 +228,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     it is never a group's id. Other columns are not read; an empty table gives no rows.
     """
     prints = write_table(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))  # copies meet here, before anything is paired
+    distinct = write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")  # copies meet here, before anything is paired
     linked = components(fingerprint_links(distinct.select("fp"), radius))
-    # a component's name in terms of fingerprints, for those with a link; the rest are their own
-    nodes = linked.union(linked.select("component", "component").distinct())
-    named = distinct.join(nodes, distinct.fp == nodes.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
-    ids = named.groupBy("c").agg(F.min("least").alias("component_id"))
-    of = named.join(ids, "c").select("fp", "component_id")
+    named = named_groups(distinct.withColumnRenamed("fp", "node"), linked)
+    of = write_table(distinct.join(named.select(F.col("node").alias("fp"), F.col("least").alias("component_id")), "fp").select("fp", "component_id", "n"), "named-fingerprints")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(of, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return join_by_count(prints, of, ["fp"]).select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def named_groups(distinct: DataFrame, linked: DataFrame) -> DataFrame:
+    """node, least for every row of ``distinct`` (node, least): the smallest ``least`` of its component in ``linked``
+    (node, component), where a component's own name may be left out; nodes without a link keep their own."""
+    nodes = write_table(linked.union(linked.select("component", "component")).distinct(), "members")
+    least = nodes.join(distinct.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("least"), F.count("*").alias("n"))
+    joined = join_by_count(nodes, write_table(least, "groups"), ["component"]).select("node", "least")
+    return joined.unionByName(distinct.join(nodes, "node", "left_anti").select("node", "least"))
 
 
 def _signatures(batch: pa.RecordBatch):
@@ -287,15 +293,18 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def similar_groups(rows: DataFrame) -> DataFrame:
-    """doc_id, tk, component_id for every row of ``rows`` (doc_id, text, tk): tk tells rows of one id apart.
+    """doc_id, tk, n (rows), least for every distinct (doc_id, tk) of ``rows`` (doc_id, text, tk): ``least`` (no_id, doc_id,
+    tk) is the document of the group that comes first, those without an id last.
 
     Texts whose shingle sets have a Jaccard similarity of ``COPY_SIMILARITY`` or more are linked; equal sets are one
-    node. Sets that share a band are candidates, and each link is verified on the whole sets. While a band has many pairs, its members are first
-    compared with a few hubs each; at the end all pairs of a band that are not yet connected are, and none is left out.
+    node. Sets that share a band are candidates, and each link is verified on the whole sets. While a band has many pairs,
+    its members are first compared with a few hubs each; at the end all pairs of a band that are not yet connected are,
+    and none is left out.
     """
     signed = write_table(map_batches(rows, _signatures, "doc_id long, tk long, node long, n int, bands array<long>"), "signatures")
-    distinct = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tk")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    keyed = distinct.select("node", "least", "row", "n", F.explode("bands").alias("key"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk")
+    distinct = signed.groupBy("node").agg(F.min(row).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    keyed = distinct.select("node", "row", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").count().where("count > 1").select("key")
     bands = write_table(keyed.join(shared, "key"), "bands")
     wanted = bands.select("node", F.col("row.doc_id").alias("id"), F.col("row.tk").alias("tk")).distinct()
@@ -335,18 +344,29 @@ def similar_groups(rows: DataFrame) -> DataFrame:
             break
     if linked is None:
         linked = bands.select(F.col("node"), F.col("node").alias("component")).where("false")
-    named = distinct.select("node", "least").join(linked, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c"))
-    ids = named.groupBy("c").agg(F.min("least").alias("component_id"))
-    return signed.select("doc_id", "tk", "node").join(named.join(ids, "c").select("node", "component_id"), "node").select("doc_id", "tk", "component_id")
+    held = write_table(signed.groupBy("node", "doc_id", "tk").agg(F.count("*").alias("n")), "documents")
+    per_node = held.groupBy("node").agg(F.min(row).alias("least"), F.count("*").alias("n"))
+    of = write_table(per_node.select("node", "n").join(named_groups(per_node.select("node", "least"), linked), "node"), "named-sets")
+    return join_by_count(held.withColumnRenamed("n", "rows"), of, ["node"]).select("doc_id", "tk", "rows", "least")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns as they are: of each group of near copies only the document with the smallest id stays.
+    """``docs``, all columns as they are: of each group of near copies one row stays, of the document with the smallest id.
 
     Near copies share ``COPY_SIMILARITY`` of their runs of ``COPY_WORDS`` words (Jaccard). Null and empty texts, and
-    those without a word, are copies of one another. A row with a null id goes where its group has an id.
+    those without a word, are copies of one another. Rows with one id and different texts are different documents, in
+    the order of the hash of their texts; those with a null id come last in a group. Of rows that repeat both id and
+    text the one whose columns have the smallest hash stays.
     """
-    text = F.xxhash64(F.col(text_col).cast("string"))
-    groups = similar_groups(id_text(docs, id_col, text_col).withColumn("tk", F.xxhash64("text")))
-    gone = groups.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (text == F.col("__tk")), "left_anti")
+    token, number = F.xxhash64(F.col(text_col).cast("string")), F.col(id_col).cast("long")
+    groups = write_table(similar_groups(id_text(docs, id_col, text_col).withColumn("tk", F.xxhash64("text"))), "near-copies")
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("tk") == F.col("least.tk"))
+    key = [F.col("doc_id").alias("__id"), F.col("tk").alias("__tk")]
+    same = number.eqNullSafe(F.col("__id")) & (token == F.col("__tk"))
+    twice = write_table(groups.where(stays & (F.col("rows") > 1)).select(*key), "repeated-rows")
+    out = docs.join(groups.where(~stays | (F.col("rows") > 1)).select(*key), same, "left_anti")
+    if twice.isEmpty():
+        return out
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("__row")
+    one = docs.join(twice, same).select("__id", "__tk", row).groupBy("__id", "__tk").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
+    return out.unionByName(one.select("__row.*"))

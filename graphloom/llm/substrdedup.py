@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_batches, pieces
+from .common import id_text, map_batches, pieces, with_version
 
 #: Chunks have more than REACH bytes, and 2 * REACH + 1 on average.
 REACH = 16
@@ -69,36 +69,42 @@ def boundaries(raw: bytes, reach: int = REACH) -> list[int]:
 def _chunk_rows(batch: pa.RecordBatch):
     digest = xxhash.xxh3_64_digest
     for part in pieces(batch, 256):
-        ids, rows, starts, sizes, prints = [], [], [], [], []
-        for r, (d, t) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)):
+        ids, versions, rows, starts, sizes, prints = [], [], [], [], [], []
+        for r, (d, t, v) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "v")), strict=True)):
             if d is None or not t:
                 continue
             raw = t.encode("utf-8", "surrogatepass")
             ends = boundaries(raw)
             begin = [0, *ends[:-1]]
             ids += [d] * len(ends)
+            versions += [v] * len(ends)
             rows += [r] * len(ends)
             starts += begin
             sizes += [z - a for a, z in zip(begin, ends, strict=True)]
             prints += [digest(raw[a:z]) for a, z in zip(begin, ends, strict=True)]
-        h, d = np.frombuffer(b"".join(prints), np.int64), np.array(ids, np.int64)
-        again = np.ones(len(h), bool)  # stands earlier in the same row: rows that repeat a doc_id are one document, not two
+        h = np.frombuffer(b"".join(prints), np.int64)
+        again = np.ones(len(h), bool)  # stands earlier in the same row
         again[np.unique(np.rec.fromarrays([np.array(rows, np.int64), h]), return_index=True)[1]] = False
-        yield {"h": pa.array(h), "doc_id": pa.array(d), "start": pa.array(starts, pa.int32()), "size": pa.array(sizes, pa.int32()), "again": pa.array(again)}
+        yield {"h": pa.array(h), "doc_id": pa.array(ids, pa.int64()), "v": pa.array(versions, pa.int64()), "start": pa.array(starts, pa.int32()), "size": pa.array(sizes, pa.int32()), "again": pa.array(again)}
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
-    """doc_id, spans [(start, size)] in bytes: runs of chunks that stand in an earlier place as well."""
-    chunks = map_batches(id_text(docs, id_col, text_col), _chunk_rows, "h long, doc_id long, start int, size int, again boolean")
-    once = chunks.where("not again").drop("again")
+def repeated_spans(rows: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+    """doc_id, v, spans [(start, size)] in bytes of ``rows`` (doc_id, text, v): runs of chunks that stand in an earlier place as well."""
+    schema = "h long, doc_id long, v long, start int, size int, again boolean"
+    chunks = map_batches(rows, _chunk_rows, schema)
+    once = chunks.where("not again")
     firsts = once.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("h", "least")
-    later = chunks.join(firsts, "h", "left").where("again or doc_id > least").select("doc_id", "start", "size")
-    spans = later.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("chunks"))
+    later = chunks.join(firsts, "h", "left").where("again or doc_id > least").select("doc_id", "v", "start", "size")
+    # different texts of one id, which are few: the one whose hash is least comes first
+    versions = map_batches(rows.where("v <> 0"), _chunk_rows, schema).where("not again")
+    first = versions.groupBy("h", "doc_id").agg(F.min("v").alias("v0"))
+    later = later.unionByName(versions.join(first, ["h", "doc_id"]).where("v > v0").select("doc_id", "v", "start", "size"))
+    spans = later.groupBy("doc_id", "v").agg(F.collect_list(F.struct("start", "size")).alias("chunks"))
 
     def run(batch: pa.RecordBatch):
         for part in pieces(batch):
             out = []
-            for d, chunks in zip(part.column("doc_id").to_pylist(), part.column("chunks").to_pylist(), strict=True):
+            for d, v, chunks in zip(*(part.column(c).to_pylist() for c in ("doc_id", "v", "chunks")), strict=True):
                 runs: list[list[int]] = []
                 for a, n in sorted({(c["start"], c["size"]) for c in chunks}):
                     if runs and runs[-1][1] == a:
@@ -106,10 +112,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     else:
                         runs.append([a, a + n])
                 if kept := [{"start": a, "size": z - a} for a, z in runs if z - a >= min_run]:
-                    out.append((d, kept))
-            yield {"doc_id": [d for d, _ in out], "spans": [s for _, s in out]}
+                    out.append((d, v, kept))
+            yield {"doc_id": [d for d, _, _ in out], "v": [v for _, v, _ in out], "spans": [s for _, _, s in out]}
 
-    return map_batches(spans, run, "doc_id long, spans array<struct<start:int,size:int>>")
+    return map_batches(spans, run, "doc_id long, v long, spans array<struct<start:int,size:int>>")
 
 
 def without_spans(raw: bytes, spans: list) -> bytes:
@@ -124,10 +130,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """doc_id, text without its repeated passages, n_removed (bytes), spans [(start, size)] for every row.
 
     Null text stays null, with nothing removed; an empty text stays empty; an exact copy of an earlier document becomes
-    empty (where it has MIN_RUN bytes). Within a document, later repeats go too. Rows that repeat a doc_id are one
-    document; a row with a null id stays as it is and takes no part. Other columns are not read.
+    empty (where it has MIN_RUN bytes). Within a document, later repeats go too. Rows with one id and different texts are
+    different documents, in the order of the hash of their texts, and what only one of them holds stays; rows that repeat
+    both id and text are one document and give the same result. A row with a null id stays as it is and takes no part.
+    Other columns are not read.
     """
-    joined = id_text(docs, id_col, text_col).join(repeated_spans(docs, id_col, text_col, min_run), "doc_id", "left")
+    rows = with_version(id_text(docs, id_col, text_col))
+    joined = rows.join(repeated_spans(rows, min_run), ["doc_id", "v"], "left").select("doc_id", "text", "spans")
 
     def run(batch: pa.RecordBatch):
         for part in pieces(batch):
