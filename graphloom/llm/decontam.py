@@ -1,15 +1,15 @@
 """Benchmark decontamination with SimHash over item-sized windows.
 
-For an item of n words, every window of n words of a document has a SimHash over its word shingles. Multi-index
-Hamming blocks find all items whose fingerprint is within the radius, and the exact weighted-shingle similarity
-(shared shingles, repeats included, over the item's shingles) verifies the candidates. Windows that share too few
-shingles with an item to reach the similarity cannot pass and are not fingerprinted; this drops no match.
+For an item of n words, each window of n words of a document has a SimHash over its word shingles. Multi-index Hamming
+blocks give all items of that size whose fingerprint is within the radius, and the exact weighted-shingle similarity
+(shared shingles, repeats included, over the item's shingles) verifies these candidates. A window in which fewer
+shingles stand in any item at all than the similarity needs cannot pass against one, whichever it is; it gets no
+fingerprint, which drops no match.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,11 @@ SIMILARITY = 0.8
 #: Cosine 0.8 turns 13 of 64 bits on average; 24 leaves more than three standard deviations.
 RADIUS = 24
 BLOCKS = 8
-#: Items held by one task at once; more are taken in turns, each broadcast on its own.
-ITEMS_AT_ONCE = 20_000
+#: Items held by one task at once, by number and by bytes; more are taken in turns, each broadcast on its own.
+ITEMS_AT_ONCE = 10_000
+BYTES_AT_ONCE = 16_000_000
+#: Windows fingerprinted at once.
+WINDOWS = 4096
 
 WORDS = re.compile(rb"[0-9A-Za-z_\x80-\xff]+").findall
 
@@ -37,132 +40,109 @@ def bit_signs(h: np.ndarray) -> np.ndarray:
     return 2 * np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) - 1
 
 
+def window_prints(h: np.ndarray, size: int) -> np.ndarray:
+    """SimHash of every window of ``size`` shingles, by rolling sums of the bits."""
+    sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bit_signs(mixed(h)), axis=0, dtype=np.int32)])
+    return np.packbits(sums[size:] - sums[:-size] > 0, axis=1, bitorder="little").view(np.uint64).reshape(-1)
+
+
+class BlockIndex:
+    """Fingerprints by the values of their blocks. Two within ``radius`` bits differ in at most radius // blocks bits of
+    some block; ``table[b][value]`` marks the fingerprints for which that holds in block b."""
+
+    def __init__(self, prints: np.ndarray, radius: int, blocks: int = BLOCKS):
+        self.prints, self.radius, self.width = prints, radius, 64 // blocks
+        values = np.arange(1 << self.width, dtype=np.uint64)
+        self.table = [np.bitwise_count(values[:, None] ^ self._block(prints, b)[None, :]) <= radius // blocks for b in range(blocks)]
+
+    def _block(self, prints: np.ndarray, b: int) -> np.ndarray:
+        return prints >> np.uint64(b * self.width) & np.uint64((1 << self.width) - 1)
+
+    def near(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(asked, held) places of all pairs within the radius."""
+        found = np.zeros((len(asked), len(self.prints)), bool)
+        for b, table in enumerate(self.table):
+            found |= table[self._block(asked, b).astype(np.int64)]
+        a, i = np.nonzero(found)
+        ok = np.bitwise_count(asked[a] ^ self.prints[i]) <= self.radius
+        return a[ok], i[ok]
+
+
 class Items:
-    """The benchmark: per item its shingles with counts and its fingerprint, and the block index over fingerprints."""
+    """The benchmark: per item its shingles with counts, and per size (words) the block index over the fingerprints."""
 
-    def __init__(self, rows: list[tuple[int, str]], similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS):
-        self.similarity, self.radius, self.blocks = similarity, radius, blocks
+    def __init__(self, rows: list[tuple[int, str]], similarity: float = SIMILARITY, radius: int = RADIUS):
+        self.similarity = similarity
         hashes = WordHashes()
-        self.ids, self.words, prints = [], [], []
-        keys, owners, counts = [], [], []
+        self.ids, self.shingles = [], []
+        by_size: dict[int, list[int]] = {}
         for item, text in rows:
             words = words_of(text or "")
-            if not words:
-                continue
-            h = shingle_hashes(hashes.of(words), SHINGLE)
-            k, n = np.unique(h, return_counts=True)
-            keys.append(k)
-            counts.append(n)
-            owners.append(np.full(len(k), len(self.ids)))
-            self.ids.append(item)
-            self.words.append(len(words))
-            prints.append(np.packbits(bit_signs(mixed(h)).sum(axis=0) > 0, bitorder="little").view(np.uint64)[0])
-        cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        keys, owners, counts = cat(keys, np.uint64), cat(owners, np.int64), cat(counts, np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.owners, self.counts = keys[order], owners[order], counts[order]
-        self.distinct = np.unique(self.keys)
-        # a 16-bit filter before the search among the keys
-        self.filter = np.zeros(1 << 16, bool)
-        self.filter[(self.distinct >> np.uint64(48)).astype(np.int64)] = True
-        self.total = np.bincount(self.owners, self.counts, len(self.ids)).astype(np.int64)
-        self.least = np.maximum(1, np.ceil(similarity * self.total - 1e-9)).astype(np.int64)
-        self.prints = np.array(prints, np.uint64)
-        self.short = {min(n, SHINGLE) for n in self.words}
-        width = 64 // blocks
-        reach = radius // blocks
-        self.masks = [sum(1 << b for b in bits) for n in range(reach + 1) for bits in combinations(range(width), n)]
-        self.block_index = [{} for _ in range(blocks)]
-        for i, p in enumerate(prints):
-            for b in range(blocks):
-                self.block_index[b].setdefault(int(p) >> (b * width) & ((1 << width) - 1), []).append(i)
-
-    def near(self, fp: int) -> set[int]:
-        """All items whose fingerprint is within the radius: some block differs in at most radius // blocks bits."""
-        width, found = 64 // self.blocks, set()
-        for b, index in enumerate(self.block_index):
-            value = fp >> (b * width) & ((1 << width) - 1)
-            for m in self.masks:
-                found.update(index.get(value ^ m, ()))
-        return {i for i in found if (int(self.prints[i]) ^ fp).bit_count() <= self.radius}
+            if words:
+                by_size.setdefault(len(words), []).append(len(self.ids))
+                self.ids.append(item)
+                self.shingles.append(np.unique(shingle_hashes(hashes.of(words), SHINGLE), return_counts=True))
+        #: per shingle length the shingles of all items, with a 16-bit filter before the search among them
+        self.known = {}
+        for n in {min(size, SHINGLE) for size in by_size}:
+            keys = np.unique(np.concatenate([self.shingles[i][0] for size, of in by_size.items() if min(size, SHINGLE) == n for i in of]))
+            quick = np.zeros(1 << 16, bool)
+            quick[(keys >> np.uint64(48)).astype(np.int64)] = True
+            self.known[n] = keys, quick
+        self.sizes = []
+        for size, of in sorted(by_size.items()):
+            n = min(size, SHINGLE)
+            total = size - n + 1
+            prints = [np.packbits(np.repeat(bit_signs(mixed(k)), c, axis=0).sum(axis=0) > 0, bitorder="little").view(np.uint64)[0] for k, c in (self.shingles[i] for i in of)]
+            self.sizes.append((n, total, max(1, int(np.ceil(similarity * total - 1e-9))), of, BlockIndex(np.array(prints, np.uint64), radius)))
 
     def matches(self, words: np.ndarray) -> list[tuple[int, int, float]]:
-        """(item, first word, similarity) of the best window of each item found among a document's word hashes."""
-        out = []
-        for n in self.short:
-            if len(words) >= n:
-                out += self._matches(words, n)
-        return out
-
-    def _matches(self, words: np.ndarray, n: int) -> list[tuple[int, int, float]]:
-        h = shingle_hashes(words, n) if len(words) >= n else words[:0]
-        at = np.flatnonzero(self.filter[(h >> np.uint64(48)).astype(np.int64)])
-        if not len(at):
-            return []
-        lo = np.searchsorted(self.keys, h[at])
-        hi = np.searchsorted(self.keys, h[at], "right")
-        at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
-        if not len(at):
-            return []
-        k = hi - lo
-        rows = np.repeat(lo - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
-        where, item = np.repeat(at, k), self.owners[rows]
-        hits = np.bincount(item, minlength=len(self.ids))
-        out = []
-        for i in np.flatnonzero(hits >= self.least).tolist():
-            if min(self.words[i], SHINGLE) != n or len(words) < self.words[i]:
+        """(item, first word, similarity) of the best window of each item found among a document's word hashes. A
+        document shorter than an item is one window."""
+        best: dict[int, tuple[int, float]] = {}
+        for n, (keys, quick) in self.known.items():
+            if len(words) < n:
+                continue
+            h = shingle_hashes(words, n)
+            at = np.flatnonzero(quick[(h >> np.uint64(48)).astype(np.int64)])
+            at = at[keys[np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)] == h[at]]
+            if not len(at):
                 continue
-            best = self._best_window(h, where[item == i], i)
-            if best:
-                out.append((self.ids[i], best[0], best[1]))
-        return out
-
-    def _best_window(self, h: np.ndarray, hits: np.ndarray, i: int) -> tuple[int, float] | None:
-        size = self.words[i] - min(self.words[i], SHINGLE) + 1  # shingles of a window
-        last = len(h) - size
-        hits = np.sort(hits)
-        # windows with enough hits: from a hit, the last window that starts there or before
-        enough = int(self.least[i])
-        if len(hits) < enough:
-            return None
-        reach = hits[enough - 1 :] - hits[: len(hits) - enough + 1] < size
-        if not reach.any():
-            return None
-        starts = np.unique(np.concatenate([np.arange(max(0, z - size + 1), min(a, last) + 1) for a, z in zip(hits[: len(hits) - enough + 1][reach], hits[enough - 1 :][reach], strict=True)]))
-        if not len(starts):
-            return None
-        mine = self.owners == i
-        key, count = self.keys[mine], self.counts[mine]
-        order = np.argsort(key)
-        key, count = key[order], count[order]
-        best = None
-        for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-            for at in range(0, len(run), 4096):
-                part = run[at : at + 4096]
-                lo, hi = part[0], part[-1] + size
-                sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bit_signs(mixed(h[lo:hi])), axis=0)])
-                fps = np.packbits(sums[size:] - sums[:-size] > 0, axis=1, bitorder="little").view(np.uint64).reshape(-1)
-                spot = np.minimum(np.searchsorted(key, h[lo:hi]), len(key) - 1)
-                of = np.where(key[spot] == h[lo:hi], spot, -1)
-                for w, fp in enumerate(fps.tolist()):
-                    if i not in self.near(fp):
-                        continue
-                    seen = of[w : w + size]
-                    shared = int(np.minimum(np.bincount(seen[seen >= 0], minlength=len(key)), count).sum())
-                    sim = shared / int(self.total[i])
-                    if sim >= self.similarity - 1e-12 and (best is None or sim > best[1]):
-                        best = (int(lo) + w, sim)
-        return best
+            before = np.zeros(len(h) + 1, np.int64)  # known shingles before each place
+            before[at + 1] = 1
+            np.cumsum(before, out=before)
+            for k, total, least, of, index in self.sizes:
+                if k == n and len(at) >= least:
+                    self._search(h, before, min(total, len(h)), total, least, of, index, best)
+        return [(self.ids[i], at, sim) for i, (at, sim) in sorted(best.items())]
+
+    def _search(self, h, before, size, total, least, of, index, best) -> None:
+        starts = np.flatnonzero(before[size:] - before[:-size] >= least)
+        for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1) if len(starts) else ():
+            for lo in range(0, len(run), WINDOWS):
+                first, last = int(run[lo]), int(run[min(lo + WINDOWS, len(run)) - 1])
+                part = h[first : last + size]
+                windows, near = index.near(window_prints(part, size))
+                for j in np.unique(near).tolist():
+                    key, count = self.shingles[of[j]]
+                    spot = np.minimum(np.searchsorted(key, part), len(key) - 1)
+                    spot = np.where(key[spot] == part, spot, len(key))
+                    for w in windows[near == j].tolist():
+                        shared = int(np.minimum(np.bincount(spot[w : w + size], minlength=len(key) + 1)[:-1], count).sum())
+                        if shared >= least and shared / total > best.get(of[j], (0, 0.0))[1]:
+                            best[of[j]] = (first + w, shared / total)
 
 
 def load_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
     """The items in portions of a checked number, so that what is broadcast at once is bounded."""
     held: list[tuple[int, str]] = []
+    size = 0
     for row in benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null").orderBy("i", "t").toLocalIterator():
-        held.append((row.i, row.t))
-        if len(held) == ITEMS_AT_ONCE:
+        if held and (len(held) == ITEMS_AT_ONCE or size + len(row.t) > BYTES_AT_ONCE):
             yield Items(held)
-            held = []
+            held, size = [], 0
+        held.append((row.i, row.t))
+        size += len(row.t)
     if held:
         yield Items(held)
 
@@ -173,9 +153,9 @@ _hashes = WordHashes()
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, first_word, similarity: for each document and item found in it, its best window (first of equals).
 
-    Words are runs of letters, digits and _, in lower case. Null and empty texts and items match nothing; an item or
-    text under five words is one shingle; equal items are all reported; repeated rows give repeated results; a null id
-    stays null; empty tables give no rows; other columns are not read.
+    Words are runs of letters, digits and _, in lower case. Null and empty texts and items match nothing; an item under
+    five words is one shingle of so many; a text shorter than an item is one window; equal items are all reported;
+    repeated rows give repeated results; a null id stays null; empty tables give no rows; other columns are not read.
     """
     rows = id_text(docs, id_col, text_col)
     schema = "doc_id long, item_id long, first_word int, similarity double"
