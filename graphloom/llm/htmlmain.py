@@ -1,8 +1,12 @@
 """Main text of web pages by consensus host paths.
 
-Each page scores its containers; the best one's path of tags and classes, digits generalised, is a vote. Votes are
-counted per host in Spark, and every page is extracted again at its host's winning path (a page that lacks that path
-uses its own best container).
+Each page scores its containers; the path of tags and classes, digits generalised, of the one that holds its text is a
+vote. Votes are counted per host in Spark, and every page is extracted again at its host's winning path (a page that
+lacks that path uses its own vote).
+
+What goes from inside of the chosen container is only what is marked as menu, header, footer, sidebar, notice, advert,
+form, script, style or comments. Words that may name such a thing or a part of an article ("related", "banner") lower a
+container's score, and what they mark goes only if most of its text is links.
 """
 
 from __future__ import annotations
@@ -22,39 +26,54 @@ ATTRS = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 
 #: Element names by kind, and words that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg canvas object select textarea button math head title audio video".split())
+RAW = frozenset("script style noscript template iframe svg canvas object select textarea head title audio video".split())
 JUNK_TAGS = frozenset("nav aside footer form menu dialog".split())
 CONTAINERS = frozenset("article main section div td body blockquote ul ol table tbody tr dl figure details center header footer nav aside form menu dialog fieldset html".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address figcaption hr th thead tfoot caption summary hgroup legend".split())
-JUNK_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar comment comments disqus respond cookie cookies notice notices consent gdpr popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs footer header masthead share sharing social related recommended recommendations newsletter subscribe subscription login signup search toolbar pagination pager widget widgets hidden skip alert toc".split())
-JUNK_PARTS = re.compile("comment|sidebar|advert|cookie|breadcrumb|newsletter|sponsor|popup|disqus")
-JUNK_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+JUNK_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion sidebar comment comments disqus cookie cookies notice notices consent gdpr menu menus nav navbar navigation breadcrumb breadcrumbs footer newsletter form forms".split())
+#: May stand beside a word of the above in a name of the same thing, as in comment-list or cookiebar.
+PLAIN_WORDS = frozenset("area bar block body bottom box child children container content count entry header in info inline inner item items label left line link links list main meta n note one page panel post primary right row secondary section site slot small space text thread title top unit widget wrap wrapper zone".split())
+#: May name a part of an article just as well.
+WEAK_WORDS = frozenset("alert banner header hidden login masthead modal overlay pager pagination popup recommended recommendations related respond search share sharing signup skip social subscribe subscription toc toolbar widget widgets".split())
+JUNK_ROLES = frozenset("navigation contentinfo complementary search form dialog alertdialog menu menubar".split())
 WEIGHT = {"article": 3.0, "main": 2.5, "body": 0.1, "html": 0.05}
+WEAK_WEIGHT = 0.1
+#: Text of siblings that counts as a part of the same article: a block of so many characters, few of them links.
+PROSE = 60
 
 _raw_ends = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _words = re.compile(r"[a-z]+")
 _digits = re.compile(r"\d+")
+_glued = re.compile("(" + "|".join(sorted((w for w in JUNK_WORDS if len(w) > 5), key=len, reverse=True)) + ")([a-z]*)")
+
 
+def _names_junk(token: str) -> bool:
+    """All words of a class or id name such a thing or are plain, and one does."""
+    found = False
+    for word in _words.findall(token):
+        m = _glued.fullmatch(word)
+        if word in JUNK_WORDS or m and m[2] in PLAIN_WORDS:
+            found = True
+        elif word not in PLAIN_WORDS:
+            return False
+    return found
 
-def _is_junk(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    if tag in JUNK_TAGS or tag == "header" and not in_article:
-        return True
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role") in JUNK_ROLES or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return True
+
+def _kind(tag: str, attrs: dict[str, str], in_article: bool) -> str:
+    """"junk", "weak" or ""."""
+    if tag in JUNK_TAGS or attrs.get("role") in JUNK_ROLES or tag == "header" and not in_article:
+        return "junk"
     if tag in ("html", "body", "article", "main"):
-        return False
-    for token in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
-        if token.startswith(("has-", "with-", "no-", "without-")):
-            continue
-        found = JUNK_WORDS.intersection(_words.findall(token))
-        if JUNK_PARTS.search(token) or found - {"header"} or found and not in_article:  # an article may have a header of its own
-            return True
-    return False
+        return ""
+    tokens = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()
+    if any(_names_junk(t) for t in tokens):
+        return "junk"
+    return "weak" if any(WEAK_WORDS.intersection(_words.findall(t)) for t in tokens) else ""
 
 
-def parse(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, str]]]:
-    """Blocks (container, text, characters of links) outside of junk, and containers (parent, tag, label)."""
-    nodes: list[tuple[int, str, str]] = [(-1, "", "")]
+def parse(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, str, bool]]]:
+    """Blocks (container, text, characters of links) outside of junk, and containers (parent, tag, label, weak)."""
+    nodes: list[tuple[int, str, str, bool]] = [(-1, "", "", False)]
     blocks: list[tuple[int, str, int]] = []
     stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, in junk
     buf: list[str] = []
@@ -100,7 +119,7 @@ def parse(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, s
             close = _raw_ends[name].search(page, at)
             if not m[5].endswith("/"):
                 at = close.end() if close else n if name in ("script", "style") else at
-            if name not in ("svg", "math", "button", "select", "object"):
+            if name not in ("svg", "select", "object"):
                 flush()
             continue
         if name == "br":
@@ -120,59 +139,97 @@ def parse(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, s
         if name in CONTAINERS:
             attrs = {a.lower(): b or c or d or "" for a, b, c, d in ATTRS.findall(m[5])} if m[5].strip() else {}
             if not junk:
-                junk = _is_junk(name, attrs, articles > 0)
+                kind = _kind(name, attrs, articles > 0)
+                junk = kind == "junk"
                 label = f"{name}.{_digits.sub('N', (attrs.get('class', '').split() or [''])[0])}" if attrs.get("class") else name
-                nodes.append((node, "main" if attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody" else name, label))
+                nodes.append((node, "main" if attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody" else name, label, kind == "weak"))
                 node = len(nodes) - 1
             articles += name in ("article", "main")
         elif not junk and m[5].strip():
-            junk = _is_junk(name, {a.lower(): b or c or d or "" for a, b, c, d in ATTRS.findall(m[5])}, articles > 0)
+            junk = _kind(name, {a.lower(): b or c or d or "" for a, b, c, d in ATTRS.findall(m[5])}, articles > 0) == "junk"
         stack.append((name, node, junk))
     flush()
+    if any(weak for *_, weak in nodes):
+        gone = _link_lists(blocks, nodes)
+        blocks = [b for b in blocks if not gone[b[0]]]
     return blocks, nodes
 
 
-def paths(nodes: list[tuple[int, str, str]]) -> list[str]:
+def _link_lists(blocks, nodes) -> list[bool]:
+    """Whether a container is, or lies in, a weak one of whose text half or more is links."""
+    size, linked = [0] * len(nodes), [0] * len(nodes)
+    for node, text, links in blocks:
+        size[node] += len(text)
+        linked[node] += min(links, len(text))
+    for k in range(len(nodes) - 1, 0, -1):  # children come after their parents
+        size[nodes[k][0]] += size[k]
+        linked[nodes[k][0]] += linked[k]
+    gone = [False] * len(nodes)
+    for k in range(1, len(nodes)):
+        gone[k] = gone[nodes[k][0]] or nodes[k][3] and size[k] > 0 and 2 * linked[k] >= size[k]
+    return gone
+
+
+def paths(nodes: list[tuple[int, str, str, bool]]) -> list[str]:
     """Generalised path of each container, from below html and body."""
     out = [""] * len(nodes)
-    for k, (parent, tag, label) in enumerate(nodes):
+    for k, (parent, tag, label, _) in enumerate(nodes):
         if k:
             out[k] = out[parent] if tag in ("html", "body") else f"{out[parent]}>{label}"
     return out
 
 
-def best_container(blocks: list[tuple[int, str, int]], nodes: list[tuple[int, str, str]]) -> tuple[int, float]:
+def best_container(blocks: list[tuple[int, str, int]], nodes: list[tuple[int, str, str, bool]]) -> tuple[int, float]:
+    """The container with the highest score; from there up to the article around it or, without one, to where the
+    sibling containers hold no more prose."""
     score = [0.0] * len(nodes)
+    prose = [0] * len(nodes)
     for node, text, links in blocks:
         worth = len(text) - 2 * min(links, len(text))
         score[node] += worth
         if nodes[node][0] >= 0:
             score[nodes[node][0]] += worth / 2
-    weighed = [s * WEIGHT.get(nodes[k][1], 1.0) for k, s in enumerate(score)]
+        prose[node] += len(text) >= PROSE and 4 * links < len(text)
+    for k in range(len(nodes) - 1, 0, -1):
+        prose[nodes[k][0]] += prose[k]
+    weighed = [s * WEIGHT.get(nodes[k][1], 1.0) * (WEAK_WEIGHT if nodes[k][3] else 1.0) for k, s in enumerate(score)]
     best = max(range(len(nodes)), key=lambda k: (weighed[k], -k))
-    return best, max(weighed[best], 0.0)
-
-
-def vote(page: str) -> tuple[str, float]:
-    """Generalised path of the page's best container, and its score; an empty page votes for nothing."""
+    worth = max(weighed[best], 0.0)
+    above = best
+    while above > 0:
+        if nodes[above][1] in ("article", "main"):
+            return above, worth
+        above = nodes[above][0]
+    for k in range(best, 0, -1):
+        if k == best and prose[nodes[k][0]] > prose[k]:
+            best = nodes[k][0]
+    return best, worth
+
+
+def vote(page: str) -> tuple[str | None, float]:
+    """Generalised path of the page's best container ('' for the whole body), and its score; an empty page has no vote."""
     blocks, nodes = parse(page)
     if not blocks:
-        return "", 0.0
+        return None, 0.0
     best, score = best_container(blocks, nodes)
     return paths(nodes)[best], score
 
 
 def main_text(page: str | None, path: str | None) -> str:
-    """Blocks of the containers at ``path``, or else of the page's own best container, joined by newlines."""
+    """Blocks of the containers at ``path``, or else at the path of the page's own best one, joined by newlines."""
     blocks, nodes = parse(page or "")
     if not blocks:
         return ""
     own = paths(nodes)
-    chosen = {k for k in range(1, len(nodes)) if own[k] == path and nodes[k][1] not in ("html", "body")} if path else set()
-    for picked in (chosen, {best_container(blocks, nodes)[0]}):
+    body = ("", "html", "body")
+    chosen = {k for k in range(1, len(nodes)) if own[k] == path and nodes[k][1] not in body} if path else set()
+    for step in range(2):
+        if step:
+            best = best_container(blocks, nodes)[0]
+            chosen = {best} if nodes[best][1] in body else {k for k in range(1, len(nodes)) if own[k] == own[best] and nodes[k][1] not in body}
         inside = [False] * len(nodes)
         for k in range(len(nodes)):
-            inside[k] = k in picked or k > 0 and inside[nodes[k][0]]
+            inside[k] = k in chosen or k > 0 and inside[nodes[k][0]]
         if texts := [t for node, t, _ in blocks if inside[node]]:
             return "\n".join(texts)
     return ""
@@ -183,7 +240,7 @@ def host_of(url: F.Column) -> F.Column:
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path: the path with most votes, then the higher score, then first in order."""
+    """host, path: the path with most votes, then the higher score, then first in order; '' is the whole body."""
 
     def run(batch: pa.RecordBatch):
         for part in pieces(batch, 64):
@@ -191,7 +248,7 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
             yield {"host": part.column("host"), "path": [p for p, _ in votes], "score": [s for _, s in votes]}
 
     rows = pages.where(F.col(html_col).isNotNull()).select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    votes = map_batches(rows, run, "host string, path string, score double").where("path <> ''")
+    votes = map_batches(rows, run, "host string, path string, score double").where("path is not null")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
     return counted.groupBy("host").agg(F.min(F.struct(-F.col("n"), -F.round("score", 3), "path")).alias("best")).select("host", F.col("best.path").alias("path"))
 
@@ -199,7 +256,8 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every row, from the whole html.
 
-    Null and empty html, and html without text, give an empty text. A null url counts as a host of its own name ''.
+    Null and empty html, and html without text, give an empty text. A null url counts as a host of its own name ''. Pages
+    that vote alike by two paths go by the higher score, then by the path's name.
     Repeated rows give repeated results; a null id stays null; other columns are not read.
     """
     winners = write_table(host_paths(pages, url_col, html_col), "host-paths").withColumnRenamed("host", "winner_host")  # small files: Spark broadcasts them if they are
