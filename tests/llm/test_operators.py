@@ -196,19 +196,22 @@ def test_components_of_a_long_chain(spark):
 
 
 def test_decontamination_against_all_windows(spark, docs, texts, none):
-    items = {1: " ".join(texts[0].split()[10:40]), 2: " ".join(texts[18].split()[3:40]), 3: words(30, 999), 4: "", 5: None, 6: "one", 7: " ".join([*texts[5].split()[:15], "zz", *texts[5].split()[16:40]])}
+    items = {1: " ".join(texts[0].split()[10:40]), 2: " ".join(texts[18].split()[3:40]), 3: words(30, 999), 4: "", 5: None, 6: "one", 7: " ".join([*texts[5].split()[:15], "zz", *texts[5].split()[16:40]]), 8: " ".join([*texts[20].split()[8100:8190], "zz"]), 9: " ".join([*words(50, 78).split(), "tail", "end"])}
+    texts = texts | {22: words(50, 78)}
+    docs = docs.union(spark.createDataFrame([(22, texts[22], "xx", 7, "c")], SCHEMA))
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
 
+    sh = lambda v, n: Counter(tuple(v[k : k + n]) for k in range(len(v) - n + 1))
+
     def slow(text):
         w, found = decontam.words_of(text or ""), {}
         for i, t in items.items():
             iw = decontam.words_of(t or "")
-            if not iw or len(w) < len(iw):
+            if not iw:
                 continue
             n = min(5, len(iw))
-            sh = lambda v: Counter(tuple(v[k : k + n]) for k in range(len(v) - n + 1))  # noqa: E731, B023
-            s = sh(iw)
-            best = max(sum((sh(w[a : a + len(iw)]) & s).values()) / sum(s.values()) for a in range(len(w) - len(iw) + 1))
+            s = sh(iw, n)
+            best = max(sum((sh(w[a : a + len(iw)], n) & s).values()) / sum(s.values()) for a in range(max(1, len(w) - len(iw) + 1)))
             if best >= 0.8:
                 found[i] = best
         return found
@@ -216,21 +219,41 @@ def test_decontamination_against_all_windows(spark, docs, texts, none):
     got = {}
     for r in decontam.contaminated(docs, bench).collect():
         got.setdefault(r.doc_id, {})[r.item_id] = r.similarity
-    for k, t in texts.items():
-        if k != 20:
-            assert got.get(k, {}) == pytest.approx(slow(t)), k
+    want = {k: slow(t) for k, t in texts.items()}
+    assert want[20][8] > 0.9 and 0.8 <= want[22][9] < 1  # far into a long text; a text shorter than the item
+    for k in texts:
+        assert got.get(k, {}) == pytest.approx(want[k]), k
     assert decontam.contaminated(none, bench).count() == 0
     assert decontam.contaminated(docs, bench.where("item_id < 0")).count() == 0
     kept = {r.doc_id for r in decontam.keep_clean(docs, bench).collect()}
     assert kept == {k for k in texts if not got.get(k)} | {None}
 
 
-def test_near_finds_all_within_the_radius():
-    items = decontam.Items([(k, words(30, k)) for k in range(300)])
-    r = random.Random(2)
-    for _ in range(20):
-        fp = int(items.prints[r.randrange(300)]) ^ sum(1 << b for b in r.sample(range(64), 20))
-        assert items.near(fp) == {i for i, p in enumerate(items.prints.tolist()) if (p ^ fp).bit_count() <= decontam.RADIUS}
+def test_blocks_find_all_within_the_radius():
+    r = np.random.default_rng(2)
+    prints = r.integers(0, 1 << 63, 300, np.uint64)
+    index = decontam.BlockIndex(prints, decontam.RADIUS)
+    asked = np.array([int(prints[k]) ^ sum(1 << int(b) for b in r.choice(64, 20, replace=False)) for k in range(0, 300, 15)], np.uint64)
+    a, i = index.near(asked)
+    assert set(zip(a.tolist(), i.tolist(), strict=True)) == {(x, y) for x, p in enumerate(asked.tolist()) for y, q in enumerate(prints.tolist()) if (p ^ q).bit_count() <= decontam.RADIUS}
+
+
+def test_windows_within_the_similarity_are_found_but_for_few(spark, sf):
+    """Recall of the radius: against all windows whatever their fingerprint, which a radius of 64 lets through."""
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    r = random.Random(6)
+    near, every = decontam.Items(bench), decontam.Items(bench, radius=64)
+    hashes = decontam.WordHashes()
+    found = total = 0
+    for _, text in bench * 8:
+        w = decontam.words_of(text)
+        for k in r.sample(range(len(w)), max(1, len(w) // 25)):  # up to about a fifth of the shingles change
+            w[k] = b"zz%d" % k
+        h = hashes.of([*decontam.words_of(words(30, r.random())), *w, *decontam.words_of(words(30, r.random()))])
+        want = {m[0] for m in every.matches(h)}
+        total += len(want)
+        found += len(want & {m[0] for m in near.matches(h)})
+    assert total > 100 and found >= 0.99 * total
 
 
 def test_top_k_against_all_pairs(spark):
@@ -239,7 +262,7 @@ def test_top_k_against_all_pairs(spark):
     rows += [(300, None, 1), (301, [float("nan")] * 6, 1), (302, [None, 1.0, 1.0, 1.0, 1.0, 1.0], 1), (None, [1.0] * 6, 1), (40, rows[40][1], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score long")
     q = {k: np.floor(64 * np.array(v)).astype(int) for k, v, _ in rows[:300]}
-    for shard, block in ((8192, 1024), (64, 4)):
+    for shard, block in ((8192, 1024), (24, 4)):
         got = {}
         for x in ballsearch.search(df, k=20, shard_rows=shard, query_rows=block).collect():
             got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
@@ -251,6 +274,28 @@ def test_top_k_against_all_pairs(spark):
     assert ballsearch.search(df.where("vec_id < 0")).count() == 0
 
 
+def test_top_k_of_large_mixed_and_repeated_vectors(spark):
+    r = np.random.default_rng(4)
+    rows = [(k, [float(375 * k)] * 64) for k in range(41)]  # scores past 2^39
+    rows += [(100 + k, [float(x) for x in r.integers(-9, 10, k % 7)]) for k in range(60)]  # lengths 0 to 6
+    rows += [(200 + k, [float(x) for x in r.integers(-(1 << 40), 1 << 40, 5)]) for k in range(30)]  # sums past 2^53
+    rows += [(300, [1e300, 1.0]), (301, [-1e300]), (302, [3e12, 4e12])]  # past a long
+    rows += [(120, [5.0, 5.0]), (120, [-9.0, 1.0]), (120, [5.0, 5.0])]  # one id, different vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    cut = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    q = {}
+    for k, v in rows:
+        v = [cut(int(np.floor(64 * x))) for x in v]
+        q[k] = min(q.get(k, v), v)
+    got = {}
+    for x in ballsearch.search(df, k=20, shard_rows=20, query_rows=3).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    assert sorted(got) == [k for k in sorted(q) if k % 20 == 0]
+    for a, found in got.items():
+        best = sorted((-max(cut(sum(x * y for x, y in zip(q[a], v))), -(1 << 63) + 1), k) for k, v in q.items() if k != a)[:20]  # noqa: B905
+        assert sorted(found) == [(n + 1, k, -s) for n, (s, k) in enumerate(best)], a
+
+
 PAGE = '<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>if(a<b){"</p>"}</script></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><ul><li><a href="/x">x</a></li></ul></nav><!-- <p>no</p> --><div class="cookie-notice">We use</div><div class="wrap"><div class="sidebar"><p>side text side text side text</p></div><article class="post-%d"><h1>Head &amp; more</h1><p><b>One  two<br><p>Three&nbsp;four <a href="y">link</a>.</p><form><p>form</p></form><ul><li>a<li>b</ul><section class="comments"><p>bad</p></section></article></div><footer>&copy; f</footer></body></html>'
 TEXT = "Head & more\nOne two\nThree four link.\na\nb"
 
@@ -275,6 +320,81 @@ def test_html_junk_by_class():
     assert htmlmain.main_text("plain &am text &amp &lt;b&gt;", None) == "plain &am text & <b>"
 
 
+PROSE = "A sentence of the article that is long enough to be told from a label or a button, with a full stop."
+
+
+@pytest.mark.parametrize("name", ["related-work", "alert", "hidden-figures", "banner", "search-algorithms", "commentary", "adaptive", "formula", "notice-period", "menu-engineering"])
+def test_html_words_that_may_name_a_part_of_an_article(name):
+    page = f"<body><article><h1>T</h1><p>{PROSE}</p><section class='{name}'><p>Part. {PROSE}</p></section></article></body>"
+    assert htmlmain.main_text(page, None) == htmlmain.main_text(page, ">article") == f"T\n{PROSE}\nPart. {PROSE}"
+    links = f"<body><article><p>{PROSE}</p><ul class='related'><li><a href='x'>One more</a><li><a href='y'>Two more</a></ul></article></body>"
+    assert htmlmain.main_text(links, None) == PROSE
+
+
+def test_html_inline_elements_keep_their_text():
+    page = f"<article><p>Press <button type=button>Go</button> for <math><mi>x</mi>=1</math>. {PROSE}</p><form><button>Send</button></form></article>"
+    assert htmlmain.main_text(page, None) == f"Press Go for x=1. {PROSE}"
+
+
+def test_html_text_in_sibling_containers():
+    page = f"<body><div class=nav>menu</div><div class=page><div class=intro><p>Intro. {PROSE}</p></div><div class=text><p>{PROSE}</p><p>{PROSE}</p></div><div class=tags><a href=x>t</a></div></div></body>"
+    assert htmlmain.main_text(page, None).startswith(f"Intro. {PROSE}\n{PROSE}\n{PROSE}")
+    assert htmlmain.vote(page)[0] == ">div.page"
+    two = f"<body><article><p>{PROSE}</p></article><p>x</p><article><p>Two. {PROSE} {PROSE}</p></article></body>"
+    assert htmlmain.main_text(two, None) == htmlmain.main_text(two, ">article") == f"{PROSE}\nTwo. {PROSE} {PROSE}"
+
+
+def test_html_long_page_and_ties(spark):
+    long = "<article>" + "".join(f"<p>{k} {PROSE}</p>" for k in range(20_000)) + "</article>"
+    assert htmlmain.main_text(long, None).count("\n") == 19_999
+    a, b = f"<div class=b><p>{PROSE}</p></div>", f"<div class=a><p>{PROSE}</p></div>"
+    df = spark.createDataFrame([(1, "http://t/1", a), (2, "http://t/2", b), (3, "http://t/3", a + "<p>x</p>" + b)], "page_id long, url string, html string")
+    assert {r.host: r.path for r in htmlmain.host_paths(df.where("page_id < 3")).collect()} == {"t": ">div.a"}
+    assert {r.page_id: r.text for r in htmlmain.extract(df).collect()}[3].count(PROSE) == 1 + (htmlmain.host_paths(df).first().path == "")
+
+
+class SlowExtractor(__import__("html.parser").parser.HTMLParser):
+    """The article's blocks without adverts, by the library's parser: a plain reading of the given pages."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.depth, self.skip, self.now = [], 0, 0, ""
+        self.feed(page)
+        self.cut()
+
+    def cut(self):
+        if self.now.split():
+            self.blocks.append(" ".join(self.now.split()))
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("b", "a", "br", "meta"):
+            self.cut()
+        if tag == "br":
+            self.now += " " if self.depth and not self.skip else ""
+        self.depth += tag == "article"
+        self.skip += tag == "div" and self.depth > 0 and (("class", "ad") in attrs or self.skip > 0)
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "a"):
+            self.cut()
+        self.depth -= tag == "article"
+        self.skip -= tag == "div" and self.skip > 0
+
+    def handle_data(self, data):
+        if self.depth and not self.skip:
+            self.now += data
+
+
+def test_html_of_the_given_pages_against_a_plain_parser(spark, sf):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = {r.page_id: r for r in QUERIES["op5_html"](spark, sf).collect()}
+    assert len(got) == len(pages)
+    for k, page in pages.items():
+        want = "\n".join(SlowExtractor(page or "").blocks)
+        assert (got[k].text, got[k].n_chars) == (want, len(want)), k
+
+
 def test_host_path_outvotes_a_page():
     odd = "<body><div class='post'><p>short main</p></div><div class='other'><p>" + "long but not main " * 20 + "</p></div></body>"
     assert htmlmain.main_text(odd, ">div.post") == "short main"
@@ -314,6 +434,30 @@ def test_language_id(spark, docs, texts, none):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k in texts if k not in (14, 15)} | {None}
 
 
+def test_languages_of_many_scripts(spark):
+    """A wide alphabet (thousands of ideographs), letters above U+FFFF and small scripts side by side."""
+    r = random.Random(3)
+    spans = {"en": (97, 122), "ru": (0x430, 0x44F), "el": (0x3B1, 0x3C9), "hi": (0x905, 0x939), "zh": (0x4E00, 0x5800), "got": (0x10330, 0x1034A)}
+    lexicon = {k: ["".join(chr(r.randint(*s)) for _ in range(r.randint(1, 5))) for _ in range(400)] for k, s in spans.items()}
+    samples = {k: " ".join(r.choice(v) for _ in range(2000)) for k, v in lexicon.items()}
+    p = langid.CrossParser(samples)
+    assert len(p.symbols) > 1000
+    for k, v in lexicon.items():
+        text = " ".join(r.choice(v) for _ in range(20))
+        assert p.predict([text])[0] == [k]
+        coded = langid.folded(text)
+        for j, lang in enumerate(p.langs):
+            assert p.phrases([text])[0][j] == slow_phrases(coded[:256], langid.folded(samples[lang])) + (slow_phrases(coded[256:], langid.folded(samples[lang])) if len(coded) > 256 else 0)
+    assert p.predict(["\u05d0\u05d1"]) == ([p.langs[0]], [0.5])  # letters of no sample: a tie, first in order
+
+
+def test_keep_identified_names_and_chooses_languages(spark):
+    p = langid.CrossParser({"aa": words(300, 1), "bb": words(300, 2).translate(str.maketrans("abcdefghij", "klmnopqrst"))})
+    df = spark.createDataFrame([(1, words(9, 5), "bb"), (2, "kl mno qrs", None), (3, "12", "aa")], "doc_id long, text string, lang string")
+    assert sorted((r.doc_id, r.lang) for r in langid.keep_identified(df, p).collect()) == [(1, "aa"), (2, "bb")]
+    assert [r.doc_id for r in langid.keep_identified(df, p, langs=["bb"]).collect()] == [2]
+
+
 def test_keep_identified_without_a_labelled_row(spark):
     df = spark.createDataFrame([(1, "some words", None), (2, "", None), (3, None, None), (4, "12 !", None)], "doc_id long, text string, lang string")
     assert [r.doc_id for r in langid.keep_identified(df).collect()] == [1]
@@ -362,30 +506,77 @@ def test_packed_counts_round_trip():
     assert (lmscore.unpack48(lmscore.pack48(h)) == (h & lmscore.MASK)).all()
 
 
-def slow_lines(texts):
+def slow_lines(rows):
+    """rows: (id, text) in the order of the operator; per distinct row the first lines of its chunks that go."""
     seen, out = {}, {}
-    for k in sorted(texts):
-        gone = []
-        for at, n, body in linedup.chunks_of(texts[k]) if texts[k] else []:
-            if body in seen:
-                gone.append((at, n))
-            seen.setdefault(body, (k, at))
-        out[k] = gone
+    for k, t in rows:
+        if (k, t) not in out:
+            out[k, t] = [at for at, _, body in linedup.chunks_of(t) if seen.setdefault(body, (k, t, at)) != (k, t, at)] if t and k is not None else []
     return out
 
 
 def test_line_dedup(docs, texts, none):
     got = {r.doc_id: r for r in linedup.dedup_lines(docs).collect()}
-    want = slow_lines(texts)
-    assert want[19] and not want[18]
+    want = slow_lines(sorted(texts.items()))
+    assert want[19, texts[19]] and not want[18, texts[18]]
     for k, t in texts.items():
-        assert [(x.line, x.n_lines) for x in got[k].removed] == want[k]
-        assert got[k].text == (linedup.without_lines(t, [{"line": a, "n_lines": n} for a, n in want[k]]) if t is not None else None)
+        assert [(x.line, x.n_lines) for x in got[k].removed] == [(at, 2) for at in want[k, t]]
+        assert got[k].text == (linedup.without_lines(t, want[k, t]) if t is not None else None)
     assert linedup.dedup_lines(none).count() == 0
     again = {r.doc_id: r for r in linedup.replace_text(docs).collect()}
     assert again[19].text == got[19].text and again[19].h == 7
 
 
+def in_order(spark, rows):
+    """Rows by id, those of one id by the hash of their text, as the operators order them."""
+    df = spark.createDataFrame([(k, t) for k, t in rows], "doc_id long, text string")
+    return [(r.doc_id, r.text) for r in df.selectExpr("*", "xxhash64(text) as h").orderBy("doc_id", "h").collect()]
+
+
+def two_texts_of_one_id():
+    a, b, c = ("\n".join(words(9, 700 + 10 * k + j) for j in range(5)) for k in range(3))
+    return [(1, a), (2, a), (2, b), (2, b), (3, b + "\n" + c), (3, c), (4, c), (4, ""), (4, None), (None, c), (None, c)]
+
+
+def test_line_dedup_tells_texts_of_one_id_apart(spark):
+    rows = two_texts_of_one_id()
+    want = slow_lines(in_order(spark, rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.text, r.n_removed) for r in linedup.dedup_lines(df).collect())
+    assert got == Counter((k, t and linedup.without_lines(t, want[k, t]), len(linedup.lines_of(want[k, t]))) for k, t in rows)
+    assert got[2, rows[2][1], 0] == 2 and got[2, "", 5] == 1  # b stands nowhere before
+    kept = Counter((r.doc_id, r.text) for r in linedup.replace_text(df).collect())
+    assert kept == Counter((k, t and linedup.without_lines(t, want[k, t])) for k, t in rows if not (want[k, t] and len(linedup.lines_of(want[k, t])) == t.count("\n") + 1))
+
+
+def test_line_dedup_compares_bytes(spark):
+    rows = [(k, "\n".join(words(5, 50 + (k * j) % 7) for j in range(6))) for k in range(12)]
+    want = slow_lines(rows)
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, v long")
+    got = {}
+    for r in linedup.repeated_chunks(df, lambda body: bytes([len(body) % 2] * 16)).collect():  # nearly all digests meet
+        got.setdefault(r.doc_id, []).append(r.line)
+    assert {k: sorted(v) for k, v in got.items()} == {k: at for (k, _), at in want.items() if at}
+
+
+def test_keep_one_leaves_one_row_of_each_group(spark):
+    rows = two_texts_of_one_id() + [(5, words(40, 3)), (5, words(40, 3)), (None, words(40, 4)), (None, words(40, 4)), (6, "é"), (6, "É a")]
+    df = spark.createDataFrame([(*r, "s%d" % k) for k, r in enumerate(rows)], "doc_id long, text string, source string").repartition(3)
+    root = list(range(len(rows)))
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").split()) else frozenset() for _, t in rows]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                root = [root[j] if r == root[i] else r for r in root]
+    got = simhash.keep_one(df).collect()
+    groups = {}
+    for r, (k, _) in zip(root, rows, strict=True):
+        groups.setdefault(r, []).append(k)
+    least = Counter(min((k for k in g if k is not None), default=None) for g in groups.values())
+    assert Counter(r.doc_id for r in got) == least
+    assert len({r.source for r in got}) == len(got) == len(groups)
+
+
 def test_line_dedup_of_passages_inside_other_texts(spark):
     rng, rows = random.Random(4), {}
     line = lambda: words(rng.randint(3, 9), rng.random())
@@ -403,10 +594,13 @@ def test_line_dedup_of_passages_inside_other_texts(spark):
         seen.update(v)
 
 
-def slow_spans(texts):
+def slow_spans(rows):
     seen, out = {}, {}
-    for k in sorted(texts):
-        raw = (texts[k] or "").encode()
+    for k, t in rows:
+        if (k, t) in out or k is None:
+            out.setdefault((k, t), [])
+            continue
+        raw = (t or "").encode()
         ends = substrdedup.boundaries(raw)
         runs = []
         for a, z in zip([0, *ends[:-1]], ends, strict=True) if ends else []:
@@ -416,13 +610,13 @@ def slow_spans(texts):
                 else:
                     runs.append([a, z])
             seen.setdefault(raw[a:z], k)
-        out[k] = [(a, z - a) for a, z in runs if z - a >= substrdedup.MIN_RUN]
+        out[k, t] = [(a, z - a) for a, z in runs if z - a >= substrdedup.MIN_RUN]
     return out
 
 
 def test_substring_dedup(docs, texts, none):
     got = {r.doc_id: r for r in substrdedup.dedup_substrings(docs).collect()}
-    want = slow_spans(texts)
+    want = {k: v for (k, _), v in slow_spans(sorted(texts.items())).items()}
     assert want[12] and want[21] and want[19] and not want[0] and not want[3]
     for k, t in texts.items():
         assert [(s.start, s.size) for s in got[k].spans] == want[k]
@@ -432,6 +626,16 @@ def test_substring_dedup(docs, texts, none):
     assert substrdedup.dedup_substrings(none).count() == 0
 
 
+def test_substring_dedup_tells_texts_of_one_id_apart(spark):
+    rows = two_texts_of_one_id()
+    want = slow_spans(in_order(spark, rows))
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = Counter((r.doc_id, r.text, r.n_removed) for r in substrdedup.dedup_substrings(df).collect())
+        assert got == Counter((k, t and substrdedup.without_spans(t.encode(), [{"start": a, "size": n} for a, n in want[k, t]]).decode(), sum(n for _, n in want[k, t])) for k, t in rows)
+    assert got[2, rows[2][1], 0] == 2
+
+
 def test_substring_dedup_of_repeated_rows_in_one_partition(spark):
     text = words(60, 1)
     df = spark.createDataFrame([(3, text), (3, text), (4, words(60, 2) + " " + text)], "doc_id long, text string").coalesce(1)
