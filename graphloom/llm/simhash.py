@@ -206,14 +206,16 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        low = write_table(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "star-low")
+        # the end of many edges is looked up where they are
+        large = write_table(join_by_count(both.where("v > u"), low, ["u"]).select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct(), "star-large")
         # small star: b is the larger end of an edge, and its smaller neighbours hang below the smallest of them
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
+        least = write_table(large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n")), "star-least")
+        small = join_by_count(large, least, ["b"]).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
         nxt = write_table(small, "edges")
         after = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        drop_table(edges)
+        for done in (edges, low, large, least):
+            drop_table(done)
         edges = nxt
         if after == before:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
