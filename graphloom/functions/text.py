@@ -12,15 +12,20 @@ from pyspark.sql import functions as F
 from . import rules
 
 
+#: Digits of any script, superscript and circled ones alone too; or such numbers joined by points.
+NUMBER = r"^(\p{Nd}+(\.\p{Nd}+)+|[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐]+)$"
+
+
 def any_contains(label: Column, words: Iterable[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(label, F.lit(w)) for w in words], F.lit(False))
 
 
 def is_valid_point(label: Column, labels=rules.NON_POINT_LABELS, prefixes=rules.NON_POINT_PREFIXES) -> Column:
-    """neither blank, a listed label, a listed prefix, an example ("例3"), a chapter number nor digits alone."""
+    """neither blank, a listed label, a listed prefix, an example ("例3"), a chapter, a section number
+    ("1.2.3") nor digits alone."""
     t = F.trim(label)
     bad = t.isin(*labels) | reduce(lambda a, b: a | b, [F.startswith(t, F.lit(p)) for p in prefixes], F.lit(False))
-    return F.coalesce((t != "") & ~bad & ~t.rlike(r"^例[0-9]") & ~t.rlike(r"^第[一二三四五六七八九十0-9]+章") & ~t.rlike(r"^[0-9]+$"), F.lit(False))
+    return F.coalesce((t != "") & ~bad & ~t.rlike(r"^例[0-9]") & ~t.rlike(r"^第[一二三四五六七八九十0-9]+章") & ~t.rlike(NUMBER), F.lit(False))
 
 
 def clean_section(label: Column) -> Column:
@@ -207,5 +212,10 @@ def char_overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(chars(a), chars(b))) / F.size(chars(a))
 
 
+def version_tag(uri: Column, marks: Mapping[str, str], default: str = "none") -> Column:
+    """the first version, in order, whose mark the URI contains."""
+    return first_keyword(uri, {version: [mark] for version, mark in marks.items()}, default)
+
+
 def alternation(words: Iterable[str]) -> str:
     return "|".join(re.escape(w) for w in words)

@@ -12,25 +12,31 @@ def teaches_before(points: DataFrame) -> DataFrame:
     return a.join(b, "chapter").where("src_pos < dst_pos and src <> dst").select("src", "dst").distinct()
 
 
-def neighbour_pairs(concepts: DataFrame, reach: int = 5, parts: int = 64) -> DataFrame:
+def neighbour_pairs(concepts: DataFrame, reach: int = 5, parts: int | None = None) -> DataFrame:
     """(a, b, gap): each concept with the next ``reach`` ones in (label, uri) order, so that each pair stands once.
 
     Ranks are made in two passes, counts per range of labels and then ranks within it, so no task holds all concepts.
     """
     ranked = running_number(concepts, ["label", "uri"], parts)
-    r = ranked.select("uri", "n", F.explode(F.array(F.floor(F.col("n") / reach), F.floor(F.col("n") / reach) + 1)).alias("cell"))
     a = ranked.select(F.col("uri").alias("a"), F.col("n").alias("na"), F.floor(F.col("n") / reach).alias("home"))
-    b = r.select(F.col("uri").alias("b"), F.col("n").alias("nb"), F.col("cell"))
-    # a concept's next ones lie in its own cell or the one after; b stands in its own and, for the one before, the next
-    j = a.select("a", "na", F.explode(F.array(F.col("home"), F.col("home") + 1)).alias("cell")).join(b.where(F.col("cell") == F.floor(F.col("nb") / reach)), "cell")
-    return j.where((F.col("nb") - F.col("na")).between(1, reach)).select("a", "b", (F.col("nb") - F.col("na")).alias("gap")).distinct()
+    b = ranked.select(F.col("uri").alias("b"), F.col("n").alias("nb"), F.floor(F.col("n") / reach).alias("cell"))
+    # a concept's next ones lie in its own cell or the one after
+    j = a.select("a", "na", F.explode(F.array(F.col("home"), F.col("home") + 1)).alias("cell")).join(b, "cell")
+    return j.where((F.col("nb") - F.col("na")).between(1, reach)).select("a", "b", (F.col("nb") - F.col("na")).alias("gap"))
 
 
-def running_number(rows: DataFrame, order: list[str], parts: int = 64) -> DataFrame:
+#: Rows in a range of ``running_number``.
+RANGE_ROWS = 500_000
+
+
+def running_number(rows: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
     """``rows`` with ``n``, 1, 2, ... in the stated order over all rows.
 
-    Rows are dealt out by ranges of the order; numbers run within a range, on top of the counts of the ranges before it.
+    Rows are dealt out by ranges of the order, as many as the number of rows asks for (RANGE_ROWS each) unless stated;
+    numbers run within a range, on top of the counts of the ranges before it.
     """
+    if parts is None:
+        parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // RANGE_ROWS)
     spread = rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
     from ..scratch import write_table
 
@@ -171,6 +177,16 @@ def recommend(edges: DataFrame, seeds: DataFrame, mastered: DataFrame, limit: in
     return left.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= limit).select("user", "node", "ways", "rank")
 
 
+def enriched(linked: DataFrame, labels: DataFrame, edges: DataFrame, chars: int = 20) -> DataFrame:
+    """Linked nodes (id, node) with their label, their one-hop neighbours either way (sorted labels) and a context
+    text: the label and the first ``chars`` characters of each neighbour's, joined by spaces. labels (node, label)."""
+    seeds = linked.select(F.col("node").alias("seed")).distinct()
+    near = neighbours(edges.withColumn("rel_type", F.lit("")), seeds).join(labels, "node")
+    around = near.groupBy(F.col("seed").alias("node")).agg(F.sort_array(F.collect_list("label")).alias("neighbours"))
+    out = linked.join(labels, "node", "left").join(around, "node", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<string>")))
+    return out.withColumn("context", F.concat_ws(" ", "label", F.transform("neighbours", lambda x: F.substring(x, 1, chars))))
+
+
 def reviewed(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges of approved rows, nodes of new_kp rows)."""
     yes = results.where("status = 'approved' and concept is not null").select(F.col("id").alias("src"), F.lit("MATCHES").alias("rel_type"), F.col("concept").alias("dst"))
@@ -219,11 +235,22 @@ def page_chunks(pages: DataFrame, size: int) -> DataFrame:
     return c.groupBy("doc", "chunk").agg(F.min("page").alias("first"), F.max("page").alias("last"), joined.alias("text"))
 
 
-def pack_paragraphs(text, most: int = 8000, sep: str = "\n"):
-    """Paragraphs packed in order into parts of at most ``most`` characters; a longer paragraph is a part of its own."""
-    full = lambda acc, p: (F.size(acc) > 0) & (F.char_length(F.element_at(acc, -1)) + len(sep) + F.char_length(p) <= most)
-    join_last = lambda acc, p: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat_ws(sep, F.element_at(acc, -1), p)))
-    return F.aggregate(F.split(text, sep), F.array().cast("array<string>"), lambda acc, p: F.when(full(acc, p), join_last(acc, p)).otherwise(F.concat(acc, F.array(p))))
+def pack_paragraphs(text, most: int = 8000, sep: str = "\n\n"):
+    """A text of at most ``most`` characters as it is; else its paragraphs, which blank lines part, packed in order: a
+    part takes the next one while it stays within ``most``, each paragraph counting with its separator, and a longer
+    paragraph is a part of its own. Parts are trimmed. Null stays null."""
+    size = lambda x: F.char_length(x) + len(sep)
+    empty = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("last"), F.lit(0).alias("used"))
+
+    def add(acc, p):
+        fits = acc["used"] + size(p) <= most
+        flushed = F.when(acc["used"] == 0, acc["parts"]).otherwise(F.array_append(acc["parts"], acc["last"]))
+        return F.when(fits, F.struct(acc["parts"].alias("parts"), F.concat(acc["last"], p, F.lit(sep)).alias("last"), (acc["used"] + size(p)).alias("used"))).otherwise(
+            F.struct(flushed.alias("parts"), F.concat(p, F.lit(sep)).alias("last"), size(p).alias("used"))
+        )
+
+    packed = F.aggregate(F.split(text, sep), empty, add, lambda acc: F.array_append(acc["parts"], acc["last"]))
+    return F.when(F.char_length(text) <= most, F.array(text)).otherwise(F.transform(packed, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")))
 
 
 def batches(rows: DataFrame, order: list[str], size: int) -> DataFrame:

@@ -9,28 +9,34 @@ from pyspark.sql import functions as F
 from ..scratch import drop_table, write_table
 
 
+def _together(parts: list[DataFrame], label: str) -> DataFrame:
+    """One written table of all rounds; those of the rounds go."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = write_table(out, label)
+    for p in parts:
+        drop_table(p)
+    return out
+
+
 def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """(seed, node, dist): all nodes reached from each seed along edges, with the shortest distance;
     the seed itself has 0. ``most`` bounds the hops. Cycles end, as nodes seen before are not followed."""
     e = edges.select("src", "dst").distinct()
-    seen = write_table(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("dist")).distinct(), "reach")
-    frontier, hop = seen, 0
-    parts = [seen]
+    parts = [write_table(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("dist")).distinct(), "reach")]
+    hop = 0
     while most is None or hop < most:
         hop += 1
-        step = frontier.join(e, frontier.node == e.src).select("seed", F.col("dst").alias("node")).distinct()
+        step = parts[-1].join(e, F.col("node") == e.src).select("seed", F.col("dst").alias("node")).distinct()
         known = parts[0]
         for p in parts[1:]:
             known = known.unionByName(p)
         new = write_table(step.join(known.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("dist", F.lit(hop)), "reach")
+        parts.append(new)
         if new.isEmpty():
             break
-        parts.append(new)
-        frontier = new
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _together(parts, "reached")
 
 
 def peel(edges: DataFrame) -> DataFrame:
@@ -59,19 +65,28 @@ def cycle_members(edges: DataFrame) -> DataFrame:
 
 
 def depth(edges: DataFrame) -> DataFrame:
-    """(node, depth): the longest path that leads to a node, for an acyclic graph (roots have 0)."""
-    e = edges.select("src", "dst").distinct()
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    layer = write_table(nodes.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("depth", F.lit(0)), "depth")
-    parts, k = [layer], 0
-    while not layer.isEmpty():
-        k += 1
-        layer = write_table(layer.join(e, layer.node == e.src).select(F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(k)), "depth")
-        parts.append(layer)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("node").agg(F.max("depth").alias("depth"))
+    """(node, depth): the longest path that leads to a node (roots have 0); null for the nodes of cycles and those
+    that a cycle leads to, which have no longest path.
+
+    In turn the nodes without a way in are taken away with their edges, so each edge goes once and a round that
+    takes nothing ends it: what is left then are the cycles and what they lead to.
+    """
+    every = write_table(edges.select("src", "dst").distinct(), "depth-edges")
+    left, layers, k = every, [], 0
+    while True:
+        layer = write_table(left.select(F.col("src").alias("node")).distinct().join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("depth", F.lit(k)), "depth")
+        layers.append(layer)
+        if layer.isEmpty():
+            break
+        nxt = write_table(left.join(layer, left.src == layer.node, "left_anti"), "depth-left")
+        if k:
+            drop_table(left)
+        left, k = nxt, k + 1
+    sources = _together(layers, "depths")  # nodes with a way out
+    last = every.join(every.select(F.col("src").alias("dst")).distinct(), "dst", "left_anti")
+    ends = last.join(sources, last.src == sources.node, "left").groupBy(F.col("dst").alias("node")).agg(F.when(F.count("depth") == F.count("*"), F.max("depth") + 1).alias("depth"))
+    rest = left.select(F.col("src").alias("node"), F.lit(None).cast("int").alias("depth")).distinct()
+    return sources.unionByName(ends).unionByName(rest)
 
 
 def chain_length(edges: DataFrame) -> DataFrame:
@@ -92,6 +107,20 @@ def expand(edges: DataFrame, seeds: DataFrame, most: int, both: bool = False) ->
     return reach(e.union(e.select("dst", "src")) if both else e, seeds, most)
 
 
+def nested_tree(edges: DataFrame, roots: DataFrame, levels: int) -> DataFrame:
+    """(node, tree): the tree below each root (node), ``levels`` deep, as nested structs (node, children), the children
+    sorted; those at the last level have their node alone. One round a level, from the last one up."""
+    layer = expand(edges, roots.select(F.col("node").alias("seed")), levels).select("node", "dist").distinct()
+    e = edges.select("src", "dst").distinct()
+    below = layer.where(F.col("dist") == levels).select("node", F.struct("node").alias("tree")).distinct()
+    for k in range(levels - 1, -1, -1):
+        kids = e.join(below, e.dst == below.node).groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_list("tree")).alias("children"))
+        here = layer.where(F.col("dist") == k).select("node").distinct().join(kids, "node", "left")
+        empty = F.array().cast(f"array<{below.schema['tree'].dataType.simpleString()}>")
+        below = here.select("node", F.struct("node", F.coalesce("children", empty).alias("children")).alias("tree"))
+    return below
+
+
 def siblings(member: DataFrame, seeds: DataFrame, most: int = 1) -> DataFrame:
     """Instances that share a class with the seeds, layer by layer. member (node, cls)."""
     known = seeds.select("node").distinct().withColumn("layer", F.lit(0))
@@ -102,18 +131,20 @@ def siblings(member: DataFrame, seeds: DataFrame, most: int = 1) -> DataFrame:
     return known
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, nodes: DataFrame, most: int = 50) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, subject): the tag of the nearest seed up the containment edges; ties to the seed first in order; the
     rest are ``unknown``. seeds (node, subject, ord)."""
-    known = write_table(seeds.groupBy("node").agg(F.min(F.struct("ord", "subject")).alias("s")).withColumn("hop", F.lit(0)), "tags")
     e = edges.select("src", "dst").distinct()
-    for k in range(1, most + 1):
-        front = known.where(F.col("hop") == k - 1)
-        new = front.join(e, front.node == e.src).groupBy(F.col("dst").alias("node")).agg(F.min("s").alias("s")).join(known.select("node"), "node", "left_anti").withColumn("hop", F.lit(k))
-        nxt = write_table(known.unionByName(new), "tags")
-        if nxt.where(F.col("hop") == k).isEmpty():
+    parts = [write_table(seeds.groupBy("node").agg(F.min(F.struct("ord", "subject")).alias("s")), "tags")]
+    while True:
+        known = parts[0].select("node")
+        for p in parts[1:]:
+            known = known.unionByName(p.select("node"))
+        new = write_table(parts[-1].join(e, F.col("node") == e.src).groupBy(F.col("dst").alias("node")).agg(F.min("s").alias("s")).join(known, "node", "left_anti"), "tags")
+        parts.append(new)
+        if new.isEmpty():
             break
-        known = nxt
+    known = _together(parts, "tagged")
     return nodes.join(known, "node", "left").select("node", F.coalesce("s.subject", F.lit("unknown")).alias("subject"))
 
 
@@ -155,15 +186,25 @@ def common_scores(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return s.groupBy("ancestor").agg(F.round(F.sum(F.lit(169.0) / (F.col("da") * F.col("db")) * F.log(F.col("depth").cast("double")) / F.col("kids")), 6).alias("score"))
 
 
-def root_paths(parents: DataFrame, seeds: DataFrame, most: int = 64) -> DataFrame:
-    """Each seed's path to its root as an array, in a forest (node, parent)."""
-    cur = write_table(seeds.select("seed", F.array("seed").alias("path"), F.col("seed").alias("top"), F.lit(False).alias("done")), "paths")
-    for _ in range(most):
-        nxt = cur.join(parents, cur.top == parents.node, "left").select("seed", F.when(F.col("parent").isNotNull(), F.concat("path", F.array("parent"))).otherwise(F.col("path")).alias("path"), F.coalesce("parent", "top").alias("top"), F.col("parent").isNull().alias("done"))
-        cur = write_table(nxt, "paths")
-        if cur.where("not done").isEmpty():
-            break
-    return cur.select("seed", "path")
+def root_paths(parents: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Each seed's path to its root as an array, in a forest (node, parent). A path that would meet a node again ends."""
+    up = parents.where("parent is not null")
+    ways = [write_table(seeds.select("seed", F.array("seed").alias("path"), F.col("seed").alias("top")).distinct(), "paths")]
+    ends = []
+    while not ways[-1].isEmpty():
+        nxt = ways[-1].join(up, F.col("top") == up.node, "left").withColumn("more", F.col("parent").isNotNull() & ~F.array_contains("path", F.col("parent")))
+        nxt = write_table(nxt.select("seed", "more", F.when(F.col("more"), F.concat("path", F.array("parent"))).otherwise(F.col("path")).alias("path"), F.when(F.col("more"), F.col("parent")).otherwise(F.col("top")).alias("top")), "paths")
+        ends.append(nxt)
+        ways.append(nxt.where("more").drop("more"))
+    if not ends:
+        return ways[0].select("seed", "path")
+    out = ends[0].where("not more")
+    for p in ends[1:]:
+        out = out.unionByName(p.where("not more"))
+    out = write_table(out.select("seed", "path"), "root-paths")
+    for p in (ways[0], *ends):
+        drop_table(p)
+    return out
 
 
 def weighted_common(parents: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -182,13 +223,13 @@ def hierarchy_codes(parents: DataFrame) -> DataFrame:
     w = Window.partitionBy("parent").orderBy("node")
     placed = parents.withColumn("k", F.row_number().over(w).cast("string"))
     layer = write_table(placed.where("parent is null").select("node", F.col("k").alias("code")), "codes")
-    out = layer
+    parts = [layer]
     while True:
         up = layer.select(F.col("node").alias("parent"), F.col("code").alias("above"))
         layer = write_table(placed.join(up, "parent").select("node", F.concat_ws("-", "above", "k").alias("code")), "codes")
         if layer.isEmpty():
-            return out
-        out = out.unionByName(layer)
+            return _together(parts, "hierarchy-codes")
+        parts.append(layer)
 
 
 def network(triples: DataFrame, predicate: str) -> tuple[DataFrame, DataFrame]:
@@ -199,19 +240,22 @@ def network(triples: DataFrame, predicate: str) -> tuple[DataFrame, DataFrame]:
 
 def learning_path(edges: DataFrame, targets: DataFrame, mastered: DataFrame) -> DataFrame:
     """(target, node, step): the prerequisites of each target and itself, without what is mastered, in an order
-    in which every prerequisite comes first (its depth, then its name). Edges run from prerequisite to dependent."""
+    in which every prerequisite comes first (its depth, then its name); what cycles keep from having a depth comes last.
+    Edges run from prerequisite to dependent."""
     up = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     need = reach(up, targets.select(F.col("target").alias("seed"))).select(F.col("seed").alias("target"), "node")
-    left = need.join(mastered.select("node").distinct(), "node", "left_anti").join(depth(edges), "node", "left")
-    w = Window.partitionBy("target").orderBy(F.coalesce("depth", F.lit(0)), "node")
+    left = need.join(mastered.select("node").distinct(), "node", "left_anti").join(depth(edges).withColumn("in_graph", F.lit(True)), "node", "left")
+    w = Window.partitionBy("target").orderBy((F.col("in_graph") & F.col("depth").isNull()).eqNullSafe(True), F.coalesce("depth", F.lit(0)), "node")
     return left.select("target", "node", F.row_number().over(w).cast("long").alias("step"))
 
 
 def teaching_sequence(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, step): topological layers of the graph restricted to ``nodes``; those of one step may run side by side."""
+    """(node, step): topological layers of the graph restricted to ``nodes``; those of one step may run side by side.
+    Null for nodes of cycles and what they lead to."""
     n = nodes.select("node").distinct()
     inner = edges.join(n, edges.src == n.node, "left_semi").join(n, edges.dst == n.node, "left_semi").select("src", "dst")
-    return n.join(depth(inner), "node", "left").select("node", (F.coalesce("depth", F.lit(0)) + 1).alias("step"))
+    d = depth(inner).withColumn("in_graph", F.lit(True))
+    return n.join(d, "node", "left").select("node", F.when(F.col("in_graph"), F.col("depth") + 1).otherwise(1).alias("step"))
 
 
 def central(rows: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .match import small
-
+#: Entities of a stated list.
+MOST_STATED = 10_000
 
 def latest(progress: DataFrame) -> DataFrame:
     """The last row of each (user, entity); ties in time go to the larger event_id."""
@@ -41,8 +41,13 @@ def next_recommended(progress: DataFrame, needs: DataFrame, users: DataFrame) ->
 
 
 def full_progress(users: DataFrame, entities: DataFrame, progress: DataFrame) -> DataFrame:
-    """Every user with every entity of a stated list, ``not_started`` where nothing is recorded."""
-    return users.crossJoin(small(entities, 10_000)).join(latest(progress).select("user", "entity", "status"), ["user", "entity"], "left").withColumn("status", F.coalesce("status", F.lit("not_started")))
+    """Every user with every entity of a stated list, ``not_started`` where nothing is recorded. The list is of
+    MOST_STATED entities at most; a longer one fails, as the rows would be its product with all users."""
+    stated = entities.distinct()
+    if stated.limit(MOST_STATED + 1).count() > MOST_STATED:
+        raise ValueError(f"state at most {MOST_STATED} entities")
+    each = users.crossJoin(F.broadcast(stated.agg(F.collect_list("entity").alias("all")))).select("user", F.explode("all").alias("entity"))  # one row
+    return each.join(latest(progress).select("user", "entity", "status"), ["user", "entity"], "left").withColumn("status", F.coalesce("status", F.lit("not_started")))
 
 
 def by_subject(progress: DataFrame) -> DataFrame:

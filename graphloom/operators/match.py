@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,11 +27,13 @@ def exact(items: DataFrame, dictionary: DataFrame, key: str = "label") -> DataFr
 
 
 def by_synonyms(items: DataFrame, concepts: DataFrame, synonyms: Mapping[str, list[str]], order: str = "ord") -> DataFrame:
-    """(id, label, concept): equality of normal labels, each expanded by whole-word synonyms both ways; the concept
-    first in ``order`` wins; null without a match. items (id, label), concepts (concept, label, ord)."""
+    """(id, label, concept): equality of normal labels. A label that is a word of the table, or one of its synonyms,
+    also stands for that word and all its synonyms; the concept first in ``order`` wins; null without a match.
+    items (id, label), concepts (concept, label, ord)."""
     spark = items.sparkSession
-    pairs = [(a, b) for a, bs in synonyms.items() for b in bs]
-    table = spark.createDataFrame(pairs + [(b, a) for a, b in pairs] or [("", "")], "word string, other string")
+    pairs = [(a, b) for word, others in synonyms.items() for a in (word, *others) for b in (word, *others) if a != b]
+    raw = spark.createDataFrame(pairs or [("", "")], "word string, other string")
+    table = raw.select(T.normal_label(F.col("word")).alias("word"), T.normal_label(F.col("other")).alias("other")).distinct()
     keys = items.select("id", T.normal_label(F.col("label")).alias("word")).distinct()
     expanded = keys.select("id", "word").unionByName(keys.join(F.broadcast(table), "word").select("id", F.col("other").alias("word"))).where("word <> ''").distinct()
     c = concepts.select("concept", T.normal_label(F.col("label")).alias("word"), F.col(order).alias("ord")).groupBy("word").agg(F.min(F.struct("ord", "concept")).alias("c"))
@@ -64,12 +67,20 @@ def containment(items: DataFrame, concepts: DataFrame, n: int = 3) -> DataFrame:
 def partial(items: DataFrame, concepts: DataFrame, share: float = 0.5) -> DataFrame:
     """(id, concept): containment, or more than ``share`` of the distinct characters shared; the smallest ord wins.
 
-    Characters shared are counted by an equi-join on characters, not by trying all pairs.
+    Of k characters more than share * k are shared only if one of any k - floor(share * k) of them is, so an item is
+    looked up by that many of its characters, those that the fewest concepts have. No pair is lost by that, and
+    the commonest characters are hardly looked up. Unicode bounds the table of characters that is broadcast.
     """
     chars = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
-    i = items.select("id", F.size(chars(F.col("label"))).alias("size"), F.explode(chars(F.col("label"))).alias("ch"))
-    c = concepts.select("concept", "ord", F.explode(chars(F.col("label"))).alias("ch"))
-    both = i.join(c, "ch").groupBy("id", "size", "concept", "ord").agg(F.count("*").alias("n")).where(F.col("n") / F.col("size") > share)
+    c = concepts.select("concept", "ord", chars(F.col("label")).alias("b"))
+    often = c.select(F.explode("b").alias("ch")).groupBy("ch").agg(F.count("*").alias("n"))
+    # (n, ch) pairs in order, without a group per item: the counts come as one map
+    counts = often.agg(F.map_from_entries(F.collect_list(F.struct("ch", "n"))).alias("counts"))
+    i = items.select("id", chars(F.col("label")).alias("a")).crossJoin(F.broadcast(counts))  # one row
+    ranked = F.array_sort(F.transform("a", lambda x: F.struct(F.coalesce(F.try_element_at("counts", x), F.lit(0)).alias("n"), x.alias("ch"))))
+    least = F.size("a") - F.floor(F.size("a") * share).cast("int")
+    asked = i.select("id", "a", F.explode(F.slice(ranked, F.lit(1), F.greatest(least, F.lit(1)))["ch"]).alias("ch")).where("size(a) > 0")
+    both = asked.join(c.select("concept", "ord", "b", F.explode("b").alias("ch")), "ch").where(F.size(F.array_intersect("a", "b")) / F.size("a") > share)
     hits = both.select("id", "ord", "concept").unionByName(containment(items, concepts).join(concepts, "concept").select("id", "ord", "concept"))
     return hits.groupBy("id").agg(F.min_by("concept", F.struct("ord", "concept")).alias("concept"))
 
@@ -98,17 +109,49 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Queries and vectors that meet in one task at once.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
+
+
+def _cosines(queries: DataFrame, vectors: DataFrame, k: int | None) -> DataFrame:
+    """(query_id, vec_id, score): every stated query with every vector, block by block as a matrix product; with ``k``
+    only the best k others that a block has for a query leave its task."""
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
+    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    n_q, n_v = q.count(), v.count()
+    rows, cols = max(1, -(-n_q // QUERY_BLOCK)), max(1, -(-n_v // VECTOR_BLOCK))
+    block = lambda c, n, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    a = q.withColumn("i", block("query_id", rows, 1)).withColumn("j", each(cols))
+    b = v.withColumn("j", block("vec_id", cols, 2)).withColumn("i", each(rows))
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        x, y = (np.stack(list(d["v"])) for d in (left, right))
+        x, y = (m / np.where((norm := np.sqrt((m * m).sum(axis=1, keepdims=True))) > 0, norm, 1.0) for m in (x, y))
+        score = np.round(x @ y.T, 6)
+        qid, vid = left["query_id"].to_numpy(), right["vec_id"].to_numpy()
+        if k is None:
+            return pd.DataFrame({"query_id": np.repeat(qid, len(vid)), "vec_id": np.tile(vid, len(qid)), "score": score.reshape(-1)})
+        score[qid[:, None] == vid[None, :]] = -np.inf
+        best = np.lexsort((np.broadcast_to(vid, score.shape), -score), axis=1)[:, :k]
+        top = np.take_along_axis(score, best, axis=1)
+        ok = np.isfinite(top)
+        return pd.DataFrame({"query_id": np.repeat(qid, ok.sum(axis=1)), "vec_id": vid[best][ok], "score": top[ok]})
+
+    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(run, "query_id long, vec_id long, score double")
+
+
 def vector_pairs(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """(query_id, vec_id, score): cosine of each stated query with each vector, rounded to 6 digits."""
-    q = queries.select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("q"))
-    v = vectors.select("vec_id", unit(F.col("embedding")).alias("v"))
-    return small(q, 10_000).crossJoin(v).select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
+    return _cosines(queries, vectors, None)
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """The k nearest by cosine; ties to the smaller id."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return vector_pairs(queries, vectors).where("query_id <> vec_id").withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return _cosines(queries, vectors, k).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def ratio(a: str, b: str) -> float:
@@ -170,15 +213,44 @@ def grouped_mentions(found: DataFrame) -> DataFrame:
     return found.groupBy("id", "term").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("places"))
 
 
+def deletions(label: Column, most: int) -> Column:
+    """The distinct texts that ``label`` turns into by deleting up to ``most`` of its characters."""
+    out = step = F.array(label)
+    for _ in range(most):
+        less = lambda x: F.transform(F.sequence(F.lit(1), F.char_length(x)), lambda k: F.concat(F.substring(x, F.lit(1), k - 1), F.substring(x, k + 1, F.char_length(x))))
+        step = F.array_distinct(F.flatten(F.transform(step, lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(less(x)))))
+        out = F.array_union(out, step)
+    return out
+
+
 def fuzzy(items: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(id, match, distance): the closest entry within an edit distance of 0, 1 or 2 (lengths to 2, to 5, above), among
-    those with the same first character; ties to the first in order."""
+    """(id, match, distance): the closest entry within an edit distance of 0, 1 or 2 (lengths to 2, to 5, above);
+    ties to the first in order.
+
+    Two labels within n edits turn into one text by n deletions on either side, so they meet in an equi-join on such
+    texts: no pair is lost, and no common character gathers all labels.
+    """
     limit = F.when(F.char_length("label") <= 2, 0).when(F.char_length("label") <= 5, 1).otherwise(2)
-    d = dictionary.select(F.col("label").alias("match"), F.substring("label", 1, 1).alias("h")).distinct()
-    pairs = items.withColumn("h", F.substring("label", 1, 1)).join(d, "h").withColumn("distance", F.levenshtein("label", "match")).where(F.col("distance") <= limit)
+    d = dictionary.select(F.col("label").alias("match")).where("match is not null").distinct()
+    keys = F.when(F.col("limit") == 0, F.array("label")).when(F.col("limit") == 1, deletions(F.col("label"), 1)).otherwise(deletions(F.col("label"), 2))
+    asked = items.where("label is not null").withColumn("limit", limit).select("id", "label", "limit", F.explode(keys).alias("key"))
+    pairs = asked.join(d.select("match", F.explode(deletions(F.col("match"), 2)).alias("key")), "key").withColumn("distance", F.levenshtein("label", "match")).where(F.col("distance") <= F.col("limit"))
     return pairs.groupBy("id").agg(F.min(F.struct("distance", "match")).alias("m")).select("id", F.col("m.match").alias("match"), F.col("m.distance").alias("distance"))
 
 
+def label_search(rows: DataFrame, key: str, label: str, term: str, share: float = 0.5) -> DataFrame:
+    """``rows`` whose label holds ``term``: those whose label is the term where there are any, else the first
+    floor(share * n) of all n hits, shorter labels first, then by ``key``. Numbered in ranges, not in one task."""
+    from .edges import running_number
+
+    hits = rows.where(F.contains(F.col(label), F.lit(term))).withColumn("__len", F.char_length(label))
+    exact = hits.where(F.col(label) == term)
+    if not exact.isEmpty():
+        return exact.drop("__len")
+    most = int(hits.count() * share)
+    return running_number(hits, ["__len", key]).where(F.col("n") <= most).drop("__len", "n")
+
+
 def disambiguate(contexts: DataFrame, candidates: DataFrame) -> DataFrame:
     """(id, candidate): the candidate (id, candidate, v) whose vector has the highest cosine with the context (id, v)."""
     c = contexts.select("id", unit(F.col("v")).alias("q"))

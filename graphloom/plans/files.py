@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..scratch import shared_dir
 from ..sources import catalogue, sinks, triples
 from . import twins
+from .joins import BOOKS_SQL, catalogue_books
 from .registry import query
 from .twins import TRIPLES_SQL
 
@@ -45,20 +46,35 @@ def s4(t):
     return triples.typed_labels(_labels(t))
 
 
-@query("s5_turtle_statistics", "select p_brand as file, count(*) as prefixes, 0::bigint as statements, count(*) as instances, (select count(*) from part) as labels, (select count(*) from part) as types, (select count(distinct p_partkey) from part) as subjects from part group by 1")
+@query("s5_turtle_statistics", "select p_brand as file, count(*) as prefixes, 0::bigint as statements, count(*) as instances, count(*) as labels, count(*) as types, count(distinct p_partkey) as subjects from part group by 1")
 def s5(t):
     return triples.turtle_statistics(_labels(t))
 
 
+@query("s1_discovered_catalogues", f"with {BOOKS_SQL} select book as textbook_id, count(distinct chapter) as chapters, count(section) as sections from books left join ch using (book) left join se using (chapter) group by 1")
+def s1(t):
+    books, root = catalogue_books(t), _folder(t, "catalogues")
+    places = {"primary": "primary/grade1/shang.json", "middle": "middle/grade7/xia.json", "high": "high/bixiu1/textbook.json"}
+    for stage, place in places.items():  # the layouts; each has its books in one folder, a file a book
+        books.where(F.col("stage") == stage).write.option("maxRecordsPerFile", 1).json(f"{root}/{place}")
+    books.write.json(f"{root}/primary/notes.json")  # no layout has this
+    tables = catalogue.flatten(catalogue.read_catalogues(t._spark, catalogue.discover(t._spark, root)))
+    per = lambda df, name: df.groupBy("textbook_id").agg(F.count("*").alias(name))
+    out = tables["textbooks"].select("textbook_id").join(per(tables["chapters"], "chapters"), "textbook_id", "left").join(per(tables["sections"], "sections"), "textbook_id", "left")
+    return out.select("textbook_id", F.coalesce("chapters", F.lit(0)).alias("chapters"), F.coalesce("sections", F.lit(0)).alias("sections"))
+
+
 @query("s6_repaired_tsv", "select 'http://kg.example/' || p_partkey::varchar as s, 'http://kg.example/p' as p, p_name || chr(10) || 'more' || chr(9) || p_type as o from part")
 def s6(t):
     first = F.concat(F.lit("http://kg.example/"), F.col("p_partkey").cast("string"), F.lit("\thttp://kg.example/p\t"), F.col("p_name"))
     return triples.repaired_tsv(lines_of(t.part, first, F.concat(F.lit("more\t"), F.col("p_type"))))
 
 
-@query("s12_exam_texts", "select conv_id::varchar as id, md5(string_agg(role || chr(10) || text, chr(10) order by turn, text)) as digest from conversations group by 1")
+@query("s12_exam_texts", "select conv_id::varchar as id, md5(string_agg(role || chr(10) || text || chr(10) || case when role = 'user' then 'first' else 'a' || chr(10) || role end, chr(10) order by turn, text)) as digest from conversations group by 1")
 def s12(t):
-    q = F.struct(F.lit("open").alias("type"), F.col("role").alias("passage"), F.col("text").alias("question"), F.lit(None).cast("array<string>").alias("choices"), F.lit(None).cast("array<string>").alias("answers"))
+    # what users say are open questions with two answers, the rest has choices
+    user = F.col("role") == "user"
+    q = F.struct(F.when(user, "open").otherwise("choice").alias("type"), F.col("role").alias("passage"), F.col("text").alias("question"), F.when(~user, F.array(F.lit("a"), "role")).alias("choices"), F.array(F.lit("first"), F.lit("second")).alias("answers"))
     exams = t.conversations.groupBy(F.col("conv_id").cast("string").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text", q.alias("q")))), lambda x: x["q"]).alias("Questions"))
     return catalogue.exam_texts(exams).select("id", F.md5("text").alias("digest"))
 

@@ -10,6 +10,7 @@ from ..operators import learner as L
 from ..operators import match as M
 from ..operators import report as R
 from ..operators import vote as V
+from ..sources import catalogue as CT
 from ..sources import pages as P
 from ..sources import sinks as S
 from ..sources import triples as TR
@@ -17,7 +18,7 @@ from . import twins
 from .registry import query
 from .twins import DECISIONS_SQL, PROGRESS_SQL, TRIPLES_SQL
 
-SYNONYMS = {"red": ["crimson"], "red ring": ["blue ring", "hot ring"]}
+SYNONYMS = {"red": ["crimson"], "red ring": ["blue ring", "hot ring"], "Red Bolt": ["cold gear"]}
 RELATED_SQL = "select distinct l_suppkey as src, l_partkey as dst from lineitem"
 
 
@@ -47,16 +48,30 @@ def s9(t):
     return S.last_wins(t.part, "p_name", "p_partkey", ["p_partkey"])
 
 
-@query("s2_flatten_contains", """select 'r' || r_regionkey::varchar as from_id, 'Textbook' as from_type, 'n' || n_nationkey::varchar as to_id, 'Chapter' as to_type from nation join region on n_regionkey = r_regionkey
-union all select 'n' || c_nationkey::varchar, 'Chapter', 'c' || c_custkey::varchar, 'Section' from customer""")
+def catalogue_books(t):
+    """Nested books as a catalogue has them: a region is a book, a nation a chapter, a customer a section."""
+    point = F.array("c_mktsegment", "c_name")
+    section = F.struct(F.col("c_custkey").cast("int").alias("section_order"), F.col("c_name").alias("section_name"), point.alias("knowledge_points"))
+    sections = t.customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.collect_list(section).alias("sections"))
+    chapter = F.struct(F.col("n_nationkey").cast("int").alias("chapter_order"), F.col("n_name").alias("chapter_name"), "sections")
+    chapters = t.nation.join(sections, "n_nationkey", "left").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.collect_list(chapter).alias("chapters"))
+    books = t.region.join(chapters, "r_regionkey", "left")
+    grade = F.concat(F.lit("g"), F.col("r_regionkey").cast("string"))
+    text = lambda x: F.lit(x).cast("string")
+    return books.select(text("math").alias("subject"), F.element_at(F.array(*map(F.lit, ("primary", "primary", "middle", "middle", "high"))), (F.col("r_regionkey") % 5 + 1).cast("int")).alias("stage"), grade.alias("grade"), text(None).alias("semester"), F.col("r_name").alias("publisher"), text("1").alias("edition"), text(None).alias("source_url"), "chapters")
+
+
+BOOKS_SQL = "books as (select r_regionkey, r_name || '-g' || r_regionkey::varchar as book from region), ch as (select book, n_nationkey, book || '-' || n_nationkey::varchar as chapter from books join nation on n_regionkey = r_regionkey), se as (select chapter, c_mktsegment, c_name, chapter || '-' || c_custkey::varchar as section from ch join customer on c_nationkey = n_nationkey)"
+
+
+@query("s2_flatten_contains", f"with {BOOKS_SQL} select book as from_id, 'Textbook' as from_type, chapter as to_id, 'Chapter' as to_type, 'CONTAINS' as relation_type from ch union all select chapter, 'Chapter', section, 'Section', 'CONTAINS' from se")
 def s2(t):
-    # nested first, as a catalogue is, then flattened
-    sections = t.customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.collect_list(F.concat(F.lit("c"), F.col("c_custkey").cast("string"))).alias("sections"))
-    chapters = t.nation.join(sections, "n_nationkey", "left").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), "sections")).alias("chapters"))
-    ch = chapters.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("tb"), F.explode_outer("chapters").alias("c"))
-    up = ch.select(F.col("tb").alias("from_id"), F.lit("Textbook").alias("from_type"), F.col("c.id").alias("to_id"), F.lit("Chapter").alias("to_type"))
-    down = ch.select(F.col("c.id").alias("from_id"), F.lit("Chapter").alias("from_type"), F.explode("c.sections").alias("to_id"), F.lit("Section").alias("to_type"))
-    return up.unionByName(down)
+    return CT.flatten(catalogue_books(t))["contains"]
+
+
+@query("s2_flatten_points", f"with {BOOKS_SQL} select c_mktsegment as label, section as section_id, 0 as point_pos from se union all select c_name, section, 1 from se")
+def s2b(t):
+    return CT.flatten(catalogue_books(t))["points"].select("label", "section_id", "point_pos")
 
 
 @query("s7_valid_triples", TRIPLES_SQL + ", more as (select s, p, o from triples union all select r_name, 'p', 'o' from region) select bool_and(starts_with(s, 'http') and starts_with(p, 'http') and o is not null) as ok from more")
@@ -123,10 +138,12 @@ def s26(t):
     return P.links(t.pages)
 
 
-@query("j2_synonym_match", "with " + ITEMS_SQL + """, syn(a, b) as (values ('red', 'crimson'), ('crimson', 'red'), ('red ring', 'blue ring'), ('red ring', 'hot ring'), ('blue ring', 'red ring'), ('hot ring', 'red ring')),
-k as (select id, replace(label, ' ', '') as w from items), c as (select replace(label, ' ', '') as w, min(ord) as ord from dict group by 1),
-x as (select id, w from k union select id, replace(b, ' ', '') from k join syn on w = a)
-select i.id, i.label, h.concept from items i left join (select id, min(ord) as concept from x join c using (w) group by 1) h using (id)""")
+SYN_SQL = "syn(a, b) as (select x.w, y.w from (values (1, 'red'), (1, 'crimson'), (2, 'redring'), (2, 'bluering'), (2, 'hotring'), (3, 'redbolt'), (3, 'coldgear')) x(g, w) join (values (1, 'red'), (1, 'crimson'), (2, 'redring'), (2, 'bluering'), (2, 'hotring'), (3, 'redbolt'), (3, 'coldgear')) y(g, w) on x.g = y.g and x.w <> y.w)"
+MATCHED_SQL = "with " + ITEMS_SQL + ", " + SYN_SQL + """, k as (select id, lower(replace(label, ' ', '')) as w from items), c as (select lower(replace(label, ' ', '')) as w, min(ord) as ord from dict group by 1),
+x as (select id, w from k union select id, b from k join syn on w = a), exact as (select i.id, i.label, h.concept from items i left join (select id, min(ord) as concept from x join c using (w) group by 1) h using (id))"""
+
+
+@query("j2_synonym_match", MATCHED_SQL + " select id, label, concept from exact")
 def j2(t):
     return M.by_synonyms(items(t), dictionary(t), SYNONYMS)
 
@@ -201,7 +218,7 @@ def j28(t):
     return g.select("id", "term", F.size("places").cast("long").alias("n"), F.col("places")[0]["start"].alias("first"))
 
 
-@query("j29_fuzzy_linking", "with i as (select distinct p_name as id, replace(p_name, 'e', '') as label from part), d as (select distinct p_name as match from part), x as (select id, match, levenshtein(label, match)::int as distance from i join d on label[1:1] = match[1:1] where levenshtein(label, match) <= case when length(label) <= 2 then 0 when length(label) <= 5 then 1 else 2 end) select id, match, distance from (select *, row_number() over (partition by id order by distance, match) as n from x) where n = 1")
+@query("j29_fuzzy_linking", "with i as (select distinct p_name as id, replace(p_name, 'e', '') as label from part), d as (select distinct p_name as match from part), x as (select id, match, levenshtein(label, match)::int as distance from i join d on levenshtein(label, match) <= case when length(label) <= 2 then 0 when length(label) <= 5 then 1 else 2 end) select id, match, distance from (select *, row_number() over (partition by id order by distance, match) as n from x) where n = 1")
 def j29(t):
     d = t.part.select(F.col("p_name").alias("label")).distinct()
     return M.fuzzy(d.select(F.col("label").alias("id"), F.regexp_replace("label", "e", "").alias("label")), d)
@@ -281,10 +298,11 @@ def j22(t):
     return E.with_content(t.supplier.select(F.col("s_suppkey").alias("uri")), t.part.where("p_size > 20").select(F.col("p_partkey").alias("uri"), F.col("p_name").alias("content")))
 
 
-@query("j23_same_label", "select a.p_name as label, a.p_partkey as a_uri, b.p_partkey as b_uri from part a join part b on a.p_name = b.p_name and a.p_partkey <> b.p_partkey where a.p_size > 40 and b.p_size < 10")
+@query("j23_same_label", "select a.p_name as label, a.p_partkey as a_uri, b.p_partkey as b_uri from part a join part b on a.p_name = b.p_name and a.p_partkey <> b.p_partkey and a.p_brand = b.p_brand where a.p_size > 25 and b.p_size <= 25")
 def j23(t):
-    c = t.part.select(F.col("p_partkey").alias("uri"), F.col("p_name").alias("label"), "p_size")
-    return E.same_label(c.where("p_size > 40"), c.where("p_size < 10"))
+    # two graphs that make up the table
+    c = t.part.select(F.col("p_partkey").alias("uri"), F.concat_ws("|", "p_brand", "p_name").alias("label"), "p_size")
+    return E.same_label(c.where("p_size > 25"), c.where("p_size <= 25")).withColumn("label", F.element_at(F.split("label", r"\|"), 2))
 
 
 @query("j24_l19_compared_metrics", "with a as (select p_type as metric, count(*) as value from part where p_size > 10 group by 1), b as (select p_type as metric, count(*) as value from part where p_size < 40 group by 1) select metric, coalesce(a.value, 0) as a, coalesce(b.value, 0) as b, coalesce(a.value, 0) - coalesce(b.value, 0) as diff, coalesce(a.value, 0) = coalesce(b.value, 0) as ok from a full join b using (metric)")
@@ -338,11 +356,12 @@ def j35b(t):
     return E.class_pairs(t.events.select(F.col("user_id").alias("node"), F.col("event_type").alias("cls")))
 
 
-@query("j36_j42_labelled_edges", "select e.src, e.dst, s_name as src_label, p_name as dst_label from (" + RELATED_SQL + ") e left join supplier on src = s_suppkey left join part on dst = p_partkey and p_size > 10")
+@query("j36_j42_labelled_edges", "select e.src, e.dst, s_name as src_label, p_name as dst_label from (" + RELATED_SQL + ") e left join supplier on src = s_suppkey left join part on -1 - dst = -1 - p_partkey and p_size > 10")
 def j36(t):
-    a = t.supplier.select(F.col("s_suppkey").alias("src"), F.col("s_name").alias("src_label"))
-    b = t.part.where("p_size > 10").select(F.col("p_partkey").alias("dst"), F.col("p_name").alias("dst_label"))
-    return twins.related(t).join(a, "src", "left").join(b, "dst", "left").select("src", "dst", "src_label", "dst_label")
+    # suppliers and parts in one table of nodes: the parts have the keys below 0
+    nodes = t.supplier.select(F.col("s_suppkey").alias("node"), F.col("s_name").alias("label")).union(t.part.where("p_size > 10").select(-1 - F.col("p_partkey"), "p_name"))
+    out = E.with_labels(twins.related(t).withColumn("dst", -1 - F.col("dst")), nodes)
+    return out.select("src", (-1 - F.col("dst")).alias("dst"), "src_label", "dst_label")
 
 
 @query("j37_recommend", "with have as (select distinct user_id % 20 as usr, l.l_partkey as node from events e join lineitem l on l.l_orderkey = e.event_id), e as (select distinct a.l_partkey as src, b.l_partkey as dst from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey), w as (select usr, dst as node, count(*) as ways from have join e on node = src group by 1, 2) select usr as \"user\", node, ways, rank from (select *, row_number() over (partition by usr order by ways desc, node) as rank from w anti join have using (usr, node)) where rank <= 5")
@@ -358,10 +377,11 @@ def j38(t):
     return L.latest(twins.progress(t)).where("status = 'mastered'").join(t.part, F.col("entity") == F.col("p_partkey")).select("user", "entity", "status", F.col("p_name").alias("label"))
 
 
-@query("j39_reviewed", "select event_id as src, 'MATCHES' as rel_type, user_id as dst from events where event_type = 'purchase'")
+@query("j39_reviewed", "select 'edge' as kind, event_id as key, 'MATCHES' as label from events where event_type = 'purchase' union all select 'node', event_id, event_type from events where event_type = 'signup'")
 def j39(t):
     r = t.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("concept"), F.when(F.col("event_type") == "purchase", "approved").when(F.col("event_type") == "signup", "new_kp").otherwise("pending").alias("status"), F.col("event_type").alias("label"))
-    return E.reviewed(r)[0]
+    edges, nodes = E.reviewed(r)
+    return edges.select(F.lit("edge").alias("kind"), F.col("src").alias("key"), F.col("rel_type").alias("label")).unionByName(nodes.select(F.lit("node").alias("kind"), F.col("uri").alias("key"), "label"))
 
 
 @query("j40_same_as", TRIPLES_SQL + " select s, o from triples where p = 'http://kg.example/p/source' and o in (select 'http://kg.example/source/src' || r_regionkey::varchar from region)")
@@ -383,18 +403,28 @@ def j43(t):
     return E.class_ids(c, old, new, "default")
 
 
-@query("v12_match_table")
+def judged(t):
+    """Candidates of parts with a recorded judgement, one a concept: distinct rows of lineitem."""
+    c = t.lineitem.groupBy(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("concept")).agg(F.max(F.struct("l_quantity", F.col("l_returnflag"))).alias("x"))
+    return c.select("id", "concept", F.round(F.col("x.l_quantity") / 50, 6).alias("similarity"), (F.col("x.l_returnflag") == "R").alias("accepted"))
+
+
+@query("v12_match_table", MATCHED_SQL + """, cand as (select l_partkey as id, l_suppkey as concept, round(l_quantity / 50, 6) as similarity, l_returnflag = 'R' as accepted, row_number() over (partition by l_partkey, l_suppkey order by l_quantity desc, l_returnflag desc) as n from lineitem),
+r as (select *, row_number() over (partition by id order by similarity desc, concept) as rank from cand where n = 1 and similarity >= 0.5), g as (select id, min(rank) filter (where accepted) as yes, min(rank) as top from r where rank <= 3 group by id),
+picked as (select g.id, r.concept, r.similarity, yes is not null as accepted from g join r on r.id = g.id and r.rank = coalesce(yes, top))
+select e.id, e.label, coalesce(e.concept, p.concept) as concept, case when e.concept is not null then 'exact_match' when p.accepted then 'llm_vote' when p.id is not null then 'candidate_review' else 'none' end as method, (e.concept is not null or coalesce(p.accepted, false)) as matched, case when e.concept is not null then 1.0::double else p.similarity end as similarity from exact e left join picked p using (id)""")
 def v12(t):
-    it, d = items(t), dictionary(t)
-    sim = M.char_similarity(it.select("label").distinct().select(F.col("label").alias("id"), "label"), d, 3).withColumnRenamed("score", "similarity")
-    cand = it.join(sim.withColumnRenamed("id", "label"), "label").select("id", "concept", "similarity", (F.col("similarity") >= 0.9).alias("accepted"))
-    return M.match_table(it, M.by_synonyms(it, d, SYNONYMS), M.early_stop(cand))
+    it = items(t)
+    return M.match_table(it, M.by_synonyms(it, dictionary(t), SYNONYMS), M.early_stop(judged(t)))
 
 
 @query("v1_v2_vote", DECISIONS_SQL + """ select doc_id, d1, c1, d2, c2, case when d1 = d2 then true else 0.4::double * d1::int + 0.6::double * d2::int > 0.5 end as consensus, case when d1 = d2 then d1 when d2 then true end as result,
 round(case when d1 = d2 then (c1 + c2) / 2 when d2 then c2 * 0.7::double else 0::double end, 6) as confidence from pairs""")
 def v1(t):
-    return V.consensus(twins.decisions(t))
+    # one row per response, as they are recorded, paired first
+    d = twins.decisions(t)
+    of = lambda model, k: d.select(F.col("doc_id").alias("item_key"), F.lit(model).alias("model"), F.col(f"d{k}").alias("decision"), F.col(f"c{k}").alias("confidence"))
+    return V.consensus(V.pivot_responses(of("a", 1).unionByName(of("b", 2)), "a", "b")).withColumnRenamed("item_key", "doc_id")
 
 
 @query("v3_list_consensus", DECISIONS_SQL + " select doc_id, (d1 and d2) as consensus, case when d1 and d2 then ['a'] end as result, case when d1 and d2 then (c1 + c2) / 2 else 0::double end as confidence from pairs")
@@ -469,11 +499,11 @@ def a25(t):
     return L.status_counts(twins.progress(t))
 
 
-@query("u1_label_sets", "select label, 'common' as side from (select p_name as label from part where p_size > 25 intersect select p_name from part where p_size < 10) union all select label, 'only_first' from (select p_name as label from part where p_size > 45 except select p_name from part where p_size < 5)")
+@query("u1_label_sets", "select label, 'common' as side from (select p_brand || p_name as label from part where p_size > 25 intersect select p_brand || p_name from part where p_size <= 25) union all select label, 'only_first' from (select p_brand || p_name as label from part where p_size > 25 except select p_brand || p_name from part where p_size <= 25)")
 def u1(t):
-    f = lambda c: t.part.where(c).select(F.col("p_name").alias("label"))
-    both = f("p_size > 25").intersect(f("p_size < 10")).withColumn("side", F.lit("common"))
-    return both.unionByName(f("p_size > 45").subtract(f("p_size < 5")).withColumn("side", F.lit("only_first")))
+    f = lambda c: t.part.where(c).select(F.concat("p_brand", "p_name").alias("label"))
+    both = f("p_size > 25").intersect(f("p_size <= 25")).withColumn("side", F.lit("common"))
+    return both.unionByName(f("p_size > 25").subtract(f("p_size <= 25")).withColumn("side", F.lit("only_first")))
 
 
 @query("u2_edge_families", "select 'contains' as family, count(*) as n from nation union all select 'related', count(*) from (" + RELATED_SQL + ")")
@@ -538,9 +568,10 @@ def l14(t):
     return L.by_subject(twins.progress(t))
 
 
-@query("l15_enriched_entities", "select s_suppkey as node, s_name as label, n_name || ' ' || s_name as context from supplier join nation on s_nationkey = n_nationkey")
+@query("l15_enriched_entities", "with e as (select s_suppkey as src, -1 - s_nationkey as dst from supplier), lab as (select s_suppkey as node, s_name as label from supplier union all select -1 - n_nationkey, n_name from nation), nb as (select src as node, dst as other from e union select dst, src from e), ag as (select nb.node, list_sort(list(label)) as near from nb join lab on lab.node = other group by 1) select lab.node, label, coalesce(near, []) as neighbours, concat_ws(' ', label, array_to_string(list_transform(near, lambda x: substr(x, 1, 20)), ' ')) as context from lab left join ag using (node)")
 def l15(t):
-    return t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("node"), F.col("s_name").alias("label"), F.concat_ws(" ", "n_name", "s_name").alias("context"))
+    nodes = t.supplier.select(F.col("s_suppkey").alias("node"), F.col("s_name").alias("label")).union(t.nation.select(-1 - F.col("n_nationkey"), "n_name"))
+    return E.enriched(nodes.select(F.col("node").alias("id"), "node"), nodes, t.supplier.select(F.col("s_suppkey").alias("src"), (-1 - F.col("s_nationkey")).alias("dst"))).select("node", "label", "neighbours", "context")
 
 
 @query("l16_textbook_context", "select distinct l_partkey as concept, r_name as textbook from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions import text as T
 from ..operators import edges as E
+from ..operators import match as M
 from ..operators import report as R
 from . import twins
 from .registry import query
@@ -15,15 +17,37 @@ from .twins import TRIPLES_SQL
 COLOURS = {"warm": ["red", "hot"], "cool": ["blue", "cold"]}
 
 
-@query("f1_valid_points", "select p_partkey, p_name, not (trim(p_name) = '' or trim(p_name) in ('red widget', 'blue bolt') or starts_with(trim(p_name), 'hot ') or regexp_matches(trim(p_name), '^[0-9]+$')) as valid from part")
+LISTED = rules.NON_POINT_LABELS
+VALID_SQL = f"""not (x = '' or x in ({", ".join(f"'{w}'" for w in LISTED)}) or {" or ".join(f"starts_with(x, '{w.strip()}')" if w.strip() == w else f"starts_with(x, '{w}')" for w in rules.NON_POINT_PREFIXES)}
+or regexp_matches(x, '^例[0-9]') or regexp_matches(x, '^第[一二三四五六七八九十0-9]+章') or regexp_matches(x, '^[0-9]+([.][0-9]+)*$'))"""
+#: Parts under names that the rule takes out by each of its branches, and their own.
+POINTS_SQL = f"""points as (select p_partkey, trim(case p_partkey % 10 when 1 then p_size::varchar || '.' || (p_partkey % 7)::varchar when 2 then '1.' || p_size::varchar || '.3' when 3 then p_size::varchar when 4 then '例' || p_size::varchar || ' ' || p_name
+when 5 then '第' || p_size::varchar || '章 ' || p_name when 6 then ' ' || list_extract([{", ".join(f"'{w}'" for w in LISTED)}], (p_size % {len(LISTED)} + 1)::int) || ' ' when 7 then list_extract([{", ".join(f"'{w}'" for w in rules.NON_POINT_PREFIXES)}], (p_size % {len(rules.NON_POINT_PREFIXES)} + 1)::int) || p_name when 8 then '1.' || p_name else p_name end) as x from part)"""
+
+
+def points(t):
+    n = F.col("p_size").cast("string")
+    listed, prefixes = (F.array(*[F.lit(w) for w in words]) for words in (rules.NON_POINT_LABELS, rules.NON_POINT_PREFIXES))
+    at = lambda words: F.get(words, (F.col("p_size") % F.size(words)).cast("int"))
+    kinds = [
+        F.concat(n, F.lit("."), (F.col("p_partkey") % 7).cast("string")), F.concat(F.lit("1."), n, F.lit(".3")), n, F.concat(F.lit("例"), n, F.lit(" "), "p_name"),
+        F.concat(F.lit("第"), n, F.lit("章 "), "p_name"), F.concat(F.lit(" "), at(listed), F.lit(" ")), F.concat(at(prefixes), "p_name"), F.concat(F.lit("1."), "p_name"),
+    ]
+    label = F.col("p_name")
+    for k, kind in enumerate(kinds):
+        label = F.when(F.col("p_partkey") % 10 == k + 1, kind).otherwise(label)
+    return t.part.select("p_partkey", label.alias("label"))
+
+
+@query("f1_valid_points", f"with {POINTS_SQL} select p_partkey, {VALID_SQL} as valid from points")
 def f1(t):
-    return t.part.select("p_partkey", "p_name", T.is_valid_point(F.col("p_name"), ["red widget", "blue bolt"], ["hot "]).alias("valid"))
+    return points(t).select("p_partkey", T.is_valid_point(F.col("label")).alias("valid"))
 
 
-@query("f2_filter_stats", "select count(*) as total, count(*) filter (where not v) as removed, count(distinct p_name) filter (where not v) as removed_labels from (select p_name, not (p_name in ('red widget', 'blue bolt') or starts_with(p_name, 'hot ')) as v from part)")
+@query("f2_filter_stats", f"with {POINTS_SQL} select count(*) as total, count(*) filter (where not v) as removed, count(distinct x) filter (where not v) as removed_labels from (select x, {VALID_SQL} as v from points)")
 def f2(t):
-    v = T.is_valid_point(F.col("p_name"), ["red widget", "blue bolt"], ["hot "])
-    return t.part.agg(F.count("*").alias("total"), F.count_if(~v).alias("removed"), F.count_distinct(F.when(~v, F.col("p_name"))).alias("removed_labels"))
+    v = T.is_valid_point(F.col("label"))
+    return points(t).agg(F.count("*").alias("total"), F.count_if(~v).alias("removed"), F.count_distinct(F.when(~v, F.trim("label"))).alias("removed_labels"))
 
 
 @query("f3_f4_clean_sections", """select p_partkey, p_size::varchar || '.' || (p_partkey % 7)::varchar || '-' || p_name || ':' as original_label, p_name as label, p_size::varchar || '.' || (p_partkey % 7)::varchar as order_in_book, true as cleaned from part""")
@@ -168,9 +192,9 @@ def f30(t):
     return e.join(g, e.dst == g.g, "left_anti").agg(F.count("*").alias("n"))
 
 
-@query("f31_version_tags", "select page_id, case when contains(url, '?') then '0.2' else '0.1' end as version from pages")
+@query("f31_version_tags", "select page_id, case when contains(url, 'www') then '0.2' when contains(url, 'example') then '0.1' else 'none' end as version from pages")
 def f31(t):
-    return t.pages.select("page_id", F.when(F.contains("url", F.lit("?")), "0.2").otherwise("0.1").alias("version"))
+    return t.pages.select("page_id", T.version_tag(F.col("url"), {"0.2": "www", "0.1": "example"}).alias("version"))
 
 
 @query("f32_spans", r"select doc_id, count(*) as n from (select doc_id, trim(unnest(string_split_regex(text, '[。，.\n]')), ' ') as x from documents) where x <> '' group by doc_id")
@@ -194,15 +218,11 @@ def f35(t):
     return t.part.where(F.contains(F.lower("p_name"), F.lower(F.lit("Ring"))) & (F.col("p_type") == "SMALL")).select("p_partkey", "p_name").orderBy("p_name", "p_partkey").limit(10)
 
 
-@query("f36_fuzzy_search", "select p_partkey, p_name from (select *, percent_rank() over (order by length(p_name)) as r from part where contains(p_name, 'ring')) where r <= 0.5")
+@query("f36_fuzzy_search", "with h as (select 'ring' as term, p_partkey, p_name, row_number() over (order by length(p_name), p_partkey) as n, count(*) over () as total from part where contains(p_name, 'ring')) select term, p_partkey, p_name from h where n <= floor(total * 0.5) union all select 'red ring', p_partkey, p_name from part where p_name = 'red ring'")
 def f36(t):
-    # the best half by length: the cut is a length, found from the histogram of lengths
-    hits = t.part.where(F.contains("p_name", F.lit("ring"))).select("p_partkey", "p_name", F.char_length("p_name").alias("len"))
-    h = hits.groupBy("len").agg(F.count("*").alias("n"))
-    w = Window.orderBy("len").rowsBetween(Window.unboundedPreceding, -1)  # a row per length
-    cut = h.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(1))))
-    ok = cut.where(F.col("before") <= 0.5 * (F.col("all") - 1)).select("len")
-    return hits.join(F.broadcast(ok), "len", "left_semi").select("p_partkey", "p_name")
+    # no label is just the first term; some are the second, and only these are found
+    find = lambda term: M.label_search(t.part.select("p_partkey", "p_name"), "p_partkey", "p_name", term).withColumn("term", F.lit(term))
+    return find("ring").unionByName(find("red ring"))
 
 
 @query("f37_constant", "select s_suppkey, s_name, 'math' as subject from supplier")
@@ -352,10 +372,12 @@ def a32(t):
     return R.stratified_folds(t.part.select("p_partkey", "p_type"), "p_type", "p_partkey", 5)
 
 
-@query("a33_freshness", "select true as fresh, count(*) as stored_rows, count(*) as now_rows from part")
+@query("a33_freshness", "select 'same' as which, true as fresh, count(*) as stored_rows, count(*) as now_rows from part union all select 'changed', false, count(*), count(*) from part union all select 'fewer', false, count(*), count(*) filter (where p_partkey > 0) from part")
 def a33(t):
     c = twins.concepts(t)
-    return R.freshness(c, c.repartition(7))
+    changed = c.withColumn("label", F.when(F.col("uri") == 0, F.concat("label", F.lit("!"))).otherwise(F.col("label")))
+    of = lambda name, now: R.freshness(c, now).select(F.lit(name).alias("which"), "fresh", "stored_rows", "now_rows")
+    return of("same", c.repartition(7)).unionByName(of("changed", changed)).unionByName(of("fewer", c.where("uri > 0")))
 
 
 @query("w1_running_number", "select p_partkey, row_number() over (order by p_name, p_partkey) as n from part")
@@ -387,9 +409,15 @@ def w8(t):
     return c.select("doc", "chunk", "first", "last", F.md5("text").alias("digest"))
 
 
-@query("w9_pack_paragraphs")
+@query("w9_pack_paragraphs", r"""with recursive t as (select doc_id, replace(text, chr(10), chr(10) || chr(10)) as text from documents where text is not null),
+p as (select doc_id, unnest(string_split(text, chr(10) || chr(10))) as p, unnest(range(len(string_split(text, chr(10) || chr(10))))) as i from t where length(text) > 8000),
+r(doc_id, i, part, used) as (select doc_id, 0::bigint, 0::bigint, length(p) + 2 from p where i = 0 union all select r.doc_id, p.i, case when used + length(p) + 2 <= 8000 then part else part + 1 end, case when used + length(p) + 2 <= 8000 then used + length(p) + 2 else length(p) + 2 end from r join p on p.doc_id = r.doc_id and p.i = r.i + 1),
+x as (select doc_id, part, regexp_replace(string_agg(p, chr(10) || chr(10) order by i), '^\s+|\s+$', '', 'g') as text from r join p using (doc_id, i) group by 1, 2 union all select doc_id, 0, text from t where length(text) <= 8000)
+select doc_id, part::int as part, length(text)::int as n_chars, md5(text) as digest from x""")
 def w9(t):
-    return t.documents.select("doc_id", F.posexplode(E.pack_paragraphs(F.col("text"), 2000)).alias("part", "text")).select("doc_id", "part", F.char_length("text").alias("n_chars"), F.md5("text").alias("digest"))
+    # lines stand for paragraphs
+    text = F.regexp_replace("text", "\n", "\n\n")
+    return t.documents.select("doc_id", F.posexplode(E.pack_paragraphs(text)).alias("part", "text")).select("doc_id", "part", F.char_length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 @query("w10_batches", "select p_partkey, (row_number() over (order by p_partkey) - 1) // 50 as batch from part")

@@ -85,7 +85,7 @@ def g11(t):
     return G.lowest_common(twins.heap(t), _pairs(t))
 
 
-@query("g12_common_scores")
+@query("g12_common_scores", LCA_SQL + ", d(node, depth) as (select 0::bigint, 0 union all select dst, depth + 1 from d join heap on node = src), kids as (select src, count(*) as kids from heap group by 1) select ancestor, round(sum(169.0::double / (da * db) * ln(depth::double) / kids), 6) as score from c join d on ancestor = d.node join kids on ancestor = src where greatest(da, db) = best and da > 0 and db > 0 and depth > 0 group by 1")
 def g12(t):
     return G.common_scores(twins.heap(t), _pairs(t))
 
@@ -132,9 +132,17 @@ def l12(t):
     return G.neighbourhood(twins.heap(t), t.part.where("p_size = 50").select(F.col("p_partkey").alias("seed")), 3)[1].agg(F.count("*").alias("n"))
 
 
-@query("l13_subject_tree", "select r_name as subject, list_sort(list(n_name)) as children from region join nation on r_regionkey = n_regionkey group by 1")
+@query("l13_subject_tree", HEAP_SQL + ", two as (select src, '[' || string_agg('{\"node\":' || dst::varchar || '}', ',' order by dst) || ']' as kids from heap group by 1), one as (select h.src, '[' || string_agg('{\"node\":' || dst::varchar || ',\"children\":' || coalesce(kids, '[]') || '}', ',' order by dst) || ']' as kids from heap h left join two on two.src = dst group by 1) select p_partkey as node, '{\"node\":' || p_partkey::varchar || ',\"children\":' || coalesce(kids, '[]') || '}' as tree from part left join one on src = p_partkey")
 def l13(t):
-    return t.region.join(t.nation, F.col("r_regionkey") == F.col("n_regionkey")).groupBy(F.col("r_name").alias("subject")).agg(F.sort_array(F.collect_list("n_name")).alias("children"))
+    return G.nested_tree(twins.heap(t), t.part.select(F.col("p_partkey").alias("node")), 2).select("node", F.to_json("tree").alias("tree"))
+
+
+@query("g2_depth_with_cycles", "with recursive h as (select (p_partkey - 1) // 2 as src, p_partkey as dst from part where p_partkey > 0), bad(node) as (select p_partkey from part where p_partkey % 50 = 1 and p_partkey * 2 + 1 in (select p_partkey from part) union select dst from bad join h on node = src), d(node, depth) as (select 0::bigint, 0 union all select dst, depth + 1 from d join h on node = src) select d.node, case when bad.node is null then depth end as depth from d left join bad on d.node = bad.node")
+def g2c(t):
+    # some parts' first child leads back to them: these, their child and all below have no longest path
+    h = twins.heap(t)
+    back = h.where("src % 50 = 1 and dst = src * 2 + 1").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return G.depth(h.union(back))
 
 
 @query("t1_progress_upsert", PROGRESS_SQL + ' select "user", entity, status, score from latest')
@@ -165,8 +173,23 @@ def t2(t):
     return ST.pending(t.events.select("event_id"), t.events.where("event_type = 'purchase'").select("event_id"), "event_id")
 
 
-@query("t3_cache_ttl", "select event_id, value from events where ts > timestamp '2024-01-15'")
+@query("t2_resumed_stream", "select distinct user_id, event_type from events")
+def t2b(t):
+    from ..streaming import progress as ST
+
+    return ST.resumed(t._spark, f"{t._dir}/events.parquet", ["user_id", "event_type"])
+
+
+@query("t3_purge", "select count(*) filter (where ts > (select max(ts) from events) - interval 7 days) as kept, count(*) filter (where ts <= (select max(ts) from events) - interval 7 days) as removed from events")
+def t3b(t):
+    from ..streaming import progress as ST
+
+    kept, counts = ST.purge(t.events, "ts", "7 days")
+    return kept.agg(F.count("*").alias("kept")).join(counts, "kept")  # what was written is what was counted
+
+
+@query("t3_cache_ttl", "select event_id, value from events where ts > (select max(ts) from events) - interval 7 days")
 def t3(t):
     from ..streaming import progress as ST
 
-    return ST.alive(t.events, "ts", "2024-01-15").select("event_id", "value")
+    return ST.alive(t.events, "ts", "7 days").select("event_id", "value")

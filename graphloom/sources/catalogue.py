@@ -9,7 +9,19 @@ from .. import schemas
 from ..functions import text as T
 
 
-def read_catalogues(spark: SparkSession, glob: str) -> DataFrame:
+# Where a folder of catalogues has its books
+LAYOUTS = ["primary/grade*/shang.json", "primary/grade*/xia.json", "middle/grade*/shang.json", "middle/grade*/xia.json", "high/bixiu*/textbook.json"]
+
+
+def discover(spark: SparkSession, root: str) -> list[str]:
+    """Those of the layouts under ``root`` that have a book, as globs for ``read_catalogues``."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    globs = [f"{root}/{x}" for x in LAYOUTS]
+    return [g for g in globs if len(fs.globStatus(jvm.org.apache.hadoop.fs.Path(g)) or ())]
+
+
+def read_catalogues(spark: SparkSession, glob: str | list[str]) -> DataFrame:
     """One row per book, with the file it came from."""
     return spark.read.schema(schemas.CATALOGUE).option("multiLine", True).json(glob).withColumn("file", F.input_file_name())
 

@@ -40,22 +40,23 @@ def linked_objects(lines: DataFrame, predicates=("partOf", "belongsTo")) -> Data
     return tagged.where("subject is not null").select("subject", pairs.alias("x")).select("x.relation", "subject", "x.object")
 
 
-def typed_labels(lines: DataFrame) -> DataFrame:
-    """(subject, kind, value, language) of types and labels; a label without a tag is in ``zh``."""
+def typed_labels(lines: DataFrame, *keep: str) -> DataFrame:
+    """(subject, kind, value, language) of types and labels, with the columns of ``lines`` to ``keep``; a label without
+    a tag is in ``zh``."""
     subject = F.regexp_extract("text", r"^<([^>]+)>", 1)
-    types = lines.select(subject.alias("subject"), F.lit("type").alias("kind"), F.explode(F.regexp_extract_all("text", F.lit(r"(?:rdf:type|\sa)\s+<([^>]+)>"), 1)).alias("value"), F.lit(None).cast("string").alias("language"))
-    label = lines.select(subject.alias("subject"), F.explode(F.regexp_extract_all("text", F.lit(r'label\s+("[^"]*"(?:@[a-z]+)?)'), 1)).alias("x"))
+    types = lines.select(*keep, subject.alias("subject"), F.lit("type").alias("kind"), F.explode(F.regexp_extract_all("text", F.lit(r"(?:rdf:type|\sa)\s+<([^>]+)>"), 1)).alias("value"), F.lit(None).cast("string").alias("language"))
+    label = lines.select(*keep, subject.alias("subject"), F.explode(F.regexp_extract_all("text", F.lit(r'label\s+("[^"]*"(?:@[a-z]+)?)'), 1)).alias("x"))
     tag = F.regexp_extract("x", "@([a-z]+)$", 1)
-    labels = label.select("subject", F.lit("label").alias("kind"), F.regexp_extract("x", '^"([^"]*)"', 1).alias("value"), F.when(tag == "", "zh").otherwise(tag).alias("language"))
+    labels = label.select(*keep, "subject", F.lit("label").alias("kind"), F.regexp_extract("x", '^"([^"]*)"', 1).alias("value"), F.when(tag == "", "zh").otherwise(tag).alias("language"))
     return types.unionByName(labels).where("subject <> ''")
 
 
 def turtle_statistics(lines: DataFrame) -> DataFrame:
     """Per file: prefixes, labels, types, distinct subjects, statements and instances."""
-    facts = typed_labels(lines.where(F.lit(True)))
+    facts = typed_labels(lines, "file")
     per = lines.groupBy("file").agg(F.count_if(F.startswith("text", F.lit("@prefix"))).alias("prefixes"), F.count_if(F.contains("text", F.lit("/statement/"))).alias("statements"), F.count_if(F.contains("text", F.lit("/instance/"))).alias("instances"))
-    of = facts.agg(F.count_if(F.col("kind") == "label").alias("labels"), F.count_if(F.col("kind") == "type").alias("types"), F.count_distinct("subject").alias("subjects"))
-    return per.crossJoin(F.broadcast(of))  # one row
+    of = facts.groupBy("file").agg(F.count_if(F.col("kind") == "label").alias("labels"), F.count_if(F.col("kind") == "type").alias("types"), F.count_distinct("subject").alias("subjects"))
+    return per.join(of, "file", "left").select("file", "prefixes", "statements", "instances", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("labels", "types", "subjects")])
 
 
 def repaired_tsv(lines: DataFrame) -> DataFrame:

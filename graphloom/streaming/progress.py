@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import shared_dir
+from ..scratch import shared_dir, write_table
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -23,28 +24,39 @@ def source(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("time", F.col("ts").cast("timestamp"))
 
 
-def _run(stream: DataFrame, each, mode: str = "update") -> None:
-    spark = stream.sparkSession
-    at = f"{shared_dir(spark)}/graphloom/stream-{uuid.uuid4().hex}"
+def _run(stream: DataFrame, each, mode: str = "update", at: str | None = None) -> None:
+    at = at or f"{shared_dir(stream.sparkSession)}/graphloom/stream-{uuid.uuid4().hex}"
     stream.writeStream.outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
 
 
-def upsert_stream(spark: SparkSession, path: str) -> DataFrame:
-    """(user, entity, status, score) with the last write per key: each micro-batch is folded into a table that is
-    written to a new path, so that a batch that runs twice changes nothing."""
-    base = f"{shared_dir(spark)}/graphloom/progress-{uuid.uuid4().hex}"
-    state = {"path": None}
+def upsert_stream(spark: SparkSession, path: str, state: str | None = None) -> DataFrame:
+    """(user, entity, status, score) with the last write per key. Each micro-batch writes only its own last writes,
+    under its number, so that one that runs twice changes nothing, and a reader takes the last over all batches.
+    ``state`` is the folder of the checkpoint and the batches: a stream that starts again on it goes on where it
+    ended. None: a folder of its own."""
+    base = state or f"{shared_dir(spark)}/graphloom/progress-{uuid.uuid4().hex}"
     status = F.when(F.col("event_type") == "purchase", "mastered").when(F.col("event_type").isin("click", "view"), "in_progress").otherwise("not_started")
     rows = source(spark, path).withWatermark("time", "1 day").select(F.col("user_id").alias("user"), F.get_json_object("props", "$.k").cast("long").alias("entity"), F.struct("ts", "event_id", status.alias("status"), F.floor("value").cast("long").alias("score")).alias("x"))
 
     def fold(batch: DataFrame, number: int) -> None:
-        s = batch.sparkSession
-        both = batch if state["path"] is None else batch.unionByName(s.read.parquet(state["path"]))
-        both.groupBy("user", "entity").agg(F.max("x").alias("x")).write.mode("overwrite").parquet(f"{base}/{number}")
-        state["path"] = f"{base}/{number}"
+        batch.groupBy("user", "entity").agg(F.max("x").alias("x")).write.mode("overwrite").parquet(f"{base}/batches/batch={number}")
 
-    _run(rows, fold, "append")
-    return spark.read.parquet(state["path"]).select("user", "entity", "x.status", "x.score")
+    _run(rows, fold, "append", f"{base}/checkpoint")
+    last = spark.read.parquet(f"{base}/batches").groupBy("user", "entity").agg(F.max("x").alias("x"))
+    return last.select("user", "entity", "x.status", "x.score")
+
+
+def resumed(spark: SparkSession, path: str, keys: list[str], state: str | None = None, within: str = "3650 days") -> DataFrame:
+    """The keys of a stream of events that a run met for the first time. The state is in the checkpoint under
+    ``state``: what an earlier run there has completed does not come again."""
+    base = state or f"{shared_dir(spark)}/graphloom/resume-{uuid.uuid4().hex}"
+    run = uuid.uuid4().hex
+    fresh = deduplicated(source(spark, path), keys, within).select(*keys)
+    _run(fresh, lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out-{run}/batch={n}"), "append", f"{base}/checkpoint")
+    try:
+        return spark.read.parquet(f"{base}/out-{run}").select(*keys)
+    except AnalysisException:  # no batch had anything to do
+        return spark.createDataFrame([], source(spark, path).select(*keys).schema)
 
 
 def cost_stream(spark: SparkSession, path: str, limit: int) -> DataFrame:
@@ -65,9 +77,9 @@ def window_stream(spark: SparkSession, path: str) -> DataFrame:
     return last.select(F.col("w.start").alias("day"), "event_type", "x.n")
 
 
-def deduplicated(stream: DataFrame, key: str, within: str = "1 day") -> DataFrame:
+def deduplicated(stream: DataFrame, keys: list[str], within: str = "1 day") -> DataFrame:
     """Each key once within the watermark, also after a restart, as the state is in the checkpoint."""
-    return stream.withWatermark("time", within).dropDuplicatesWithinWatermark([key])
+    return stream.withWatermark("time", within).dropDuplicatesWithinWatermark(keys)
 
 
 def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -75,6 +87,19 @@ def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
-def alive(cache: DataFrame, time: str, since: str) -> DataFrame:
-    """Cached rows that have not expired."""
-    return cache.where(F.col(time) > F.lit(since).cast("timestamp_ntz"))
+def alive(cache: DataFrame, time: str, ttl: str, now=None) -> DataFrame:
+    """Cached rows younger than ``ttl`` (an interval such as "7 days"); ``now`` is the time of the newest row unless stated."""
+    return _aged(cache, time, ttl, now).where("not expired").drop("expired")
+
+
+def purge(cache: DataFrame, time: str, ttl: str, now=None) -> tuple[DataFrame, DataFrame]:
+    """(kept, removed) by age: what stays in the cache is written anew, and one row counts both."""
+    aged = _aged(cache, time, ttl, now)
+    kept = write_table(aged.where("not expired").drop("expired"), "cache")
+    return kept, aged.agg(F.count_if(~F.col("expired")).alias("kept"), F.count_if("expired").alias("removed"))
+
+
+def _aged(cache: DataFrame, time: str, ttl: str, now) -> DataFrame:
+    newest = cache.agg((F.max(time) if now is None else F.lit(now).cast(cache.schema[time].dataType)).alias("__now"))  # one row
+    expired = ~F.coalesce(F.col(time) > F.col("__now") - F.expr(f"interval {ttl}"), F.lit(False))
+    return cache.crossJoin(F.broadcast(newest)).withColumn("expired", expired).drop("__now")

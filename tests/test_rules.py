@@ -11,7 +11,7 @@ def one(spark, value, f, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(f(F.col("x")).alias("y")).first().y
 
 
-@pytest.mark.parametrize("label,ok", [("加法", True), ("一元二次方程", True), ("小结", False), ("  ", False), (None, False), ("复习题1", False), ("例3 面积", False), ("第二章", False), ("12", False), ("阅读与思考　圆", False)])
+@pytest.mark.parametrize("label,ok", [("加法", True), ("一元二次方程", True), ("小结", False), ("  ", False), (None, False), ("复习题1", False), ("例3 面积", False), ("第二章", False), ("12", False), ("1.1", False), ("1.2.3", False), ("123", False), ("①", False), ("1.1 正数", True), ("3.", True), ("复习题一", False), ("阅读与思考　圆", False)])
 def test_valid_points(spark, label, ok):
     assert one(spark, label, T.is_valid_point) is ok
 
