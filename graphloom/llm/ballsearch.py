@@ -175,13 +175,14 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
         return pd.DataFrame({"shard": [key[0]], "centre": [tree.centres[0]], "radius": [tree.radii[0]], "tree": [pickle.dumps(tree, 5)]})
 
     trees = write_table(rows.groupBy("shard").applyInPandas(build, "shard long, centre array<double>, radius double, tree binary"), "trees")
+    shards = trees.count()
     blocks = max(1, -(-asked // query_rows))
     queries = held.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)))
 
     def reached(asking: DataFrame, home: bool) -> DataFrame:
         """query_id, shard, bound: each query's best shard, or all others whose root bound reaches its ``kth``. The stated
         queries meet the roots, which are shards and not rows, block by block."""
-        groups = -(-trees.count() // ROOTS)
+        groups = -(-shards // ROOTS)
         roots = trees.select("shard", "centre", "radius", F.pmod("shard", F.lit(groups)).alias("group"))
         a = asking.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
         r = roots.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
@@ -222,12 +223,17 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     first_asked = write_table(queries.join(home, "query_id"), "first-asked")
     found = write_table(look(first_asked.select("query_id", "q", F.lit(int(NONE)).alias("kth"), F.col("home").alias("shard"))), "found")
     carry = lambda df, f: df.join(kth_of(f), "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(int(NONE))))
+    top = lambda df: df.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    if shards == 1:
+        return top(found)
     # what is left for a query, best bound first: the next few now, the others with the kth score that these give
     left = reached(carry(first_asked, found), False)
     left = write_table(left.withColumn("turn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "shard"))), "left")
     vectors_of = first_asked.select("query_id", "q")
-    second = write_table(look(carry(left.where(F.col("turn") <= NEXT).join(vectors_of, "query_id"), found).select("query_id", "q", "kth", "shard")), "found")
+    second = look(carry(left.where(F.col("turn") <= NEXT).join(vectors_of, "query_id"), found).select("query_id", "q", "kth", "shard"))
+    if shards <= NEXT + 1:
+        return top(found.unionByName(second))
+    second = write_table(second, "found")
     both = found.unionByName(second)
     rest = carry(left.where(F.col("turn") > NEXT), both).where(F.col("bound") >= F.col("kth")).join(vectors_of, "query_id")
-    out = both.unionByName(look(rest.select("query_id", "q", "kth", "shard")))
-    return out.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return top(both.unionByName(look(rest.select("query_id", "q", "kth", "shard"))))

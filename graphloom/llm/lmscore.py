@@ -18,8 +18,9 @@ from .decontam import words_of
 
 ORDER = 2
 BACKOFF = 0.4
-PIECE_DOCS = 1000
-BUCKET_DOCS = 2000
+#: Bytes of text in a piece, and for each partition of the count tables.
+PIECE_BYTES = 2_000_000
+BUCKET_BYTES = 4_000_000
 START = np.uint64(0x53746172745F5F5F)
 #: The key under which the number of all words is counted.
 TOTAL = np.uint64(0x0123456789ABCDEF)
@@ -90,10 +91,11 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
     start with a mark. Null and empty texts have no words and score 0. Repeated rows count and are scored each; a null
     id stays null; other columns are not read; an empty table gives no rows.
     """
-    n = docs.count()
-    pieces, buckets = max(12, n // PIECE_DOCS), max(12, n // BUCKET_DOCS)
     rows = id_text(docs, id_col, text_col)
-    dealt = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)), F.lit(pieces)).cast("int").alias("piece")).repartition("piece")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    pieces, buckets = max(12, size // PIECE_BYTES), max(12, size // BUCKET_BYTES)
+    # rows that are alike, however many, are dealt to pieces by where they stand as well
+    dealt = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(pieces)).cast("int").alias("piece")).repartition("piece")
 
     def ask(t: pa.Table) -> pa.Table:
         keys, n = Grams(t.column("text").to_pylist(), order).counted()
