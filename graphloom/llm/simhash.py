@@ -36,6 +36,10 @@ BAND_ROWS = 4
 #: Bands with many members: so many are compared with all others first, at most so many times.
 HUBS = 4
 HUB_TURNS = 1
+#: Of a band with at most so many members the pairs are listed; the members of a larger one meet in one task instead,
+#: PART shingles at a time.
+CROWD = 16
+PART = 200_000
 SEEDS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
 SEEDS[1] |= np.uint64(1)
 
@@ -294,21 +298,58 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(both.select("a", "b", "ha", "hb"), run, "a long, b long")
 
 
+def _crowds(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links that connect what the similar pairs within each band of ``members`` (key, node, c, shingles) connect.
+
+    A band is cut into parts of about PART shingles, and two parts meet in a task, which counts the shingles that sets
+    share along an index of them; no pair becomes a row but those that link.
+    """
+    parted = members.withColumn("parts", F.ceil(F.col("shingles") / PART).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = parted.select("key", "node", "c", "own", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("x"))
+    met = met.select("key", "node", "c", "own", (F.least("own", "x") * F.col("parts") + F.greatest("own", "x")).alias("pair"), (F.col("own") <= F.col("x")).alias("home"), (F.col("own") >= F.col("x")).alias("asks"))
+
+    def link(t: pa.Table) -> pa.Table:
+        node, c = t.column("node").to_numpy(), t.column("c").to_numpy()
+        held = [x.values.to_numpy() for chunk in t.column("h").chunks for x in chunk]
+        size = np.array([len(x) for x in held])
+        home, asks = np.flatnonzero(t.column("home").to_numpy()), np.flatnonzero(t.column("asks").to_numpy())
+        key = np.concatenate([held[k] for k in home]) if len(home) else np.zeros(0, np.int64)
+        owner = np.repeat(home, size[home])
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
+        root = np.unique(c, return_inverse=True)[1]  # labels of what is connected
+        found: list[tuple[int, int]] = []
+        for q in asks.tolist():
+            lo, hi = np.searchsorted(key, held[q]), np.searchsorted(key, held[q], "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            shared = np.bincount(owner[at], minlength=len(node))
+            near = np.flatnonzero(shared >= COPY_SIMILARITY * (size + size[q] - shared) - 1e-9)
+            for u in near[root[near] != root[q]].tolist():
+                if root[u] != root[q]:
+                    found.append((int(node[q]), int(node[u])))
+                    root[root == root[u]] = root[q]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return met.join(sets, "node").groupBy("key", "pair").applyInArrow(link, "a long, b long")
+
+
 def similar_groups(rows: DataFrame) -> DataFrame:
     """doc_id, tk, n (rows), least for every distinct (doc_id, tk) of ``rows`` (doc_id, text, tk): ``least`` (no_id, doc_id,
     tk) is the document of the group that comes first, those without an id last.
 
     Texts whose shingle sets have a Jaccard similarity of ``COPY_SIMILARITY`` or more are linked; equal sets are one
     node. Sets that share a band are candidates, and each link is verified on the whole sets. While a band has many pairs,
-    its members are first compared with a few hubs each; at the end all pairs of a band that are not yet connected are,
-    and none is left out.
+    its members are first compared with a few hubs each; at the end all members of a band that are not yet connected are
+    compared, and none is left out: the pairs of small bands are listed, those of large ones are counted inside a task.
     """
     signed = write_table(map_batches(rows, _signatures, "doc_id long, tk long, node long, n int, bands array<long>"), "signatures")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk")
     distinct = signed.groupBy("node").agg(F.min(row).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    keyed = distinct.select("node", "row", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").count().where("count > 1").select("key")
-    bands = write_table(keyed.join(shared, "key"), "bands")
+    distinct = write_table(distinct, "distinct-sets")
+    keyed = distinct.select("node", "row", F.col("n").alias("size"), F.explode("bands").alias("key"))
+    shared = write_table(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-bands")
+    bands = write_table(join_by_count(keyed, shared, ["key"]).select("key", "node", "row", F.col("size").alias("n")), "bands")
     wanted = bands.select("node", F.col("row.doc_id").alias("id"), F.col("row.tk").alias("tk")).distinct()
     found = rows.join(wanted, (rows.tk == wanted.tk) & rows.doc_id.eqNullSafe(wanted.id)).select(rows.text, "node").dropDuplicates(["node"])
 
@@ -321,23 +362,27 @@ def similar_groups(rows: DataFrame) -> DataFrame:
     for turn in range(HUB_TURNS + 1):
         of = bands.select("key", "node", "n")
         of = of.withColumn("c", F.col("node")) if linked is None else of.join(linked, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-        sizes = of.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("open")).where("open > 0")
-        open_ = write_table(of.join(sizes, "key"), "open-bands")
+        per = of.groupBy("key", "c").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")).groupBy("key")
+        sizes = write_table(per.agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("open"), F.sum("m").alias("members"), F.sum("shingles").alias("shingles")).where("open > 0").withColumn("n", F.col("members")), "band-sizes")
+        open_ = write_table(join_by_count(of.withColumnRenamed("n", "size"), sizes, ["key"]).select("key", "node", F.col("size").alias("n"), "c", "open", "members", "shingles"), "open-bands")
         rows_left, all_pairs = open_.agg(F.count("*"), F.sum(F.col("open").cast("double") / 2)).first()
         if not rows_left:
             break
         last = turn == HUB_TURNS or all_pairs / BANDS <= HUBS * rows_left
         side = lambda df, x: df.select("key", F.col("node").alias(x), F.col("n").alias("n" + x), F.col("c").alias("c" + x))
         if last:
-            other = side(open_, "b")
+            few = open_.where(F.col("members") <= CROWD)
+            met = side(few, "a").join(side(few, "b"), "key")
         else:
             chosen = [F.min_by(F.struct("node", "n", "c"), F.xxhash64("node", F.lit(turn * HUBS + k))) for k in range(HUBS)]
-            other = side(open_.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("hubs")).select("key", F.explode("hubs").alias("hub")).select("key", "hub.*"), "b")
+            hubs = write_table(open_.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("hubs"), F.count("*").alias("n")), "hubs")
+            met = join_by_count(side(open_, "a"), hubs, ["key"]).select("*", F.explode("hubs").alias("hub")).select("key", "a", "na", "ca", F.col("hub.node").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.c").alias("cb"))
         # sets whose sizes differ by more cannot be so similar
-        pairs = side(open_, "a").join(other, "key").where(f"ca <> cb and least(na, nb) >= {COPY_SIMILARITY} * greatest(na, nb) - 1e-6" + (" and a < b" if last else ""))
+        pairs = met.where(f"ca <> cb and least(na, nb) >= {COPY_SIMILARITY} * greatest(na, nb) - 1e-6" + (" and a < b" if last else ""))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = write_table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        near = write_table(_similar(pairs, sets), "links")
+        near = _similar(pairs, sets)
+        near = write_table(near.unionByName(_crowds(open_.where(F.col("members") > CROWD), sets)) if last else near, "links")
         links = near if links is None else links.union(near)
         linked = components(links)
         linked = linked.union(linked.select("component", "component")).distinct()

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and on nulls, empty, long, repeated and clashing rows."""
 
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -176,6 +177,24 @@ def test_keep_one_against_all_pairs_of_shingle_sets(spark):
     assert [r.text for r in got if r.doc_id is None] == [words(30, 77)]
 
 
+def test_keep_one_in_a_crowd_of_texts_alike_but_below_the_similarity(spark, monkeypatch):
+    """Many texts that share bands, of which few pairs reach the similarity: in one part and in several."""
+    rng, base = random.Random(12), words(90, 31).split()
+    texts = {k: [w if rng.random() > 0.025 else f"x{k}y{i}" for i, w in enumerate(base)] for k in range(70)}
+    sets = {k: {tuple(v[i : i + 5]) for i in range(len(v) - 4)} for k, v in texts.items()}
+    root = {k: k for k in texts}
+    for a, b in itertools.combinations(texts, 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = sorted((root[a], root[b]))
+            root = {k: x if r == y else r for k, r in root.items()}
+    want = {k for k in texts if root[k] == k}
+    assert 2 < len(want) < 70
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string").repartition(3)
+    for part in (simhash.PART, 1000):
+        monkeypatch.setattr(simhash, "PART", part)
+        assert {r.doc_id for r in simhash.keep_one(df).collect()} == want
+
+
 def test_links_of_a_dense_group_connect_what_all_pairs_do(spark):
     r = np.random.default_rng(3)
     centre = r.integers(0, 1 << 62, 40)
