@@ -201,14 +201,21 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, blocks: int = B
     return dealt.mapInArrow(_shard_links(radius), "a long, b long")
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether no node of the distinct ``edges`` (a < b) is the larger end of two, or the larger of one and the smaller of
+    another: then each ``a`` is the smallest node of its component."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(0).alias("up")).union(edges.select("b", F.lit(1)))
+    other = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 or (ups > 0 and least = 0)")
+    return other.agg(F.count("*")).first()[0] == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for the nodes of ``links`` (a, b), by large and small stars.
 
-    The edges are written to the shared folder after each round; only two numbers reach the driver.
+    The edges are written to the shared folder after each round; only counts reach the driver.
     """
     edges = write_table(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = None
-    while True:
+    while not are_stars(edges):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
         low = write_table(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "star-low")
         # the end of many edges is looked up where they are
@@ -217,13 +224,10 @@ def components(links: DataFrame) -> DataFrame:
         least = write_table(large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n")), "star-least")
         small = join_by_count(large, least, ["b"]).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
         nxt = write_table(small, "edges")
-        after = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         for done in (edges, low, large, least):
             drop_table(done)
         edges = nxt
-        if after == before:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
-        before = after
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -358,7 +362,7 @@ def similar_groups(rows: DataFrame) -> DataFrame:
             yield {"node": part.column("node"), "h": [shingle_set(t).view(np.int64) for t in part.column("text").to_pylist()]}
 
     sets = write_table(map_batches(found, hashes, "node long, h array<long>"), "sets")
-    linked, tried, links = None, None, None
+    linked, tried, stars = None, None, None
     for turn in range(HUB_TURNS + 1):
         of = bands.select("key", "node", "n")
         of = of.withColumn("c", F.col("node")) if linked is None else of.join(linked, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
@@ -383,9 +387,9 @@ def similar_groups(rows: DataFrame) -> DataFrame:
         pairs = write_table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         near = _similar(pairs, sets)
         near = write_table(near.unionByName(_crowds(open_.where(F.col("members") > CROWD), sets)) if last else near, "links")
-        links = near if links is None else links.union(near)
-        linked = components(links)
-        linked = linked.union(linked.select("component", "component")).distinct()
+        # what is connected so far stands for the links that connect it
+        stars = components(near if stars is None else near.union(stars.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+        linked = stars.union(stars.select("component", "component")).distinct()
         tried = pairs if tried is None else tried.union(pairs)
         if last:
             break

@@ -208,6 +208,18 @@ def test_links_of_a_dense_group_connect_what_all_pairs_do(spark):
         assert {f: comp.get(f, f) for f in fps} == want
 
 
+def test_components_against_union_find(spark):
+    chance = np.random.default_rng(3)
+    for links in ([], [(1, 1)], [(2, 1)], [(0, k) for k in range(1, 50)], [(50, k) for k in range(50)], chance.integers(-99, 99, (80, 2)).tolist(), chance.integers(0, 999, (700, 2)).tolist()):
+        root = {}
+        for a, b in links:
+            if a != b:
+                x, y = sorted((root.setdefault(a, a), root.setdefault(b, b)))
+                root = {k: x if r == y else r for k, r in root.items()}
+        got = simhash.components(spark.createDataFrame([tuple(e) for e in links], "a long, b long")).collect()
+        assert sorted(map(tuple, got)) == sorted((k, r) for k, r in root.items() if k != r)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(60).selectExpr("id as a", "id + 1 as b")
     assert {r.component for r in simhash.components(links).collect()} == {0}
