@@ -45,13 +45,18 @@ def join_by_count(rows: DataFrame, counted: DataFrame, keys: list[str]) -> DataF
     """``rows`` joined to ``counted``, a written table with one row a key and ``n``, the rows of that key.
 
     Keys with more than one in HOT_ONE_IN of all rows, fewer than HOT_ONE_IN keys, are broadcast and their rows stay where
-    they are; the others meet by a shuffle, in which no key is hot.
+    they are; the others meet by a shuffle, in which no key is hot. Only the hashes of the hot keys reach the driver.
     """
+    if [rows.schema[k].dataType for k in keys] != [counted.schema[k].dataType for k in keys]:
+        raise TypeError(f"the keys {keys} differ in type")  # their hashes would too
     total = counted.agg(F.sum("n")).first()[0] or 0
-    most = max(HOT_LEAST, total // HOT_ONE_IN)
-    hot = F.broadcast(counted.where(F.col("n") > most))
-    cold = rows.join(hot.select(*keys), keys, "left_anti").join(counted.where(F.col("n") <= most), keys)
-    return rows.join(hot, keys).select(*cold.columns).unionByName(cold)
+    token = F.xxhash64(*keys)
+    hot = [r[0] for r in counted.where(F.col("n") > max(HOT_LEAST, total // HOT_ONE_IN)).select(token).distinct().collect()]
+    if not hot:
+        return rows.join(counted, keys)
+    # keys that share a hash are on the same side, whichever that is
+    cold = rows.where(~token.isin(hot)).join(counted.where(~token.isin(hot)), keys)
+    return rows.where(token.isin(hot)).join(F.broadcast(counted.where(token.isin(hot))), keys).select(*cold.columns).unionByName(cold)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict] | dict | None], schema: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 pytest.importorskip("graphloom.llm")
-from graphloom.llm import ballsearch, decontam, htmlmain, langid, linedup, lmscore, packing, simhash, substrdedup, tokens  # noqa: E402
+from graphloom.llm import ballsearch, common, decontam, htmlmain, langid, linedup, lmscore, packing, simhash, substrdedup, tokens  # noqa: E402
 from graphloom.llm.queries import QUERIES, vocabulary  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, h long, fp string"
@@ -208,6 +208,17 @@ def test_links_of_a_dense_group_connect_what_all_pairs_do(spark):
         assert {f: comp.get(f, f) for f in fps} == want
 
 
+def test_join_by_count_splits_hot_keys_and_loses_none(spark, monkeypatch):
+    rows = spark.createDataFrame([(k % 7 if k % 7 < 6 else None, k % 2, k) for k in range(60)] + [(3, 1, k) for k in range(60, 90)], "a long, b int, x long")
+    counted = rows.groupBy("a", "b").count().withColumnRenamed("count", "n").where("a <> 5 or a is null")
+    want = sorted(map(tuple, rows.join(counted, ["a", "b"]).collect()))
+    for least in (1_000, 6, 0):  # no key is hot, one is, all are
+        monkeypatch.setattr(common, "HOT_LEAST", least)
+        assert sorted(map(tuple, common.join_by_count(rows, counted, ["a", "b"]).collect())) == want
+    with pytest.raises(TypeError):
+        common.join_by_count(rows, counted.withColumn("b", counted.b.cast("long")), ["a", "b"])
+
+
 def test_components_against_union_find(spark):
     chance = np.random.default_rng(3)
     for links in ([], [(1, 1)], [(2, 1)], [(0, k) for k in range(1, 50)], [(50, k) for k in range(50)], chance.integers(-99, 99, (80, 2)).tolist(), chance.integers(0, 999, (700, 2)).tolist()):
