@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ballsearch, decontam, fim, htmlmain, langid, linedup, lmscore, packing, simhash, substrdedup, tokens, whiten
+from . import ballsearch, decontam, fim, htmlmain, langid, linedup, lmscore, packing, quality, simhash, substrdedup, tokens, whiten
 from .common import table
 
 #: Where the public vocabularies are; GRAPHLOOM_TOKENIZERS names another folder.
@@ -68,6 +68,10 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_removed", "spans", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -85,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_simhash, op3_decontam, op4_topk, op5_html, op6_langid, op7_lmscore, op8_lines, op9_tokens, op10_substrings, op12_whiten, op13_fim, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_simhash, op3_decontam, op4_topk, op5_html, op6_langid, op7_lmscore, op8_lines, op9_tokens, op10_substrings, op11_quality, op12_whiten, op13_fim, pipeline)}
 #: Only op13 can be said in the SQL of the check; tests hold each of the others against a brute-force version.
 ORACLE_SQL = {
     "op13_fim": """
