@@ -3,7 +3,9 @@ folder, which ends its lineage; only counts reach the driver. Edges have (src, d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..scratch import drop_table, write_table
@@ -56,37 +58,177 @@ def peel(edges: DataFrame) -> DataFrame:
     return e
 
 
-def cycle_members(edges: DataFrame) -> DataFrame:
-    """G1: (node): nodes that reach themselves. The residue of peeling also has bridges between cycles; these do not."""
-    rest = peel(edges)
-    nodes = rest.select(F.col("src").alias("seed")).distinct()
-    onward = reach(rest, nodes)
-    return onward.join(rest, onward.node == rest.src).where("dst = seed").select(F.col("seed").alias("node")).distinct()
+def compress(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chains become edges. Of ``edges`` (src, dst, w), one row a pair, the nodes with one way in and one way out are taken
+    away: (edges left, with the greatest weight of each pair; chained (node, head, anchor, dist); ends (head, next)). A
+    chain is known by its first node (head) and runs from anchor, dist before the node, to next. The nodes of a cycle
+    that no edge enters or leaves have a null anchor, and the smallest of them as head.
+
+    Each node points to the one before it and pointers are doubled, so that a chain of n nodes takes log2(n) rounds.
+    """
+    ins = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("i"), F.min("src").alias("prev"), F.max("w").alias("w"))
+    outs = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("o"), F.min("dst").alias("next"), F.max("w").alias("w_out"))
+    inner = write_table(ins.join(outs, "node").where("i = 1 and o = 1").select("node", "prev", "w", "next", "w_out"), "chain-nodes")
+    known = inner.select(F.col("node").alias("k"))
+    first = F.col("k").isNull()
+    start = inner.join(known, inner.prev == known.k, "left").select("node", F.when(first, F.col("node")).otherwise(F.col("prev")).alias("head"), F.col("prev").alias("anchor"), F.col("w").alias("dist"), F.col("node").alias("least"), first.alias("done"))
+    ptr, open_ = _counted(start, "chain-pointers", "not done")
+    for _ in range(inner.count().bit_length() + 1):  # afterwards only the nodes of cycles are not done
+        if not open_:
+            break
+        on = ptr.select(F.col("node").alias("at"), *[F.col(c).alias(f"{c}_") for c in ("head", "anchor", "dist", "least", "done")])
+        far = ptr.where("not done").join(on, F.col("anchor") == F.col("at")).select("node", F.col("head_").alias("head"), F.col("anchor_").alias("anchor"), (F.col("dist") + F.col("dist_")).alias("dist"), F.least("least", "least_").alias("least"), F.col("done_").alias("done"))
+        nxt, open_ = _counted(ptr.where("done").unionByName(far), "chain-pointers", "not done")
+        drop_table(ptr)
+        ptr = nxt
+    chained = ptr.select("node", F.when(F.col("done"), F.col("head")).otherwise(F.col("least")).alias("head"), F.when(F.col("done"), F.col("anchor")).alias("anchor"), "dist")
+    last = inner.join(known, inner.next == known.k, "left_anti").select("node", "next", "w_out").join(chained, "node")
+    kept = edges.join(known, edges.src == known.k, "left_anti").join(known, edges.dst == known.k, "left_anti").select("src", "dst", "w")
+    merged = kept.unionByName(last.select(F.col("anchor").alias("src"), F.col("next").alias("dst"), (F.col("dist") + F.col("w_out")).alias("w")))
+    left = write_table(merged.groupBy("src", "dst").agg(F.max("w").alias("w")), "chain-edges")
+    return left, chained, last.select("head", "next")
+
+
+def _counted(df: DataFrame, label: str, condition: str) -> tuple[DataFrame, int]:
+    """``df`` written, and how many of its rows meet the condition, seen while they were written."""
+    seen = Observation()
+    out = write_table(df.observe(seen, F.count(F.when(F.expr(condition), 1)).alias("n")), label)
+    return out, seen.get["n"]
+
+
+def _inner_nodes(edges: DataFrame) -> tuple[int, int]:
+    """How many nodes there are, and how many of them have one way in and one way out."""
+    ways = edges.select(F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(edges.select("dst", F.lit(1), F.lit(0)))
+    return ways.groupBy("node").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).agg(F.count("*"), F.count(F.expr("case when i = 1 and o = 1 then 1 end"))).first()
+
+
+def _layers(edges: DataFrame) -> DataFrame:
+    """(node, depth): the longest way to each node of weighted ``edges`` (src, dst, w) that no cycle leads to. A node is ready
+    once all its ways in have arrived, so a round sends along the edges of the nodes just ready and rewrites only those
+    that have begun to arrive."""
+    need = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("need"))
+    e = write_table(edges.join(need, edges.dst == need.node).select("src", "dst", "w", "need"), "depth-edges")
+    zero = F.lit(0).cast("long")
+    begin = edges.select(F.col("src").alias("node")).distinct().join(need, "node", "left_anti").select("node", F.lit(0).alias("depth"), zero.alias("got"), zero.alias("need"))
+    rounds = []
+    while True:
+        now, ready = _counted(begin if not rounds else arrived, "depth", "got = need")
+        rounds.append(now)
+        if not ready:
+            break
+        sent = now.where("got = need").join(e.withColumnRenamed("need", "of"), F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("depth") + F.col("w")).alias("depth"), F.lit(1).cast("long").alias("got"), F.col("of").alias("need"))
+        arrived = sent.unionByName(now.where("got < need")).groupBy("node").agg(F.max("depth").alias("depth"), F.sum("got").alias("got"), F.max("need").alias("need"))
+    drop_table(e)
+    done = [r.where("got = need").select("node", "depth") for r in rounds]
+    out = write_table(reduce(DataFrame.unionByName, done), "depths")
+    for r in rounds:
+        drop_table(r)
+    return out
 
 
 def depth(edges: DataFrame) -> DataFrame:
     """(node, depth): the longest path that leads to a node (roots have 0); null for the nodes of cycles and those
     that a cycle leads to, which have no longest path.
 
-    In turn the nodes without a way in are taken away with their edges, so each edge goes once and a round that
-    takes nothing ends it: what is left then are the cycles and what they lead to.
+    Nodes without a way out are set aside, as they lengthen no path to others, and chains become weighted edges, as long as
+    that takes a quarter of the nodes away. Only what is left goes by layers; then the chains and what was set aside follow.
     """
-    every = write_table(edges.select("src", "dst").distinct(), "depth-edges")
-    left, layers, k = every, [], 0
+    e = write_table(edges.select("src", "dst").distinct().withColumn("w", F.lit(1)), "depth-edges")
+    aside = []
     while True:
-        layer = write_table(left.select(F.col("src").alias("node")).distinct().join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("depth", F.lit(k)), "depth")
-        layers.append(layer)
-        if layer.isEmpty():
+        on = e.select(F.col("src").alias("dst")).distinct()
+        rest = write_table(e.join(on, "dst", "left_semi").select("src", "dst", "w"), "depth-rest")
+        ends = e.join(on, "dst", "left_anti")
+        nodes, inner = _inner_nodes(rest)
+        if inner * 4 < nodes or not nodes:
             break
-        nxt = write_table(left.join(layer, left.src == layer.node, "left_anti"), "depth-left")
-        if k:
-            drop_table(left)
-        left, k = nxt, k + 1
-    sources = _together(layers, "depths")  # nodes with a way out
-    last = every.join(every.select(F.col("src").alias("dst")).distinct(), "dst", "left_anti")
-    ends = last.join(sources, last.src == sources.node, "left").groupBy(F.col("dst").alias("node")).agg(F.when(F.count("depth") == F.count("*"), F.max("depth") + 1).alias("depth"))
-    rest = left.select(F.col("src").alias("node"), F.lit(None).cast("int").alias("depth")).distinct()
-    return sources.unionByName(ends).unionByName(rest)
+        e, chained, _ = compress(rest)
+        aside.append((ends, chained))
+    found = _layers(rest) if nodes else None
+    known = rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct()
+    known = known.join(found, "node", "left") if nodes else known.withColumn("depth", F.lit(None).cast("int"))
+    for ends, chained in [(ends, None), *reversed(aside)]:
+        if chained is not None:
+            at = known.select(F.col("node").alias("anchor"), F.col("depth").alias("before"))
+            known = known.unionByName(chained.join(at, "anchor", "left").select("node", (F.col("before") + F.col("dist")).alias("depth")))
+        # a node that has ways to ends only, and none in, is not known yet
+        alone = ends.select(F.col("src").alias("node")).distinct().join(known, "node", "left_anti").select("node", F.lit(0).alias("depth"))
+        known = write_table(known.unionByName(alone), "depths")
+        at = known.select(F.col("node").alias("src"), F.col("depth").alias("before"))
+        known = known.unionByName(ends.join(at, "src").groupBy(F.col("dst").alias("node")).agg(F.when(F.count("before") == F.count("*"), F.max(F.col("before") + F.col("w"))).alias("depth")))
+    return known
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """G1: (component, node): the strongly connected components that hold a cycle, each known by its smallest node; a node
+    alone is one only with an edge to itself.
+
+    First the nodes that no cycle leads to, or that lead to none, are left out, and chains become edges: a chain belongs to the
+    component of its two ends if they are in one. Then in rounds every node gets the pivot (smallest hash, another
+    each round) of all nodes that reach it; what a pivot reaches and what reaches it back is a component. Edges between nodes
+    of different pivots are in none, so they go too, and every pivot's part is searched at once.
+    """
+    e = write_table(edges.select("src", "dst").distinct(), "scc-edges")
+    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    core = write_table(depth(e).where("depth is null").select("node").join(depth(back).where("depth is null").select("node"), "node"), "scc-core")
+    inside = core.select(F.col("node").alias("k"))
+    e = e.join(inside, e.src == inside.k, "left_semi").join(inside, e.dst == inside.k, "left_semi").withColumn("w", F.lit(1))
+    left, chained, ends = compress(write_table(e, "scc-edges"))
+    found, k = [], 0
+    while not left.isEmpty():
+        k += 1
+        pivot = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("pivot"))
+        nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
+        colour = _spread(nodes.withColumn("c", pivot), left)
+        same = colour.select(F.col("node").alias("n"), F.col("c").alias("c2"))
+        within = left.join(colour, left.src == colour.node).select("src", "dst", "c").join(same, F.col("dst") == F.col("n")).where("c = c2")
+        within = write_table(within.select("src", "dst", "c"), "scc-within")
+        member = _backward(colour.where("node = c.pivot").select("node", "c"), within)
+        found.append(member)
+        gone = member.select(F.col("node").alias("g"))
+        left = write_table(within.join(gone, within.src == gone.g, "left_anti").join(gone, within.dst == gone.g, "left_anti").select("src", "dst"), "scc-left")
+    cycles = chained.where("anchor is null").select(F.col("head").alias("c"), "node")
+    if found:
+        of = write_table(reduce(DataFrame.unionByName, [f.select(F.col("c.pivot").alias("c"), "node") for f in found]), "scc-members")
+        a, b = (of.select(F.col("node").alias(n), F.col("c").alias(m)) for n, m in (("anchor", "c"), ("next", "c_end")))
+        chain = ends.join(b, "next").join(chained, "head").join(a, "anchor").where("c = c_end").select("c", "node")
+        cycles = cycles.unionByName(of).unionByName(chain)
+    cycles = write_table(cycles, "scc")
+    loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct().withColumn("loop", F.lit(True))
+    sizes = cycles.join(loops, "node", "left").groupBy("c").agg(F.min("node").alias("component"), F.count("*").alias("n"), F.count("loop").alias("loops"))
+    return cycles.join(sizes.where("n > 1 or loops > 0"), "c").select("component", "node")
+
+
+def _spread(colour: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, c): the least c of all nodes that reach a node along ``edges``. A round sends only what changed in the last."""
+    e = edges.select("src", "dst").where("src <> dst")
+    now, changed = _counted(colour.withColumn("new", F.lit(True)), "scc-colour", "new")
+    while changed:
+        sent = now.where("new").join(e, F.col("node") == e.src).groupBy(F.col("dst").alias("to")).agg(F.min("c").alias("s"))
+        lower = F.coalesce(F.col("s") < F.col("c"), F.lit(False))
+        nxt, changed = _counted(now.join(sent, F.col("node") == F.col("to"), "left").select("node", F.when(lower, F.col("s")).otherwise(F.col("c")).alias("c"), lower.alias("new")), "scc-colour", "new")
+        drop_table(now)
+        now = nxt
+    return now.select("node", "c")
+
+
+def _backward(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, c): the nodes from which edges (src, dst, c) of its own colour lead to a seed, and the seeds."""
+    rounds = [write_table(seeds, "scc-back")]
+    while True:
+        last = rounds[-1].select(F.col("node").alias("dst"))
+        more = edges.join(last, "dst").select(F.col("src").alias("node"), "c").distinct()
+        for r in rounds:
+            more = more.join(r.select("node"), "node", "left_anti")
+        new, n = _counted(more, "scc-back", "true")
+        if not n:
+            return _together([*rounds, new], "scc-component")
+        rounds.append(new)
+
+
+def cycle_members(edges: DataFrame) -> DataFrame:
+    """G1: (node): nodes that reach themselves. The residue of peeling also has bridges between cycles; these do not."""
+    return components(edges).select("node")
 
 
 def chain_length(edges: DataFrame) -> DataFrame:

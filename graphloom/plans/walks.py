@@ -23,6 +23,26 @@ def g1(t):
     return G.cycle_members(transitions(t))
 
 
+@query("g1_cycles", "with recursive e as (select distinct event_type as src, nxt as dst from (select event_type, lead(event_type) over (partition by user_id order by ts, event_id) as nxt from events) where nxt is not null), r(a, b) as (select src, dst from e union select a, dst from r join e on b = src), m as (select x.a as node, x.b as other from r x join r y on x.a = y.b and x.b = y.a), c as (select node, min(other) as component from m group by 1) select component, list(node order by node) as nodes from c group by 1")
+def g1c(t):
+    return G.components(transitions(t)).groupBy("component").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+
+
+# a way back from every seventh node to the parent of its parent closes a cycle of three; those that share a node are one component
+LOOPS_SQL = ", tri as (select p_partkey as a, (p_partkey - 1) // 2 as b, ((p_partkey - 1) // 2 - 1) // 2 as c from part where p_partkey > 2 and p_partkey % 7 = 3), link as (select a as x, b as y from tri union select b, a from tri union select b, c from tri union select c, b from tri), r(node, other) as (select x, y from link union select node, y from r join link on other = x)"
+
+
+def looped(t):
+    h = twins.heap(t)
+    up = (F.floor((F.col("src") - 1) / 2)).alias("dst")
+    return h.union(h.where("dst > 2 and dst % 7 = 3").select(F.col("dst").alias("src"), up))
+
+
+@query("g1_cycles_in_hierarchy", HEAP_SQL.replace("with ", "with recursive ") + LOOPS_SQL + " select node, least(node, min(other)) as component from r group by 1")
+def g1d(t):
+    return G.components(looped(t)).select("node", "component")
+
+
 @query("g1_acyclic_residue", HEAP_SQL + " select count(*) as n from heap where dst <= src")  # each edge leads to a larger key, so no cycle can be
 def g1b(t):
     return G.peel(twins.heap(t)).agg(F.count("*").alias("n"))
@@ -36,6 +56,18 @@ def g2(t):
     return G.depth(twins.heap(t))
 
 
+MANY_SQL = HEAP_SQL.replace("with ", "with recursive ") + ", e as (select * from heap union select p_partkey // 3, p_partkey from part where p_partkey > 0 and p_partkey % 4 = 0 union select p_partkey - 1, p_partkey from part where p_partkey % 5 = 2), d(node, depth) as (select 0::bigint, 0 union select dst, depth + 1 from d join e on node = src)"
+
+
+@query("g2_depth_many_ways", MANY_SQL + " select node, max(depth) as depth from d group by 1")
+def g2d(t):
+    # several ways of different lengths lead to a node
+    k = F.col("p_partkey")
+    third = t.part.where("p_partkey > 0 and p_partkey % 4 = 0").select(F.floor(k / 3).alias("src"), k.alias("dst"))
+    before = t.part.where("p_partkey % 5 = 2").select((k - 1).alias("src"), k.alias("dst"))
+    return G.depth(twins.heap(t).union(third).union(before))
+
+
 @query("g2_chain_length", DEPTH_SQL.replace("p_partkey > 0", "p_partkey > 0") + ", up(node, h) as (select dst, 0 from heap where dst not in (select src from heap) union all select src, h + 1 from up join heap on node = dst), m as (select node, max(h) as h from up group by 1 having max(h) > 0) select round(avg(h), 6) as avg_chain_length, max(h) as longest from m")
 def g2b(t):
     return G.chain_length(twins.heap(t))
