@@ -43,13 +43,11 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFr
 
 def peel(edges: DataFrame) -> DataFrame:
     """G1: the edges left after taking away, again and again, those whose source has no way in or whose target has no way
-    out; none are left if and only if there is no cycle."""
-    e = write_table(edges.select("src", "dst").distinct(), "peel")
-    n = e.count()
+    out; none are left if and only if there is no cycle. Other columns stay."""
+    e, n = _counted(edges.dropDuplicates(["src", "dst"]), "peel", "true")
     while n:
         ins, outs = e.select(F.col("dst").alias("src")).distinct(), e.select(F.col("src").alias("dst")).distinct()
-        nxt = write_table(e.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst"), "peel")
-        m = nxt.count()
+        nxt, m = _counted(e.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select(*edges.columns), "peel", "true")
         drop_table(e)
         e = nxt
         if m == n:
@@ -163,17 +161,19 @@ def components(edges: DataFrame) -> DataFrame:
     """G1: (component, node): the strongly connected components that hold a cycle, each known by its smallest node; a node
     alone is one only with an edge to itself.
 
-    First the nodes that no cycle leads to, or that lead to none, are left out, and chains become edges: a chain belongs to the
+    First chains become edges and what no cycle leads to, or what leads to none, is left out, in turn: a chain belongs to the
     component of its two ends if they are in one. Then in rounds every node gets the pivot (smallest hash, another
     each round) of all nodes that reach it; what a pivot reaches and what reaches it back is a component. Edges between nodes
     of different pivots are in none, so they go too, and every pivot's part is searched at once.
     """
-    e = write_table(edges.select("src", "dst").distinct(), "scc-edges")
-    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    core = write_table(depth(e).where("depth is null").select("node").join(depth(back).where("depth is null").select("node"), "node"), "scc-core")
-    inside = core.select(F.col("node").alias("k"))
-    e = e.join(inside, e.src == inside.k, "left_semi").join(inside, e.dst == inside.k, "left_semi").withColumn("w", F.lit(1))
-    left, chained, ends = compress(write_table(e, "scc-edges"))
+    left, levels = write_table(edges.select("src", "dst").distinct().withColumn("w", F.lit(1)), "scc-edges"), []
+    while True:
+        left, chained, ends = compress(left)
+        levels.append((chained, ends))
+        left = peel(left)
+        nodes, inner = _inner_nodes(left)
+        if inner * 4 < nodes or not nodes:
+            break
     found, k = [], 0
     while not left.isEmpty():
         k += 1
@@ -187,13 +187,14 @@ def components(edges: DataFrame) -> DataFrame:
         found.append(member)
         gone = member.select(F.col("node").alias("g"))
         left = write_table(within.join(gone, within.src == gone.g, "left_anti").join(gone, within.dst == gone.g, "left_anti").select("src", "dst"), "scc-left")
-    cycles = chained.where("anchor is null").select(F.col("head").alias("c"), "node")
-    if found:
-        of = write_table(reduce(DataFrame.unionByName, [f.select(F.col("c.pivot").alias("c"), "node") for f in found]), "scc-members")
-        a, b = (of.select(F.col("node").alias(n), F.col("c").alias(m)) for n, m in (("anchor", "c"), ("next", "c_end")))
-        chain = ends.join(b, "next").join(chained, "head").join(a, "anchor").where("c = c_end").select("c", "node")
-        cycles = cycles.unionByName(of).unionByName(chain)
-    cycles = write_table(cycles, "scc")
+    of = reduce(DataFrame.unionByName, [f.select(F.col("c.pivot").alias("c"), "node") for f in found]) if found else None
+    for chained, ends in reversed(levels):
+        rings = chained.where("anchor is null").select(F.col("head").alias("c"), "node")
+        if of is not None:
+            a, b = (of.select(F.col("node").alias(n), F.col("c").alias(m)) for n, m in (("anchor", "c"), ("next", "c_end")))
+            rings = rings.unionByName(of).unionByName(ends.join(b, "next").join(chained, "head").join(a, "anchor").where("c = c_end").select("c", "node"))
+        of = write_table(rings, "scc")
+    cycles = of
     loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct().withColumn("loop", F.lit(True))
     sizes = cycles.join(loops, "node", "left").groupBy("c").agg(F.min("node").alias("component"), F.count("*").alias("n"), F.count("loop").alias("loops"))
     return cycles.join(sizes.where("n > 1 or loops > 0"), "c").select("component", "node")
