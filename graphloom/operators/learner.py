@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entities of a stated list.
-MOST_STATED = 10_000
+#: Users and entities that meet in one block.
+USER_BLOCK, ENTITY_BLOCK = 16_384, 1024
+
 
 def latest(progress: DataFrame) -> DataFrame:
     """The last row of each (user, entity); ties in time go to the larger event_id."""
@@ -28,26 +29,39 @@ def weak_roll_up(progress: DataFrame, below: int) -> DataFrame:
     return weak_points(progress, below).groupBy("entity").agg(F.count_distinct("user").alias("learners"), F.round(F.avg("score"), 4).alias("avg_score"))
 
 
-def next_recommended(progress: DataFrame, needs: DataFrame, users: DataFrame) -> DataFrame:
-    """(user, entity): not mastered, with every prerequisite mastered. needs (src prerequisite, dst).
+def each_user(users: DataFrame, entities: DataFrame) -> DataFrame:
+    """(user, entity): every stated user with every entity, of which no side has a bound: blocks of users meet blocks of
+    entities, an entity block as one array, by the numbers of both."""
+    u, e = users.select("user").distinct(), entities.select("entity").distinct()
+    rows, cols = (max(1, -(-df.count() // size)) for df, size in ((u, USER_BLOCK), (e, ENTITY_BLOCK)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    lists = e.groupBy(block("entity", cols).alias("j")).agg(F.collect_list("entity").alias("some")).withColumn("i", each(rows))
+    return u.withColumn("i", block("user", rows)).withColumn("j", each(cols)).join(lists, ["i", "j"]).select("user", F.explode("some").alias("entity"))
+
+
+def next_recommended(progress: DataFrame, needs: DataFrame, users: DataFrame, points: DataFrame | None = None) -> DataFrame:
+    """(user, entity): the points that a user has not mastered, but all of whose prerequisites. needs (src prerequisite,
+    dst); ``points`` (entity) are those that ``needs`` names if they are not given. A point without prerequisites is for
+    everyone who has not mastered it, so also for a user of whom nothing is recorded.
 
-    Counted, not tried: a user has all prerequisites of an entity when as many of them are mastered as it has.
+    Counted, not tried: a user has all prerequisites of a point when as many of them are mastered as it has.
     """
     done = latest(progress).where("status = 'mastered'").select("user", "entity")
     need = needs.select("src", "dst").distinct()
-    total = need.groupBy("dst").agg(F.count("*").alias("n"))
-    have = need.join(done, need.src == done.entity).groupBy("user", "dst").agg(F.count("*").alias("m"))
-    return have.join(total, "dst").where("m = n").select("user", F.col("dst").alias("entity")).join(done, ["user", "entity"], "left_anti").join(users.select("user"), "user", "left_semi")
+    every = need.select(F.col("src").alias("entity")).union(need.select("dst")) if points is None else points.select("entity")
+    total = need.groupBy(F.col("dst").alias("entity")).agg(F.count("*").alias("n"))
+    have = need.join(done, need.src == done.entity).groupBy("user", F.col("dst").alias("entity")).agg(F.count("*").alias("m"))
+    later = have.join(total, "entity").where("m = n").select("user", "entity").join(users.select("user"), "user", "left_semi")
+    if points is not None:
+        later = later.join(every, "entity", "left_semi")
+    first = each_user(users, every.distinct().join(total, "entity", "left_anti"))
+    return later.unionByName(first).join(done, ["user", "entity"], "left_anti")
 
 
 def full_progress(users: DataFrame, entities: DataFrame, progress: DataFrame) -> DataFrame:
-    """Every user with every entity of a stated list, ``not_started`` where nothing is recorded. The list is of
-    MOST_STATED entities at most; a longer one fails, as the rows would be its product with all users."""
-    stated = entities.distinct()
-    if stated.limit(MOST_STATED + 1).count() > MOST_STATED:
-        raise ValueError(f"state at most {MOST_STATED} entities")
-    each = users.crossJoin(F.broadcast(stated.agg(F.collect_list("entity").alias("all")))).select("user", F.explode("all").alias("entity"))  # one row
-    return each.join(latest(progress).select("user", "entity", "status"), ["user", "entity"], "left").withColumn("status", F.coalesce("status", F.lit("not_started")))
+    """Every user with every entity, ``not_started`` where nothing is recorded."""
+    return each_user(users, entities).join(latest(progress).select("user", "entity", "status"), ["user", "entity"], "left").withColumn("status", F.coalesce("status", F.lit("not_started")))
 
 
 def by_subject(progress: DataFrame) -> DataFrame:

@@ -112,6 +112,17 @@ def stratified_folds(rows: DataFrame, cls: str, key: str, k: int) -> DataFrame:
 
 
 def freshness(stored: DataFrame, current: DataFrame) -> DataFrame:
-    """Whether the checksum of two tables (uri, label) is the same."""
-    c = lambda df, n: df.agg(F.bit_xor(F.xxhash64("uri", "label")).alias(n), F.count("*").alias(f"{n}_rows"))
-    return c(stored, "stored").crossJoin(c(current, "now")).select((F.col("stored").eqNullSafe(F.col("now")) & (F.col("stored_rows") == F.col("now_rows"))).alias("fresh"), "stored_rows", "now_rows")  # one row each
+    """(fresh, stored_rows, now_rows): whether two tables (uri, label) hold the same rows, each as often, in any order.
+
+    The checksum is the number of rows and two sums of their digests, wide enough not to wrap: other than in an xor, a row
+    that is there twice counts twice. A null is told apart from every text, and a null uri from a null label.
+    """
+    row = [x for c in ("uri", "label") for x in (F.col(c).isNull(), F.col(c))]
+
+    def checksum(df: DataFrame, name: str) -> DataFrame:
+        sums = [F.coalesce(F.sum(F.xxhash64(F.lit(seed), *row).cast("decimal(20,0)")).cast("string"), F.lit("0")).alias(f"{name}{seed}") for seed in (1, 2)]
+        return df.agg(*sums, F.count("*").alias(f"{name}_rows"))
+
+    both = checksum(stored, "stored").crossJoin(checksum(current, "now"))  # one row each
+    same = (F.col("stored1") == F.col("now1")) & (F.col("stored2") == F.col("now2")) & (F.col("stored_rows") == F.col("now_rows"))
+    return both.select(same.alias("fresh"), "stored_rows", "now_rows")

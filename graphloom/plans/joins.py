@@ -550,11 +550,15 @@ def l7(t):
     return L.weak_roll_up(twins.progress(t), 10)
 
 
-@query("l8_next_recommended", PROGRESS_SQL + """, done as (select "user", entity from latest where status = 'mastered'), need as (select (p_partkey - 1) // 2 as src, p_partkey as dst from part where p_partkey > 0)
-select d."user", n.dst as entity from need n join done d on d.entity = n.src where not exists (select 1 from done x where x."user" = d."user" and x.entity = n.dst)""")
+@query("l8_next_recommended", PROGRESS_SQL + """, done as (select "user", entity from latest where status = 'mastered'), need as (select (p_partkey - 1) // 2 as src, p_partkey as dst from part where p_partkey > 0 union select p_partkey - 2, p_partkey from part where p_partkey > 2 and p_partkey % 3 = 0),
+    u as (select distinct "user" from progress union all select -1), points as (select p_partkey as entity from part where p_partkey < 200)
+    select "user", entity from u, points p where not exists (select 1 from need n where n.dst = p.entity and not exists (select 1 from done d where d."user" = u."user" and d.entity = n.src)) and not exists (select 1 from done d where d."user" = u."user" and d.entity = p.entity)""")
 def l8(t):
-    p = twins.progress(t)
-    return L.next_recommended(p, twins.heap(t), p.select("user").distinct())
+    # some parts have two prerequisites, part 0 has none, and user -1 has no progress
+    p, k = twins.progress(t), F.col("p_partkey")
+    needs = twins.heap(t).union(t.part.where("p_partkey > 2 and p_partkey % 3 = 0").select((k - 2).alias("src"), k.alias("dst")))
+    users = p.select("user").distinct().union(t._spark.sql("select -1L as user"))
+    return L.next_recommended(p, needs, users, t.part.where("p_partkey < 200").select(k.alias("entity")))
 
 
 @query("l9_l10_full_progress", PROGRESS_SQL + ', u as (select distinct "user" from progress), e as (select distinct entity from progress) select u."user", e.entity, coalesce(l.status, \'not_started\') as status from u cross join e left join latest l on l."user" = u."user" and l.entity = e.entity')

@@ -174,9 +174,10 @@ def test_progress_of_a_stated_list_only(spark, monkeypatch):
     users, rows_ = spark.range(2).toDF("user"), spark.range(5).toDF("entity")
     done = spark.createDataFrame([(0, 1, "mastered", 5, 1, 1)], "user long, entity long, status string, score long, ts long, event_id long")
     assert L.full_progress(users, rows_, done).count() == 10
-    monkeypatch.setattr(L, "MOST_STATED", 4)
-    with pytest.raises(ValueError):
-        L.full_progress(users, rows_, done)
+    # in blocks of any size every user meets every entity once
+    monkeypatch.setattr(L, "USER_BLOCK", 1)
+    monkeypatch.setattr(L, "ENTITY_BLOCK", 2)
+    assert sorted(map(tuple, L.each_user(users, rows_).collect())) == sorted((u.user, e.entity) for u in users.collect() for e in rows_.collect())
 
 
 def test_streams_go_on_after_a_restart(spark, sf, tmp_path):
@@ -355,3 +356,28 @@ def test_stream_equals_batch(spark, sf):
 
     got = rows(ST.upsert_stream(spark, f"{sf}/events.parquet"), "user", "entity", "status", "score")
     assert got == rows(L.latest(twins.progress(Tables(spark, sf))), "user", "entity", "status", "score")
+
+
+def test_recommendations_for_learners_at_the_start(spark):
+    from graphloom.operators import learner as L
+
+    schema = "user long, entity long, status string, score long, ts timestamp, event_id long"
+    none = spark.createDataFrame([], schema)
+    needs = spark.createDataFrame([(10, 11), (10, 12), (11, 12), (20, 21)], "src long, dst long")
+    users = spark.createDataFrame([(1,), (2,)], "user long")
+    assert sorted(map(tuple, L.next_recommended(none, needs, users).collect())) == [(u, e) for u in (1, 2) for e in (10, 20)]
+    done = spark.sql("select 2L as user, e as entity, 'mastered' as status, 90L as score, timestamp'2024-01-01' as ts, e as event_id from values (10L), (20L) t(e)")
+    assert sorted(map(tuple, L.next_recommended(done, needs, users).collect())) == [(1, 10), (1, 20), (2, 11), (2, 21)]
+    points = spark.createDataFrame([(11,), (20,), (99,)], "entity long")  # 99 is nobody's prerequisite and has none
+    assert sorted(map(tuple, L.next_recommended(done, needs, users, points).collect())) == [(1, 20), (1, 99), (2, 11), (2, 99)]
+
+
+def test_freshness_counts_repeats_and_tells_nulls_apart(spark):
+    from graphloom.operators import report as R
+
+    of = lambda rows: spark.createDataFrame(rows, "uri string, label string")
+    fresh = lambda a, b: R.freshness(of(a), of(b)).first().fresh
+    assert not fresh([("u1", "a"), ("u1", "a"), ("u2", "b")], [("u9", "z"), ("u9", "z"), ("u2", "b")])
+    assert fresh([("u1", "a"), ("u2", "b"), ("u1", "a")], [("u1", "a"), ("u1", "a"), ("u2", "b")])
+    assert not fresh([("x", None)], [(None, "x")]) and fresh([(None, None)], [(None, None)]) and fresh([], [])
+    assert not fresh([("", None)], [(None, "")])
