@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import pairs_within
+
 
 def teaches_before(points: DataFrame) -> DataFrame:
     """(src, dst): points of an earlier section of a chapter before those of a later one, distinct. points (chapter, pos, point)."""
-    a, b = (points.select("chapter", F.col("pos").alias(f"{x}_pos"), F.col("point").alias(x)).distinct() for x in ("src", "dst"))
-    return a.join(b, "chapter").where("src_pos < dst_pos and src <> dst").select("src", "dst").distinct()
+    met = pairs_within(points, "chapter", F.struct("pos", "point")).where("lo.pos < hi.pos and lo.point <> hi.point")
+    return met.select(F.col("lo.point").alias("src"), F.col("hi.point").alias("dst")).distinct()
 
 
 def neighbour_pairs(concepts: DataFrame, reach: int = 5, parts: int | None = None) -> DataFrame:
@@ -159,8 +161,18 @@ def instances_of_all(member: DataFrame, classes: list) -> DataFrame:
 
 def class_pairs(member: DataFrame) -> DataFrame:
     """(c1, c2, n): distinct instances shared by each pair of classes."""
-    m = member.select("node", "cls").distinct()
-    return m.select("node", F.col("cls").alias("c1")).join(m.select("node", F.col("cls").alias("c2")), "node").where("c1 < c2").groupBy("c1", "c2").agg(F.count("*").alias("n"))
+    return pairs_within(member, "node", F.col("cls")).groupBy(F.col("lo").alias("c1"), F.col("hi").alias("c2")).agg(F.count("*").alias("n"))
+
+
+def together(rows: DataFrame, group: str, node: str) -> DataFrame:
+    """(src, dst): nodes that stand in a group together, each pair once, src below dst."""
+    return pairs_within(rows, group, F.col(node)).select(F.col("lo").alias("src"), F.col("hi").alias("dst")).distinct()
+
+
+def other_kinds(rows: DataFrame, group: str, node: str, kind: str) -> DataFrame:
+    """(src, dst): nodes of different kinds that stand in a group together, each pair once, src below dst."""
+    met = pairs_within(rows, group, F.struct(F.col(node).alias("node"), F.col(kind).alias("kind"))).where("lo.kind <> hi.kind and lo.node < hi.node")
+    return met.select(F.col("lo.node").alias("src"), F.col("hi.node").alias("dst")).distinct()
 
 
 def with_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:

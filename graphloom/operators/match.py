@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .skew import join_dealt
 
 #: Dictionaries up to this many rows are broadcast; larger ones are joined by shuffle.
 SMALL = 200_000
@@ -46,22 +47,41 @@ def grams(label: Column, n: int) -> Column:
     return F.when(F.char_length(label) < n, F.array(label)).otherwise(F.array_distinct(F.regexp_extract_all(label, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)))
 
 
-def containment(items: DataFrame, concepts: DataFrame, n: int = 3) -> DataFrame:
-    """(id, concept, confidence 0.8): either label holds the other; the concept first in ``ord`` wins.
+def gram_rows(rows: DataFrame, label: str, n: int) -> DataFrame:
+    """``rows`` once for each of the distinct runs of 1 to ``n`` characters of ``label``, as ``g``."""
+    runs = [F.when(F.char_length(label) >= k, grams(F.col(label), k)).otherwise(F.array().cast("array<string>")) for k in range(1, n + 1)]
+    return rows.select("*", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("g"))
+
+
+def filed(needles: DataFrame, needle: str, hay: DataFrame, n: int) -> DataFrame:
+    """``needles`` with ``g``: of the grams of each the one that the fewest rows of ``hay`` (g) have. One that has a gram which none
+    of them has is in no text, so it goes. ``needle`` tells the rows apart."""
+    often = hay.groupBy("g").agg(F.count("*").alias("often"))
+    own = needles.select(F.col(needle).alias("__needle"), F.explode(grams(F.col(needle), n)).alias("g"))
+    best = own.join(often, "g", "left").groupBy("__needle").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "g")).alias("f"))
+    return needles.join(best.where("f.often > 0"), F.col(needle) == F.col("__needle")).select(*needles.columns, F.col("f.g").alias("g"))
+
 
-    One that holds the other shares its first n-gram (or all of it, if shorter), so each side's first gram meets all
-    grams of the other in an equi-join, and ``contains`` verifies; no pair of labels is tried without a gram in common.
+def held(hay: DataFrame, text: str, needles: DataFrame, needle: str, by: str, n: int = 3) -> DataFrame:
+    """``hay`` joined with ``needles`` where the text holds the needle.
+
+    A text that holds a needle has all its grams (runs of ``n`` characters, or all of a shorter one), so a needle is filed under
+    its rarest, and meets the texts with that one only; ``contains`` decides. Common beginnings therefore gather nothing. The
+    texts of a gram that even as the rarest of a needle is frequent are dealt into parts by ``by``.
     """
+    rows = gram_rows(hay, text, n)
+    return join_dealt(rows, filed(needles, needle, rows, n), "g", F.col(by)).where(F.contains(text, needle)).drop("g")
+
+
+def containment(items: DataFrame, concepts: DataFrame, n: int = 3) -> DataFrame:
+    """(id, concept, confidence 0.8): either label holds the other; the concept first in ``ord`` wins."""
     i = items.select("id", F.lower("label").alias("a")).where("a <> ''")
-    c = concepts.select("concept", "ord", F.lower("label").alias("b")).where("b <> ''")
-    # labels shorter than a gram are looked up among the grams of their own length
-    sizes = range(1, n + 1)
-    every = lambda df, col: df.select("*", F.explode(F.array_distinct(F.flatten(F.array(*[F.when(F.char_length(col) >= k, grams(F.col(col), k)).otherwise(F.array().cast("array<string>")) for k in sizes])))).alias("g"))
-    first = lambda df, col: df.withColumn("g", F.substring(col, 1, n))
-    inside = every(i, "a").join(first(c, "b"), "g").where(F.contains("a", "b"))
-    around = first(i, "a").join(every(c, "b"), "g").where(F.contains("b", "a"))
-    hits = inside.select("id", "ord", "concept").unionByName(around.select("id", "ord", "concept"))
-    return hits.groupBy("id").agg(F.min_by("concept", F.struct("ord", "concept")).alias("concept")).withColumn("confidence", F.lit(0.8))
+    # of concepts with one label only the first can win; items with one label have one answer
+    c = concepts.select(F.lower("label").alias("b"), F.struct("ord", "concept").alias("c")).where("b <> ''").groupBy("b").agg(F.min("c").alias("c"))
+    a = i.select("a").distinct()
+    hits = held(a, "a", c, "b", "a", n).select("a", "c").unionByName(held(c, "b", a, "a", "b", n).select("a", "c"))
+    best = hits.groupBy("a").agg(F.min("c").alias("c"))
+    return i.join(best, "a").groupBy("id").agg(F.min("c").alias("c")).select("id", F.col("c.concept").alias("concept"), F.lit(0.8).alias("confidence"))
 
 
 def partial(items: DataFrame, concepts: DataFrame, share: float = 0.5) -> DataFrame:
@@ -85,17 +105,26 @@ def partial(items: DataFrame, concepts: DataFrame, share: float = 0.5) -> DataFr
     return hits.groupBy("id").agg(F.min_by("concept", F.struct("ord", "concept")).alias("concept"))
 
 
-def cascade(items: DataFrame, concepts: DataFrame) -> DataFrame:
-    """(id, label, concept, match_type, confidence): exact 1.0, else contains 0.8, else new with 1.0."""
+def cascade(items: DataFrame, concepts: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """(id, label, concept, match_type, confidence): exact 1.0, else contains 0.8, else semantic 0.7, else new with 1.0.
+
+    The semantic step takes given ``answers`` (id, concept, similarity): recorded decisions of a model, or the hits of
+    ``vector_topk`` at or above a gate. The most similar one counts, of equals the concept first in ``ord``.
+    """
     c = concepts.groupBy("label").agg(F.min(F.struct("ord", "concept")).alias("c"))
     one = items.join(c, "label", "left").select("id", "label", F.col("c.concept").alias("e"))
     rest = one.where("e is null").select("id", "label")
     two = containment(rest, concepts).select("id", F.col("concept").alias("k"))
-    return one.join(two, "id", "left").select(
-        "id", "label", F.coalesce("e", "k").alias("concept"),
-        F.when(F.col("e").isNotNull(), "exact").when(F.col("k").isNotNull(), "contains").otherwise("new").alias("match_type"),
-        F.when(F.col("e").isNull() & F.col("k").isNotNull(), 0.8).otherwise(1.0).alias("confidence"),
-    )
+    out = one.join(two, "id", "left")
+    if answers is None:
+        out = out.withColumn("s", F.lit(None).cast(concepts.schema["concept"].dataType))
+    else:
+        known = concepts.groupBy("concept").agg(F.min("ord").alias("ord"))
+        three = answers.where("similarity is not null").join(known, "concept").groupBy("id").agg(F.min(F.struct(-F.col("similarity"), "ord", "concept")).alias("a"))
+        out = out.join(three.select("id", F.col("a.concept").alias("s")), "id", "left")
+    steps = [("e", "exact", 1.0), ("k", "contains", 0.8), ("s", "semantic", 0.7)]
+    first = lambda at, rest: F.coalesce(*[F.when(F.col(step[0]).isNotNull(), F.lit(step[at])) for step in steps], F.lit(rest))
+    return out.select("id", "label", F.coalesce("e", "k", "s").alias("concept"), first(1, "new").alias("match_type"), first(2, 1.0).alias("confidence"))
 
 
 def unit(v: Column) -> Column:
@@ -188,15 +217,14 @@ def early_stop(candidates: DataFrame, gate: float = 0.5, limit: int = 3) -> Data
 
 
 def mentions(definitions: DataFrame, names: DataFrame, min_length: int = 3) -> DataFrame:
-    """(id, name): names of at least ``min_length`` characters that a definition holds, in any case.
-
-    A name's first gram meets the grams of the definitions in an equi-join; ``contains`` verifies.
-    """
-    n = names.select("name").where(F.char_length("name") >= min_length).distinct().withColumn("g", F.lower(F.substring("name", 1, min_length)))
+    """(id, name): names of at least ``min_length`` characters that a definition holds, in any case. A name is looked up by
+    its rarest gram among the definitions; ``contains`` verifies."""
+    n = names.select("name", F.lower("name").alias("low")).where(F.char_length("name") >= min_length).distinct()
     d = definitions.select("id", F.lower("definition").alias("t")).where("t is not null")
     # the texts stay behind while their grams are looked up, and meet the few names that may be in them once
-    likely = d.select("id", F.explode(grams(F.col("t"), min_length)).alias("g")).join(small(n), "g").groupBy("id").agg(F.collect_set("name").alias("names"))
-    return d.join(likely, "id").select("id", F.explode(F.filter("names", lambda x: F.contains(F.col("t"), F.lower(x)))).alias("name")).distinct()
+    rows = d.select("id", F.explode(grams(F.col("t"), min_length)).alias("g"))
+    likely = join_dealt(rows, filed(n, "low", rows, min_length), "g", F.col("id")).groupBy("id").agg(F.collect_set(F.struct("name", "low")).alias("names"))
+    return d.join(likely, "id").select("id", F.explode(F.filter("names", lambda x: F.contains(F.col("t"), x["low"]))["name"]).alias("name")).distinct()
 
 
 def token_mentions(texts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -213,29 +241,49 @@ def grouped_mentions(found: DataFrame) -> DataFrame:
     return found.groupBy("id", "term").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("places"))
 
 
-def deletions(label: Column, most: int) -> Column:
-    """The distinct texts that ``label`` turns into by deleting up to ``most`` of its characters."""
-    out = step = F.array(label)
-    for _ in range(most):
-        less = lambda x: F.transform(F.sequence(F.lit(1), F.char_length(x)), lambda k: F.concat(F.substring(x, F.lit(1), k - 1), F.substring(x, k + 1, F.char_length(x))))
-        step = F.array_distinct(F.flatten(F.transform(step, lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(less(x)))))
-        out = F.array_union(out, step)
-    return out
+def _segment(length: Column, k: int, i: int) -> tuple[Column, Column]:
+    """Where segment ``i`` of the ``k`` + 1 nearly equal ones of a label of ``length`` begins (from 0), and its length."""
+    longer = F.pmod(length, F.lit(k + 1)) - (k + 1 - i)  # the last ones have one character more
+    base = F.floor(length / (k + 1)).cast("int")
+    return base * i + F.greatest(longer, F.lit(0)), base + (longer >= 0).cast("int")
+
+
+def segment_keys(label: Column, k: int) -> Column:
+    """The segments of an entry, each with ``k``, its number and the entry's length."""
+    n = F.char_length(label)
+    parts = [(i, *_segment(n, k, i)) for i in range(k + 1)]
+    return F.array(*[F.concat_ws(":", F.lit(k), F.lit(i), n, F.substring(label, at + 1, size)) for i, at, size in parts])
+
+
+def segment_probes(label: Column, k: int) -> Column:
+    """The pieces of a label that a segment of an entry within ``k`` edits may be. Of at most k edits some segment has none, and
+    for one segment at least the edits before it and those after it are few enough to bound by how far it has moved."""
+    n, out = F.char_length(label), []
+    for more in range(-k, k + 1):  # so much longer than the entry
+        for i in range(k + 1):
+            at, size = _segment(n - more, k, i)
+            for shift in range(max(-i, more - (k - i)), min(i, more + (k - i)) + 1):
+                inside = (n - more >= 0) & (at + shift >= 0) & (at + shift + size <= n)
+                out.append(F.when(inside, F.concat_ws(":", F.lit(k), F.lit(i), n - more, F.substring(label, at + shift + 1, size))))
+    return F.array_distinct(F.filter(F.array(*out), lambda x: x.isNotNull()))
 
 
 def fuzzy(items: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(id, match, distance): the closest entry within an edit distance of 0, 1 or 2 (lengths to 2, to 5, above);
     ties to the first in order.
 
-    Two labels within n edits turn into one text by n deletions on either side, so they meet in an equi-join on such
-    texts: no pair is lost, and no common character gathers all labels.
+    An entry is cut into k + 1 segments for each k, and one of them stands unchanged, hardly moved, in every label within k
+    edits: at most 19 pieces of a label, however long, are looked up. No pair is lost; ``levenshtein`` decides.
     """
     limit = F.when(F.char_length("label") <= 2, 0).when(F.char_length("label") <= 5, 1).otherwise(2)
     d = dictionary.select(F.col("label").alias("match")).where("match is not null").distinct()
-    keys = F.when(F.col("limit") == 0, F.array("label")).when(F.col("limit") == 1, deletions(F.col("label"), 1)).otherwise(deletions(F.col("label"), 2))
-    asked = items.where("label is not null").withColumn("limit", limit).select("id", "label", "limit", F.explode(keys).alias("key"))
-    pairs = asked.join(d.select("match", F.explode(deletions(F.col("match"), 2)).alias("key")), "key").withColumn("distance", F.levenshtein("label", "match")).where(F.col("distance") <= F.col("limit"))
-    return pairs.groupBy("id").agg(F.min(F.struct("distance", "match")).alias("m")).select("id", F.col("m.match").alias("match"), F.col("m.distance").alias("distance"))
+    entries = d.select("match", F.explode(F.concat(*[segment_keys(F.col("match"), k) for k in (0, 1, 2)])).alias("key"))
+    labels = items.select("label").where("label is not null").distinct().withColumn("limit", limit)
+    pieces = F.when(F.col("limit") == 0, segment_probes(F.col("label"), 0)).when(F.col("limit") == 1, segment_probes(F.col("label"), 1)).otherwise(segment_probes(F.col("label"), 2))
+    pairs = join_dealt(labels.select("label", "limit", F.explode(pieces).alias("key")), entries, "key", F.col("label"))
+    near = pairs.withColumn("distance", F.levenshtein("label", "match", 2)).where(F.col("distance").between(0, F.col("limit")))
+    best = near.groupBy("label").agg(F.min(F.struct("distance", "match")).alias("m"))
+    return items.join(best, "label").groupBy("id").agg(F.min("m").alias("m")).select("id", F.col("m.match").alias("match"), F.col("m.distance").alias("distance"))
 
 
 def label_search(rows: DataFrame, key: str, label: str, term: str, share: float = 0.5) -> DataFrame:

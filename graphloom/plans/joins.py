@@ -164,6 +164,20 @@ def j5(t):
     return M.cascade(items(t), dictionary(t))
 
 
+# recorded answers: two a third item, the more similar one of them counts
+ANSWERS_SQL = "ans as (select id, p_partkey as concept, p_partkey % 5 as similarity from items join part on p_partkey in (id * 7 % 90, id * 11 % 90) where id % 3 = 0)"
+
+
+@query("j5_cascade_semantic", "with " + ITEMS_SQL + ", " + ANSWERS_SQL + """, e as (select i.id, min(concept) as c from items i join dict d on i.label = d.label group by 1), k as (select i.id, min(concept) as c from items i join dict d on contains(i.label, d.label) or contains(d.label, i.label) group by 1),
+s as (select id, concept as c from (select *, row_number() over (partition by id order by similarity desc, concept) as n from ans where concept in (select concept from dict)) where n = 1)
+select i.id, i.label, coalesce(e.c, k.c, s.c) as concept, case when e.c is not null then 'exact' when k.c is not null then 'contains' when s.c is not null then 'semantic' else 'new' end as match_type, case when e.c is not null then 1.0::double when k.c is not null then 0.8::double when s.c is not null then 0.7::double else 1.0::double end as confidence from items i left join e using (id) left join k using (id) left join s using (id)""")
+def j5b(t):
+    i = items(t)
+    found = i.where("id % 3 = 0").select("id", F.explode(F.array(F.col("id") * 7 % 90, F.col("id") * 11 % 90)).alias("concept"))
+    parts = t.part.select(F.col("p_partkey").alias("concept"), (F.col("p_partkey") % 5).alias("similarity"))
+    return M.cascade(i, dictionary(t), found.join(parts, "concept"))
+
+
 COS_SQL = "with q as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 20 = 0), s as (select query_id, vec_id, round(list_cosine_similarity(q, embedding::double[]), 6) as score from q, embeddings)"
 
 
@@ -367,9 +381,7 @@ def j36(t):
 @query("j37_recommend", "with have as (select distinct user_id % 20 as usr, l.l_partkey as node from events e join lineitem l on l.l_orderkey = e.event_id), e as (select distinct a.l_partkey as src, b.l_partkey as dst from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey), w as (select usr, dst as node, count(*) as ways from have join e on node = src group by 1, 2) select usr as \"user\", node, ways, rank from (select *, row_number() over (partition by usr order by ways desc, node) as rank from w anti join have using (usr, node)) where rank <= 5")
 def j37(t):
     have = t.events.join(t.lineitem, F.col("event_id") == F.col("l_orderkey")).select((F.col("user_id") % 20).alias("user"), F.col("l_partkey").alias("node")).distinct()
-    li = t.lineitem.select("l_orderkey", "l_partkey")
-    e = li.select("l_orderkey", F.col("l_partkey").alias("src")).join(li.select("l_orderkey", F.col("l_partkey").alias("dst")), "l_orderkey").where("src < dst").select("src", "dst").distinct()
-    return E.recommend(e, have, have, 5)
+    return E.recommend(E.together(t.lineitem, "l_orderkey", "l_partkey"), have, have, 5)
 
 
 @query("j38_progress_of_entities", PROGRESS_SQL + ' select "user", entity, status, p_name as label from latest join part on entity = p_partkey where status = \'mastered\'')
@@ -540,9 +552,7 @@ def l3(t):
 
 @query("l5_other_subjects", "select distinct a.l_partkey as src, b.l_partkey as dst from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey join part p on a.l_partkey = p.p_partkey join part q on b.l_partkey = q.p_partkey where p.p_type <> q.p_type and a.l_partkey < b.l_partkey")
 def l5(t):
-    li = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_partkey", "p_type")
-    b = li.select("l_orderkey", F.col("l_partkey").alias("dst"), F.col("p_type").alias("t2"))
-    return li.withColumnRenamed("l_partkey", "src").join(b, "l_orderkey").where("p_type <> t2 and src < dst").select("src", "dst").distinct()
+    return E.other_kinds(t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")), "l_orderkey", "l_partkey", "p_type")
 
 
 @query("l7_weak_points", PROGRESS_SQL + ' select entity, count(distinct "user") as learners, round(avg(score), 4) as avg_score from latest where score < 10 group by 1')
