@@ -5,7 +5,8 @@ vote. Votes are counted per host in Spark, and every page is extracted again at
 lacks that path uses its own vote).
 
 What goes from inside of the chosen container is only what is marked as menu, header, footer, sidebar, notice, advert,
-form, script, style or comments. Words that may name such a thing or a part of an article ("related", "banner") lower a
+form, script, style or comments; a form around the article, or around half of the page's text, is no form in this sense.
+What a page has beside the chosen container, without an article element around, is its article too. Words that may name such a thing or a part of an article ("related", "banner") lower a
 container's score, and what they mark goes only if most of its text is links.
 """
 
@@ -27,7 +28,7 @@ ATTRS = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 #: Element names by kind, and words that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg canvas object select textarea head title audio video".split())
-JUNK_TAGS = frozenset("nav aside footer form menu dialog".split())
+JUNK_TAGS = frozenset("nav aside footer menu dialog".split())
 CONTAINERS = frozenset("article main section div td body blockquote ul ol table tbody tr dl figure details center header footer nav aside form menu dialog fieldset html".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address figcaption hr th thead tfoot caption summary hgroup legend".split())
 JUNK_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion sidebar comment comments disqus cookie cookies notice notices consent gdpr menu menus nav navbar navigation breadcrumb breadcrumbs footer newsletter form forms".split())
@@ -38,8 +39,6 @@ WEAK_WORDS = frozenset("alert banner header hidden login masthead modal overlay
 JUNK_ROLES = frozenset("navigation contentinfo complementary search form dialog alertdialog menu menubar".split())
 WEIGHT = {"article": 3.0, "main": 2.5, "body": 0.1, "html": 0.05}
 WEAK_WEIGHT = 0.1
-#: Text of siblings that counts as a part of the same article: a block of so many characters, few of them links.
-PROSE = 60
 
 _raw_ends = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _words = re.compile(r"[a-z]+")
@@ -149,14 +148,30 @@ def parse(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, s
             junk = _kind(name, {a.lower(): b or c or d or "" for a, b, c, d in ATTRS.findall(m[5])}, articles > 0) == "junk"
         stack.append((name, node, junk))
     flush()
-    if any(weak for *_, weak in nodes):
-        gone = _link_lists(blocks, nodes)
-        blocks = [b for b in blocks if not gone[b[0]]]
+    for test, kept_out in ((any(weak for *_, weak in nodes), _link_lists), (any(tag == "form" for _, tag, *_ in nodes), _small_forms)):
+        if test:
+            gone = kept_out(blocks, nodes)
+            blocks = [b for b in blocks if not gone[b[0]]]
     return blocks, nodes
 
 
-def _link_lists(blocks, nodes) -> list[bool]:
-    """Whether a container is, or lies in, a weak one of whose text half or more is links."""
+def _small_forms(blocks, nodes) -> list[bool]:
+    """Whether a container is, or lies in, a form that is no frame of the page: it holds neither an article nor half of all text
+    that is no link."""
+    prose, holds = [0] * len(nodes), [tag in ("article", "main") for _, tag, *_ in nodes]
+    for node, text, links in blocks:
+        prose[node] += max(len(text) - links, 0)
+    for k in range(len(nodes) - 1, 0, -1):
+        prose[nodes[k][0]] += prose[k]
+        holds[nodes[k][0]] |= holds[k]
+    gone = [False] * len(nodes)
+    for k in range(1, len(nodes)):
+        gone[k] = gone[nodes[k][0]] or nodes[k][1] == "form" and not holds[k] and 2 * prose[k] < prose[0]
+    return gone
+
+
+def _link_lists(blocks, nodes, any_kind: bool = False) -> list[bool]:
+    """Whether a container is, or lies in, a weak one (or, if so stated, any one) of whose text half or more is links."""
     size, linked = [0] * len(nodes), [0] * len(nodes)
     for node, text, links in blocks:
         size[node] += len(text)
@@ -166,7 +181,7 @@ def _link_lists(blocks, nodes) -> list[bool]:
         linked[nodes[k][0]] += linked[k]
     gone = [False] * len(nodes)
     for k in range(1, len(nodes)):
-        gone[k] = gone[nodes[k][0]] or nodes[k][3] and size[k] > 0 and 2 * linked[k] >= size[k]
+        gone[k] = gone[nodes[k][0]] or (any_kind or nodes[k][3]) and size[k] > 0 and 2 * linked[k] >= size[k]
     return gone
 
 
@@ -179,31 +194,41 @@ def paths(nodes: list[tuple[int, str, str, bool]]) -> list[str]:
     return out
 
 
-def best_container(blocks: list[tuple[int, str, int]], nodes: list[tuple[int, str, str, bool]]) -> tuple[int, float]:
-    """The container with the highest score; from there up to the article around it or, without one, to where the
-    sibling containers hold no more prose."""
+def highest(blocks: list[tuple[int, str, int]], nodes: list[tuple[int, str, str, bool]]) -> tuple[int, float]:
+    """The container with the highest score, and that score."""
     score = [0.0] * len(nodes)
-    prose = [0] * len(nodes)
     for node, text, links in blocks:
         worth = len(text) - 2 * min(links, len(text))
         score[node] += worth
         if nodes[node][0] >= 0:
             score[nodes[node][0]] += worth / 2
-        prose[node] += len(text) >= PROSE and 4 * links < len(text)
-    for k in range(len(nodes) - 1, 0, -1):
-        prose[nodes[k][0]] += prose[k]
     weighed = [s * WEIGHT.get(nodes[k][1], 1.0) * (WEAK_WEIGHT if nodes[k][3] else 1.0) for k, s in enumerate(score)]
     best = max(range(len(nodes)), key=lambda k: (weighed[k], -k))
-    worth = max(weighed[best], 0.0)
+    return best, max(weighed[best], 0.0)
+
+
+def whole(best: int, blocks: list[tuple[int, str, int]], nodes: list[tuple[int, str, str, bool]]) -> int:
+    """From a container up to the article around it or, without one, to the outermost that has more text beside it, however
+    short. Text that is mostly links, or stands in a weak container, does not count."""
     above = best
     while above > 0:
         if nodes[above][1] in ("article", "main"):
-            return above, worth
+            return above
         above = nodes[above][0]
-    for k in range(best, 0, -1):
-        if k == best and prose[nodes[k][0]] > prose[k]:
-            best = nodes[k][0]
-    return best, worth
+    weak, prose = [False] * len(nodes), [0] * len(nodes)
+    for k in range(1, len(nodes)):
+        weak[k] = nodes[k][3] or weak[nodes[k][0]]
+    for node, text, links in blocks:
+        prose[node] += 2 * links < len(text) and (not weak[node] or weak[best])
+    for k in range(len(nodes) - 1, 0, -1):
+        prose[nodes[k][0]] += prose[k]
+    top = best
+    while best > 0:
+        up = nodes[best][0]
+        if prose[up] > prose[best]:
+            top = up
+        best = up
+    return top
 
 
 def vote(page: str) -> tuple[str | None, float]:
@@ -211,8 +236,8 @@ def vote(page: str) -> tuple[str | None, float]:
     blocks, nodes = parse(page)
     if not blocks:
         return None, 0.0
-    best, score = best_container(blocks, nodes)
-    return paths(nodes)[best], score
+    best, score = highest(blocks, nodes)
+    return paths(nodes)[whole(best, blocks, nodes)], score
 
 
 def main_text(page: str | None, path: str | None) -> str:
@@ -222,17 +247,24 @@ def main_text(page: str | None, path: str | None) -> str:
         return ""
     own = paths(nodes)
     body = ("", "html", "body")
-    chosen = {k for k in range(1, len(nodes)) if own[k] == path and nodes[k][1] not in body} if path else set()
     for step in range(2):
-        if step:
-            best = best_container(blocks, nodes)[0]
-            chosen = {best} if nodes[best][1] in body else {k for k in range(1, len(nodes)) if own[k] == own[best] and nodes[k][1] not in body}
-        inside = [False] * len(nodes)
-        for k in range(len(nodes)):
-            inside[k] = k in chosen or k > 0 and inside[nodes[k][0]]
-        if texts := [t for node, t, _ in blocks if inside[node]]:
+        best = highest(blocks, nodes)[0] if step else 0
+        at = own[best] if step else path
+        chosen = {k for k in range(1, len(nodes)) if own[k] == at and nodes[k][1] not in body} if at else {best} if step else set()
+        # what this page has beside them belongs to the article as well, but lists of links
+        frames = {k for k in chosen if nodes[k][1] in body}
+        core, inside = _within(chosen - frames, nodes), _within(chosen | {whole(k, blocks, nodes) for k in chosen}, nodes)
+        lists = _link_lists(blocks, nodes, True) if inside != core else core
+        if texts := [t for node, t, links in blocks if core[node] or inside[node] and not lists[node] and 2 * links < len(t)]:
             return "\n".join(texts)
-    return ""
+    return "\n".join(t for _, t, _ in blocks)  # nothing but links
+
+
+def _within(chosen: set[int], nodes) -> list[bool]:
+    inside = [False] * len(nodes)
+    for k in range(len(nodes)):
+        inside[k] = k in chosen or k > 0 and inside[nodes[k][0]]
+    return inside
 
 
 def host_of(url: F.Column) -> F.Column:

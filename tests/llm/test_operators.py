@@ -749,3 +749,41 @@ def test_gear_hash_rolls():
     for b in raw:
         h = ((h << 1) + int(substrdedup.GEAR[b])) & 0xFFFFFFFF
     assert h == substrdedup.gear_hash(np.frombuffer(raw, np.uint8))[-1]
+
+
+def long(words_, k=10):
+    return " ".join(f"{words_} number {j} of them." for j in range(k))
+
+
+def test_forms_around_the_page_and_short_siblings():
+    menu, form = "<ul><li><a href=a>Home page</a><li><a href=b>About us all</a></ul>", "<form action=s><p>Subscribe to our letters</p><input name=m></form>"
+    asp = f"<body><form id='aspnetForm'>{menu}<article><h1>Title</h1><p>{long('A line')}</p></article><footer>Imprint</footer></form></body>"
+    want = f"Title\n{long('A line')}"
+    for path in (htmlmain.vote(asp)[0], None, ">div.other"):
+        assert htmlmain.main_text(asp, path) == want
+    bare = f"<body><form id=f><div class=text><p>{long('A line')}</p></div><input></form>{form}</body>"
+    assert htmlmain.main_text(bare, htmlmain.vote(bare)[0]) == long("A line")
+    end = f"<body><div class=one><p>{long('A line')}</p></div><div class=two>That is all.</div>{menu}{form}<div class=sidebar>Weather: fine</div></body>"
+    both = f"<body>{menu}<div class=one><p>{long('A line')}</p></div><div class=two><p>{long('More of it')}</p><p>The end.</p></div><footer>Imprint</footer></body>"
+    for path in (">div.one", ">div.two", None, "", htmlmain.vote(end)[0]):
+        assert htmlmain.main_text(end, path) == f"{long('A line')}\nThat is all."
+        assert htmlmain.main_text(both, path) == f"{long('A line')}\n{long('More of it')}\nThe end."
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pages_of_other_templates_against_what_was_put_in(spark, seed):
+    """Pages without an article element, inside a form or not, their body in one container or in several."""
+    r = random.Random(seed)
+    rows, want = [], {}
+    for k in range(12):
+        parts = [long(f"Paragraph {k} {j}", r.randint(1, 6)) for j in range(r.randint(1, 5))]
+        cuts = sorted(r.sample(range(len(parts) + 1), min(2, len(parts) + 1)))
+        groups = [g for g in (parts[: cuts[0]], parts[cuts[0] : cuts[-1]], parts[cuts[-1] :]) if g]
+        body = "".join(f"<div class='part{j}'>" + "".join(f"<p>{p}</p>" for p in g) + "</div>" for j, g in enumerate(groups))
+        junk = ["<nav><a href=x>Start</a></nav>", "<div class=sidebar>Weather is fine today.</div>", "<form><label>Search all</label></form>", "<div class='cookie-notice'>We use cookies here.</div>", "<footer>Imprint and more.</footer>"]
+        page = f"<div>{r.choice(junk)}</div>{r.choice(junk)}<section>{body}</section>{r.choice(junk)}"
+        page = f"<form id=all>{page}<input type=hidden></form>" if seed % 2 else page
+        rows.append((k, f"http://h{k % 2}/p", f"<html><head><title>t</title></head><body>{page}</body></html>"))
+        want[k] = "\n".join(parts)
+    got = htmlmain.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {x.page_id: x.text for x in got} == want
