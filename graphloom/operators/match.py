@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..scratch import drop_table, write_table
 from .skew import join_dealt
 
 #: Dictionaries up to this many rows are broadcast; larger ones are joined by shuffle.
@@ -127,24 +128,12 @@ def cascade(items: DataFrame, concepts: DataFrame, answers: DataFrame | None = N
     return out.select("id", "label", F.coalesce("e", "k", "s").alias("concept"), first(1, "new").alias("match_type"), first(2, 1.0).alias("confidence"))
 
 
-def unit(v: Column) -> Column:
-    """The vector as doubles with length 1; a zero vector stays as it is."""
-    d = v.cast("array<double>")
-    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(d, lambda x: F.when(norm > 0, x / norm).otherwise(x))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 #: Queries and vectors that meet in one task at once.
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
 
 
-def _cosines(queries: DataFrame, vectors: DataFrame, k: int | None) -> DataFrame:
-    """(query_id, vec_id, score): every stated query with every vector, block by block as a matrix product; with ``k``
-    only the best k others that a block has for a query leave its task."""
+def _cosines(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query_id, vec_id, score): every stated query with every vector, block by block as a matrix product."""
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     n_q, n_v = q.count(), v.count()
@@ -157,30 +146,140 @@ def _cosines(queries: DataFrame, vectors: DataFrame, k: int | None) -> DataFrame
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        x, y = (np.stack(list(d["v"])) for d in (left, right))
-        x, y = (m / np.where((norm := np.sqrt((m * m).sum(axis=1, keepdims=True))) > 0, norm, 1.0) for m in (x, y))
-        score = np.round(x @ y.T, 6)
+        score = np.round(_matrix(left["v"]) @ _matrix(right["v"]).T, 6)
         qid, vid = left["query_id"].to_numpy(), right["vec_id"].to_numpy()
-        if k is None:
-            return pd.DataFrame({"query_id": np.repeat(qid, len(vid)), "vec_id": np.tile(vid, len(qid)), "score": score.reshape(-1)})
-        score[qid[:, None] == vid[None, :]] = -np.inf
-        best = np.lexsort((np.broadcast_to(vid, score.shape), -score), axis=1)[:, :k]
-        top = np.take_along_axis(score, best, axis=1)
-        ok = np.isfinite(top)
-        return pd.DataFrame({"query_id": np.repeat(qid, ok.sum(axis=1)), "vec_id": vid[best][ok], "score": top[ok]})
+        return pd.DataFrame({"query_id": np.repeat(qid, len(vid)), "vec_id": np.tile(vid, len(qid)), "score": score.reshape(-1)})
 
     return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(run, "query_id long, vec_id long, score double")
 
 
 def vector_pairs(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """(query_id, vec_id, score): cosine of each stated query with each vector, rounded to 6 digits."""
-    return _cosines(queries, vectors, None)
+    return _cosines(queries, vectors)
+
+
+#: Vectors that all others keep their distances to, the width of a ring around one, and the most blocks but one for each ring.
+PIVOTS, RING, MOST_BLOCKS = 16, 0.05, 16_384
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    """The vectors of a column, each of length 1; zero vectors stay as they are."""
+    m = np.stack(list(column))
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return m / np.where(norm > 0, norm, 1.0)
+
+
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * (x @ pivots.T), 0.0))
+
+
+def highest_cosines(d: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """No cosine of a query, at distances ``d`` (queries x pivots), with a vector of a block, between ``low`` and ``high`` (blocks x
+    pivots), is above this (queries x blocks). The allowance is for rounding."""
+    gap = np.zeros((len(d), len(low)))
+    for p in range(d.shape[1]):
+        gap = np.maximum(gap, np.maximum(d[:, p, None] - high[None, :, p], low[None, :, p] - d[:, p, None]))
+    return 1 - gap * gap / 2 + 2e-6
+
+
+class PivotBlocks:
+    """Vectors in blocks, of which only the intervals of their distances to a few pivots are known here.
+
+    A vector belongs to the ring around its nearest pivot in which it lies; a large ring is dealt into blocks by hash. By the
+    triangle inequality a query can be no nearer to any vector of a block than its own distance to a pivot lies outside of
+    the block's interval. ``rows`` has vec_id, v (length 1) and block.
+    """
+
+    def __init__(self, vectors: DataFrame):
+        v = vectors.where("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+        first = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()
+        self.pivots = pivots = _matrix(pd.Series([r["v"] for r in first])) if first else np.zeros((0, 1))
+        ring = RING
+
+        def place(batches):
+            for batch in batches:
+                if not len(batch):
+                    continue
+                x = _matrix(batch["v"])
+                d = _distances(x, pivots)
+                home = d.argmin(axis=1)
+                yield pd.DataFrame({"vec_id": batch["vec_id"], "v": list(x), "d": list(d), "ring": home * 1000 + (d[np.arange(len(d)), home] / ring).astype(int)})
+
+        placed = write_table(v.mapInPandas(place, "vec_id long, v array<double>, d array<double>, ring long"), "vectors-placed")
+        counted = write_table(placed.groupBy("ring").agg(F.count("*").alias("n")), "vector-rings")
+        size = max(VECTOR_BLOCK, (counted.agg(F.sum("n")).first()[0] or 0) // MOST_BLOCKS)
+        parts = counted.select("ring", F.ceil(F.col("n") / size).alias("parts"))
+        block = F.col("ring") * (1 << 20) + F.pmod(F.xxhash64("vec_id"), F.col("parts"))
+        self.rows = write_table(placed.join(parts, "ring").select("vec_id", "v", "d", block.alias("block")), "vector-blocks")
+        drop_table(placed)
+        ends = [f(F.get("d", F.lit(p))).alias(f"{f.__name__}{p}") for p in range(len(pivots)) for f in (F.min, F.max)]
+        known = self.rows.groupBy("block").agg(F.count("*").alias("n"), *ends).orderBy("block").toPandas()
+        self.blocks, self.n = known["block"].to_numpy(), known["n"].to_numpy()
+        self.low, self.high = (known[[f"{f}{p}" for p in range(len(pivots))]].to_numpy().astype(float) for f in ("min", "max"))
+
+    def visits(self, queries: DataFrame, k: int, kth: DataFrame | None = None) -> DataFrame:
+        """(query_id, q, block): without ``kth`` the most promising blocks that have k vectors besides the query's own; with it
+        (query_id, kth) the others that may hold a cosine as high."""
+        blocks, n, pivots, low, high, first = self.blocks, self.n, self.pivots, self.low, self.high, kth is None
+        rows = queries.where("embedding is not null").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
+        rows = rows.withColumn("kth", F.lit(None).cast("double")) if kth is None else rows.join(kth, "query_id")
+
+        def run(batches):
+            for batch in batches:
+                for at in range(0, len(batch), 256):
+                    part = batch.iloc[at : at + 256]
+                    if not len(blocks) or not len(part):
+                        continue
+                    x = _matrix(part["q"])
+                    best = highest_cosines(_distances(x, pivots), low, high)
+                    order = np.argsort(-best, axis=1, kind="stable")
+                    seen = np.cumsum(n[order], axis=1)
+                    early = np.zeros(best.shape, bool)
+                    np.put_along_axis(early, order, np.hstack([np.zeros((len(part), 1), int), seen[:, :-1]]) <= k, axis=1)
+                    i, j = np.nonzero(early if first else ~early & (best >= part["kth"].to_numpy()[:, None]))
+                    if len(i):
+                        yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[i], "q": [x[a] for a in i], "block": blocks[j]})
+
+        return rows.mapInPandas(run, "query_id long, q array<double>, block long")
+
+    def search(self, visits: DataFrame, k: int) -> DataFrame:
+        """(query_id, vec_id, score): the best k others that a visited block has for a query. A block meets its queries in parts."""
+        visits = write_table(visits, "vector-visits")
+        parts = visits.groupBy("block").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("parts"))
+        left = visits.join(parts, "block").select("query_id", "q", "block", F.pmod(F.xxhash64("query_id"), F.col("parts")).alias("part"))
+        right = self.rows.join(parts, "block").select("vec_id", "v", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+
+        def run(key, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            if not len(asked) or not len(held):
+                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            y, vid = np.stack(list(held["v"])), held["vec_id"].to_numpy()
+            out = []
+            for at in range(0, len(asked), QUERY_BLOCK):  # a few more than a block may have the same hash
+                some = asked.iloc[at : at + QUERY_BLOCK]
+                qid = some["query_id"].to_numpy()
+                score = np.round(np.stack(list(some["q"])) @ y.T, 6)
+                score[qid[:, None] == vid[None, :]] = -np.inf
+                best = np.lexsort((np.broadcast_to(vid, score.shape), -score), axis=1)[:, :k]
+                top = np.take_along_axis(score, best, axis=1)
+                ok = np.isfinite(top)
+                out.append(pd.DataFrame({"query_id": np.repeat(qid, ok.sum(axis=1)), "vec_id": vid[best][ok], "score": top[ok]}))
+            return pd.concat(out)
+
+        return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(run, "query_id long, vec_id long, score double")
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """The k nearest by cosine; ties to the smaller id."""
+    """The k nearest by cosine (rounded to 6 digits), without the query's own id; ties to the smaller id.
+
+    A query first meets the blocks that promise most, then only those that may still hold a cosine as high as its kth.
+    """
+    index = PivotBlocks(vectors)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return _cosines(queries, vectors, k).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    first = write_table(ranked(index.search(index.visits(queries, k), k)), "vector-first")
+    kth = queries.select(F.col("vec_id").alias("query_id")).distinct().join(first.where(F.col("rank") == k).select("query_id", "score"), "query_id", "left")
+    rest = index.search(index.visits(queries, k, kth.select("query_id", F.coalesce("score", F.lit(-2.0)).alias("kth"))), k)
+    return ranked(first.drop("rank").unionByName(rest))
 
 
 def ratio(a: str, b: str) -> float:
@@ -301,8 +400,17 @@ def label_search(rows: DataFrame, key: str, label: str, term: str, share: float
 
 def disambiguate(contexts: DataFrame, candidates: DataFrame) -> DataFrame:
     """(id, candidate): the candidate (id, candidate, v) whose vector has the highest cosine with the context (id, v)."""
-    c = contexts.select("id", unit(F.col("v")).alias("q"))
-    s = candidates.join(c, "id").withColumn("score", F.round(dot(unit(F.col("v")), F.col("q")), 6))
+    c = contexts.select("id", F.col("v").cast("array<double>").alias("q"))
+    met = candidates.where("v is not null").select("id", "candidate", F.col("v").cast("array<double>").alias("v")).join(c.where("q is not null"), "id")
+
+    def score(batches):
+        for batch in batches:
+            if len(batch):
+                cosine = np.round((_matrix(batch["v"]) * _matrix(batch["q"])).sum(axis=1), 6)
+                yield batch[["id", "candidate"]].assign(score=cosine)
+
+    kinds = {f.name: f.dataType.simpleString() for f in met.schema}
+    s = met.mapInPandas(score, f"id {kinds['id']}, candidate {kinds['candidate']}, score double")
     return s.groupBy("id").agg(F.min(F.struct(-F.col("score"), "candidate")).alias("b")).select("id", F.col("b.candidate").alias("candidate"))
 
 
