@@ -59,8 +59,8 @@ def highest(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np
 class BallTree:
     """Nodes over rows of ``x`` (whole numbers), split at the median along the direction of two far rows."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: int = LEAF):
-        self.ids, self.x = ids, x
+    def __init__(self, ids: np.ndarray, x: np.ndarray, rows: np.ndarray | None = None, leaf: int = LEAF):
+        self.ids, self.x, self.rows = ids, x, ids if rows is None else rows
         real = x.astype(float)
         self.spans, self.centres, self.radii, self.kids = [], [], [], []
         self.index = np.arange(len(ids))
@@ -84,9 +84,9 @@ class BallTree:
                 stack += [(lo + mid, hi, node), (lo, lo + mid, node)]
         self.centres, self.radii = np.array(self.centres), np.array(self.radii)
 
-    def search(self, q: np.ndarray, qid: np.ndarray, k: int, kth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, own: np.ndarray, k: int, kth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(scores, ids) of each query's k best rows here; those below ``kth`` may be missing, and where there are fewer
-        the score is NONE. The query's own row is left out."""
+        the score is NONE. The query's ``own`` row is left out."""
         top = np.full((len(q), k), NONE, np.int64)
         who = np.full((len(q), k), np.iinfo(np.int64).max, np.int64)
         floor = kth.copy()
@@ -107,7 +107,7 @@ class BallTree:
             lo, hi = self.spans[node]
             rows = self.index[lo:hi]
             s = products(q[active], self.x[rows])
-            s[qid[active][:, None] == self.ids[rows][None, :]] = NONE
+            s[own[active][:, None] == self.rows[rows][None, :]] = NONE
             better = (s >= np.maximum(floor[active], NONE + 1)[:, None]).any(axis=1)
             active, s = active[better], s[better]
             if len(active):
@@ -126,11 +126,12 @@ def root_bounds(q: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.nda
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
-    """vec_id, v: floor(scale * x) of each component, x as double; one row an id. Rows without a whole finite vector are left out."""
+    """vec_id, v, row: floor(scale * x) of each component, x as double, and a number of the row, which is the same for good only
+    once it is written. Rows without a whole finite vector are left out."""
     x = F.col(vec_col).cast("array<double>")
     whole = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    rows = vectors.where(whole & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = vectors.where(whole & F.col(id_col).isNotNull())
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"), F.monotonically_increasing_id().alias("row"))
 
 
 def _matrix(rows: list, width: int, kind: type = np.int64) -> np.ndarray:
@@ -144,8 +145,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     """query_id, rank, vec_id, score: the k highest integer inner products of every query (vec_id divisible by ``every``).
 
     All other rows are candidates, ties go to the smaller vec_id, and a query with fewer candidates gets them all.
-    Vectors that are null or hold a null or non-finite component, and rows with a null id, take no part. An id that
-    repeats counts once, with the least of its vectors. Vectors of different lengths are as if the shorter ended in zeros;
+    Vectors that are null or hold a null or non-finite component, and rows with a null id, take no part. Rows that repeat an
+    id are rows of their own: each is a candidate, also of the others, and each asks, so its id has as many times k results.
+    Vectors of different lengths are as if the shorter ended in zeros;
     an empty one scores 0. Components and scores beyond a long are cut to its ends. Other columns are not read; an empty
     table gives no rows.
     """
@@ -156,28 +158,29 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     # clusters around some of the rows, then shards of about shard_rows within each
-    some = held.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(CENTRES, -(-n // shard_rows))).collect()
+    some = held.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(min(CENTRES, -(-n // shard_rows))).collect()
     centres = _matrix([r.v for r in some], width, float)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix([v.values.to_numpy(zero_copy_only=False) for v in batch.column("v")], width, float)
             away = (centres * centres).sum(axis=1)[None, :] - 2 * (x @ centres.T)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(away.argmin(axis=1), pa.int64())], names=["vec_id", "v", "cluster"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(away.argmin(axis=1), pa.int64())], names=["vec_id", "v", "row", "cluster"])
 
-    dealt = write_table(held.mapInArrow(nearest, "vec_id long, v array<long>, cluster long"), "clusters")
+    dealt = write_table(held.mapInArrow(nearest, "vec_id long, v array<long>, row long, cluster long"), "clusters")
     parts = dealt.groupBy("cluster").agg(F.ceil(F.count("*") / shard_rows).alias("parts"))  # CENTRES rows at most
-    shard = F.col("cluster") + CENTRES * F.pmod(F.xxhash64("vec_id"), F.col("parts"))
-    rows = dealt.join(F.broadcast(parts), "cluster").select(shard.alias("shard"), "vec_id", "v")
+    shard = F.col("cluster") + CENTRES * F.pmod(F.xxhash64("row"), F.col("parts"))
+    rows = dealt.join(F.broadcast(parts), "cluster").select(shard.alias("shard"), "vec_id", "v", "row")
 
     def build(key, t: pd.DataFrame) -> pd.DataFrame:
-        tree = BallTree(t["vec_id"].to_numpy(), _matrix(list(t["v"]), width))
+        tree = BallTree(t["vec_id"].to_numpy(), _matrix(list(t["v"]), width), t["row"].to_numpy())
         return pd.DataFrame({"shard": [key[0]], "centre": [tree.centres[0]], "radius": [tree.radii[0]], "tree": [pickle.dumps(tree, 5)]})
 
     trees = write_table(rows.groupBy("shard").applyInPandas(build, "shard long, centre array<double>, radius double, tree binary"), "trees")
     shards = trees.count()
     blocks = max(1, -(-asked // query_rows))
-    queries = held.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)))
+    # a query goes by the number of its row until the end
+    queries = held.where(F.col("vec_id") % every == 0).select(F.col("row").alias("query_id"), F.col("v").alias("q")).withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)))
 
     def reached(asking: DataFrame, home: bool) -> DataFrame:
         """query_id, shard, bound: each query's best shard, or all others whose root bound reaches its ``kth``. The stated
@@ -223,7 +226,12 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     first_asked = write_table(queries.join(home, "query_id"), "first-asked")
     found = write_table(look(first_asked.select("query_id", "q", F.lit(int(NONE)).alias("kth"), F.col("home").alias("shard"))), "found")
     carry = lambda df, f: df.join(kth_of(f), "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(int(NONE))))
-    top = lambda df: df.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    asker = held.where(F.col("vec_id") % every == 0).select("row", F.col("vec_id").alias("asker"))
+
+    def top(df: DataFrame) -> DataFrame:
+        best = df.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+        return best.join(asker, F.col("query_id") == F.col("row")).select(F.col("asker").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
     if shards == 1:
         return top(found)
     # what is left for a query, best bound first: the next few now, the others with the kth score that these give
