@@ -308,8 +308,93 @@ def children_map(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("parent")).agg(F.sort_array(F.collect_set("dst")).alias("children"))
 
 
+class Jumps:
+    """Ancestors at distances of powers of two in a forest (node, parent), one written table a power: (node, up, d), where d is
+    the power or, if the root is nearer, the distance to the root. Each table is the one before it joined to itself, so a
+    forest of depth n takes log2(n) rounds. ``of`` gives None for what is no forest: two parents, or a cycle."""
+
+    def __init__(self, parents: DataFrame):
+        p = parents.select("node", "parent").distinct()
+        nodes = p.select("node").union(p.where("parent is not null").select("parent")).distinct()
+        level = nodes.join(p.where("parent is not null"), "node", "left").select("node", F.coalesce("parent", "node").alias("up"), F.col("parent").isNotNull().cast("long").alias("d"))
+        now, more = _counted(level, "jumps", "d > 0")
+        self.tables, self.n = [now], now.count()
+        # as long as a jump twice as far gets anyone further
+        while more and 2 ** len(self.tables) <= 4 * self.n:
+            last = self.tables[-1].select("node", "up", F.col("d").alias("done"))
+            far = self.tables[-1].select(F.col("node").alias("at"), F.col("up").alias("up2"), F.col("d").alias("d2"))
+            nxt, more = _counted(last.join(far, F.col("up") == F.col("at")).select("node", F.col("up2").alias("up"), (F.col("done") + F.col("d2")).alias("d"), (F.col("d2") > 0).alias("moved")), "jumps", "moved")
+            if more:
+                self.tables.append(nxt.drop("moved"))
+        self.cyclic = bool(more)  # nobody can be further from a root than there are nodes
+
+    @classmethod
+    def of(cls, parents: DataFrame) -> Jumps | None:
+        most = parents.where("parent is not null").distinct().groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        if not most.isEmpty():
+            return None
+        out = cls(parents)
+        return None if out.cyclic else out
+
+    def depths(self) -> DataFrame:
+        """(node, root, depth)"""
+        return self.tables[-1].select("node", F.col("up").alias("root"), F.col("d").alias("depth"))
+
+    def _jump(self, rows: DataFrame, col: str, k: int, condition) -> DataFrame:
+        """``rows`` whose ``col`` is 2^k further up where the condition holds."""
+        t = self.tables[k].select(F.col("node").alias("__at"), F.col("up").alias("__up"))
+        return rows.join(t, F.col(col) == F.col("__at")).select(*[F.when(condition, F.col("__up")).otherwise(F.col(c)).alias(c) if c == col else c for c in rows.columns])
+
+    def ancestors_at(self, rows: DataFrame, col: str, distance: str) -> DataFrame:
+        """``rows`` whose ``col`` is so many steps further up, at most the root; one join for each power of two in use."""
+        most = rows.agg(F.coalesce(F.max(distance), F.lit(0))).first()[0]
+        for k in range(min(len(self.tables), int(most).bit_length())):
+            rows = self._jump(rows, col, k, F.col(distance).bitwiseAND(1 << k) > 0)
+        return rows
+
+    def common(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, ancestor, da, db): the lowest common ancestor of each pair that has one: the deeper end goes up to the depth of
+        the other, then both go up, the farthest jumps first, as long as they do not meet."""
+        d = self.depths()
+        ends = pairs.select("a", "b").distinct()
+        for c in ("a", "b"):
+            ends = ends.join(d.select(F.col("node").alias(f"__{c}"), F.col("root").alias(f"root_{c}"), F.col("depth").alias(f"depth_{c}")), F.col(c) == F.col(f"__{c}")).drop(f"__{c}")
+        ends = ends.where("root_a = root_b").drop("root_a", "root_b")
+        deep = F.col("depth_a") >= F.col("depth_b")
+        ends = ends.select("*", F.when(deep, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(deep, F.col("b")).otherwise(F.col("a")).alias("y"), F.abs(F.col("depth_a") - F.col("depth_b")).alias("more"))
+        ends = write_table(self.ancestors_at(write_table(ends, "jump-pairs"), "x", "more"), "jump-pairs")
+        for k in range(len(self.tables) - 1, -1, -1):
+            t = self.tables[k]
+            up = ends.join(t.select(F.col("node").alias("x"), F.col("up").alias("ux")), "x").join(t.select(F.col("node").alias("y"), F.col("up").alias("uy")), "y")
+            go = F.col("ux") != F.col("uy")
+            ends = write_table(up.select("a", "b", "depth_a", "depth_b", F.when(go, F.col("ux")).otherwise(F.col("x")).alias("x"), F.when(go, F.col("uy")).otherwise(F.col("y")).alias("y")), "jump-pairs")
+        met = self._jump(ends.withColumn("ancestor", F.col("x")), "ancestor", 0, F.col("x") != F.col("y"))
+        low = met.join(d.select(F.col("node").alias("ancestor"), "depth"), "ancestor")
+        return low.select("a", "b", "ancestor", (F.col("depth_a") - F.col("depth")).cast("int").alias("da"), (F.col("depth_b") - F.col("depth")).cast("int").alias("db"))
+
+
+def ancestor_pairs(parents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """G3 for stated pairs: (a, b, dist): those of which b is a itself or an ancestor of a, in a forest (node, parent)."""
+    jumps = Jumps.of(parents)
+    if jumps is None:
+        up = parents.where("parent is not null").select(F.col("node").alias("src"), F.col("parent").alias("dst"))
+        met = reach(up, pairs.select(F.col("a").alias("seed")))
+        return pairs.select("a", "b").distinct().join(met, (F.col("a") == F.col("seed")) & (F.col("b") == F.col("node"))).select("a", "b", "dist")
+    d = jumps.depths().select("node", "depth")
+    a, b = (d.select(F.col("node").alias(c), F.col("depth").alias(f"depth_{c}")) for c in ("a", "b"))
+    asked = pairs.select("a", "b").distinct().join(a, "a").join(b, "b").withColumn("dist", F.col("depth_a") - F.col("depth_b")).where("dist >= 0").withColumn("x", F.col("a"))
+    return jumps.ancestors_at(write_table(asked, "jump-pairs"), "x", "dist").where("x = b").select("a", "b", F.col("dist").cast("int").alias("dist"))
+
+
 def lowest_common(edges: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
-    """(a, b, ancestor, da, db): common ancestors of each pair with the smallest larger distance. Edges run down."""
+    """(a, b, ancestor, da, db): common ancestors of each pair with the smallest larger distance. Edges run down.
+
+    In a forest that is one node, found by jumps. Where nodes have several parents, or in cycles, all ancestors of the ends
+    are compared.
+    """
+    jumps = Jumps.of(edges.select(F.col("dst").alias("node"), F.col("src").alias("parent")))
+    if jumps is not None:
+        return jumps.common(pairs) if most is None else jumps.common(pairs).where(F.greatest("da", "db") <= most)
     up = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     ends = pairs.select(F.col("a").alias("seed")).union(pairs.select("b")).distinct()
     anc = write_table(reach(up, ends, most), "ancestors")
@@ -352,7 +437,11 @@ def root_paths(parents: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def weighted_common(parents: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, ancestor, score): the lowest common node of two root paths, scored by the root of the product of what
-    each path keeps after the common end is trimmed; zero when one is the ancestor of the other."""
+    each path keeps after the common end is trimmed; zero when one is the ancestor of the other. In a forest the kept parts
+    are the distances to the lowest common ancestor; paths are written out only where there are cycles."""
+    jumps = Jumps.of(parents)
+    if jumps is not None:
+        return jumps.common(pairs).select("a", "b", "ancestor", F.round(F.sqrt((F.col("da") * F.col("db")).cast("double")), 6).alias("score"))
     seeds = pairs.select(F.col("a").alias("seed")).union(pairs.select("b")).distinct()
     p = root_paths(parents, seeds)
     j = pairs.join(p.select(F.col("seed").alias("a"), F.col("path").alias("pa")), "a").join(p.select(F.col("seed").alias("b"), F.col("path").alias("pb")), "b")

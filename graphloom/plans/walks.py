@@ -79,6 +79,13 @@ def g3(t):
     return G.reach(up, t.part.select(F.col("p_partkey").alias("seed")))
 
 
+@query("g3_ancestor_pairs", HEAP_SQL.replace("with ", "with recursive ") + ", r(seed, node, dist) as (select p_partkey, p_partkey, 0 from part union all select seed, src, dist + 1 from r join heap on node = dst), pairs as (select p_partkey as a, p_partkey // 5 as b from part union select p_partkey, (p_partkey - 7) // 8 from part where p_partkey >= 7) select a, b, dist from pairs join r on a = seed and b = node")
+def g3b(t):
+    k = F.col("p_partkey")
+    pairs = t.part.select(k.alias("a"), F.floor(k / 5).alias("b")).union(t.part.where("p_partkey >= 7").select(k, F.floor((k - 7) / 8)))
+    return G.ancestor_pairs(twins.heap(t).select(F.col("dst").alias("node"), F.col("src").alias("parent")), pairs)
+
+
 @query("g4_g6_descendants", HEAP_SQL.replace("with ", "with recursive ") + ", r(seed, node, dist) as (select p_partkey, p_partkey, 0 from part union all select seed, dst, dist + 1 from r join heap on node = src where dist < 3) select * from r")
 def g4(t):
     return G.expand(twins.heap(t), t.part.select(F.col("p_partkey").alias("seed")), 3)
