@@ -99,6 +99,25 @@ def s19(t):
     return S.upsert_nodes(c, new, ["uri"], clear=["cls"])
 
 
+@query("s19_stored_merge", "select p_partkey as uri, case when p_partkey < 40 then 'new ' || p_name else p_name end as label, case when p_partkey < 40 then null else p_type end as cls, case when p_partkey % 9 = 2 then 1 when p_partkey < 40 and p_partkey % 9 <> 2 then 0 else 0 end as again from part union all select -1 - s_suppkey, s_name, null, 0 from supplier where s_suppkey < 3")
+def s19b(t):
+    import uuid
+
+    from ..scratch import shared_dir
+    from ..sources.stored import StoredTable
+
+    # a table on disk, merged into three times, the last time with what is there already
+    c = twins.concepts(t).select("uri", "label", "cls", F.lit(0).alias("again"))
+    table = StoredTable.create(c, f"{shared_dir(t._spark)}/graphloom/concepts-{uuid.uuid4().hex}", ["uri"], 16)
+    none = F.lit(None).cast("string")
+    new = t.part.where("p_partkey < 40").select(F.col("p_partkey").alias("uri"), F.concat(F.lit("new "), "p_name").alias("label"), none.alias("cls"), F.lit(0).alias("again"))
+    new = new.union(t.supplier.where("s_suppkey < 3").select(-1 - F.col("s_suppkey"), "s_name", none, F.lit(0)))
+    table.merge(new, clear=["cls"])
+    table.update(t.part.where("p_partkey % 9 = 2").select(F.col("p_partkey").alias("uri"), F.lit(1).alias("again")))
+    table.merge(new.drop("again"), clear=["cls"])
+    return table.read()
+
+
 @query("s20_upsert_edges", "with e as (" + RELATED_SQL + "), new as (select src, dst + 1 as dst from e) select src, 'r' as rel_type, dst from e union select src, 'r', dst from new where dst in (select p_partkey from part) and src in (select p_partkey from part)")
 def s20(t):
     e = twins.related(t).select("src", F.lit("r").alias("rel_type"), "dst")

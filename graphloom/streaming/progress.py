@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import shared_dir, write_table
+from ..sources.stored import StoredTable
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -29,20 +30,23 @@ def _run(stream: DataFrame, each, mode: str = "update", at: str | None = None) -
     stream.writeStream.outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
 
 
-def upsert_stream(spark: SparkSession, path: str, state: str | None = None) -> DataFrame:
-    """(user, entity, status, score) with the last write per key. Each micro-batch writes only its own last writes,
-    under its number, so that one that runs twice changes nothing, and a reader takes the last over all batches.
-    ``state`` is the folder of the checkpoint and the batches: a stream that starts again on it goes on where it
-    ended. None: a folder of its own."""
+def upsert_stream(spark: SparkSession, path: str, state: str | None = None, buckets: int = 16) -> DataFrame:
+    """(user, entity, status, score) with the last write per key. Each micro-batch merges its last writes into a stored
+    table, of which it rewrites only the buckets that they change; one that runs twice changes nothing, and there is
+    nothing to fold when it is read. ``state`` is the folder of the checkpoint and the table: a stream that starts again on
+    it goes on where it ended. None: a folder of its own."""
     base = state or f"{shared_dir(spark)}/graphloom/progress-{uuid.uuid4().hex}"
     status = F.when(F.col("event_type") == "purchase", "mastered").when(F.col("event_type").isin("click", "view"), "in_progress").otherwise("not_started")
     rows = source(spark, path).withWatermark("time", "1 day").select(F.col("user_id").alias("user"), F.get_json_object("props", "$.k").cast("long").alias("entity"), F.struct("ts", "event_id", status.alias("status"), F.floor("value").cast("long").alias("score")).alias("x"))
-
-    def fold(batch: DataFrame, number: int) -> None:
-        batch.groupBy("user", "entity").agg(F.max("x").alias("x")).write.mode("overwrite").parquet(f"{base}/batches/batch={number}")
-
-    _run(rows, fold, "append", f"{base}/checkpoint")
-    last = spark.read.parquet(f"{base}/batches").groupBy("user", "entity").agg(F.max("x").alias("x"))
+    at = f"{base}/table"
+    j = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/_layout/_SUCCESS")
+    if not j.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(j):
+        empty = spark.createDataFrame([], rows.schema)
+        StoredTable.create(empty, at, ["user", "entity"], buckets)
+    table = StoredTable(spark, at)
+    _run(rows, lambda batch, number: table.merge_last(batch.groupBy("user", "entity").agg(F.max("x").alias("x")), "x"), "append", f"{base}/checkpoint")
+    last = table.read()
+    last = spark.createDataFrame([], rows.schema) if last is None else last
     return last.select("user", "entity", "x.status", "x.score")
 
 
