@@ -232,3 +232,14 @@ def t3(t):
     from ..streaming import progress as ST
 
     return ST.alive(t.events, "ts", "7 days").select("event_id", "value")
+
+
+_CACHE = """select event_id, case when last_ts is not null and ts - last_ts < interval 2 hours then 'hit' else 'miss' end as outcome, case when last_ts is not null and ts - last_ts < interval 2 hours then last_value end as answer
+from (select event_id, ts, event_type, last(case when event_type = 'purchase' then ts end ignore nulls) over w as last_ts, last(case when event_type = 'purchase' then value end ignore nulls) over w as last_value from events where user_id is not null and ts is not null window w as (partition by user_id order by ts, event_id rows between unbounded preceding and current row)) where event_type <> 'purchase'"""
+
+
+@query("t3_cache_stream", _CACHE)
+def t3c(t):
+    from ..streaming import progress as ST
+
+    return ST.cache_stream(t._spark, f"{t._dir}/events.parquet", "event_type = 'purchase'", "2 hours").where("outcome <> 'expired'").select("event_id", "outcome", "answer")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..scratch import shared_dir, write_table
 from ..sources.stored import StoredTable
@@ -91,6 +93,71 @@ def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
+class TimedAnswers(StatefulProcessor):
+    """Per key the last stored answer, as (microseconds, answer), and a timer for its end."""
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def _end(self, at: int) -> int:
+        """The first whole millisecond at which nothing stored at ``at`` is given any more."""
+        return -(-(at + self.ttl) // 1000)
+
+    def init(self, handle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "at long, answer double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        many = pd.concat(list(rows)).sort_values(["us", "event_id"], kind="stable")
+        at, answer = self.last.get() if self.last.exists() else (None, None)
+        before, out = at, []
+        for event, us, stored in zip(many["event_id"].tolist(), many["us"].tolist(), many["answer"].tolist(), strict=True):
+            if stored == stored and stored is not None:
+                if at is None or us >= at:
+                    at, answer = us, stored
+            else:
+                hit = at is not None and 0 <= us - at < self.ttl
+                out.append((key[0], event, "hit" if hit else "miss", answer if hit else None))
+        if at is not None and at != before:
+            if before is not None:
+                self.handle.deleteTimer(self._end(before))
+            self.handle.registerTimer(self._end(at))
+            self.last.update((at, answer))
+        if out:
+            yield pd.DataFrame(out, columns=["key", "event_id", "outcome", "answer"]).astype({"answer": "float64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.last.clear()
+        yield pd.DataFrame({"key": [key[0]], "event_id": [None], "outcome": ["expired"], "answer": [None]}).astype({"event_id": "Int64", "answer": "float64"})
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def cache_stream(spark: SparkSession, path: str, stores: str, ttl: str, state: str | None = None) -> DataFrame:
+    """(key, event_id, outcome, answer) of a stream of events, the keys being users: events that meet the condition
+    ``stores`` put their value into a cache, all others ask it. A ``hit`` is answered from the last one stored at most ``ttl``
+    before ("7 days"), else it is a ``miss``; a row ``expired`` says that the watermark has passed the end of an answer
+    and that it has left the state. Events of a batch go by time; what comes in a later batch with an earlier time asks what
+    is stored by then. ``state`` is the folder of the checkpoint and the output, from which a later run goes on.
+    """
+    base = state or f"{shared_dir(spark)}/graphloom/cache-{uuid.uuid4().hex}"
+    length = spark.range(1).select(F.unix_micros(F.expr(f"timestamp_micros(0) + interval {ttl}"))).first()[0]
+    rows = source(spark, path).where("user_id is not null and time is not null").withWatermark("time", "0 seconds")
+    asked = rows.select(F.col("user_id").alias("key"), "event_id", "time", F.unix_micros("time").alias("us"), F.when(F.expr(stores), F.col("value")).alias("answer"))
+    answers = asked.groupBy("key").transformWithStateInPandas(TimedAnswers(length), "key long, event_id long, outcome string, answer double", "append", "EventTime")
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, ROCKS)  # the only store that keeps timers
+    try:
+        _run(answers, lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/answers/batch={n}"), "append", f"{base}/checkpoint")
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+    return spark.read.schema("key long, event_id long, outcome string, answer double, batch int").parquet(f"{base}/answers").drop("batch")
+
+
 def alive(cache: DataFrame, time: str, ttl: str, now=None) -> DataFrame:
     """Cached rows younger than ``ttl`` (an interval such as "7 days"); ``now`` is the time of the newest row unless stated."""
     return _aged(cache, time, ttl, now).where("not expired").drop("expired")
