@@ -200,14 +200,21 @@ def components(edges: DataFrame) -> DataFrame:
     return cycles.join(sizes.where("n > 1 or loops > 0"), "c").select("component", "node")
 
 
+#: Steps of a loop that one job takes, where a step is cheap beside the job around it.
+STEPS = 3
+
+
 def _spread(colour: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, c): the least c of all nodes that reach a node along ``edges``. A round sends only what changed in the last."""
+    """(node, c): the least c of all nodes that reach a node along ``edges``. A step sends only what changed in the last one."""
     e = edges.select("src", "dst").where("src <> dst")
     now, changed = _counted(colour.withColumn("new", F.lit(True)), "scc-colour", "new")
     while changed:
-        sent = now.where("new").join(e, F.col("node") == e.src).groupBy(F.col("dst").alias("to")).agg(F.min("c").alias("s"))
-        lower = F.coalesce(F.col("s") < F.col("c"), F.lit(False))
-        nxt, changed = _counted(now.join(sent, F.col("node") == F.col("to"), "left").select("node", F.when(lower, F.col("s")).otherwise(F.col("c")).alias("c"), lower.alias("new")), "scc-colour", "new")
+        nxt = now
+        for _ in range(STEPS):
+            sent = nxt.where("new").join(e, F.col("node") == e.src).select(F.col("dst").alias("node"), "c", F.lit(None).cast(nxt.schema["c"].dataType).alias("own"))
+            both = nxt.select("node", "c", F.col("c").alias("own")).unionByName(sent).groupBy("node").agg(F.min("c").alias("c"), F.max("own").alias("own"))
+            nxt = both.select("node", "c", (F.col("c") < F.col("own")).alias("new"))
+        nxt, changed = _counted(nxt, "scc-colour", "new")
         drop_table(now)
         now = nxt
     return now.select("node", "c")
@@ -215,16 +222,17 @@ def _spread(colour: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _backward(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, c): the nodes from which edges (src, dst, c) of its own colour lead to a seed, and the seeds."""
-    rounds = [write_table(seeds, "scc-back")]
-    while True:
-        last = rounds[-1].select(F.col("node").alias("dst"))
-        more = edges.join(last, "dst").select(F.col("src").alias("node"), "c").distinct()
-        for r in rounds:
-            more = more.join(r.select("node"), "node", "left_anti")
-        new, n = _counted(more, "scc-back", "true")
-        if not n:
-            return _together([*rounds, new], "scc-component")
-        rounds.append(new)
+    now, new = _counted(seeds.withColumn("new", F.lit(True)), "scc-back", "new")
+    while new:
+        nxt = now
+        for _ in range(STEPS):
+            last = nxt.where("new").select(F.col("node").alias("dst"))
+            more = edges.where("src <> dst").join(last, "dst").select(F.col("src").alias("node"), "c", F.lit(True).alias("new"))
+            nxt = nxt.withColumn("new", F.lit(False)).unionByName(more).groupBy("node").agg(F.min("c").alias("c"), F.min("new").alias("new"))
+        nxt, new = _counted(nxt, "scc-back", "new")
+        drop_table(now)
+        now = nxt
+    return now.select("node", "c")
 
 
 def cycle_members(edges: DataFrame) -> DataFrame:
