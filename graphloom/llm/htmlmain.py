@@ -39,6 +39,8 @@ WEAK_WORDS = frozenset("alert banner header hidden login masthead modal overlay
 JUNK_ROLES = frozenset("navigation contentinfo complementary search form dialog alertdialog menu menubar".split())
 WEIGHT = {"article": 3.0, "main": 2.5, "body": 0.1, "html": 0.05}
 WEAK_WEIGHT = 0.1
+#: A page whose own best container has so many times the text of the host's is extracted at the host's path alone.
+OUTVOTED = 4
 
 _raw_ends = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _words = re.compile(r"[a-z]+")
@@ -248,12 +250,16 @@ def main_text(page: str | None, path: str | None) -> str:
     own = paths(nodes)
     body = ("", "html", "body")
     for step in range(2):
-        best = highest(blocks, nodes)[0] if step else 0
+        best = highest(blocks, nodes)[0]
         at = own[best] if step else path
         chosen = {k for k in range(1, len(nodes)) if own[k] == at and nodes[k][1] not in body} if at else {best} if step else set()
-        # what this page has beside them belongs to the article as well, but lists of links
+        # what this page has beside them belongs to the article as well, but lists of links, and but where the host says
+        # otherwise: a page most of whose text lies elsewhere is the odd one
         frames = {k for k in chosen if nodes[k][1] in body}
-        core, inside = _within(chosen - frames, nodes), _within(chosen | {whole(k, blocks, nodes) for k in chosen}, nodes)
+        core = _within(chosen - frames, nodes)
+        size = [sum(len(t) for node, t, _ in blocks if part[node]) for part in (core, _within({best}, nodes))]
+        outvoted = chosen and not frames and not core[best] and size[1] > OUTVOTED * size[0]
+        inside = core if outvoted else _within(chosen | {whole(k, blocks, nodes) for k in chosen}, nodes)
         lists = _link_lists(blocks, nodes, True) if inside != core else core
         if texts := [t for node, t, links in blocks if core[node] or inside[node] and not lists[node] and 2 * links < len(t)]:
             return "\n".join(texts)
