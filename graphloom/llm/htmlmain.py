@@ -39,9 +39,13 @@ WEAK_WORDS = frozenset("alert banner header hidden login masthead modal overlay
 JUNK_ROLES = frozenset("navigation contentinfo complementary search form dialog alertdialog menu menubar".split())
 WEIGHT = {"article": 3.0, "main": 2.5, "body": 0.1, "html": 0.05}
 WEAK_WEIGHT = 0.1
+#: Text that is shorter and does not end like a sentence may be a label of the page; alone it does not make what is beside the
+#: chosen container a part of the article.
+LABEL = 60
 #: A page whose own best container has so many times the text of the host's is extracted at the host's path alone.
 OUTVOTED = 4
 
+_sentence = re.compile(r"""[.!?…:;。！？：；]["'”’»)\]]*$""")
 _raw_ends = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _words = re.compile(r"[a-z]+")
 _digits = re.compile(r"\d+")
@@ -210,8 +214,8 @@ def highest(blocks: list[tuple[int, str, int]], nodes: list[tuple[int, str, str,
 
 
 def whole(best: int, blocks: list[tuple[int, str, int]], nodes: list[tuple[int, str, str, bool]]) -> int:
-    """From a container up to the article around it or, without one, to the outermost that has more text beside it, however
-    short. Text that is mostly links, or stands in a weak container, does not count."""
+    """From a container up to the article around it or, without one, to the outermost that has more prose beside it: sentences,
+    however short, or longer text. Text that is mostly links, or stands in a weak container, does not count."""
     above = best
     while above > 0:
         if nodes[above][1] in ("article", "main"):
@@ -221,7 +225,7 @@ def whole(best: int, blocks: list[tuple[int, str, int]], nodes: list[tuple[int,
     for k in range(1, len(nodes)):
         weak[k] = nodes[k][3] or weak[nodes[k][0]]
     for node, text, links in blocks:
-        prose[node] += 2 * links < len(text) and (not weak[node] or weak[best])
+        prose[node] += 2 * links < len(text) and (not weak[node] or weak[best]) and (len(text) >= LABEL or _sentence.search(text) is not None)
     for k in range(len(nodes) - 1, 0, -1):
         prose[nodes[k][0]] += prose[k]
     top = best
