@@ -271,31 +271,54 @@ def test_decontamination_against_all_windows(spark, docs, texts, none):
     assert kept == {k for k in texts if not got.get(k)} | {None}
 
 
-def test_blocks_find_all_within_the_radius():
+@pytest.mark.parametrize("items", [60, 300])  # fewer and more than a value has probes
+def test_blocks_find_all_within_the_radius(items):
     r = np.random.default_rng(2)
-    prints = r.integers(0, 1 << 63, 300, np.uint64)
-    index = decontam.BlockIndex(prints, decontam.RADIUS)
-    asked = np.array([int(prints[k]) ^ sum(1 << int(b) for b in r.choice(64, 20, replace=False)) for k in range(0, 300, 15)], np.uint64)
+    lanes = decontam.BITS // 64
+    prints = r.integers(0, 1 << 63, (items, lanes), np.uint64)
+    prints[40:50] = prints[7]  # equal items
+    index = decontam.BlockIndex(prints)
+    asked = np.concatenate([prints[: items // 3][::items // 60], prints[: items // 3][::items // 60], r.integers(0, 1 << 63, (20, lanes), np.uint64)])
+    for row, turned in enumerate([decontam.RADIUS] * 20 + [decontam.RADIUS + 1] * 20):
+        for bit in r.choice(decontam.BITS, turned, replace=False).tolist():
+            asked[row, bit // 64] ^= np.uint64(1 << bit % 64)
     a, i = index.near(asked)
-    assert set(zip(a.tolist(), i.tolist(), strict=True)) == {(x, y) for x, p in enumerate(asked.tolist()) for y, q in enumerate(prints.tolist()) if (p ^ q).bit_count() <= decontam.RADIUS}
+    want = {(x, y) for x in range(len(asked)) for y in range(len(prints)) if np.bitwise_count(asked[x] ^ prints[y]).sum() <= decontam.RADIUS}
+    assert len(a) == len(want) >= 20 and set(zip(a.tolist(), i.tolist(), strict=True)) == want
+
+
+def test_blocks_rule_out_nearly_all_unlike_pairs():
+    r = np.random.default_rng(3)
+    held, asked = (r.integers(0, np.iinfo(np.uint64).max, (1000, decontam.BITS // 64), np.uint64, endpoint=True) for _ in range(2))
+    share = len(decontam.BlockIndex(held).candidates(asked)) / 1e6
+    assert share < 0.02, share
 
 
 def test_windows_within_the_similarity_are_found_but_for_few(spark, sf):
-    """Recall of the radius: against all windows whatever their fingerprint, which a radius of 64 lets through."""
+    """Recall of the radius: against all windows of all documents' words, without fingerprints and without the bound on
+    known shingles. Edits are new words, or words and passages of other items."""
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     r = random.Random(6)
-    near, every = decontam.Items(bench), decontam.Items(bench, radius=64)
+    near, unbound, every = decontam.Items(bench), decontam.Items(bench, bound=False), decontam.Items(bench, index=decontam.AllPairs, bound=False)
     hashes = decontam.WordHashes()
-    found = total = 0
-    for _, text in bench * 8:
-        w = decontam.words_of(text)
-        for k in r.sample(range(len(w)), max(1, len(w) // 25)):  # up to about a fifth of the shingles change
-            w[k] = b"zz%d" % k
-        h = hashes.of([*decontam.words_of(words(30, r.random())), *w, *decontam.words_of(words(30, r.random()))])
-        want = {m[0] for m in every.matches(h)}
-        total += len(want)
-        found += len(want & {m[0] for m in near.matches(h)})
-    assert total > 100 and found >= 0.99 * total
+    every_word = [decontam.words_of(t) for _, t in bench]
+    for kind in ("new words", "other items"):
+        found = total = 0
+        for n, (_, text) in enumerate(bench * 4):
+            w = decontam.words_of(text)
+            if kind == "new words":
+                for k in r.sample(range(len(w)), max(1, len(w) // 25)):  # up to about a fifth of the shingles change
+                    w[k] = b"zz%d" % k
+            else:
+                cut = len(w) * 17 // 20  # the item goes on as another item does
+                w = w[:cut] + r.choice(every_word)[cut:]
+            h = hashes.of([*decontam.words_of(words(30, r.random())), *w, *decontam.words_of(words(30, r.random()))])
+            want = {m[0] for m in every.matches(h)}
+            got = near.matches(h)
+            assert n % 8 or got == unbound.matches(h)
+            total += len(want)
+            found += len(want & {m[0] for m in got})
+        assert total > 50 and found >= 0.99 * total, (kind, found, total)
 
 
 def test_top_k_against_all_pairs(spark):
