@@ -14,7 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_batches, pieces, with_version
+from ..scratch import write_table
+from .common import id_text, join_by_count, map_batches, pieces, with_version
 
 #: Chunks have more than REACH bytes, and 2 * REACH + 1 on average.
 REACH = 16
@@ -90,13 +91,14 @@ def _chunk_rows(batch: pa.RecordBatch):
 
 def repeated_spans(rows: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """doc_id, v, spans [(start, size)] in bytes of ``rows`` (doc_id, text, v): runs of chunks that stand in an earlier place as well."""
-    schema = "h long, doc_id long, v long, start int, size int, again boolean"
-    chunks = map_batches(rows, _chunk_rows, schema)
-    once = chunks.where("not again")
-    firsts = once.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("h", "least")
-    later = chunks.join(firsts, "h", "left").where("again or doc_id > least").select("doc_id", "v", "start", "size")
+    chunks = write_table(map_batches(rows, _chunk_rows, "h long, doc_id long, v long, start int, size int, again boolean"), "chunks")
+    again = chunks.where("again").select("doc_id", "v", "start", "size")
+    once = chunks.where("not again").drop("again")
+    firsts = once.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
+    firsts = write_table(firsts.where("least <> most").drop("most"), "repeated-chunks")
+    later = again.unionByName(join_by_count(once, firsts, ["h"]).where("doc_id > least").select("doc_id", "v", "start", "size"))
     # different texts of one id, which are few: the one whose hash is least comes first
-    versions = map_batches(rows.where("v <> 0"), _chunk_rows, schema).where("not again")
+    versions = once.where("v <> 0")
     first = versions.groupBy("h", "doc_id").agg(F.min("v").alias("v0"))
     later = later.unionByName(versions.join(first, ["h", "doc_id"]).where("v > v0").select("doc_id", "v", "start", "size"))
     spans = later.groupBy("doc_id", "v").agg(F.collect_list(F.struct("start", "size")).alias("chunks"))

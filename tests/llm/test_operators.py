@@ -743,6 +743,16 @@ def test_substring_dedup(docs, texts, none):
     assert substrdedup.dedup_substrings(none).count() == 0
 
 
+def test_substring_dedup_is_alike_with_hot_chunks(spark, monkeypatch):
+    passage = words(60, 1234)
+    rows = [(k, f"{words(20, 500 + k)} {passage} {words(20, 700 + k)}") for k in range(40)] + [(40, words(80, 77)), (41, words(80, 77))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, substrdedup.dedup_substrings(df).collect()))
+    assert sum(n > 0 for _, _, n, _ in want) == 40
+    monkeypatch.setattr(common, "HOT_LEAST", 10)  # the chunks of the passage are hot, those of the copy are not
+    assert sorted(map(tuple, substrdedup.dedup_substrings(df).collect())) == want
+
+
 def test_substring_dedup_tells_texts_of_one_id_apart(spark):
     rows = two_texts_of_one_id()
     want = slow_spans(in_order(spark, rows))
