@@ -321,6 +321,18 @@ def test_windows_within_the_similarity_are_found_but_for_few(spark, sf):
         assert total > 50 and found >= 0.99 * total, (kind, found, total)
 
 
+def test_many_items_of_one_size_against_all_pairs():
+    texts = [words(80, 3000 + k) for k in range(200)]
+    bench = [(k, " ".join(t.split()[20:50])) for k, t in enumerate(texts)]
+    hashes = decontam.WordHashes()
+    asked = [hashes.of(decontam.words_of(t)) for t in texts]
+    items = decontam.Items(bench)
+    assert items.sizes[0][4].filed is not None
+    got = items.matches_of(asked)
+    assert got == decontam.Items(bench, index=decontam.AllPairs).matches_of(asked)
+    assert [[m[:2] for m in of] for of in got] == [[(k, 20)] for k in range(200)]
+
+
 def test_top_k_against_all_pairs(spark):
     r = np.random.default_rng(1)
     rows = [(int(k), [float(np.float32(x)) for x in r.integers(-3, 4, 6) / 8], 1) for k in range(300)]
