@@ -5,8 +5,8 @@ cut into, so two of them always meet in a shard (a choice of blocks and their bi
 whose children are keyed by the integer Hamming distance to their parent; a lookup follows only the edges within
 the radius of its own distance. A shard emits a spanning forest of its links, never all pairs.
 
-``keep_one`` drops near copies by another rule, the similarity of their sets of shingles: MinHash bands give the
-candidates, and the sets themselves decide.
+``keep_one`` drops near copies by another rule, the similarity of their sets of shingles. The same fingerprints and trees
+give the first candidates, MinHash bands those that lie further apart, and the sets themselves decide.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ BLOCKS = 6
 #: A tree has at most about so many nodes; a shard with more is split, and its members look into each part.
 TREE = 30_000
 
-#: Near copies that keep_one drops: Jaccard similarity over runs of so many words. The radius above is op2's alone.
+#: Near copies that keep_one drops: Jaccard similarity over runs of so many words. The radius above
+#: gives the first candidates for these.
 COPY_WORDS = 5
 COPY_SIMILARITY = 0.8
 #: Two sets at similarity 0.8 share none of the bands with a chance of (1 - 0.8^4)^20, under 3 in 100,000.
@@ -56,7 +57,11 @@ def fingerprint(text: str | None, n: int = 4, seed: int = 42) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = (np.concatenate([[0], ends[:-1] + 1])[: len(words) - n + 1]).tolist()
     hashed, digest = ends[n - 1 :].tolist(), xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:z], seed) for a, z in zip(starts, hashed, strict=True)], np.uint64)
+    return majority(np.array([digest(joined[a:z], seed) for a, z in zip(starts, hashed, strict=True)], np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 8192):
         ones += np.unpackbits(h[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -256,15 +261,16 @@ def named_groups(distinct: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def _signatures(batch: pa.RecordBatch):
-    """A row's set of word shingles: its digest, its size, and the keys of its bands (none for a text without words)."""
+    """A row's set of word shingles: its digest, its size, its SimHash, and the keys of its bands (none for a text without words)."""
     for part in pieces(batch):
-        nodes, sizes, bands = [], [], []
+        nodes, sizes, fps, bands = [], [], [], []
         for t in part.column("text").to_pylist():
             h = shingle_set(t)
             nodes.append(xxhash.xxh3_64_intdigest(h.tobytes()))
             sizes.append(len(h))
+            fps.append(majority(h))
             bands.append(band_keys(h))
-        yield {"doc_id": part.column("doc_id"), "tk": part.column("tk"), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "n": sizes, "bands": bands}
+        yield {"doc_id": part.column("doc_id"), "tk": part.column("tk"), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "n": sizes, "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), "bands": bands}
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -302,6 +308,17 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(both.select("a", "b", "ha", "hb"), run, "a long, b long")
 
 
+def fingerprint_pairs(distinct: DataFrame) -> DataFrame:
+    """a, b: pairs of nodes of ``distinct`` (node, fp) that connect all nodes whose fingerprints the trees link: those of one
+    fingerprint with the smallest of them, and the smallest ones of two linked fingerprints."""
+    prints = write_table(distinct.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "set-fingerprints")
+    same = join_by_count(distinct, prints, ["fp"]).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    end = lambda x: prints.select(F.col("fp").alias(x), F.col("least").alias("n" + x))
+    near = fingerprint_links(prints.select("fp")).distinct().join(end("a"), "a").join(end("b"), "b")
+    pairs = same.unionByName(near.select(F.col("na").alias("a"), F.col("nb").alias("b"))).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _crowds(members: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b: links that connect what the similar pairs within each band of ``members`` (key, node, c, shingles) connect.
 
@@ -343,18 +360,21 @@ def similar_groups(rows: DataFrame) -> DataFrame:
     tk) is the document of the group that comes first, those without an id last.
 
     Texts whose shingle sets have a Jaccard similarity of ``COPY_SIMILARITY`` or more are linked; equal sets are one
-    node. Sets that share a band are candidates, and each link is verified on the whole sets. While a band has many pairs,
-    its members are first compared with a few hubs each; at the end all members of a band that are not yet connected are
+    node. Each link is verified on the whole sets. Candidates are first what the trees of fingerprints link, then, of what is not
+    yet connected, sets that share a band, as fingerprints of sets at just that similarity differ by more than any tree's
+    radius could take in. While a band has many pairs, its members are first compared with a few hubs each; at the end all members of a band that are not yet connected are
     compared, and none is left out: the pairs of small bands are listed, those of large ones are counted inside a task.
     """
-    signed = write_table(map_batches(rows, _signatures, "doc_id long, tk long, node long, n int, bands array<long>"), "signatures")
+    signed = write_table(map_batches(rows, _signatures, "doc_id long, tk long, node long, n int, fp long, bands array<long>"), "signatures")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk")
-    distinct = signed.groupBy("node").agg(F.min(row).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    distinct = signed.groupBy("node").agg(F.min(row).alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     distinct = write_table(distinct, "distinct-sets")
     keyed = distinct.select("node", "row", F.col("n").alias("size"), F.explode("bands").alias("key"))
     shared = write_table(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-bands")
     bands = write_table(join_by_count(keyed, shared, ["key"]).select("key", "node", "row", F.col("size").alias("n")), "bands")
-    wanted = bands.select("node", F.col("row.doc_id").alias("id"), F.col("row.tk").alias("tk")).distinct()
+    tried = write_table(fingerprint_pairs(distinct.where("n > 0").select("node", "fp")), "fingerprint-pairs")
+    asked = bands.select("node").union(tried.select("a")).union(tried.select("b")).distinct()
+    wanted = distinct.join(asked, "node").select("node", F.col("row.doc_id").alias("id"), F.col("row.tk").alias("tk"))
     found = rows.join(wanted, (rows.tk == wanted.tk) & rows.doc_id.eqNullSafe(wanted.id)).select(rows.text, "node").dropDuplicates(["node"])
 
     def hashes(batch: pa.RecordBatch):
@@ -362,10 +382,11 @@ def similar_groups(rows: DataFrame) -> DataFrame:
             yield {"node": part.column("node"), "h": [shingle_set(t).view(np.int64) for t in part.column("text").to_pylist()]}
 
     sets = write_table(map_batches(found, hashes, "node long, h array<long>"), "sets")
-    linked, tried, stars = None, None, None
+    stars = components(write_table(_similar(tried, sets), "links"))
+    linked = stars.union(stars.select("component", "component")).distinct()
     for turn in range(HUB_TURNS + 1):
         of = bands.select("key", "node", "n")
-        of = of.withColumn("c", F.col("node")) if linked is None else of.join(linked, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
+        of = of.join(linked, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
         per = of.groupBy("key", "c").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")).groupBy("key")
         sizes = write_table(per.agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("open"), F.sum("m").alias("members"), F.sum("shingles").alias("shingles")).where("open > 0").withColumn("n", F.col("members")), "band-sizes")
         open_ = write_table(join_by_count(of.withColumnRenamed("n", "size"), sizes, ["key"]).select("key", "node", F.col("size").alias("n"), "c", "open", "members", "shingles"), "open-bands")
@@ -384,17 +405,15 @@ def similar_groups(rows: DataFrame) -> DataFrame:
         # sets whose sizes differ by more cannot be so similar
         pairs = met.where(f"ca <> cb and least(na, nb) >= {COPY_SIMILARITY} * greatest(na, nb) - 1e-6" + (" and a < b" if last else ""))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = write_table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = write_table(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         near = _similar(pairs, sets)
         near = write_table(near.unionByName(_crowds(open_.where(F.col("members") > CROWD), sets)) if last else near, "links")
         # what is connected so far stands for the links that connect it
-        stars = components(near if stars is None else near.union(stars.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+        stars = components(near.union(stars.select(F.col("component").alias("a"), F.col("node").alias("b"))))
         linked = stars.union(stars.select("component", "component")).distinct()
-        tried = pairs if tried is None else tried.union(pairs)
+        tried = tried.union(pairs)
         if last:
             break
-    if linked is None:
-        linked = bands.select(F.col("node"), F.col("node").alias("component")).where("false")
     held = write_table(signed.groupBy("node", "doc_id", "tk").agg(F.count("*").alias("n")), "documents")
     per_node = held.groupBy("node").agg(F.min(row).alias("least"), F.count("*").alias("n"))
     of = write_table(per_node.select("node", "n").join(named_groups(per_node.select("node", "least"), linked), "node"), "named-sets")

@@ -829,3 +829,17 @@ def test_pages_of_other_templates_against_what_was_put_in(spark, seed):
         want[k] = "\n".join(parts)
     got = htmlmain.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {x.page_id: x.text for x in got} == want
+
+
+def test_near_dedup_links_by_fingerprints_first(spark, sf, monkeypatch):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    asked, links = [], simhash.fingerprint_links
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda *a, **k: asked.append(links(*a, **k)) or asked[-1])
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(words), " ".join([*words[:299], "other"]), "a text of its own with a few words"]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    signed = [(k, int(np.uint64(simhash.majority(simhash.shingle_set(t))).view(np.int64))) for k, t in enumerate(texts)]
+    assert [tuple(r) for r in simhash.fingerprint_pairs(spark.createDataFrame(signed, "node long, fp long")).collect()] == [(0, 1)]
+    assert len(asked) == 1
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_documents(spark, docs, sf).collect()) == [0, 2]
+    assert len(asked) == 2  # the stage links by them, too
