@@ -478,12 +478,26 @@ def network(triples: DataFrame, predicate: str) -> tuple[DataFrame, DataFrame]:
     return e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), e
 
 
+def ancestors(parents: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, node, dist): each seed and all above it, in a forest (node, parent). What is known up to 2^k steps is
+    joined with the jumps of 2^k, so a row is made once and read once a doubling. What is no forest goes hop by hop."""
+    jumps = Jumps.of(parents)
+    if jumps is None:
+        return reach(parents.where("parent is not null").select(F.col("node").alias("src"), F.col("parent").alias("dst")), seeds)
+    parts = [write_table(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("dist")).distinct(), "ancestors")]
+    for k, table in enumerate(jumps.tables):
+        # a jump that the root cut short ends where a shorter one ends, too
+        far = table.where(F.col("d") == 1 << k).select(F.col("node").alias("at"), "up").hint("merge")
+        known = reduce(DataFrame.unionByName, parts)
+        parts.append(write_table(known.join(far, F.col("node") == F.col("at")).select("seed", F.col("up").alias("node"), (F.col("dist") + F.lit(1 << k)).cast("int").alias("dist")), "ancestors"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def learning_path(edges: DataFrame, targets: DataFrame, mastered: DataFrame) -> DataFrame:
     """(target, node, step): the prerequisites of each target and itself, without what is mastered, in an order
     in which every prerequisite comes first (its depth, then its name); what cycles keep from having a depth comes last.
     Edges run from prerequisite to dependent."""
-    up = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    need = reach(up, targets.select(F.col("target").alias("seed"))).select(F.col("seed").alias("target"), "node")
+    need = ancestors(edges.select(F.col("dst").alias("node"), F.col("src").alias("parent")), targets.select(F.col("target").alias("seed"))).select(F.col("seed").alias("target"), "node")
     left = need.join(mastered.select("node").distinct(), "node", "left_anti").join(depth(edges).withColumn("in_graph", F.lit(True)), "node", "left")
     w = Window.partitionBy("target").orderBy((F.col("in_graph") & F.col("depth").isNull()).eqNullSafe(True), F.coalesce("depth", F.lit(0)), "node")
     return left.select("target", "node", F.row_number().over(w).cast("long").alias("step"))

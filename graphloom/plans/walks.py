@@ -75,8 +75,8 @@ def g2b(t):
 
 @query("g3_l2_ancestors", HEAP_SQL.replace("with ", "with recursive ") + ", r(seed, node, dist) as (select p_partkey, p_partkey, 0 from part union all select seed, src, dist + 1 from r join heap on node = dst) select * from r")
 def g3(t):
-    up = twins.heap(t).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return G.reach(up, t.part.select(F.col("p_partkey").alias("seed")))
+    up = twins.heap(t).select(F.col("dst").alias("node"), F.col("src").alias("parent"))
+    return G.ancestors(up, t.part.select(F.col("p_partkey").alias("seed")))
 
 
 @query("g3_ancestor_pairs", HEAP_SQL.replace("with ", "with recursive ") + ", r(seed, node, dist) as (select p_partkey, p_partkey, 0 from part union all select seed, src, dist + 1 from r join heap on node = dst), pairs as (select p_partkey as a, p_partkey // 5 as b from part union select p_partkey, (p_partkey - 7) // 8 from part where p_partkey >= 7) select a, b, dist from pairs join r on a = seed and b = node")

@@ -129,3 +129,15 @@ def test_no_forest_goes_by_all_ancestors(spark):
     assert {r.ancestor for r in G.lowest_common(two, pair).collect()} == {1, 2}
     assert G.Jumps.of(spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "node long, parent long")) is None
     assert {tuple(r) for r in G.ancestor_pairs(spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "node long, parent long"), spark.createDataFrame([(3, 2), (1, 3)], "a long, b long")).collect()} == {(3, 2, 2)}
+
+
+def test_ancestors_double_in_forests_and_go_by_hops_elsewhere(spark, monkeypatch):
+    chain = spark.createDataFrame([(k, k - 1) for k in range(1, 12)] + [(20, None)], "node long, parent long")
+    seeds = spark.createDataFrame([(11,), (3,), (20,), (99,)], "seed long")
+    hops, reach = [], G.reach
+    monkeypatch.setattr(G, "reach", lambda *a, **k: hops.append(1) or reach(*a, **k))
+    rows = lambda df: sorted(tuple(r) for r in df.select("seed", "node", "dist").collect())
+    want = [(3, 3 - d, d) for d in range(4)] + [(11, 11 - d, d) for d in range(12)] + [(20, 20, 0), (99, 99, 0)]
+    assert rows(G.ancestors(chain, seeds)) == sorted(want) and not hops
+    ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "node long, parent long")
+    assert rows(G.ancestors(ring, spark.createDataFrame([(1,)], "seed long"))) == [(1, 1, 0), (1, 2, 1), (1, 3, 2)] and hops
