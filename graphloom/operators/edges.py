@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import pairs_within
+from .skew import PAIR_ROWS, cells, pairs_within
 
 
 def teaches_before(points: DataFrame) -> DataFrame:
@@ -110,8 +110,14 @@ def with_content(statements: DataFrame, contents: DataFrame) -> DataFrame:
 
 
 def same_label(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(label, a_uri, b_uri) of one label under different URIs in two graphs."""
-    return a.select("label", F.col("uri").alias("a_uri")).join(b.select("label", F.col("uri").alias("b_uri")), "label").where("a_uri <> b_uri")
+    """(label, a_uri, b_uri) of one label under different URIs in two graphs. All pairs of a label are the result, so they
+    are made in as many tasks as there are, and those of a frequent label part against part."""
+    x, y = a.select("label", F.col("uri").alias("a_uri")), b.select("label", F.col("uri").alias("b_uri"))
+    pairs = x.groupBy("label").count().join(y.groupBy("label").agg(F.count("*").alias("m")), "label").agg(F.sum(F.col("count").cast("double") * F.col("m"))).first()[0] or 0
+    left, right, _ = cells(x, y, "label", (F.col("a_uri"), F.col("b_uri")), (PAIR_ROWS, PAIR_ROWS))
+    tasks = max(1, int(pairs // PAIR_ROWS**2) + 1)
+    key = ["label", "__i", "__j"]
+    return left.repartition(tasks, *key).join(right.repartition(tasks, *key).hint("merge"), key).where("a_uri <> b_uri").select("label", "a_uri", "b_uri")
 
 
 def compare_metrics(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -48,3 +48,17 @@ def pairs_within(rows: DataFrame, group: str, value: Column, size: int | None =
     right = m.select("grp", F.col("x").alias("b"), F.col("q").alias("j"), F.explode(F.sequence(F.lit(0), "q")).alias("i"))
     met = left.join(right, ["grp", "i", "j"]).where("i < j or a < b")
     return met.select("grp", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+
+
+def cells(left: DataFrame, right: DataFrame, key: str, by: tuple[Column, Column], sizes: tuple[int, int]) -> tuple[DataFrame, DataFrame, int]:
+    """``left`` and ``right`` for a join on (``key``, __i, __j) in which every two rows of one key meet once, and the number of these
+    cells. A key's rows are dealt into parts of about ``sizes`` rows by the hashes of ``by``, and each two parts are a cell."""
+    count = lambda df, name: df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.count("*").alias(name))
+    parts_of = lambda c, size: F.ceil(F.col(c) / size).cast("int").alias(c)
+    n = write_table(count(left, "__m").join(count(right, "__n"), "__key").select("__key", parts_of("__m", sizes[0]), parts_of("__n", sizes[1])), "cells")
+    total = n.agg(F.sum(F.col("__m").cast("long") * F.col("__n"))).first()[0] or 0
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda at, c: F.pmod(F.xxhash64(by[at]), F.col(c)).cast("int")
+    a = left.join(n, F.col(key) == F.col("__key")).select(*left.columns, own(0, "__m").alias("__i"), each("__n").alias("__j"))
+    b = right.join(n, F.col(key) == F.col("__key")).select(*right.columns, each("__m").alias("__i"), own(1, "__n").alias("__j"))
+    return a, b, total

@@ -123,3 +123,13 @@ def test_semantic_step_of_the_cascade(spark):
     answers = spark.createDataFrame([(1, 11, 0.9), (3, 12, 0.7), (3, 11, 0.7), (4, 11, 0.71), (4, 12, 0.9), (5, 99, 0.9), (5, 11, None)], "id long, concept long, similarity double")
     got = {r.id: (r.concept, r.match_type, r.confidence) for r in M.cascade(items, concepts, answers).collect()}
     assert got == {1: (10, "exact", 1.0), 2: (10, "contains", 0.8), 3: (11, "semantic", 0.7), 4: (12, "semantic", 0.7), 5: (None, "new", 1.0)}
+
+
+def test_pairs_of_one_label_are_made_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(E, "PAIR_ROWS", 20)
+    a = spark.createDataFrame([(k, "x") for k in range(90)] + [(500, "y"), (501, None)], "uri long, label string")
+    b = spark.createDataFrame([(k, "x") for k in range(50, 150)] + [(500, "y"), (502, "y"), (503, None)], "uri long, label string")
+    rows = E.same_label(a, b)
+    got = [tuple(r) for r in rows.collect()]
+    assert sorted(got) == sorted([("x", i, j) for i in range(90) for j in range(50, 150) if i != j] + [("y", 500, 502)])
+    assert len({r[0] for r in rows.select(F.spark_partition_id()).distinct().collect()}) > 4
