@@ -161,6 +161,8 @@ def vector_pairs(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return _cosines(queries, vectors)
 
 
+#: Cells of queries and a block of vectors in a task, some 2.5 MB each at 64 dimensions.
+CELLS = 8
 #: Vectors that all others keep their distances to, the width of a ring around one, and the most blocks but one for each ring.
 PIVOTS, RING, MOST_BLOCKS = 16, 0.05, 16_384
 
@@ -249,6 +251,9 @@ class PivotBlocks:
         """(query_id, vec_id, score): the best k others that a visited block has for a query. A block meets its queries in parts."""
         visits = write_table(visits, "vector-visits")
         parts = visits.groupBy("block").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("parts"))
+        # a task gets so many cells at most, on average, however many there are
+        cells_all = parts.agg(F.sum("parts")).first()[0] or 0
+        tasks = max(1, -(-cells_all // CELLS))
         left = visits.join(parts, "block").select("query_id", "q", "block", F.pmod(F.xxhash64("query_id"), F.col("parts")).alias("part"))
         right = self.rows.join(parts, "block").select("vec_id", "v", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
 
@@ -268,6 +273,7 @@ class PivotBlocks:
                 out.append(pd.DataFrame({"query_id": np.repeat(qid, ok.sum(axis=1)), "vec_id": vid[best][ok], "score": top[ok]}))
             return pd.concat(out)
 
+        left, right = (x.repartition(tasks, "block", "part") for x in (left, right))
         return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(run, "query_id long, vec_id long, score double")
 
 
