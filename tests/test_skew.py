@@ -133,3 +133,37 @@ def test_pairs_of_one_label_are_made_in_many_tasks(spark, monkeypatch):
     got = [tuple(r) for r in rows.collect()]
     assert sorted(got) == sorted([("x", i, j) for i in range(90) for j in range(50, 150) if i != j] + [("y", 500, 502)])
     assert len({r[0] for r in rows.select(F.spark_partition_id()).distinct().collect()}) > 4
+
+
+def test_partial_looks_up_labels_with_the_same_characters_once(spark, monkeypatch):
+    met, dealt = [], M.join_dealt
+    monkeypatch.setattr(M, "join_dealt", lambda many, few, key, by, size=None: met.append((key, many, few)) or dealt(many, few, key, by, size))
+    items = spark.createDataFrame([(k, ("abcde", "edcba", "qrs")[k % 3]) for k in range(60)], "id long, label string")
+    concepts = spark.createDataFrame([(k, ("abcxy", "yxcba", "zzz")[k % 3], 100 - k) for k in range(30)], "concept long, label string, ord long")
+    assert {tuple(r) for r in M.partial(items, concepts).collect()} == {(k, 28) for k in range(60) if k % 3 < 2}
+    (many, few), *_ = [(m, f) for key, m, f in met if key == "ch"]
+    assert many.count() == 5 + 1 and few.select("a").distinct().count() == 2  # sets, not rows
+
+
+def test_nearest_in_group_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(M, "VECTOR_BLOCK", 9)
+    r = random.Random(3)
+    rows = [(k, [r.gauss(0, 1) for _ in range(5)], k % 3 if k else None) for k in range(80)] + [(90, None, 1), (91, [0.0] * 5, 7)]
+    v = spark.createDataFrame(rows, "id long, v array<float>, label long")
+    got = {tuple(x) for x in M.nearest_in_group(v, v.withColumnRenamed("id", "candidate"), "label").collect()}
+    pairs = v.alias("a").join(v.alias("b"), "label").where("a.id <> b.id").select("a.id", F.col("b.id").alias("candidate"), "b.v")
+    assert got == {tuple(x) for x in M.disambiguate(v.select("id", "v"), pairs).collect()} and len(got) == 79
+
+
+def test_few_names_are_looked_for_without_grams(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError
+
+    d = spark.createDataFrame([(1, "The Red ring and a blue one"), (2, None), (3, "nothing"), (1, "red")], "id long, definition string")
+    n = spark.createDataFrame([("red",), ("Blue",), ("on",), ("RED",), (None,)], "name string")
+    monkeypatch.setattr(M, "FEW_NAMES", 0)
+    want = sorted(map(tuple, M.mentions(d, n).collect()))
+    monkeypatch.setattr(M, "FEW_NAMES", 64)
+    monkeypatch.setattr(M, "filed", never)
+    assert sorted(map(tuple, M.mentions(d, n).collect())) == want == [(1, "Blue"), (1, "RED"), (1, "red")]
