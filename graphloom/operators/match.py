@@ -324,11 +324,19 @@ def early_stop(candidates: DataFrame, gate: float = 0.5, limit: int = 3) -> Data
     return best.select("id", pick["concept"].alias("concept"), pick["similarity"].alias("similarity"), F.when(F.col("yes").isNotNull(), "accepted").otherwise("candidate_review").alias("method"))
 
 
+#: Names that are looked for in every text as they are.
+FEW_NAMES = 64
+
+
 def mentions(definitions: DataFrame, names: DataFrame, min_length: int = 3) -> DataFrame:
     """(id, name): names of at least ``min_length`` characters that a definition holds, in any case. A name is looked up by
-    its rarest gram among the definitions; ``contains`` verifies."""
+    its rarest gram among the definitions; ``contains`` verifies. A few names go to the definitions, which are then not cut up."""
     n = names.select("name", F.lower("name").alias("low")).where(F.char_length("name") >= min_length).distinct()
     d = definitions.select("id", F.lower("definition").alias("t")).where("t is not null")
+    n = write_table(n, "mention-names")
+    if n.count() <= FEW_NAMES:
+        listed = n.agg(F.collect_list(F.struct("name", "low")).alias("names"))  # one row
+        return d.crossJoin(F.broadcast(listed)).select("id", F.explode(F.filter("names", lambda x: F.contains(F.col("t"), x["low"]))["name"]).alias("name")).distinct()
     # the texts stay behind while their grams are looked up, and meet the few names that may be in them once
     rows = d.select("id", F.explode(grams(F.col("t"), min_length)).alias("g"))
     likely = join_dealt(rows, filed(n, "low", rows, min_length), "g", F.col("id")).groupBy("id").agg(F.collect_set(F.struct("name", "low")).alias("names"))
@@ -423,14 +431,6 @@ def disambiguate(contexts: DataFrame, candidates: DataFrame) -> DataFrame:
     return s.groupBy("id").agg(F.min(F.struct(-F.col("score"), "candidate")).alias("b")).select("id", F.col("b.candidate").alias("candidate"))
 
 
-def first_description(concepts: DataFrame, statements: DataFrame) -> DataFrame:
-    """Concepts with the description of their first statement (smallest URI)."""
-    s = statements.groupBy("concept").agg(F.min_by("content", "statement_uri").alias("description"))
-    return concepts.join(s, "concept", "left")
-
-
-def substitute(items: DataFrame, best: DataFrame, order: list[str]) -> DataFrame:
-    """(id, label): the normalised name where one is known (the last in order wins), else the label itself."""
 def nearest_in_group(contexts: DataFrame, vectors: DataFrame, group: str) -> DataFrame:
     """J30 where the candidates of a context (id, v, group) are all other ``vectors`` (candidate, v, group) of its group: (id,
     candidate). They meet in blocks, as matrices; ids are whole numbers. No pair becomes a row, and each block gives one
@@ -461,6 +461,14 @@ def nearest_in_group(contexts: DataFrame, vectors: DataFrame, group: str) -> Dat
     return s.groupBy("id").agg(F.min(F.struct(-F.col("score"), "candidate")).alias("b")).select("id", F.col("b.candidate").alias("candidate"))
 
 
+def first_description(concepts: DataFrame, statements: DataFrame) -> DataFrame:
+    """Concepts with the description of their first statement (smallest URI)."""
+    s = statements.groupBy("concept").agg(F.min_by("content", "statement_uri").alias("description"))
+    return concepts.join(s, "concept", "left")
+
+
+def substitute(items: DataFrame, best: DataFrame, order: list[str]) -> DataFrame:
+    """(id, label): the normalised name where one is known (the last in order wins), else the label itself."""
     b = best.groupBy("label").agg(F.max_by("normalized", F.struct(*order)).alias("normalized"))
     return items.join(b, "label", "left").select("id", F.coalesce("normalized", "label").alias("label"))
 
