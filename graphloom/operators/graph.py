@@ -22,6 +22,12 @@ def _together(parts: list[DataFrame], label: str) -> DataFrame:
     return out
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that deals both sides: a loop has so many joins that what Spark broadcasts in each, all through the
+    driver, adds up, however small the table."""
+    return df.hint("merge")
+
+
 def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """(seed, node, dist): all nodes reached from each seed along edges, with the shortest distance;
     the seed itself has 0. ``most`` bounds the hops. Cycles end, as nodes seen before are not followed."""
@@ -47,7 +53,7 @@ def peel(edges: DataFrame) -> DataFrame:
     e, n = _counted(edges.dropDuplicates(["src", "dst"]), "peel", "true")
     while n:
         ins, outs = e.select(F.col("dst").alias("src")).distinct(), e.select(F.col("src").alias("dst")).distinct()
-        nxt, m = _counted(e.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select(*edges.columns), "peel", "true")
+        nxt, m = _counted(e.join(shuffled(ins), "src", "left_semi").join(shuffled(outs), "dst", "left_semi").select(*edges.columns), "peel", "true")
         drop_table(e)
         e = nxt
         if m == n:
@@ -66,22 +72,22 @@ def compress(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     ins = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("i"), F.min("src").alias("prev"), F.max("w").alias("w"))
     outs = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("o"), F.min("dst").alias("next"), F.max("w").alias("w_out"))
-    inner = write_table(ins.join(outs, "node").where("i = 1 and o = 1").select("node", "prev", "w", "next", "w_out"), "chain-nodes")
+    inner = write_table(ins.join(shuffled(outs), "node").where("i = 1 and o = 1").select("node", "prev", "w", "next", "w_out"), "chain-nodes")
     known = inner.select(F.col("node").alias("k"))
     first = F.col("k").isNull()
-    start = inner.join(known, inner.prev == known.k, "left").select("node", F.when(first, F.col("node")).otherwise(F.col("prev")).alias("head"), F.col("prev").alias("anchor"), F.col("w").alias("dist"), F.col("node").alias("least"), first.alias("done"))
+    start = inner.join(shuffled(known), inner.prev == known.k, "left").select("node", F.when(first, F.col("node")).otherwise(F.col("prev")).alias("head"), F.col("prev").alias("anchor"), F.col("w").alias("dist"), F.col("node").alias("least"), first.alias("done"))
     ptr, open_ = _counted(start, "chain-pointers", "not done")
     for _ in range(inner.count().bit_length() + 1):  # afterwards only the nodes of cycles are not done
         if not open_:
             break
         on = ptr.select(F.col("node").alias("at"), *[F.col(c).alias(f"{c}_") for c in ("head", "anchor", "dist", "least", "done")])
-        far = ptr.where("not done").join(on, F.col("anchor") == F.col("at")).select("node", F.col("head_").alias("head"), F.col("anchor_").alias("anchor"), (F.col("dist") + F.col("dist_")).alias("dist"), F.least("least", "least_").alias("least"), F.col("done_").alias("done"))
+        far = ptr.where("not done").join(shuffled(on), F.col("anchor") == F.col("at")).select("node", F.col("head_").alias("head"), F.col("anchor_").alias("anchor"), (F.col("dist") + F.col("dist_")).alias("dist"), F.least("least", "least_").alias("least"), F.col("done_").alias("done"))
         nxt, open_ = _counted(ptr.where("done").unionByName(far), "chain-pointers", "not done")
         drop_table(ptr)
         ptr = nxt
     chained = ptr.select("node", F.when(F.col("done"), F.col("head")).otherwise(F.col("least")).alias("head"), F.when(F.col("done"), F.col("anchor")).alias("anchor"), "dist")
-    last = inner.join(known, inner.next == known.k, "left_anti").select("node", "next", "w_out").join(chained, "node")
-    kept = edges.join(known, edges.src == known.k, "left_anti").join(known, edges.dst == known.k, "left_anti").select("src", "dst", "w")
+    last = inner.join(shuffled(known), inner.next == known.k, "left_anti").select("node", "next", "w_out").join(shuffled(chained), "node")
+    kept = edges.join(shuffled(known), edges.src == known.k, "left_anti").join(shuffled(known), edges.dst == known.k, "left_anti").select("src", "dst", "w")
     merged = kept.unionByName(last.select(F.col("anchor").alias("src"), F.col("next").alias("dst"), (F.col("dist") + F.col("w_out")).alias("w")))
     left = write_table(merged.groupBy("src", "dst").agg(F.max("w").alias("w")), "chain-edges")
     return left, chained, last.select("head", "next")
@@ -105,16 +111,16 @@ def _layers(edges: DataFrame) -> DataFrame:
     once all its ways in have arrived, so a round sends along the edges of the nodes just ready and rewrites only those
     that have begun to arrive."""
     need = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("need"))
-    e = write_table(edges.join(need, edges.dst == need.node).select("src", "dst", "w", "need"), "depth-edges")
+    e = write_table(edges.join(shuffled(need), edges.dst == need.node).select("src", "dst", "w", "need"), "depth-edges")
     zero = F.lit(0).cast("long")
-    begin = edges.select(F.col("src").alias("node")).distinct().join(need, "node", "left_anti").select("node", F.lit(0).alias("depth"), zero.alias("got"), zero.alias("need"))
+    begin = edges.select(F.col("src").alias("node")).distinct().join(shuffled(need), "node", "left_anti").select("node", F.lit(0).alias("depth"), zero.alias("got"), zero.alias("need"))
     rounds = []
     while True:
         now, ready = _counted(begin if not rounds else arrived, "depth", "got = need")
         rounds.append(now)
         if not ready:
             break
-        sent = now.where("got = need").join(e.withColumnRenamed("need", "of"), F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("depth") + F.col("w")).alias("depth"), F.lit(1).cast("long").alias("got"), F.col("of").alias("need"))
+        sent = now.where("got = need").join(shuffled(e.withColumnRenamed("need", "of")), F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("depth") + F.col("w")).alias("depth"), F.lit(1).cast("long").alias("got"), F.col("of").alias("need"))
         arrived = sent.unionByName(now.where("got < need")).groupBy("node").agg(F.max("depth").alias("depth"), F.sum("got").alias("got"), F.max("need").alias("need"))
     drop_table(e)
     done = [r.where("got = need").select("node", "depth") for r in rounds]
@@ -135,8 +141,8 @@ def depth(edges: DataFrame) -> DataFrame:
     aside = []
     while True:
         on = e.select(F.col("src").alias("dst")).distinct()
-        rest = write_table(e.join(on, "dst", "left_semi").select("src", "dst", "w"), "depth-rest")
-        ends = e.join(on, "dst", "left_anti")
+        rest = write_table(e.join(shuffled(on), "dst", "left_semi").select("src", "dst", "w"), "depth-rest")
+        ends = e.join(shuffled(on), "dst", "left_anti")
         nodes, inner = _inner_nodes(rest)
         if inner * 4 < nodes or not nodes:
             break
@@ -144,16 +150,16 @@ def depth(edges: DataFrame) -> DataFrame:
         aside.append((ends, chained))
     found = _layers(rest) if nodes else None
     known = rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct()
-    known = known.join(found, "node", "left") if nodes else known.withColumn("depth", F.lit(None).cast("int"))
+    known = known.join(shuffled(found), "node", "left") if nodes else known.withColumn("depth", F.lit(None).cast("int"))
     for ends, chained in [(ends, None), *reversed(aside)]:
         if chained is not None:
             at = known.select(F.col("node").alias("anchor"), F.col("depth").alias("before"))
-            known = known.unionByName(chained.join(at, "anchor", "left").select("node", (F.col("before") + F.col("dist")).alias("depth")))
+            known = known.unionByName(chained.join(shuffled(at), "anchor", "left").select("node", (F.col("before") + F.col("dist")).alias("depth")))
         # a node that has ways to ends only, and none in, is not known yet
-        alone = ends.select(F.col("src").alias("node")).distinct().join(known, "node", "left_anti").select("node", F.lit(0).alias("depth"))
+        alone = ends.select(F.col("src").alias("node")).distinct().join(shuffled(known), "node", "left_anti").select("node", F.lit(0).alias("depth"))
         known = write_table(known.unionByName(alone), "depths")
         at = known.select(F.col("node").alias("src"), F.col("depth").alias("before"))
-        known = known.unionByName(ends.join(at, "src").groupBy(F.col("dst").alias("node")).agg(F.when(F.count("before") == F.count("*"), F.max(F.col("before") + F.col("w"))).alias("depth")))
+        known = known.unionByName(ends.join(shuffled(at), "src").groupBy(F.col("dst").alias("node")).agg(F.when(F.count("before") == F.count("*"), F.max(F.col("before") + F.col("w"))).alias("depth")))
     return known
 
 
@@ -181,23 +187,23 @@ def components(edges: DataFrame) -> DataFrame:
         nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
         colour = _spread(nodes.withColumn("c", pivot), left)
         same = colour.select(F.col("node").alias("n"), F.col("c").alias("c2"))
-        within = left.join(colour, left.src == colour.node).select("src", "dst", "c").join(same, F.col("dst") == F.col("n")).where("c = c2")
+        within = left.join(shuffled(colour), left.src == colour.node).select("src", "dst", "c").join(shuffled(same), F.col("dst") == F.col("n")).where("c = c2")
         within = write_table(within.select("src", "dst", "c"), "scc-within")
         member = _backward(colour.where("node = c.pivot").select("node", "c"), within)
         found.append(member)
         gone = member.select(F.col("node").alias("g"))
-        left = write_table(within.join(gone, within.src == gone.g, "left_anti").join(gone, within.dst == gone.g, "left_anti").select("src", "dst"), "scc-left")
+        left = write_table(within.join(shuffled(gone), within.src == gone.g, "left_anti").join(shuffled(gone), within.dst == gone.g, "left_anti").select("src", "dst"), "scc-left")
     of = reduce(DataFrame.unionByName, [f.select(F.col("c.pivot").alias("c"), "node") for f in found]) if found else None
     for chained, ends in reversed(levels):
         rings = chained.where("anchor is null").select(F.col("head").alias("c"), "node")
         if of is not None:
             a, b = (of.select(F.col("node").alias(n), F.col("c").alias(m)) for n, m in (("anchor", "c"), ("next", "c_end")))
-            rings = rings.unionByName(of).unionByName(ends.join(b, "next").join(chained, "head").join(a, "anchor").where("c = c_end").select("c", "node"))
+            rings = rings.unionByName(of).unionByName(ends.join(shuffled(b), "next").join(shuffled(chained), "head").join(shuffled(a), "anchor").where("c = c_end").select("c", "node"))
         of = write_table(rings, "scc")
     cycles = of
     loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct().withColumn("loop", F.lit(True))
-    sizes = cycles.join(loops, "node", "left").groupBy("c").agg(F.min("node").alias("component"), F.count("*").alias("n"), F.count("loop").alias("loops"))
-    return cycles.join(sizes.where("n > 1 or loops > 0"), "c").select("component", "node")
+    sizes = cycles.join(shuffled(loops), "node", "left").groupBy("c").agg(F.min("node").alias("component"), F.count("*").alias("n"), F.count("loop").alias("loops"))
+    return cycles.join(shuffled(sizes.where("n > 1 or loops > 0")), "c").select("component", "node")
 
 
 #: Steps of a loop that one job takes, where a step is cheap beside the job around it.
@@ -211,7 +217,7 @@ def _spread(colour: DataFrame, edges: DataFrame) -> DataFrame:
     while changed:
         nxt = now
         for _ in range(STEPS):
-            sent = nxt.where("new").join(e, F.col("node") == e.src).select(F.col("dst").alias("node"), "c", F.lit(None).cast(nxt.schema["c"].dataType).alias("own"))
+            sent = nxt.where("new").join(shuffled(e), F.col("node") == e.src).select(F.col("dst").alias("node"), "c", F.lit(None).cast(nxt.schema["c"].dataType).alias("own"))
             both = nxt.select("node", "c", F.col("c").alias("own")).unionByName(sent).groupBy("node").agg(F.min("c").alias("c"), F.max("own").alias("own"))
             nxt = both.select("node", "c", (F.col("c") < F.col("own")).alias("new"))
         nxt, changed = _counted(nxt, "scc-colour", "new")
@@ -227,7 +233,7 @@ def _backward(seeds: DataFrame, edges: DataFrame) -> DataFrame:
         nxt = now
         for _ in range(STEPS):
             last = nxt.where("new").select(F.col("node").alias("dst"))
-            more = edges.where("src <> dst").join(last, "dst").select(F.col("src").alias("node"), "c", F.lit(True).alias("new"))
+            more = edges.where("src <> dst").join(shuffled(last), "dst").select(F.col("src").alias("node"), "c", F.lit(True).alias("new"))
             nxt = nxt.withColumn("new", F.lit(False)).unionByName(more).groupBy("node").agg(F.min("c").alias("c"), F.min("new").alias("new"))
         nxt, new = _counted(nxt, "scc-back", "new")
         drop_table(now)

@@ -141,3 +141,22 @@ def test_ancestors_double_in_forests_and_go_by_hops_elsewhere(spark, monkeypatch
     assert rows(G.ancestors(chain, seeds)) == sorted(want) and not hops
     ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "node long, parent long")
     assert rows(G.ancestors(ring, spark.createDataFrame([(1,)], "seed long"))) == [(1, 1, 0), (1, 2, 1), (1, 3, 2)] and hops
+
+
+def broadcasts(monkeypatch, run):
+    """Plans with a broadcast among those written on the way, and the result's own."""
+    plans, write = [], G.write_table
+
+    def spy(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(G, "write_table", spy)
+    plans.append(run()._jdf.queryExecution().executedPlan().toString())
+    return [p for p in plans if "Broadcast" in p]
+
+
+def test_loops_send_no_table_through_the_driver(spark, monkeypatch):
+    edges = table(spark, mixed(1))
+    assert not broadcasts(monkeypatch, lambda: G.components(edges))
+    assert not broadcasts(monkeypatch, lambda: G.depth(edges))
