@@ -330,14 +330,14 @@ class Jumps:
     def __init__(self, parents: DataFrame):
         p = parents.select("node", "parent").distinct()
         nodes = p.select("node").union(p.where("parent is not null").select("parent")).distinct()
-        level = nodes.join(p.where("parent is not null"), "node", "left").select("node", F.coalesce("parent", "node").alias("up"), F.col("parent").isNotNull().cast("long").alias("d"))
+        level = nodes.join(shuffled(p.where("parent is not null")), "node", "left").select("node", F.coalesce("parent", "node").alias("up"), F.col("parent").isNotNull().cast("long").alias("d"))
         now, more = _counted(level, "jumps", "d > 0")
         self.tables, self.n = [now], now.count()
         # as long as a jump twice as far gets anyone further
         while more and 2 ** len(self.tables) <= 4 * self.n:
             last = self.tables[-1].select("node", "up", F.col("d").alias("done"))
             far = self.tables[-1].select(F.col("node").alias("at"), F.col("up").alias("up2"), F.col("d").alias("d2"))
-            nxt, more = _counted(last.join(far, F.col("up") == F.col("at")).select("node", F.col("up2").alias("up"), (F.col("done") + F.col("d2")).alias("d"), (F.col("d2") > 0).alias("moved")), "jumps", "moved")
+            nxt, more = _counted(last.join(shuffled(far), F.col("up") == F.col("at")).select("node", F.col("up2").alias("up"), (F.col("done") + F.col("d2")).alias("d"), (F.col("d2") > 0).alias("moved")), "jumps", "moved")
             if more:
                 self.tables.append(nxt.drop("moved"))
         self.cyclic = bool(more)  # nobody can be further from a root than there are nodes
@@ -357,7 +357,7 @@ class Jumps:
     def _jump(self, rows: DataFrame, col: str, k: int, condition) -> DataFrame:
         """``rows`` whose ``col`` is 2^k further up where the condition holds."""
         t = self.tables[k].select(F.col("node").alias("__at"), F.col("up").alias("__up"))
-        return rows.join(t, F.col(col) == F.col("__at")).select(*[F.when(condition, F.col("__up")).otherwise(F.col(c)).alias(c) if c == col else c for c in rows.columns])
+        return rows.join(shuffled(t), F.col(col) == F.col("__at")).select(*[F.when(condition, F.col("__up")).otherwise(F.col(c)).alias(c) if c == col else c for c in rows.columns])
 
     def ancestors_at(self, rows: DataFrame, col: str, distance: str) -> DataFrame:
         """``rows`` whose ``col`` is so many steps further up, at most the root; one join for each power of two in use."""
@@ -372,18 +372,18 @@ class Jumps:
         d = self.depths()
         ends = pairs.select("a", "b").distinct()
         for c in ("a", "b"):
-            ends = ends.join(d.select(F.col("node").alias(f"__{c}"), F.col("root").alias(f"root_{c}"), F.col("depth").alias(f"depth_{c}")), F.col(c) == F.col(f"__{c}")).drop(f"__{c}")
+            ends = ends.join(shuffled(d.select(F.col("node").alias(f"__{c}"), F.col("root").alias(f"root_{c}"), F.col("depth").alias(f"depth_{c}"))), F.col(c) == F.col(f"__{c}")).drop(f"__{c}")
         ends = ends.where("root_a = root_b").drop("root_a", "root_b")
         deep = F.col("depth_a") >= F.col("depth_b")
         ends = ends.select("*", F.when(deep, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(deep, F.col("b")).otherwise(F.col("a")).alias("y"), F.abs(F.col("depth_a") - F.col("depth_b")).alias("more"))
         ends = write_table(self.ancestors_at(write_table(ends, "jump-pairs"), "x", "more"), "jump-pairs")
         for k in range(len(self.tables) - 1, -1, -1):
             t = self.tables[k]
-            up = ends.join(t.select(F.col("node").alias("x"), F.col("up").alias("ux")), "x").join(t.select(F.col("node").alias("y"), F.col("up").alias("uy")), "y")
+            up = ends.join(shuffled(t.select(F.col("node").alias("x"), F.col("up").alias("ux"))), "x").join(shuffled(t.select(F.col("node").alias("y"), F.col("up").alias("uy"))), "y")
             go = F.col("ux") != F.col("uy")
             ends = write_table(up.select("a", "b", "depth_a", "depth_b", F.when(go, F.col("ux")).otherwise(F.col("x")).alias("x"), F.when(go, F.col("uy")).otherwise(F.col("y")).alias("y")), "jump-pairs")
         met = self._jump(ends.withColumn("ancestor", F.col("x")), "ancestor", 0, F.col("x") != F.col("y"))
-        low = met.join(d.select(F.col("node").alias("ancestor"), "depth"), "ancestor")
+        low = met.join(shuffled(d.select(F.col("node").alias("ancestor"), "depth")), "ancestor")
         return low.select("a", "b", "ancestor", (F.col("depth_a") - F.col("depth")).cast("int").alias("da"), (F.col("depth_b") - F.col("depth")).cast("int").alias("db"))
 
 
@@ -393,10 +393,10 @@ def ancestor_pairs(parents: DataFrame, pairs: DataFrame) -> DataFrame:
     if jumps is None:
         up = parents.where("parent is not null").select(F.col("node").alias("src"), F.col("parent").alias("dst"))
         met = reach(up, pairs.select(F.col("a").alias("seed")))
-        return pairs.select("a", "b").distinct().join(met, (F.col("a") == F.col("seed")) & (F.col("b") == F.col("node"))).select("a", "b", "dist")
+        return pairs.select("a", "b").distinct().join(shuffled(met), (F.col("a") == F.col("seed")) & (F.col("b") == F.col("node"))).select("a", "b", "dist")
     d = jumps.depths().select("node", "depth")
     a, b = (d.select(F.col("node").alias(c), F.col("depth").alias(f"depth_{c}")) for c in ("a", "b"))
-    asked = pairs.select("a", "b").distinct().join(a, "a").join(b, "b").withColumn("dist", F.col("depth_a") - F.col("depth_b")).where("dist >= 0").withColumn("x", F.col("a"))
+    asked = pairs.select("a", "b").distinct().join(shuffled(a), "a").join(shuffled(b), "b").withColumn("dist", F.col("depth_a") - F.col("depth_b")).where("dist >= 0").withColumn("x", F.col("a"))
     return jumps.ancestors_at(write_table(asked, "jump-pairs"), "x", "dist").where("x = b").select("a", "b", F.col("dist").cast("int").alias("dist"))
 
 
@@ -414,9 +414,9 @@ def lowest_common(edges: DataFrame, pairs: DataFrame, most: int | None = None) -
     anc = write_table(reach(up, ends, most), "ancestors")
     x = anc.select(F.col("seed").alias("a"), F.col("node").alias("ancestor"), F.col("dist").alias("da"))
     y = anc.select(F.col("seed").alias("b"), F.col("node").alias("ancestor"), F.col("dist").alias("db"))
-    both = pairs.select("a", "b").distinct().join(x, "a").join(y, ["b", "ancestor"]).withColumn("level", F.greatest("da", "db"))
+    both = pairs.select("a", "b").distinct().join(shuffled(x), "a").join(shuffled(y), ["b", "ancestor"]).withColumn("level", F.greatest("da", "db"))
     best = both.groupBy("a", "b").agg(F.min("level").alias("level"))
-    return both.join(best, ["a", "b", "level"]).select("a", "b", "ancestor", "da", "db")
+    return both.join(shuffled(best), ["a", "b", "level"]).select("a", "b", "ancestor", "da", "db")
 
 
 def common_scores(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -424,7 +424,7 @@ def common_scores(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     lca = lowest_common(edges, pairs)
     d = depth(edges).select(F.col("node").alias("ancestor"), "depth")
     kids = edges.groupBy(F.col("src").alias("ancestor")).agg(F.count_distinct("dst").alias("kids"))
-    s = lca.join(d, "ancestor").join(kids, "ancestor").where("da > 0 and db > 0 and depth > 0")
+    s = lca.join(shuffled(d), "ancestor").join(shuffled(kids), "ancestor").where("da > 0 and db > 0 and depth > 0")
     return s.groupBy("ancestor").agg(F.round(F.sum(F.lit(169.0) / (F.col("da") * F.col("db")) * F.log(F.col("depth").cast("double")) / F.col("kids")), 6).alias("score"))
 
 
@@ -495,7 +495,7 @@ def ancestors(parents: DataFrame, seeds: DataFrame) -> DataFrame:
         # a jump that the root cut short ends where a shorter one ends, too
         far = table.where(F.col("d") == 1 << k).select(F.col("node").alias("at"), "up").hint("merge")
         known = reduce(DataFrame.unionByName, parts)
-        parts.append(write_table(known.join(far, F.col("node") == F.col("at")).select("seed", F.col("up").alias("node"), (F.col("dist") + F.lit(1 << k)).cast("int").alias("dist")), "ancestors"))
+        parts.append(write_table(known.join(shuffled(far), F.col("node") == F.col("at")).select("seed", F.col("up").alias("node"), (F.col("dist") + F.lit(1 << k)).cast("int").alias("dist")), "ancestors"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -160,3 +160,9 @@ def test_loops_send_no_table_through_the_driver(spark, monkeypatch):
     edges = table(spark, mixed(1))
     assert not broadcasts(monkeypatch, lambda: G.components(edges))
     assert not broadcasts(monkeypatch, lambda: G.depth(edges))
+
+
+def test_common_scores_send_no_table_through_the_driver(spark, monkeypatch):
+    edges = table(spark, [((k - 1) // 2, k) for k in range(1, 40)])
+    pairs = spark.createDataFrame([(k, k - 7) for k in range(9, 40)], "a long, b long")
+    assert not broadcasts(monkeypatch, lambda: G.common_scores(edges, pairs))
