@@ -9,10 +9,19 @@ from ..scratch import write_table
 
 #: Rows of one key that may meet in one task.
 KEY_ROWS = 100_000
+#: Rows of a task on average, where their number says how many tasks there are.
+TASK_ROWS = 250_000
 #: Rows of one group whose pairs may be made in one task.
 PAIR_ROWS = 2048
 
 
+def dealt(rows: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
+    """``rows``, about ``n`` if stated, dealt by the keys into as many tasks as their number asks for, so that what a task holds
+    does not grow with it."""
+    n = rows.count() if n is None else n
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS)), *keys)
+
+
 def parts(rows: DataFrame, key: str, size: int) -> DataFrame:
     """(key, parts) of the keys with more than ``size`` rows, usually few or none, so that Spark broadcasts them by their
     size; where they are many, it deals them by the key and splits what is skewed."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import dealt
+
 STATUS = {"purchase": "mastered", "click": "in_progress", "view": "in_progress"}
 STATUS_SQL = "case event_type when 'purchase' then 'mastered' when 'click' then 'in_progress' when 'view' then 'in_progress' else 'not_started' end"
 
@@ -21,7 +23,7 @@ def heap(t) -> DataFrame:
 
 def related(t) -> DataFrame:
     """Related-to edges: distinct supplier-part pairs."""
-    return t.lineitem.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    return dealt(t.lineitem.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")), "src", "dst").distinct()
 
 
 def progress(t) -> DataFrame:
