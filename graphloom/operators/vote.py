@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import dealt
+
 
 def pivot_responses(responses: DataFrame, primary: str, secondary: str) -> DataFrame:
     """(item_key, model, decision, confidence) to one row per item with d1, c1, d2, c2."""
@@ -65,9 +67,11 @@ def fuse(order: DataFrame, definition: DataFrame, vote: DataFrame) -> DataFrame:
 
 
 def best_with_twin(edges: DataFrame) -> DataFrame:
-    """V8: of each (src, dst) the row of highest confidence (then first type), and its twin PREREQUISITE_ON for prerequisites."""
-    best = edges.groupBy("src", "dst").agg(F.min(F.struct(-F.col("confidence"), "rel_type")).alias("b")).select("src", "dst", F.col("b.rel_type").alias("rel_type"), (-F.col("b.col1")).alias("confidence"))
-    return best.unionByName(best.where("rel_type = 'PREREQUISITE'").withColumn("rel_type", F.lit("PREREQUISITE_ON")))
+    """V8: of each (src, dst) the row of highest confidence (then first type), and its twin PREREQUISITE_ON for prerequisites.
+    The edges are sorted for that, so they are dealt by their number first, and the twins are made of the rows at hand."""
+    best = dealt(edges, "src", "dst").groupBy("src", "dst").agg(F.min(F.struct(-F.col("confidence"), "rel_type")).alias("b")).select("src", "dst", F.col("b.rel_type").alias("rel_type"), (-F.col("b.col1")).alias("confidence"))
+    types = F.when(F.col("rel_type") == "PREREQUISITE", F.array("rel_type", F.lit("PREREQUISITE_ON"))).otherwise(F.array("rel_type"))
+    return best.select("src", "dst", F.explode(types).alias("rel_type"), "confidence")
 
 
 def assign_classes(items: DataFrame, existing: DataFrame, fallback: str) -> tuple[DataFrame, DataFrame]:

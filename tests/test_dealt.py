@@ -15,3 +15,13 @@ def test_related_edges_are_dealt_by_number(spark, monkeypatch):
     rows = spark.createDataFrame([(k % 7, k % 5) for k in range(60)], "l_suppkey long, l_partkey long")
     out = twins.related(SimpleNamespace(lineitem=rows))
     assert out.rdd.getNumPartitions() == 30 and out.count() == 35
+
+
+def test_best_edges_are_dealt_by_number(spark, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_ROWS", 2)
+    rows = [(k % 7, 1, "PREREQUISITE" if k % 2 else None, float(k)) for k in range(60)]
+    out = V.best_with_twin(spark.createDataFrame(rows, "src long, dst long, rel_type string, confidence double"))
+    assert out.rdd.getNumPartitions() == 30
+    best = {s: max((r for r in rows if r[0] == s), key=lambda r: r[3]) for s in range(7)}
+    twin = [(s, d, t + "_ON", c) for s, d, t, c in best.values() if t]
+    assert Counter(map(tuple, out.collect())) == Counter([*best.values(), *twin])
