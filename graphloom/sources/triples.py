@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.skew import dealt
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -16,15 +17,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def carried(lines: DataFrame, value: Column, name: str) -> DataFrame:
     """``lines`` with the last value that is not null on a line or before it in its file. Windows run within blocks; what a
-    block begins with comes from the last values of the blocks before it, a row each."""
-    rows = lines.withColumn("__v", value)
-    inside = Window.partitionBy("file", "block").orderBy("seq")
-    ends = rows.where("__v is not null").groupBy("file", "block").agg(F.max_by("__v", "seq").alias("__last"))
-    blocks = rows.select("file", "block").distinct().join(ends, ["file", "block"], "left")
+    block begins with comes from the last values of the blocks before it, a row each, that stands before its lines. Lines are
+    sorted for that, so they are dealt by their number."""
+    n, rows = lines.count(), lines.withColumn("__v", value).withColumn("__line", F.lit(True))
+    at = dealt(rows.select("file", "block", "seq", "__v"), "file", "block", n=n)
+    blocks = at.groupBy("file", "block").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col("seq"))).alias("__last"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    begins = blocks.select("file", "block", F.last("__last", ignorenulls=True).over(before).alias("__before"))
-    out = rows.withColumn("__in", F.last("__v", ignorenulls=True).over(inside)).join(begins, ["file", "block"])
-    return out.withColumn(name, F.coalesce("__in", "__before")).drop("__v", "__in", "__before")
+    begins = blocks.select("file", "block", F.last("__last", ignorenulls=True).over(before).alias("__v"), F.lit(False).alias("__line"))
+    both = dealt(rows.unionByName(begins.where("__v is not null"), allowMissingColumns=True), "file", "block", n=n)
+    inside = Window.partitionBy("file", "block").orderBy("__line", "seq")
+    return both.withColumn(name, F.last("__v", ignorenulls=True).over(inside)).where("__line").drop("__v", "__line")
 
 
 def linked_objects(lines: DataFrame, predicates=("partOf", "belongsTo")) -> DataFrame:

@@ -25,3 +25,13 @@ def test_best_edges_are_dealt_by_number(spark, monkeypatch):
     best = {s: max((r for r in rows if r[0] == s), key=lambda r: r[3]) for s in range(7)}
     twin = [(s, d, t + "_ON", c) for s, d, t, c in best.values() if t]
     assert Counter(map(tuple, out.collect())) == Counter([*best.values(), *twin])
+
+
+def test_lines_are_dealt_by_number(spark, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_ROWS", 2)
+    # a subject holds on over two blocks, one of which has none of its own; before it there is nothing to carry
+    text = ["  k:partOf <o0> .", "<a> x", "  k:partOf <o1> ;", "  k:partOf <o2> ;", "  k:partOf <o3> .", "<b> x", "  k:partOf <o4> ."] + [""] * 33
+    lines = spark.createDataFrame([("f", k // 3, k, s) for k, s in enumerate(text)], "file string, block long, seq long, text string")
+    out = TR.linked_objects(lines)
+    assert out.rdd.getNumPartitions() == 20
+    assert sorted((r.subject, r.object) for r in out.collect()) == [("a", "o1"), ("a", "o2"), ("a", "o3"), ("b", "o4")]
