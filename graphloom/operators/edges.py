@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import PAIR_ROWS, cells, pairs_within
+from .skew import PAIR_ROWS, cells, pairs_within, parts
+
+#: Users of a node that go along its edges in one row.
+USERS = 256
 
 
 def teaches_before(points: DataFrame) -> DataFrame:
@@ -188,8 +191,17 @@ def with_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def recommend(edges: DataFrame, seeds: DataFrame, mastered: DataFrame, limit: int) -> DataFrame:
-    """(user, node, rank): neighbours of what a user has, without what the user has, by number of ways, then name."""
-    ways = seeds.join(edges, seeds.node == edges.src).groupBy("user", F.col("dst").alias("node")).agg(F.count("*").alias("ways"))
+    """(user, node, rank): neighbours of what a user has, without what the user has, by number of ways, then name.
+
+    The users of a node go along its edges as lists and are counted where the edges to a target meet, so there is no row for
+    each user and edge to be sent or kept.
+    """
+    hot = parts(seeds, "node", USERS)
+    part = F.pmod(F.xxhash64("user"), F.coalesce("__parts", F.lit(1)))
+    none = F.array_repeat(F.lit(None).cast(seeds.schema["user"].dataType), (F.count("*") - F.count("user")).cast("int"))
+    users = seeds.where("node is not null").join(hot, F.col("node") == F.col("__key"), "left").groupBy("node", part).agg(F.concat(F.collect_list("user"), none).alias("users"))
+    met = edges.join(users.select(F.col("node").alias("src"), "users"), "src").select(F.col("dst").alias("node"), "users").repartition("node")
+    ways = met.select(F.explode("users").alias("user"), "node").groupBy("user", "node").agg(F.count("*").alias("ways"))
     left = ways.join(mastered.select("user", "node").distinct(), ["user", "node"], "left_anti")
     w = Window.partitionBy("user").orderBy(F.desc("ways"), "node")
     return left.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= limit).select("user", "node", "ways", "rank")

@@ -35,3 +35,14 @@ def test_lines_are_dealt_by_number(spark, monkeypatch):
     out = TR.linked_objects(lines)
     assert out.rdd.getNumPartitions() == 20
     assert sorted((r.subject, r.object) for r in out.collect()) == [("a", "o1"), ("a", "o2"), ("a", "o3"), ("b", "o4")]
+
+
+def test_users_go_along_edges_in_lists(spark, monkeypatch):
+    monkeypatch.setattr(E, "USERS", 2)
+    have = [(u, n) for u in (*range(6), None) for n in range(4) if u is None or (u + n) % 3]
+    edges = [(a, b) for a in range(4) for b in range(4, 9) if (a * b) % 4 != 1]
+    seeds = spark.createDataFrame(have, "user long, node long")
+    out = E.recommend(spark.createDataFrame(edges, "src long, dst long"), seeds, seeds.where("user < 0"), 99)
+    want = Counter((u, b) for u, n in have for a, b in edges if a == n)
+    assert {(r.user, r.node): r.ways for r in out.collect()} == want
+    assert "users" in out._jdf.queryExecution().executedPlan().toString()
