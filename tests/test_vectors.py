@@ -70,3 +70,56 @@ def test_bounds_hold_and_blocks_are_left_out(spark, monkeypatch):
     share = met / (60 * len(index.blocks))
     print("share of (query, block) pairs formed:", round(share, 3))
     assert share < 0.4
+
+
+def pairs(spark, monkeypatch, rows, block):
+    monkeypatch.setattr(M, "PAIR_BLOCK", block, raising=False)
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    return M.vector_pairs(t.where("vec_id % 20 = 0"), t)
+
+
+def test_pairs_of_zero_missing_and_opposite_vectors(spark, monkeypatch, tmp_path):
+    import duckdb
+
+    rows = [(k, [float(np.float32(c)) for c in v]) for k, v in groups(130, 4, 5, 3)]
+    rows[20], rows[40], rows[7], rows[8] = (20, [0.0] * 4), (40, None), (7, [0.0] * 4), (8, None)
+    rows += [(200, [1.0, 0.0, 0.0, 0.0]), (201, [-1.0, 0.0, 0.0, 0.0]), (202, [-1e-8, 1.0, 0.0, 0.0]), (203, [0.0, 1.0, 0.0, 0.0]), (204, [-1e-6, 1.0, 0.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/t")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/t/*.parquet'")
+    from graphloom.plans import joins, registry  # noqa: F401
+
+    plain = lambda found: sorted((q, v, repr(s)) for q, v, s in found)  # noqa: E731  tells -0.0, NaN and null apart
+    want = plain(con.execute("select query_id, vec_id, score from (" + registry.SQL["j7_vector_pairs"] + ")").fetchall())
+    for block in (4, 4096):  # 2 x 34 cells, and one
+        got = plain((r.query_id, r.vec_id, r.score) for r in pairs(spark, monkeypatch, rows, block).collect())
+        assert len(got) == 8 * 135 and got == want
+
+
+def test_pairs_of_no_vectors(spark, monkeypatch):
+    few = [(k, [1.0, 0.5 * k]) for k in range(3)]
+    assert pairs(spark, monkeypatch, [], 8).count() == 0
+    assert pairs(spark, monkeypatch, few[1:], 8).count() == 0
+    assert [r.score for r in pairs(spark, monkeypatch, [(0, None), (1, []), (2, None)], 8).collect()] == [None] * 3
+    t = spark.createDataFrame([(k, v * 2 if k == 1 else v) for k, v in few], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="different lengths"):
+        M.vector_pairs(t, t).collect()
+
+
+def test_a_task_has_one_cell_of_pairs_by_rising_score(spark, monkeypatch):
+    rows = [(k, v) for k, v in groups(1000, 6, 9, 4)]
+    found = pairs(spark, monkeypatch, rows, 250)
+    cells = found.withColumn("task", F.spark_partition_id()).toPandas().groupby("task")  # in the order of rows
+    assert len(cells) == found.rdd.getNumPartitions() == 4 and sum(len(c) for _, c in cells) == 50 * 1000
+    for _, c in cells:
+        assert c["score"].is_monotonic_increasing and len(c) == c["query_id"].nunique() * c["vec_id"].nunique() <= 50 * 300
+
+
+def test_written_pairs_take_fewer_bytes_than_a_score(spark, monkeypatch, tmp_path):
+    r = np.random.default_rng(5)
+    rows = [(k if k >= 400 else 20 * k + 100_000, v.tolist()) for k, v in enumerate(r.normal(size=(4000, 64)).astype(np.float32)) if k < 400 or k % 20]
+    found = pairs(spark, monkeypatch, rows, 4096)
+    found.write.parquet(f"{tmp_path}/pairs")
+    n = spark.read.parquet(f"{tmp_path}/pairs").count()
+    assert n == 400 * len(rows)
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 7 * n
