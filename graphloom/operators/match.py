@@ -491,33 +491,55 @@ def disambiguate(contexts: DataFrame, candidates: DataFrame) -> DataFrame:
     return s.groupBy("id").agg(F.min(F.struct(-F.col("score"), "candidate")).alias("b")).select("id", F.col("b.candidate").alias("candidate"))
 
 
-def nearest_in_group(contexts: DataFrame, vectors: DataFrame, group: str) -> DataFrame:
+#: A cosine that is NaN, and a missing one, among the scores of J30: as in SQL the one comes before all others, the other after them.
+NAN_FIRST, NULL_LAST = 3.0, -3.0
+
+
+def _firsts(x: np.ndarray, x_ids: np.ndarray, x_there: np.ndarray, y: np.ndarray, y_ids: np.ndarray, y_there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of ``x`` that has one: its id, the first of the rows of ``y`` with another id, and their score: the highest, of equals the
+    smallest id. ``y_ids`` rises."""
+    s = x @ y.T
+    s[~x_there], s[:, ~y_there] = NULL_LAST, NULL_LAST
+    low, high = (np.searchsorted(y_ids, x_ids, side) for side in ("left", "right"))
+    for k in np.flatnonzero(low < high):
+        s[k, low[k] : high[k]] = -np.inf
+    top = s.max(axis=1)
+    for k in np.flatnonzero(np.isnan(top)):
+        s[k] = np.where(np.isnan(s[k]), NAN_FIRST, s[k])
+        top[k] = NAN_FIRST
+    # what is rounded to the same number is less than a millionth below the highest
+    i, j = np.nonzero(s >= (top - 2e-6)[:, None])
+    top = np.round(top, 6)
+    same = np.round(s[i, j], 6) == top[i]
+    rows, at = np.unique(i[same], return_index=True)
+    found = np.isfinite(top[rows])
+    return x_ids[rows[found]], y_ids[j[same][at[found]]], top[rows[found]]
+
+
+def nearest_in_group(contexts: DataFrame, vectors: DataFrame, group: str, missing: bool = False) -> DataFrame:
     """J30 where the candidates of a context (id, v, group) are all other ``vectors`` (candidate, v, group) of its group: (id,
-    candidate). They meet in blocks, as matrices; ids are whole numbers. No pair becomes a row, and each block gives one
-    row a context."""
-    q = contexts.where("v is not null").select("id", F.col("v").alias("q"), F.col(group).alias("grp"))
-    c = vectors.where("v is not null").select("candidate", "v", F.col(group).alias("grp"))
-    left, right, n = cells(q, c, "grp", (F.col("id"), F.col("candidate")), (QUERY_BLOCK, VECTOR_BLOCK))
-    key, tasks = ["grp", "__i", "__j"], max(1, n)
-
-    def run(_, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"id": np.zeros(0, np.int64), "candidate": np.zeros(0, np.int64), "score": np.zeros(0)})]
-        if len(asked) and len(held):
-            y, vid = _matrix(held["v"].map(np.float64)), held["candidate"].to_numpy()
-            for at in range(0, len(asked), 256):
-                some = asked.iloc[at : at + 256]
-                ids = some["id"].to_numpy()
-                score = np.round(_matrix(some["q"].map(np.float64)) @ y.T, 6)
-                score = np.where(np.isnan(score), -2.0, score)  # what has no cosine comes last
-                score[ids[:, None] == vid[None, :]] = -np.inf
-                best = score.max(axis=1)
-                first = np.where(score == best[:, None], vid[None, :], np.iinfo(np.int64).max).min(axis=1)
-                ok = np.isfinite(best)
-                out.append(pd.DataFrame({"id": ids[ok], "candidate": first[ok], "score": best[ok]}))
-        return pd.concat(out)
-
-    met = left.repartition(tasks, *key).groupBy(*key).cogroup(right.repartition(tasks, *key).groupBy(*key))
-    s = met.applyInPandas(run, "id long, candidate long, score double")
+    candidate). With ``missing`` those without a vector take part: null, their cosine, comes after all others, as in SQL.
+
+    They meet in blocks, as matrices; ids are whole numbers. No pair becomes a row, and each block gives one row a context. A
+    large block is compared slice by slice, so its pairs never stand in memory together.
+    """
+    side = lambda df, key, asked: (df if missing else df.where("v is not null")).where(f"{key} is not null").select(F.col(key).cast("long").alias("id"), "v", F.col(group).alias("grp"), F.lit(asked).alias("asked"))
+    left, right, n = cells(side(contexts, "id", True), side(vectors, "candidate", False), "grp", (F.col("id"), F.col("id")), (8 * QUERY_BLOCK, 2 * VECTOR_BLOCK))
+    key, tasks, step = ["grp", "__i", "__j"], max(1, n), 2 * VECTOR_BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = pa.Table.from_batches(list(batches))
+        width = pc.max(pc.list_value_length(met["v"])).as_py() or 0
+        asked, held = (some.take(pc.sort_indices(some["id"])) for some in (met.filter(met["asked"]), met.filter(pc.invert(met["asked"]))))
+        for b in range(0, len(held), step):  # one slice, unless many have one id
+            some = held.slice(b, step)
+            y, y_there = _units(some["v"].combine_chunks(), width)
+            for a in range(0, len(asked), 256):
+                few = asked.slice(a, 256)
+                x, x_there = _units(few["v"].combine_chunks(), width)
+                yield pa.record_batch(list(map(pa.array, _firsts(x, few["id"].to_numpy(), x_there, y, some["id"].to_numpy(), y_there))), names=["id", "candidate", "score"])
+
+    s = left.unionByName(right).repartition(tasks, *key).groupBy(*key).applyInArrow(run, "id long, candidate long, score double")
     return s.groupBy("id").agg(F.min(F.struct(-F.col("score"), "candidate")).alias("b")).select("id", F.col("b.candidate").alias("candidate"))
 
 
